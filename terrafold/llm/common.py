@@ -60,3 +60,18 @@ def words_of(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_id(df: DataFrame) -> tuple[DataFrame, str]:
+    """Adds the row's place in its input split under a free name. ``df`` must come straight from a scan, whose splits are the same
+    each time it is read."""
+    name = fresh(df, "row_id")
+    return df.withColumn(name, F.monotonically_increasing_id()), name

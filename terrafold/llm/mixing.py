@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, stage, table
+from .common import BLANK_CLASS, fresh, stage, table, with_row_id
 
 #: Weights that the sources take in turn, in code point order, null last.
 WEIGHTS = [5, 2, 1]
@@ -103,6 +103,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fair_mix(rows, ["row_id"], weights, repeat)
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs``, all columns, each row as often as the mix takes it; rows it leaves go. Edge cases as in `mix_sources`. ``docs`` must
+    come from a scan."""
+    keyed, row = with_row_id(docs)
+    rows = keyed.select(F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    copies = fresh(keyed, "copies")
+    taken = stage(fair_mix(rows, ["row_id"]).where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(copies)), "mix-taken")
+    out = keyed.join(taken, row).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return out.drop(row, copies)
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     """Contract: doc_id, size, source_size, target, taken."""
     out = mix_sources(table(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, WORD_CLASS, stage, table
+from .common import BLANK_CLASS, WORD_CLASS, stage, table, with_row_id
 
 # The commonest function words of each language that has a reference.
 COMMON_WORDS = {
@@ -18,8 +18,9 @@ COMMON_WORDS = {
 CHAR_CLASSES = [("lower", r"\p{Ll}"), ("blank", r"[\x20\x09-\x0D]"), ("upper", r"\p{Lu}"), ("digit", r"\p{Nd}"), ("stop", r"[.,;:?'\x22()\-]"), ("symbol", r"[#*$%&|<>]"), ("mark", r"[!_=+~^@/\\{}\[\]]")]
 WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
-#: A text fails if no language has both distances under these; words count from MIN_WORDS on, characters from MIN_CHARS on.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.2, 0.45
+#: A text fails if no language has both distances under a limit plus what so few words deviate by chance (NOISE over the square
+#: root of their number); words count from MIN_WORDS on, characters from MIN_CHARS on.
+CHAR_LIMIT, CHAR_NOISE, WORD_LIMIT, WORD_NOISE = 0.12, 0.5, 0.35, 1.2
 MIN_CHARS, MIN_WORDS = 80, 60
 WINDOW = 8
 
@@ -81,6 +82,14 @@ def language_references(features: DataFrame) -> dict[str, tuple[list[int], list[
     return {r.lang: (r.chars, r.commons, r.n) for r in rows}
 
 
+def trimmed_references(features: DataFrame) -> dict[str, tuple[list[int], list[int], int]]:
+    """References of the rows that are near the references of all rows that pass the base rule: junk has no say in them."""
+    passing = features.where((F.col("n_words") >= 20) & (100 * F.col("n_repeat_words") <= 30 * F.col("n_words")))
+    first = language_references(passing)
+    near = with_distances(passing, first).where((F.col("best.c") <= 2 * CHAR_LIMIT) & (F.col("best.w") <= WORD_LIMIT))
+    return language_references(near) or first
+
+
 def js_distance(p: Column, q: list[float]) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of a distribution, an array column, and a constant one over the same bins."""
     def term(a: Column, b: Column) -> Column:
@@ -90,14 +99,13 @@ def js_distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda t, x: t + x) / 2, F.lit(0.0)))
 
 
-def with_verdict(features: DataFrame, references: dict[str, tuple[list[int], list[int], int]]) -> DataFrame:
-    """Adds ``base_failed``, ``char_distance`` and ``word_distance`` (of the language whose larger excess is least), ``kept``.
-
-    Distances that a length guard or a missing reference leaves out count as 0.
+def with_distances(features: DataFrame, references: dict[str, tuple[list[int], list[int], int]]) -> DataFrame:
+    """Adds ``best``: of the language whose larger distance, against its limit, is least, that ``excess`` and the distances ``c`` of
+    characters and ``w`` of common words. Distances that a length guard or a missing reference leaves out count as 0.
     """
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
     df = features.withColumn("total_chars", n_chars)
-    fits = []
+    fits, few = [], 1 / F.sqrt(F.greatest("n_words", F.lit(1)))
     for lang, (chars, commons, n_words) in sorted(references.items()):
         if not sum(chars) or not n_words:
             continue
@@ -111,23 +119,36 @@ def with_verdict(features: DataFrame, references: dict[str, tuple[list[int], lis
         by_word = F.when(F.col("n_words") >= MIN_WORDS, js_distance(p_words, [*q_words, max(0.0, 1 - sum(q_words))])).otherwise(F.lit(0.0))
         df = df.withColumn(f"fit_{lang}", F.struct(by_char.alias("c"), by_word.alias("w")))
         fit = F.col(f"fit_{lang}")
-        fits.append(F.struct(F.greatest(fit["c"] / MAX_CHAR_DISTANCE, fit["w"] / MAX_WORD_DISTANCE).alias("excess"), fit["c"].alias("c"), fit["w"].alias("w")))
+        fits.append(F.struct(F.greatest(fit["c"] / (CHAR_LIMIT + CHAR_NOISE * few), fit["w"] / (WORD_LIMIT + WORD_NOISE * few)).alias("excess"), fit["c"].alias("c"), fit["w"].alias("w")))
     best = F.array_min(F.array(*fits)) if fits else F.struct(F.lit(0.0).alias("excess"), F.lit(0.0).alias("c"), F.lit(0.0).alias("w"))
-    df = df.withColumn("best", best).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("best.excess") <= 1)).alias("kept"),
-        F.col("best.c").alias("char_distance"), F.col("best.w").alias("word_distance"),
-    )
+    return df.withColumn("best", best)
+
+
+def with_verdict(features: DataFrame, references: dict[str, tuple[list[int], list[int], int]]) -> DataFrame:
+    """Adds ``base_failed``, ``kept``, ``char_distance`` and ``word_distance``."""
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    out = with_distances(features, references).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("best.excess") <= 1))
+    return out.withColumns({"char_distance": F.col("best.c"), "word_distance": F.col("best.w")})
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Features and verdict of every row, in the order of `with_verdict`; the texts are read once, references come from all rows.
+    """``doc_id``, the counts of `quality_features` and the columns of `with_verdict`; texts are read once, references come from all
+    rows.
 
     Null, empty and blank texts fail the base rule; repeated rows and null ids stay, one row out for each row in; other columns
     are ignored. A language that no row names has no reference; without any, only the base rule decides. Empty input: no rows.
     """
     features = stage(quality_features(docs, id_col, text_col, lang_col), "quality")
-    return with_verdict(features, language_references(features))
+    out = with_verdict(features, trimmed_references(features))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
+
+def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep; edge cases as in `quality_rules`. ``docs`` must come from a scan."""
+    keyed, row = with_row_id(docs)
+    features = stage(quality_features(keyed, row, text_col, lang_col), "quality")
+    bad = stage(with_verdict(features, trimmed_references(features)).where(~F.col("kept")).select(F.col("doc_id").alias(row)), "low-quality")
+    return keyed.join(bad, row, "left_anti").drop(row)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

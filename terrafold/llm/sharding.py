@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import fresh, stage, table
 
 SLOTS = 4096
 SHARDS = 16
@@ -94,6 +94,18 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """``docs``, all columns, with ``virtual_slot``, ``shard`` and ``map_version`` (under longer names where those are taken): a column
+    computed in place and a join with the broadcast map; rows don't move. Edge cases as in `shard_documents`."""
+    spark = docs.sparkSession
+    own = with_slots(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", slots)
+    versions = [first_map({r.tf_slot: r.bytes for r in slot_totals(own).collect()}, shards, slots)]
+    virtual, shard, version = (fresh(docs, name) for name in ("virtual_slot", "shard", "map_version"))
+    current = map_table(spark, versions).where(F.col("version") == len(versions)).toDF(version, virtual, shard)
+    slot = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(slots)).cast("int")
+    return docs.withColumn(virtual, slot).join(F.broadcast(current), virtual).select(*docs.columns, virtual, shard, version)
+
+
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
     """Contract: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     out = shard_documents(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,31 +10,39 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import discard, stage, table, with_row_id
 from .components import components
 
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of a text: A-Z lower-cased, words cut at ASCII blanks, each shingle counting as often as it occurs.
+def _votes(hashes: np.ndarray) -> int:
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        votes += np.unpackbits(hashes[at : at + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
-    Fewer words than a shingle: the whole sequence is the one shingle. No word (null included): 0. A bit is 1 if over half of the
-    shingles' XXH64 hashes have it. Shingles are slices of the joined words; votes are taken in blocks, so memory stays bounded.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, joined by one blank; fewer words: of the whole sequence; none: nothing."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
-    votes = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        votes += np.unpackbits(hashes[at : at + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of a text: A-Z lower-cased, words cut at ASCII blanks, each shingle counting as often as it occurs.
+
+    Fewer words than a shingle: the whole sequence is the one shingle. No word (null included): 0. A bit is 1 if over half of the
+    shingles' XXH64 hashes have it. Shingles are slices of the joined words; votes are taken in blocks, so memory stays bounded.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return _votes(shingle_hashes(words, shingle, seed)) if words else 0
 
 
 def with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
@@ -59,14 +67,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def hamming_links(prints: DataFrame, distance: int) -> DataFrame:
-    """``prints(fp)``, distinct, to each pair ``(u, v)`` of them with 1 to ``distance`` differing bits, once.
+def hamming_links(prints: DataFrame, distance: int, also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``prints(id, fp, more..)``, ids distinct, to each pair ``(u, v)`` of ids whose prints differ in ``distance`` bits at most,
+    once. ``also(a, b)``, on the two rows as structs, is a further condition of the join.
 
     For each segment a print is indexed by the segment's value and by each variant in which one bit is a wildcard. Pairs that
     differ in just that bit meet there, one side with 0 and one with 1; pairs with equal segments meet by value. The join
     verifies the whole distance and lets only the first matching segment speak, so no pair comes twice and nothing is expanded.
     """
-    fp, rows = F.col("fp"), []
+    fp, rows = F.col("r.fp"), []
     cuts = segments(distance)
     for s, (shift, width) in enumerate(cuts):
         value = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
@@ -74,16 +83,18 @@ def hamming_links(prints: DataFrame, distance: int) -> DataFrame:
         for bit in range(width):
             key = value.bitwiseAND(F.lit(_signed(((1 << 64) - 1) ^ (1 << bit)))) + F.lit((s << 56) | (bit << 48))
             rows.append(F.struct(F.lit(s).alias("s"), key.alias("key"), (F.shiftright(value, bit).bitwiseAND(F.lit(1)) == 1).alias("one")))
-    index = prints.select("fp", F.explode(F.array(*rows)).alias("x")).select("fp", "x.*")
-    a = index.where("one is null or not one").select(F.col("fp").alias("u"), "s", "key", F.col("one").isNull().alias("same"))
-    b = index.where("one is null or one").select(F.col("fp").alias("v"), "key")
-    x = F.col("u").bitwiseXOR(F.col("v"))
-    near: Column = (F.bit_count(x) <= distance) & (~F.col("same") | (F.col("u") < F.col("v")))
+    index = prints.select(F.struct(*prints.columns).alias("r")).select("r", F.explode(F.array(*rows)).alias("x")).select("r", "x.*")
+    a = index.where("one is null or not one").select(F.col("r").alias("a"), "s", "key", F.col("one").isNull().alias("same"))
+    b = index.where("one is null or one").select(F.col("r").alias("b"), "key")
+    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    near: Column = (F.bit_count(x) <= distance) & (~F.col("same") | (F.col("a.id") < F.col("b.id")))
     for s, (shift, width) in enumerate(cuts[:-1]):
         part = x.bitwiseAND(F.lit(_signed(((1 << width) - 1) << shift)))
         near = near & ((F.col("s") <= s) | (F.bit_count(part) > 1))
+    if also:
+        near = near & also(F.col("a"), F.col("b"))
     joined = a.join(b, (a["key"] == b["key"]) & near)
-    return joined.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return joined.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -95,7 +106,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     prints = stage(with_fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle), "prints")
     ids = stage(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-prints")
-    roots = components(hamming_links(ids.select("fp"), distance))
+    roots = components(hamming_links(ids.select(F.col("fp").alias("id"), "fp"), distance))
     known = ids.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = known.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
     named = stage(known.select("fp", "root").join(groups.where("n > 1"), "root").select("fp", F.col("least").alias("component_id")), "named-prints")
@@ -105,7 +116,59 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """Contract: doc_id, fingerprint (16 hex digits), component_id."""
-    from .common import table
-
     out = simhash_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near copies for `drop_near_copies`: word shingles, their Jaccard similarity, and how the search gets there: the SimHash of the
+#: distinct words, which a few edits hardly move, within WORD_BITS, and that of the shingles within SHINGLE_BITS.
+COPY_SHINGLE, COPY_SIMILARITY, WORD_BITS, SHINGLE_BITS = 5, 0.8, 7, 18
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one row of each group of near copies: the one with the smallest id (null last).
+
+    Equal word sequences (A-Z lower-cased) are one class. Classes whose SimHashes are near are compared: those whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more are linked, and links join to groups. Texts without a word, null ones
+    included, are one class; shorter texts have their whole sequence as the one shingle; of repeated rows one stays. ``docs`` must
+    come from a scan. Empty input: no rows.
+    """
+    keyed, row = with_row_id(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(2):
+                words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                own, shingles = shingle_hashes(list(set(words)), 1), np.unique(shingle_hashes(words, COPY_SHINGLE))
+                out.append((xxhash.xxh64_intdigest(b" ".join(words)), _votes(own) if words else 0, _votes(shingles) if words else 0, len(shingles)))
+            cols = np.array(out, np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(cols[:, k]) for k in range(4))], ["row", "doc_id", "id", "fp", "fp2", "n"])
+
+    rows = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    prints = stage(rows.mapInArrow(run, "row long, doc_id long, id long, fp long, fp2 long, n long"), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    classes = stage(prints.groupBy("id").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n"), F.min(order).alias("keep")), "classes")
+
+    def alike(a: Column, b: Column) -> Column:
+        sizes = F.least(a["n"], b["n"]) >= COPY_SIMILARITY * F.greatest(a["n"], b["n"])
+        return sizes & (F.bit_count(a["fp2"].bitwiseXOR(b["fp2"])) <= SHINGLE_BITS)
+
+    near = stage(hamming_links(classes.select("id", "fp", "fp2", "n"), WORD_BITS, alike), "near-classes")
+    wanted = near.select(F.col("u").alias("id")).union(near.select("v")).distinct().join(classes.select("id", F.col("keep.row").alias("row")), "id")
+
+    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), COPY_SHINGLE)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    sets = stage(rows.join(wanted, "row").select("id", "text").mapInArrow(shingle_sets, "id long, shingles array<long>"), "shingle-sets")
+    pairs = near.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    links = pairs.where(shared >= COPY_SIMILARITY * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    roots = components(links)
+    groups = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id").alias("g")).agg(F.min("keep").alias("best"))
+    kept = groups.select(F.col("best.row").alias("row"))
+    dropped = stage(prints.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row), "near-copies")
+    discard(classes, near, sets, prints)
+    return keyed.join(dropped, row, "left_anti").drop(row)
