@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import Affixes, deaccent, normalize
 
@@ -77,15 +78,18 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The better of the plain ratio and that of the words in order."""
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     def words(x: str) -> str:
         return " ".join(sorted(x.split()))
 
     return pd.Series(np.array([max(indel_ratio(x, y), indel_ratio(words(x), words(y))) for x, y in zip(a, b)], float))
 
 
+def similarity(a: str, b: str) -> Column:
+    """The better of the plain ratio of two columns and that of their words in order."""
+    return F.pandas_udf(_similar, T.DoubleType())(a, b)
+
+
 def fuzzy_names(missed: DataFrame, index: DataFrame, affixes: Affixes, by: list[str] | None = None, floor: float = FUZZY_FLOOR) -> DataFrame:
     """Names that no key hit, to ``(raw, [by..], score, shape_id, name)``: the best similarity at or over the floor, the first unit on ties.
 

@@ -17,7 +17,7 @@ def per_nation(load):
 
 UNITS = "(SELECT c_nationkey, round(sum(c_acctbal), 2) AS v, count(*) AS n FROM customer GROUP BY 1)"
 # The fold over few edges as lists: slivers first, then the last class; quantiles and equal steps of many values leave none empty.
-COLLAPSE = """kept AS (SELECT list_reduce(e[2:len(e) - 1], (a, x) -> CASE WHEN x - a[len(a)] < greatest((e[len(e)] - e[1]) * 0.04, w) THEN a ELSE list_append(a, x) END, [e[1]]) AS a, e[len(e)] AS z, greatest((e[len(e)] - e[1]) * 0.04, w) AS w FROM raw),
+COLLAPSE = """kept AS (SELECT list_reduce(e[2:len(e) - 1], lambda a, x: CASE WHEN x - a[len(a)] < greatest((e[len(e)] - e[1]) * 0.04, w) THEN a ELSE list_append(a, x) END, [e[1]]) AS a, e[len(e)] AS z, greatest((e[len(e)] - e[1]) * 0.04, w) AS w FROM raw),
 edges AS (SELECT list_append(CASE WHEN len(a) > 1 AND z - a[len(a)] < w THEN a[1:len(a) - 1] ELSE a END, z) AS e FROM kept),
 bins AS (SELECT i::INT - 1 AS class_idx, round(e[i], 6) AS lo, round(e[i + 1], 6) AS hi FROM (SELECT e, unnest(range(1, len(e))) AS i FROM edges))"""
 
@@ -32,13 +32,13 @@ def bins_quantile(load, spark):
     return edges_frame(spark, cl.compute_bins(load("orders"), "o_totalprice", "quantile", 5))
 
 
-@query("bins_equal_interval", f"""WITH s AS (SELECT min(c_acctbal) AS a, max(c_acctbal) AS z FROM customer), raw AS (SELECT list_transform(range(0, 7), i -> a + (z - a) / 6 * i) AS e, 0.0 AS w FROM s), {COLLAPSE} SELECT * FROM bins""")
+@query("bins_equal_interval", f"""WITH s AS (SELECT min(c_acctbal) AS a, max(c_acctbal) AS z FROM customer), raw AS (SELECT list_transform(range(0, 7), lambda i: a + (z - a) / 6 * i) AS e, 0.0 AS w FROM s), {COLLAPSE} SELECT * FROM bins""")
 def bins_equal_interval(load, spark):
     return edges_frame(spark, cl.compute_bins(load("customer"), "c_acctbal", "equal-interval", 6))
 
 
 @query("bins_integer_snap", f"""WITH q AS (SELECT min(n) AS a, quantile_cont(n, [0.2, 0.4, 0.6, 0.8]) AS m, max(n) AS z FROM {UNITS}),
-raw AS (SELECT list_sort(list_distinct(list_concat(list_concat([floor(a)::DOUBLE], list_transform(m, x -> round_even(x, 0)::DOUBLE)), [ceil(z)::DOUBLE]))) AS e, 1.0 AS w FROM q), {COLLAPSE} SELECT * FROM bins""")
+raw AS (SELECT list_sort(list_distinct(list_concat(list_concat([floor(a)::DOUBLE], list_transform(m, lambda x: round_even(x, 0)::DOUBLE)), [ceil(z)::DOUBLE]))) AS e, 1.0 AS w FROM q), {COLLAPSE} SELECT * FROM bins""")
 def bins_integer_snap(load, spark):
     return edges_frame(spark, cl.compute_bins(per_nation(load), "n", "quantile", 5, integer=True))
 

@@ -29,8 +29,8 @@ def grid_table_blocks(load, spark):
     return gr.table_blocks(cells(load, spark))
 
 
-@query("grid_fill_merged", f"""SELECT row, col, value FROM {CELLS_SQL} c WHERE NOT EXISTS (SELECT 1 FROM {MERGED} WHERE row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1)
-UNION ALL SELECT r.x, k.x, h.value FROM {MERGED}, range(0, 60) r(x), range(0, 5) k(x), {CELLS_SQL} h WHERE r.x BETWEEN r0 AND r1 AND k.x BETWEEN c0 AND c1 AND h.row = r0 AND h.col = c0""")
+@query("grid_fill_merged", f"""SELECT row::INT AS row, col::INT AS col, value FROM {CELLS_SQL} c WHERE NOT EXISTS (SELECT 1 FROM {MERGED} WHERE row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1)
+UNION ALL SELECT r.x::INT, k.x::INT, h.value FROM {MERGED}, range(0, 60) r(x), range(0, 5) k(x), {CELLS_SQL} h WHERE r.x BETWEEN r0 AND r1 AND k.x BETWEEN c0 AND c1 AND h.row = r0 AND h.col = c0""")
 def grid_fill_merged(load, spark):
     return gr.fill_merged(cells(load, spark), spark.sql(f"SELECT * FROM {MERGED}"))
 
