@@ -71,7 +71,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def with_row_id(df: DataFrame) -> tuple[DataFrame, str]:
-    """Adds the row's place in its input split under a free name. ``df`` must come straight from a scan, whose splits are the same
-    each time it is read."""
-    name = fresh(df, "row_id")
-    return df.withColumn(name, F.monotonically_increasing_id()), name
+    """Adds, under a free name, the row's file (hashed) and place in it: the same each time the table is read, whatever its splits.
+    ``df`` must come straight from a scan of Parquet files."""
+    name, meta = fresh(df, "row_id"), df.metadataColumn("_metadata")
+    return df.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("f"), meta["row_index"].alias("i"))), name

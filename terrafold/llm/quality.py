@@ -14,8 +14,10 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "sur", "au"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para"],
 }
-# Character classes, each counted on what the ones before it left; the rest is the class "other".
+# Character classes, each counted on what the ones before it left; the rest is the class "other". A word with a digit
+# (a number, an address, a key) counts as one digit: its length says nothing of the language.
 CHAR_CLASSES = [("lower", r"\p{Ll}"), ("blank", r"[\x20\x09-\x0D]"), ("upper", r"\p{Lu}"), ("digit", r"\p{Nd}"), ("stop", r"[.,;:?'\x22()\-]"), ("symbol", r"[#*$%&|<>]"), ("mark", r"[!_=+~^@/\\{}\[\]]")]
+SYMBOLS = "#*$%&|<>"
 WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
 #: A text fails if no language has both distances under a limit plus what so few words deviate by chance (NOISE over the square
@@ -35,22 +37,22 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cut = base.withColumn("words", F.array_remove(F.split("text", BLANK_CLASS + "+"), ""))
     hashed = cut.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("hits", F.filter("words", lambda w: w.isin(WORDS)))
+    hashed = hashed.withColumn("left", F.array_join(F.transform(words, lambda w: F.when(w.rlike(r"\p{Nd}"), "0").otherwise(w)), " "))
     for k, (name, pattern) in enumerate(CHAR_CLASSES):
-        hashed = hashed.withColumn(f"left{k}", F.regexp_replace(text if k == 0 else F.col(f"left{k - 1}"), f"(?:{pattern})+", ""))
+        hashed = hashed.withColumn(f"left{k}", F.regexp_replace("left" if k == 0 else f"left{k - 1}", f"(?:{pattern})+", ""))
     size = lambda c: F.char_length(c).cast("long")
     last = len(CHAR_CLASSES) - 1
-    lefts = [text, *(F.col(f"left{k}") for k in range(last + 1))]
+    lefts = [F.col("left"), *(F.col(f"left{k}") for k in range(last + 1))]
     chars = F.array(*(size(a) - size(b) for a, b in zip(lefts, lefts[1:])), size(lefts[-1]))
     n_hits = F.size("hits")
     commons = F.array(*((n_hits - F.size(F.array_remove("hits", w))).cast("long") for w in WORDS))
     counted = hashed.select(
-        "doc_id", "lang", F.size(words).cast("long").alias("n_words"), size(F.array_join(words, "")).alias("word_chars"), chars.alias("chars"), commons.alias("commons"),
+        "doc_id", "lang", F.size(words).cast("long").alias("n_words"), size(F.array_join(words, "")).alias("word_chars"), (size(text) - size(F.translate(text, SYMBOLS, ""))).alias("n_symbols"), chars.alias("chars"), commons.alias("commons"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CLASS)).alias("lines"),
         F.when(F.size("hashes") > WINDOW, F.transform(F.sequence(F.lit(0), F.size("hashes") - WINDOW), lambda i: F.xxhash64(*(F.get(F.col("hashes"), i + k) for k in range(WINDOW))))).alias("windows"),
     )
-    symbol = [n for n, _ in CHAR_CLASSES].index("symbol")
     return counted.select(
-        "doc_id", "lang", "n_words", "word_chars", F.get("chars", F.lit(symbol)).alias("n_symbols"),
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _repeat_words(F.col("windows")).alias("n_repeat_words"), "chars", "commons",
     )
 

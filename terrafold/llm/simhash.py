@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -120,41 +121,47 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies for `drop_near_copies`: word shingles, their Jaccard similarity, and how the search gets there: the SimHash of the
-#: distinct words, which a few edits hardly move, within WORD_BITS, and that of the shingles within SHINGLE_BITS.
+#: Near copies for `drop_near_copies`: word shingles, their Jaccard similarity, and how the search gets there: a SimHash of the
+#: distinct words, which a few edits hardly move, within WORD_BITS under one of the hash seeds, and that of the shingles within
+#: SHINGLE_BITS.
 COPY_SHINGLE, COPY_SIMILARITY, WORD_BITS, SHINGLE_BITS = 5, 0.8, 7, 18
+WORD_SEEDS = (42, 43)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of each group of near copies: the one with the smallest id (null last).
 
-    Equal word sequences (A-Z lower-cased) are one class. Classes whose SimHashes are near are compared: those whose sets of five-word
+    Equal word sequences (A-Z lower-cased) are one class. Classes with a near SimHash are compared: those whose sets of five-word
     shingles have a Jaccard similarity of 0.8 or more are linked, and links join to groups. Texts without a word, null ones
     included, are one class; shorter texts have their whole sequence as the one shingle; of repeated rows one stays. ``docs`` must
     come from a scan. Empty input: no rows.
     """
     keyed, row = with_row_id(docs)
 
+    fps = [f"fp{k}" for k in range(len(WORD_SEEDS))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t in b.column(2):
                 words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                own, shingles = shingle_hashes(list(set(words)), 1), np.unique(shingle_hashes(words, COPY_SHINGLE))
-                out.append((xxhash.xxh64_intdigest(b" ".join(words)), _votes(own) if words else 0, _votes(shingles) if words else 0, len(shingles)))
-            cols = np.array(out, np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(cols[:, k]) for k in range(4))], ["row", "doc_id", "id", "fp", "fp2", "n"])
+                distinct, shingles = list(set(words)), np.unique(shingle_hashes(words, COPY_SHINGLE))
+                own = [_votes(shingle_hashes(distinct, 1, seed)) if words else 0 for seed in WORD_SEEDS]
+                out.append((xxhash.xxh64_intdigest(b" ".join(words)), len(shingles), _votes(shingles) if words else 0, *own))
+            cols = np.array(out, np.uint64).reshape(-1, 3 + len(fps)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in cols.T)], ["row", "doc_id", "id", "n", "by_shingles", *fps])
 
     rows = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = stage(rows.mapInArrow(run, "row long, doc_id long, id long, fp long, fp2 long, n long"), "prints")
+    prints = stage(rows.mapInArrow(run, f"row struct<f:bigint,i:bigint>, doc_id long, id long, n long, by_shingles long, {', '.join(f'{c} long' for c in fps)}"), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    classes = stage(prints.groupBy("id").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n"), F.min(order).alias("keep")), "classes")
+    classes = stage(prints.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "by_shingles", *fps)), F.min(order).alias("keep")), "classes")
 
     def alike(a: Column, b: Column) -> Column:
         sizes = F.least(a["n"], b["n"]) >= COPY_SIMILARITY * F.greatest(a["n"], b["n"])
-        return sizes & (F.bit_count(a["fp2"].bitwiseXOR(b["fp2"])) <= SHINGLE_BITS)
+        return sizes & (F.bit_count(a["by_shingles"].bitwiseXOR(b["by_shingles"])) <= SHINGLE_BITS)
 
-    near = stage(hamming_links(classes.select("id", "fp", "fp2", "n"), WORD_BITS, alike), "near-classes")
+    searches = [hamming_links(classes.select("id", F.col(c).alias("fp"), "by_shingles", "n"), WORD_BITS, alike) for c in fps]
+    near = stage(reduce(DataFrame.union, searches).distinct(), "near-classes")
     wanted = near.select(F.col("u").alias("id")).union(near.select("v")).distinct().join(classes.select("id", F.col("keep.row").alias("row")), "id")
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
