@@ -23,7 +23,8 @@ def source_targets(sizes: DataFrame, weights: list[int] = WEIGHTS, repeat: int =
     """``sizes(source, source_size)``, a row for each source, to the same with ``target`` (double), null sources included.
 
     The total goes round by weight; what a source cannot use above ``repeat`` times its size is shared out again. Sorted by cap
-    over weight, the sources that end at their cap come first, so the level of the others follows from running sums.
+    over weight, the sources that end at their cap come first, so the level of the others follows from running sums: it falls from the
+    first place on where it is no higher than the ratio, so it is the largest such.
     """
     w = F.lit(0)
     for i, x in enumerate(weights):
@@ -38,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: list[int] = WEIGHTS, repeat: int =
         .withColumn("total", F.sum("source_size").over(all_rows))
         .withColumn("caps_before", F.sum("cap").over(up) - F.col("cap"))
         .withColumn("weight_left", F.sum("weight").over(all_rows) - F.sum("weight").over(up) + F.col("weight"))
-        .withColumn("level", F.min(F.when(level <= F.col("ratio"), level)).over(all_rows))
+        .withColumn("level", F.max(F.when(level <= F.col("ratio"), level)).over(all_rows))
         .select("source", "source_size", F.when(F.col("ratio") < F.col("level"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("level")).alias("target"))
     )
 
@@ -128,7 +129,7 @@ w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
 r AS (SELECT *, cap::DOUBLE / weight AS ratio FROM w),
 c AS (SELECT *, sum(cap) OVER (ORDER BY ratio, place) - cap AS caps_before, sum(weight) OVER () - sum(weight) OVER (ORDER BY ratio, place) + weight AS weight_left, sum(source_size) OVER () AS total FROM r),
 v AS (SELECT *, (total - caps_before)::DOUBLE / weight_left::DOUBLE AS own_level FROM c),
-l AS (SELECT *, min(CASE WHEN own_level <= ratio THEN own_level END) OVER () AS level FROM v),
+l AS (SELECT *, max(CASE WHEN own_level <= ratio THEN own_level END) OVER () AS level FROM v),
 t AS (SELECT source, source_size, CASE WHEN ratio < level THEN cap::DOUBLE ELSE weight * level END AS target FROM l),
 q AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT AS cum FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT q.*, pass, CASE WHEN target > 0 THEN (pass * source_size + cum)::DOUBLE / target END AS finish FROM q, range(3) x(pass)),

@@ -83,6 +83,31 @@ def test_op3_base_counts(spark, docs):
 def test_op4_reruns_agree(spark):
     a, b = (sorted(map(tuple, QUERIES["op4_mixing"](spark, SF).collect())) for _ in range(2))
     assert a == b and all(taken <= 3 * size for _, size, _, _, taken in a)
+    by_source = Counter()
+    for _, _, source_size, target, taken in a:
+        by_source[source_size, target] += taken
+    longest = max(size for _, size, *_ in a)
+    assert all(abs(taken - target) <= 2 * longest for (_, target), taken in by_source.items())
+
+
+@pytest.mark.parametrize("sizes", [[100], [900, 30, 30, 30, 10], [5, 1000, 1000], [40, 40, 40, 5000, 1, 1, 700], [3, 0, 9, 2000, 6]])
+def test_targets_by_resharing(spark, sizes):
+    from terrafold.llm.mixing import source_targets
+
+    names = [f"s{k}" for k in range(len(sizes) - 1)] + [None]
+    weights, capped, total = [(5, 2, 1)[k % 3] for k in range(len(sizes))], set(), sum(sizes)
+    while True:
+        free = [k for k in range(len(sizes)) if k not in capped]
+        left = total - sum(3 * sizes[k] for k in capped)
+        level = left / sum(weights[k] for k in free)
+        over = {k for k in free if weights[k] * level > 3 * sizes[k]}
+        if not over:
+            break
+        capped |= over
+    want = [3.0 * sizes[k] if k in capped else weights[k] * level for k in range(len(sizes))]
+    df = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long")
+    got = {r.source: r.target for r in source_targets(df).collect()}
+    assert [got[n] for n in names] == pytest.approx(want)
 
 
 def test_op5_held_out_accuracy(spark, docs):
