@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -68,34 +69,45 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def hamming_links(prints: DataFrame, distance: int, also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+
+
+def _side(df: DataFrame, name: str) -> DataFrame:
+    return df.toDF(*(f"{name}_{c}" for c in df.columns))
+
+
+def _of(name: str) -> Callable[[str], Column]:
+    return lambda c: F.col(f"{name}_{c}")
+
+
+def hamming_links(prints: DataFrame, distance: int, also: Condition | None = None) -> DataFrame:
     """``prints(id, fp, more..)``, ids distinct, to each pair ``(u, v)`` of ids whose prints differ in ``distance`` bits at most,
-    once. ``also(a, b)``, on the two rows as structs, is a further condition of the join.
+    once. ``also(a, b)``, on functions from a column's name to the column of either row, is a further condition of the join.
 
     For each segment a print is indexed by the segment's value and by each variant in which one bit is a wildcard. Pairs that
     differ in just that bit meet there, one side with 0 and one with 1; pairs with equal segments meet by value. The join
     verifies the whole distance and lets only the first matching segment speak, so no pair comes twice and nothing is expanded.
     """
-    fp, rows = F.col("r.fp"), []
+    fp, rows = F.col("fp"), []
     cuts = segments(distance)
     for s, (shift, width) in enumerate(cuts):
         value = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
-        rows.append(F.struct(F.lit(s).alias("s"), (value + F.lit((s << 56) | (63 << 48))).alias("key"), F.lit(None).cast("boolean").alias("one")))
+        rows.append(F.struct((value + F.lit((s << 56) | (63 << 48))).alias("key"), F.lit(None).cast("boolean").alias("one")))
         for bit in range(width):
             key = value.bitwiseAND(F.lit(_signed(((1 << 64) - 1) ^ (1 << bit)))) + F.lit((s << 56) | (bit << 48))
-            rows.append(F.struct(F.lit(s).alias("s"), key.alias("key"), (F.shiftright(value, bit).bitwiseAND(F.lit(1)) == 1).alias("one")))
-    index = prints.select(F.struct(*prints.columns).alias("r")).select("r", F.explode(F.array(*rows)).alias("x")).select("r", "x.*")
-    a = index.where("one is null or not one").select(F.col("r").alias("a"), "s", "key", F.col("one").isNull().alias("same"))
-    b = index.where("one is null or one").select(F.col("r").alias("b"), "key")
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    near: Column = (F.bit_count(x) <= distance) & (~F.col("same") | (F.col("a.id") < F.col("b.id")))
+            rows.append(F.struct(key.alias("key"), (F.shiftright(value, bit).bitwiseAND(F.lit(1)) == 1).alias("one")))
+    index = prints.select("*", F.explode(F.array(*rows)).alias("x")).select(*prints.columns, "x.*")
+    left, right = _side(index.where("one is null or not one").drop("one"), "a"), _side(index.where("one is null or one").drop("one"), "b")
+    a, b = _of("a"), _of("b")
+    x, same = a("fp").bitwiseXOR(b("fp")), F.shiftright(a("key"), 48).bitwiseAND(F.lit(63)) == 63
+    near: Column = (F.bit_count(x) <= distance) & (~same | (a("id") < b("id")))
     for s, (shift, width) in enumerate(cuts[:-1]):
         part = x.bitwiseAND(F.lit(_signed(((1 << width) - 1) << shift)))
-        near = near & ((F.col("s") <= s) | (F.bit_count(part) > 1))
+        near = near & ((F.shiftright(a("key"), 56) <= s) | (F.bit_count(part) > 1))
     if also:
-        near = near & also(F.col("a"), F.col("b"))
-    joined = a.join(b, (a["key"] == b["key"]) & near)
-    return joined.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
+        near = near & also(a, b)
+    joined = left.join(right, (a("key") == b("key")) & near)
+    return joined.select(F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -122,22 +134,51 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 #: Near copies for `drop_near_copies`: word shingles, their Jaccard similarity, and how the search gets there: a SimHash of the
-#: distinct words, which a few edits hardly move, within WORD_BITS under one of the hash seeds, and that of the shingles within
-#: SHINGLE_BITS.
-COPY_SHINGLE, COPY_SIMILARITY, WORD_BITS, SHINGLE_BITS = 5, 0.8, 7, 18
+#: distinct words, which a few edits hardly move, within WORD_BITS under one of the hash seeds, and the upper 48 bits of that of the
+#: shingles within SHINGLE_BITS.
+COPY_SHINGLE, COPY_SIMILARITY, WORD_BITS, SHINGLE_BITS = 5, 0.8, 7, 16
 WORD_SEEDS = (42, 43)
+#: Steps of the number of shingles in `_check`, for each factor of e.
+SIZE_STEPS = 2048
+
+
+def _check(shingles: np.ndarray) -> int:
+    """48 bits of the shingles' SimHash and 16 bits of the logarithm of their number."""
+    return _votes(shingles) & ~0xFFFF | int(math.log1p(len(shingles)) * SIZE_STEPS)
+
+
+def _alike(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    sizes = F.abs(a("check").bitwiseAND(F.lit(0xFFFF)) - b("check").bitwiseAND(F.lit(0xFFFF))) <= -math.log(COPY_SIMILARITY) * SIZE_STEPS + 2
+    bits = F.bit_count(F.shiftrightunsigned(a("check").bitwiseXOR(b("check")), 16)) <= SHINGLE_BITS
+    return sizes & bits
+
+
+def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The ``pairs(u, v)`` whose texts, by a function from ``(id)`` to ``(id, text)``, have similar sets of shingles."""
+    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), COPY_SHINGLE)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    sets = stage(texts(wanted).mapInArrow(run, "id long, shingles array<long>"), "shingle-sets")
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    out = stage(both.where(shared >= COPY_SIMILARITY * (F.size("a") + F.size("b") - shared)).select("u", "v"), "near-links")
+    discard(sets)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of each group of near copies: the one with the smallest id (null last).
 
     Equal word sequences (A-Z lower-cased) are one class. Classes with a near SimHash are compared: those whose sets of five-word
-    shingles have a Jaccard similarity of 0.8 or more are linked, and links join to groups. Texts without a word, null ones
-    included, are one class; shorter texts have their whole sequence as the one shingle; of repeated rows one stays. ``docs`` must
-    come from a scan. Empty input: no rows.
+    shingles have a Jaccard similarity of 0.8 or more are linked, and links join to groups. Texts without a word, null ones included, are one class;
+    shorter texts have their whole sequence as the one shingle; of repeated rows one stays. ``docs`` must come from a scan. Empty
+    input: no rows.
     """
     keyed, row = with_row_id(docs)
-
     fps = [f"fp{k}" for k in range(len(WORD_SEEDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,35 +188,24 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 distinct, shingles = list(set(words)), np.unique(shingle_hashes(words, COPY_SHINGLE))
                 own = [_votes(shingle_hashes(distinct, 1, seed)) if words else 0 for seed in WORD_SEEDS]
-                out.append((xxhash.xxh64_intdigest(b" ".join(words)), len(shingles), _votes(shingles) if words else 0, *own))
-            cols = np.array(out, np.uint64).reshape(-1, 3 + len(fps)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in cols.T)], ["row", "doc_id", "id", "n", "by_shingles", *fps])
+                out.append((xxhash.xxh64_intdigest(b" ".join(words)), _check(shingles) if words else 0, *own))
+            cols = np.array(out, np.uint64).reshape(-1, 2 + len(fps)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in cols.T)], ["row", "doc_id", "id", "check", *fps])
 
     rows = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = stage(rows.mapInArrow(run, f"row struct<f:bigint,i:bigint>, doc_id long, id long, n long, by_shingles long, {', '.join(f'{c} long' for c in fps)}"), "prints")
+    schema = f"row struct<f:bigint,i:bigint>, doc_id long, id long, check long, {', '.join(f'{c} long' for c in fps)}"
+    prints = stage(rows.mapInArrow(run, schema), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    classes = stage(prints.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "by_shingles", *fps)), F.min(order).alias("keep")), "classes")
+    classes = stage(prints.groupBy("id").agg(*(F.first(c).alias(c) for c in ("check", *fps)), F.min(order).alias("keep")), "classes")
 
-    def alike(a: Column, b: Column) -> Column:
-        sizes = F.least(a["n"], b["n"]) >= COPY_SIMILARITY * F.greatest(a["n"], b["n"])
-        return sizes & (F.bit_count(a["by_shingles"].bitwiseXOR(b["by_shingles"])) <= SHINGLE_BITS)
+    def texts(wanted: DataFrame) -> DataFrame:
+        return rows.join(wanted.join(classes.select("id", F.col("keep.row").alias("row")), "id"), "row").select("id", "text")
 
-    searches = [hamming_links(classes.select("id", F.col(c).alias("fp"), "by_shingles", "n"), WORD_BITS, alike) for c in fps]
-    near = stage(reduce(DataFrame.union, searches).distinct(), "near-classes")
-    wanted = near.select(F.col("u").alias("id")).union(near.select("v")).distinct().join(classes.select("id", F.col("keep.row").alias("row")), "id")
-
-    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), COPY_SHINGLE)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    sets = stage(rows.join(wanted, "row").select("id", "text").mapInArrow(shingle_sets, "id long, shingles array<long>"), "shingle-sets")
-    pairs = near.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    links = pairs.where(shared >= COPY_SIMILARITY * (F.size("a") + F.size("b") - shared)).select("u", "v")
-    roots = components(links)
-    groups = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id").alias("g")).agg(F.min("keep").alias("best"))
+    found = [hamming_links(classes.select("id", F.col(c).alias("fp"), "check"), WORD_BITS, _alike) for c in fps]
+    near = stage(reduce(DataFrame.union, found).distinct(), "near-classes")
+    links = _verified(near, texts)
+    groups = classes.join(components(links).withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id").alias("g")).agg(F.min("keep").alias("best"))
     kept = groups.select(F.col("best.row").alias("row"))
     dropped = stage(prints.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row), "near-copies")
-    discard(classes, near, sets, prints)
+    discard(classes, near, links, prints)
     return keyed.join(dropped, row, "left_anti").drop(row)
