@@ -32,18 +32,18 @@ class Encoder:
 
     ROOM = 400_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([*special, "[\x1c-\x1f\x85᠎]"]))
         self.find = regex.compile(PIECES).findall
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if self.whole.search(text):
@@ -55,7 +55,7 @@ class Encoder:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+                known[p] = np.array(e.ids, self.kind).tobytes()
         return b"".join([known[p] for p in pieces])
 
 
@@ -64,11 +64,20 @@ def _join(folder: str, name: str) -> tuple[pafs.FileSystem, str]:
     return fs, f"{path.rstrip('/')}/{name}"
 
 
+def id_bytes(tokenizer: str, end_id: int) -> int:
+    """Bytes of an id in the files: 2 if all ids of the vocabulary and the end fit, else 4."""
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()
+    return 2 if max([*known, end_id]) < 1 << 16 else 4
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Writes the ids of all texts, each followed by ``end_id``, in ascending id order, and returns the manifest
-    ``(part, name, n_docs, n_ids, base)``: base counts the ids of all files before it.
+    ``(part, name, n_docs, n_ids, width, base)``: base counts the ids of all files before it, width is the bytes of an id.
 
-    For each part, in the shared folder: ``name.bin``, ids as little-endian unsigned 32-bit integers; ``name.idx``, n + 1
+    For each part, in the shared folder: ``name.bin``, ids as little-endian unsigned integers of 16 bits if the vocabulary
+    fits, else 32; ``name.idx``, n + 1
     little-endian unsigned 64-bit offsets of documents, in ids; ``name.doc``, their signed 64-bit document ids, null as the
     smallest. Null ids come first, null texts are empty; equal ids follow in the order of their texts' hashes. Files are streamed,
     a task holds one document; a name belongs to one attempt, and the manifest names those that succeeded.
@@ -78,9 +87,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ranged = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h").select("id", "text")
 
+    width = id_bytes(tokenizer, end_id)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        part, encode, end = context.partitionId(), Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        part, encode, end = context.partitionId(), Encoder(tokenizer, f"<u{width}"), np.array([end_id], f"<u{width}").tobytes()
         name = f"part-{part:06d}-{context.taskAttemptId()}"
         n_docs, at = 0, 0
         fs, path = _join(folder, name)
@@ -91,14 +102,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
                 for i, t in zip(b.column(0), b.column(1)):
                     got = encode(t.as_py()) + end
                     ids.write(got)
-                    at += len(got) // 4
+                    at += len(got) // width
                     n_docs += 1
                     idx.write(np.array([at], "<u8").tobytes())
                     doc.write(np.array([-(1 << 63) if i.as_py() is None else i.as_py()], "<i8").tobytes())
         if n_docs:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n_docs], "n_ids": [at]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n_docs], "n_ids": [at], "width": pa.array([width], pa.int32())})
 
-    parts = stage(ranged.mapInArrow(run, "part int, name string, n_docs bigint, n_ids bigint"), "token-manifest")
+    parts = stage(ranged.mapInArrow(run, "part int, name string, n_docs bigint, n_ids bigint, width int"), "token-manifest")
     return parts.withColumn("base", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
 
 
@@ -122,11 +133,11 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids, idx, doc = (_View(folder, r["name"] + kind[0], kind[1]).values for kind in ((".bin", "<u4"), (".idx", "<u8"), (".doc", "<i8")))
+                ids, idx, doc = (_View(folder, r["name"] + kind[0], kind[1]).values for kind in ((".bin", f"<u{r['width']}"), (".idx", "<u8"), (".doc", "<i8")))
                 starts = idx.astype(np.int64)
                 for at in range(0, r["n_docs"], 10_000):
                     to = min(at + 10_000, r["n_docs"])
-                    sums = [zlib.crc32(ids[starts[k] : starts[k + 1]]) for k in range(at, to)]
+                    sums = [zlib.crc32(ids[starts[k] : starts[k + 1]].astype("<u4")) for k in range(at, to)]
                     who = doc[at:to]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(who, mask=who == -(1 << 63)), pa.array(starts[at:to] + r["base"]), pa.array(starts[at + 1 : to + 1] - starts[at:to]), pa.array(sums, pa.int64())],
