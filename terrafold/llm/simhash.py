@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stage, table, with_row_id
+from .common import discard, free_shuffles, stage, table, with_row_id
 from .components import components
 
 BITS = 64
@@ -80,9 +80,10 @@ def _of(name: str) -> Callable[[str], Column]:
     return lambda c: F.col(f"{name}_{c}")
 
 
-def hamming_links(prints: DataFrame, distance: int, also: Condition | None = None) -> DataFrame:
+def hamming_links(prints: DataFrame, distance: int, also: Condition | None = None, only: int | None = None) -> DataFrame:
     """``prints(id, fp, more..)``, ids distinct, to each pair ``(u, v)`` of ids whose prints differ in ``distance`` bits at most,
     once. ``also(a, b)``, on functions from a column's name to the column of either row, is a further condition of the join.
+    ``only`` searches one segment: the calls for all segments share the pairs among them, and each indexes its part of the rows.
 
     For each segment a print is indexed by the segment's value and by each variant in which one bit is a wildcard. Pairs that
     differ in just that bit meet there, one side with 0 and one with 1; pairs with equal segments meet by value. The join
@@ -91,6 +92,8 @@ def hamming_links(prints: DataFrame, distance: int, also: Condition | None = Non
     fp, rows = F.col("fp"), []
     cuts = segments(distance)
     for s, (shift, width) in enumerate(cuts):
+        if only not in (None, s):
+            continue
         value = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
         rows.append(F.struct((value + F.lit((s << 56) | (63 << 48))).alias("key"), F.lit(None).cast("boolean").alias("one")))
         for bit in range(width):
@@ -170,6 +173,23 @@ def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> Data
     return out
 
 
+def _star_pairs(classes: DataFrame, fps: list[str]) -> DataFrame:
+    """``classes(id, check, fps..)`` to some near pairs ``(u, v)``, of a class and the least one of a bucket: at most one for each
+    class, fingerprint and segment. Buckets share a segment and a step of size. A large group fills its buckets, so its members
+    meet one of their own there; whatever this round leaves apart, the whole search still compares."""
+    step = F.floor(F.col("check").bitwiseAND(F.lit(0xFFFF)) / F.lit(int(-math.log(COPY_SIMILARITY) * SIZE_STEPS)))
+    keys = [F.xxhash64(F.lit(c), F.lit(s), step, F.shiftrightunsigned(c, shift).bitwiseAND(F.lit((1 << width) - 1))) for c in fps for s, (shift, width) in enumerate(segments(WORD_BITS))]
+    members = classes.select("id", "check", *fps, F.explode(F.array(*keys)).alias("key"))
+    least = members.groupBy("key").agg(F.min(F.struct("id", "check", *fps)).alias("c"), F.count("*").alias("n"))
+    centres = stage(least.where("n > 1").select("key", "c.*").toDF("key", *(f"a_{c}" for c in ("id", "check", *fps))), "centres")
+    a, b = _of("a"), F.col
+    near = reduce(Column.__or__, [F.bit_count(a(c).bitwiseXOR(b(c))) <= WORD_BITS for c in fps])
+    met = members.join(centres, "key").where((a("id") != b("id")) & near & _alike(a, b))
+    out = stage(met.select(a("id").alias("u"), b("id").alias("v")).distinct(), "star-pairs")
+    discard(centres)
+    return out
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of each group of near copies: the one with the smallest id (null last).
 
@@ -201,11 +221,28 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def texts(wanted: DataFrame) -> DataFrame:
         return rows.join(wanted.join(classes.select("id", F.col("keep.row").alias("row")), "id"), "row").select("id", "text")
 
-    found = [hamming_links(classes.select("id", F.col(c).alias("fp"), "check"), WORD_BITS, _alike) for c in fps]
+    def named(df: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+        """``df`` with ``grp``, the component of each row's ``id`` under ``links``."""
+        roots = components(links)
+        out = stage(df.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("grp", F.coalesce("root", "id")).drop("root"), tag)
+        discard(roots)
+        return out
+
+    # Two rounds: stars join the bulk of large groups, then the whole search pairs only what is still apart. It goes segment by
+    # segment and frees the shuffle of each, so the index never lies on disk as a whole.
+    stars = _star_pairs(classes, fps)
+    star_links = _verified(stars, texts)
+    some = named(classes, star_links, "some-groups")
+    found = []
+    for c in fps:
+        for only in range(len(segments(WORD_BITS))):
+            apart = hamming_links(some.select("id", F.col(c).alias("fp"), "check", "grp"), WORD_BITS, lambda a, b: _alike(a, b) & (a("grp") != b("grp")), only)
+            found.append(stage(apart, "near-classes"))
+            free_shuffles(docs.sparkSession)
     near = stage(reduce(DataFrame.union, found).distinct(), "near-classes")
     links = _verified(near, texts)
-    groups = classes.join(components(links).withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id").alias("g")).agg(F.min("keep").alias("best"))
-    kept = groups.select(F.col("best.row").alias("row"))
+    all_groups = named(classes, star_links.union(links), "groups")
+    kept = all_groups.groupBy("grp").agg(F.min("keep").alias("best")).select(F.col("best.row").alias("row"))
     dropped = stage(prints.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row), "near-copies")
-    discard(classes, near, links, prints)
+    discard(classes, stars, star_links, some, *found, near, links, all_groups, prints)
     return keyed.join(dropped, row, "left_anti").drop(row)
