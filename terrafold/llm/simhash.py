@@ -136,13 +136,16 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies for `drop_near_copies`: word shingles, their Jaccard similarity, and how the search gets there: a SimHash of the
-#: distinct words, which a few edits hardly move, within WORD_BITS under one of the hash seeds, and the upper 48 bits of that of the
-#: shingles within SHINGLE_BITS.
+#: Near copies for `drop_near_copies`: word shingles and their Jaccard similarity. A first round joins the bulk of large groups: a
+#: SimHash of the distinct words, which a few edits hardly move, within WORD_BITS under one of the hash seeds, and the upper 48 bits
+#: of that of the shingles within SHINGLE_BITS. What it leaves apart, an exact join finds.
 COPY_SHINGLE, COPY_SIMILARITY, WORD_BITS, SHINGLE_BITS = 5, 0.8, 7, 16
 WORD_SEEDS = (42, 43)
 #: Steps of the number of shingles in `_check`, for each factor of e.
 SIZE_STEPS = 2048
+#: Shingles that this many texts of one batch hold are counted as common, in one of COMMON_SAMPLE rows; the COMMON_MOST commonest
+#: come last in each text's prefix. They only order the shingles: any order finds all pairs.
+COMMON_LEAST, COMMON_SAMPLE, COMMON_MOST = 3, 8, 1 << 16
 
 
 def _check(shingles: np.ndarray) -> int:
@@ -190,30 +193,98 @@ def _star_pairs(classes: DataFrame, fps: list[str]) -> DataFrame:
     return out
 
 
+def _word_list(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def common_shingles(rows: DataFrame) -> np.ndarray:
+    """Hashes of shingles that many texts of ``rows(row, doc_id, text)`` hold, rarest first, at most COMMON_MOST: from a sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(_word_list(t.as_py()), COPY_SHINGLE)) for t in b.column(0)]
+            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            often = n >= COMMON_LEAST
+            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
+
+    counts = rows.where(F.pmod(F.xxhash64("row"), F.lit(COMMON_SAMPLE)) == 0).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.col("n").desc(), "h").limit(COMMON_MOST).collect()
+    return np.array([r.h for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set (sorted), common ones (sorted, with ranks from 1) last: so many that two sets of similarity
+    COPY_SIMILARITY or more share one of these, since each holds that part of the other."""
+    n = len(shingles)
+    rank = np.zeros(n, np.int64)
+    if n and len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, ranks[at], 0)
+    return shingles[np.argsort(rank, kind="stable")[: n - math.ceil(COPY_SIMILARITY * n - 1e-9) + 1]]
+
+
+def _can_link(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """If two sets can still be similar when the shingle they meet at is the first they share; it is so at one of those they share."""
+    return F.least(a("n") - a("pos"), b("n") - b("pos")) * (1 + COPY_SIMILARITY) >= COPY_SIMILARITY * (a("n") + b("n")) - 1e-6
+
+
+def _open_keys(index: DataFrame) -> DataFrame:
+    """``(key, major)``: keys of ``index(key, id, grp, n, pos)`` where several groups meet, and the group with most classes there."""
+    sizes = index.groupBy("key", "grp").agg(F.count("*").alias("m"))
+    return sizes.groupBy("key").agg(F.max(F.struct("m", "grp"))["grp"].alias("major"), F.count("*").alias("groups")).where("groups > 1").select("key", "major")
+
+
+def _index_stars(index: DataFrame) -> DataFrame:
+    """Some pairs ``(u, v)`` that meet in ``index``: of a class and the least one at a key, if in another group."""
+    centres = index.groupBy("key").agg(F.min(F.struct("id", "grp", "n", "pos")).alias("c")).select("key", "c.*").toDF("key", "a_id", "a_grp", "a_n", "a_pos")
+    met = index.join(centres, "key").where((_of("a")("grp") != F.col("grp")) & _can_link(_of("a"), F.col))
+    return met.select(F.col("a_id").alias("u"), F.col("id").alias("v")).distinct()
+
+
+def _index_pairs(index: DataFrame) -> DataFrame:
+    """All pairs ``(u, v)`` of different groups that meet in ``index`` and can be similar. At each key the largest group stands on one
+    side only, so its members are not compared with each other."""
+    keys = stage(_open_keys(index), "open-keys")
+    here = index.join(keys, "key")
+    left, right = _side(here.where("grp <> major"), "a"), _side(here, "b")
+    a, b = _of("a"), _of("b")
+    once = (b("grp") == b("major")) | (a("id") < b("id"))
+    met = left.join(right, (a("key") == b("key")) & (a("grp") != b("grp")) & once & _can_link(a, b))
+    out = stage(met.select(F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v")).distinct(), "near-classes")
+    discard(keys)
+    return out
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of each group of near copies: the one with the smallest id (null last).
 
-    Equal word sequences (A-Z lower-cased) are one class. Classes with a near SimHash are compared: those whose sets of five-word
-    shingles have a Jaccard similarity of 0.8 or more are linked, and links join to groups. Texts without a word, null ones included, are one class;
+    Equal word sequences (A-Z lower-cased) are one class. Classes whose sets of five-word shingles have a Jaccard similarity of 0.8
+    or more are linked, all of them, and links join to groups. Texts without a word, null ones included, are one class;
     shorter texts have their whole sequence as the one shingle; of repeated rows one stays. ``docs`` must come from a scan. Empty
     input: no rows.
     """
     keyed, row = with_row_id(docs)
     fps = [f"fp{k}" for k in range(len(WORD_SEEDS))]
+    rows = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    often = common_shingles(rows)
+    common, ranks = np.sort(often), np.argsort(often) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, firsts, n = [], [], []
             for t in b.column(2):
-                words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                words = _word_list(t.as_py())
                 distinct, shingles = list(set(words)), np.unique(shingle_hashes(words, COPY_SHINGLE))
                 own = [_votes(shingle_hashes(distinct, 1, seed)) if words else 0 for seed in WORD_SEEDS]
                 out.append((xxhash.xxh64_intdigest(b" ".join(words)), _check(shingles) if words else 0, *own))
+                firsts.append(prefix(shingles, common, ranks).view(np.int64))
+                n.append(len(shingles))
             cols = np.array(out, np.uint64).reshape(-1, 2 + len(fps)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in cols.T)], ["row", "doc_id", "id", "check", *fps])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *(pa.array(c) for c in cols.T), pa.array(n, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["row", "doc_id", "id", "check", *fps, "n", "prefix"]
+            )
 
-    rows = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"row struct<f:bigint,i:bigint>, doc_id long, id long, check long, {', '.join(f'{c} long' for c in fps)}"
+    schema = f"row struct<f:bigint,i:bigint>, doc_id long, id long, check long, {', '.join(f'{c} long' for c in fps)}, n int, prefix array<long>"
     prints = stage(rows.mapInArrow(run, schema), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = stage(prints.groupBy("id").agg(*(F.first(c).alias(c) for c in ("check", *fps)), F.min(order).alias("keep")), "classes")
@@ -228,21 +299,23 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         discard(roots)
         return out
 
-    # Two rounds: stars join the bulk of large groups, then the whole search pairs only what is still apart. It goes segment by
-    # segment and frees the shuffle of each, so the index never lies on disk as a whole.
+    # Stars join the bulk of large groups, first by SimHash, then at the prefix index; the exact join pairs only what is still apart.
     stars = _star_pairs(classes, fps)
     star_links = _verified(stars, texts)
     some = named(classes, star_links, "some-groups")
-    found = []
-    for c in fps:
-        for only in range(len(segments(WORD_BITS))):
-            apart = hamming_links(some.select("id", F.col(c).alias("fp"), "check", "grp"), WORD_BITS, lambda a, b: _alike(a, b) & (a("grp") != b("grp")), only)
-            found.append(stage(apart, "near-classes"))
-            free_shuffles(docs.sparkSession)
-    near = stage(reduce(DataFrame.union, found).distinct(), "near-classes")
-    links = _verified(near, texts)
-    all_groups = named(classes, star_links.union(links), "groups")
+    own = prints.select("row", "n", "prefix").join(some.select(F.col("keep.row").alias("row"), "id", "grp"), "row")
+    index = own.select("id", "grp", "n", F.posexplode("prefix").alias("pos", "key"))
+    keys = stage(_open_keys(index), "open-keys")
+    free_shuffles(docs.sparkSession)
+    hot = stage(index.join(keys, "key").select("key", "id", "grp", "n", "pos"), "index")
+    free_shuffles(docs.sparkSession)
+    more = stage(_index_stars(hot), "star-pairs")
+    more_links = star_links.union(_verified(more, texts))
+    most = named(classes, more_links, "most-groups")
+    near = _index_pairs(hot.drop("grp").join(most.select("id", "grp"), "id").select("key", "id", "grp", "n", "pos"))
+    links = more_links.union(_verified(near, texts))
+    all_groups = named(classes, links, "groups")
     kept = all_groups.groupBy("grp").agg(F.min("keep").alias("best")).select(F.col("best.row").alias("row"))
     dropped = stage(prints.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row), "near-copies")
-    discard(classes, stars, star_links, some, *found, near, links, all_groups, prints)
+    discard(classes, stars, star_links, some, keys, hot, more, more_links, most, near, links, all_groups, prints)
     return keyed.join(dropped, row, "left_anti").drop(row)
