@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 #: root of their number); words count from MIN_WORDS on, characters from MIN_CHARS on.
 CHAR_LIMIT, CHAR_NOISE, WORD_LIMIT, WORD_NOISE = 0.12, 0.5, 0.35, 1.2
 MIN_CHARS, MIN_WORDS = 80, 60
+#: Nor may the word distance pass this part of the distance of a text without any common word, and what so few words deviate by
+#: chance; from NONE_MOST on a text counts as one without.
+NONE_SHARE, NONE_NOISE, NONE_MOST = 0.7, 2.2, 0.985
 WINDOW = 8
 
 
@@ -88,7 +93,7 @@ def trimmed_references(features: DataFrame) -> dict[str, tuple[list[int], list[i
     """References of the rows that are near the references of all rows that pass the base rule: junk has no say in them."""
     passing = features.where((F.col("n_words") >= 20) & (100 * F.col("n_repeat_words") <= 30 * F.col("n_words")))
     first = language_references(passing)
-    near = with_distances(passing, first).where((F.col("best.c") <= 2 * CHAR_LIMIT) & (F.col("best.w") <= WORD_LIMIT))
+    near = with_distances(passing, first).where((F.col("best.c") <= 2 * CHAR_LIMIT) & (F.col("best.w") <= F.least(F.lit(WORD_LIMIT), NONE_MOST * F.col("best.none"))))
     return language_references(near) or first
 
 
@@ -101,9 +106,15 @@ def js_distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda t, x: t + x) / 2, F.lit(0.0)))
 
 
+def distance_without(share: float) -> float:
+    """Distance of a text without common words from a reference of which they make up ``share``."""
+    rest = 1 - share
+    return math.sqrt(max(0.0, math.log2(2 / (1 + rest)) + (rest * math.log2(2 * rest / (1 + rest)) if rest else 0.0) + share) / 2)
+
+
 def with_distances(features: DataFrame, references: dict[str, tuple[list[int], list[int], int]]) -> DataFrame:
-    """Adds ``best``: of the language whose larger distance, against its limit, is least, that ``excess`` and the distances ``c`` of
-    characters and ``w`` of common words. Distances that a length guard or a missing reference leaves out count as 0.
+    """Adds ``best``: of the language whose larger distance, against its limit, is least, that ``excess``, the distances ``c`` of
+    characters and ``w`` of common words, and ``none``, that of a text without any of its common words. Distances that a length guard or a missing reference leaves out count as 0.
     """
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
     df = features.withColumn("total_chars", n_chars)
@@ -120,12 +131,18 @@ def with_distances(features: DataFrame, references: dict[str, tuple[list[int], l
         by_char = F.when(F.col("total_chars") >= MIN_CHARS, js_distance(p_chars, [c / sum(chars) for c in chars])).otherwise(F.lit(0.0))
         by_word = F.when(F.col("n_words") >= MIN_WORDS, js_distance(p_words, [*q_words, max(0.0, 1 - sum(q_words))])).otherwise(F.lit(0.0))
         df = df.withColumn(f"fit_{lang}", F.struct(by_char.alias("c"), by_word.alias("w")))
-        fit = F.col(f"fit_{lang}")
-        fits.append(F.struct(F.greatest(fit["c"] / (CHAR_LIMIT + CHAR_NOISE * few), fit["w"] / (WORD_LIMIT + WORD_NOISE * few)).alias("excess"), fit["c"].alias("c"), fit["w"].alias("w")))
-    best = F.array_min(F.array(*fits)) if fits else F.struct(F.lit(0.0).alias("excess"), F.lit(0.0).alias("c"), F.lit(0.0).alias("w"))
+        fits.append(_fit(F.col(f"fit_{lang}"), F.lit(distance_without(min(1.0, sum(q_words)))), few))
+    best = F.array_min(F.array(*fits)) if fits else F.struct(*(F.lit(0.0).alias(c) for c in ("excess", "c", "w", "none")))
     return df.withColumn("best", best)
 
 
+def _fit(fit: Column, none: Column, few: Column) -> Column:
+    """The struct of `with_distances` for one language, of its distances and the distance of a text without its common words."""
+    word_limit = F.least(WORD_LIMIT + WORD_NOISE * few, none * F.least(NONE_SHARE + NONE_NOISE * few, F.lit(NONE_MOST)))
+    by_word = F.when(none > 0, fit["w"] / word_limit).otherwise(F.lit(0.0))
+    return F.struct(F.greatest(fit["c"] / (CHAR_LIMIT + CHAR_NOISE * few), by_word).alias("excess"), fit["c"].alias("c"), fit["w"].alias("w"), none.alias("none"))
+
+
 def with_verdict(features: DataFrame, references: dict[str, tuple[list[int], list[int], int]]) -> DataFrame:
     """Adds ``base_failed``, ``kept``, ``char_distance`` and ``word_distance``."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
