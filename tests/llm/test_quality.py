@@ -24,3 +24,17 @@ def test_texts_without_common_words_fail(spark):
     got = verdicts(spark, good + salad)
     assert all(got[k] for k, *_ in good)
     assert not any(got[k] for k, *_ in salad)
+
+
+def test_other_languages_are_judged_by_their_own_rows(spark):
+    draw = random.Random(4)
+    cyrillic, arabic = "оооеееааинтсрвлкмдпу", "اااللليييمنورتبعد"
+    words = {"ru": "и в не на что с по как это но из у за от".split(), "ar": "في من على إلى أن عن مع هذا كان لا ما".split()}
+    rows = [(k, prose(draw, quality.COMMON_WORDS["en"], "eeetttaaooinnshrrdlu", 150), "en") for k in range(40)]
+    rows += [(100 + k, prose(draw, words["ru"], cyrillic, draw.randrange(100, 300)), "ru") for k in range(40)]
+    rows += [(200 + k, prose(draw, words["ar"], arabic, draw.randrange(100, 300)), "ar") for k in range(40)]
+    junk = [(300, " ".join("#$%|<>" * 3 for _ in range(30)) + " " + " ".join(f"{i}{i}" for i in range(200)), "ru"), (301, prose(draw, ["слово"], cyrillic, 400).lower(), "ru")]
+    got = verdicts(spark, rows + junk + [(302, "", "ru"), (303, None, "ar"), (304, "no reference", "xx")])
+    assert all(got[k] for k, *_ in rows)
+    assert not any(got[k] for k in (302, 303, 304))
+    assert not got[300] and not got[301]
