@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import mmap
+import json
 import os
 import re
 import zlib
@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,16 +18,27 @@ from pyspark.sql import functions as F
 from .common import new_path, stage, table
 
 END_ID = 2
-ROWS_PER_FILE = 50_000
+#: UTF-8 bytes of text for each file, about; small inputs still give each core a few files.
+FILE_BYTES, FILES_PER_CORE = 128 << 20, 4
+#: Documents whose ids are read back at once.
+PAGE = 4096
 
-# Fixed value: the pattern by which byte-level BPE of this kind cuts a text before merging.
-PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+def splits_at_spaces(tokenizer_json: str) -> bool:
+    """If the tokenizer never joins what a single blank between two visible characters parts: it doesn't normalise, and cuts texts by
+    the byte-level rule, whose pieces start at such a blank."""
+    told = json.loads(tokenizer_json)
+    cut = told.get("pre_tokenizer") or {}
+    plain = told.get("normalizer") is None and told.get("post_processor") is None and told.get("truncation") is None and told.get("padding") is None
+    return plain and told["model"].get("type") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library. Merges never cross the pieces of the pre-tokenizer, so each distinct piece
-    is encoded by the library once and remembered, up to ROOM pieces. Texts that hold a special token's string, or one of the
-    controls on which regular expression libraries differ, are encoded whole."""
+    """Ids of whole texts by the tokenizers library, as bytes.
+
+    Where `splits_at_spaces` holds, texts are cut there, and each distinct piece is encoded by the library once and remembered, up to
+    ROOM pieces. Other tokenizers, and texts that hold a special token's string, or U+180E, on which regular expression libraries
+    differ, go to the library whole."""
 
     ROOM = 400_000
 
@@ -38,25 +48,26 @@ class Encoder:
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([*special, "[\x1c-\x1f\x85᠎]"]))
-        self.find = regex.compile(PIECES).findall
+        self.whole = re.compile("|".join([*special, "\u180e"])).search if splits_at_spaces(self.tokenizer.to_str()) else lambda text: True
+        self.cut = re.compile(r" (?<=\S )(?=\S)").split
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.whole.search(text):
+        if self.whole(text):
             return self._ids(text)
-        known, pieces = self.known, self.find(text)
-        if len(known) > self.ROOM:
+        known, (first, *pieces) = self.known, self.cut(text)
+        new = list(set(pieces).difference(known))
+        if len(known) + len(new) > self.ROOM:
             known.clear()
-        new = list({p for p in pieces if p not in known})
+            new = list(set(pieces))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            for p, e in zip(part, self.tokenizer.encode_batch_fast([f" {p}" for p in part], add_special_tokens=False)):
                 known[p] = np.array(e.ids, self.kind).tobytes()
-        return b"".join([known[p] for p in pieces])
+        return self._ids(first) + b"".join(map(known.__getitem__, pieces))
 
 
 def _join(folder: str, name: str) -> tuple[pafs.FileSystem, str]:
@@ -72,19 +83,20 @@ def id_bytes(tokenizer: str, end_id: int) -> int:
     return 2 if max([*known, end_id]) < 1 << 16 else 4
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the ids of all texts, each followed by ``end_id``, in ascending id order, and returns the manifest
-    ``(part, name, n_docs, n_ids, width, base)``: base counts the ids of all files before it, width is the bytes of an id.
+    ``(part, name, n_docs, n_null, n_ids, width, base)``: base counts the ids of all files before it, width is the bytes of an id.
 
     For each part, in the shared folder: ``name.bin``, ids as little-endian unsigned integers of 16 bits if the vocabulary
-    fits, else 32; ``name.idx``, n + 1
-    little-endian unsigned 64-bit offsets of documents, in ids; ``name.doc``, their signed 64-bit document ids, null as the
-    smallest. Null ids come first, null texts are empty; equal ids follow in the order of their texts' hashes. Files are streamed,
-    a task holds one document; a name belongs to one attempt, and the manifest names those that succeeded.
+    fits, else 32; ``name.idx``, n + 1 little-endian unsigned 64-bit offsets of documents, in ids; ``name.doc``, their signed 64-bit
+    document ids. Null ids come first (``n_null`` of a part, written as 0), null texts are empty; equal ids follow in the order of
+    their texts' hashes, repeated rows are written as often as they come; other columns are ignored, whatever their names. Files are
+    cut by bytes of text and streamed, a task holds one batch; a name belongs to one attempt, and the manifest names those that
+    succeeded. Empty input: no files, an empty manifest.
     """
-    n = max(1, -(-docs.count() // rows_per_file))
-    n = max(n, docs.sparkSession.sparkContext.defaultParallelism)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    n = max(-(-n_bytes // file_bytes), FILES_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism)
     ranged = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h").select("id", "text")
 
     width = id_bytes(tokenizer, end_id)
@@ -93,54 +105,59 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
         context = TaskContext.get()
         part, encode, end = context.partitionId(), Encoder(tokenizer, f"<u{width}"), np.array([end_id], f"<u{width}").tobytes()
         name = f"part-{part:06d}-{context.taskAttemptId()}"
-        n_docs, at = 0, 0
+        n_docs, n_null, at = 0, 0, 0
         fs, path = _join(folder, name)
         fs.create_dir(os.path.dirname(path), recursive=True)
         with fs.open_output_stream(path + ".bin", buffer_size=1 << 20) as ids, fs.open_output_stream(path + ".idx", buffer_size=1 << 16) as idx, fs.open_output_stream(path + ".doc", buffer_size=1 << 16) as doc:
             idx.write(np.array([0], "<u8").tobytes())
             for b in batches:
-                for i, t in zip(b.column(0), b.column(1)):
-                    got = encode(t.as_py()) + end
+                ends = []
+                for text in b.column(1).to_pylist():
+                    got = encode(text) + end
                     ids.write(got)
                     at += len(got) // width
-                    n_docs += 1
-                    idx.write(np.array([at], "<u8").tobytes())
-                    doc.write(np.array([-(1 << 63) if i.as_py() is None else i.as_py()], "<i8").tobytes())
+                    ends.append(at)
+                idx.write(np.array(ends, "<u8").tobytes())
+                doc.write(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                n_docs, n_null = n_docs + b.num_rows, n_null + b.column(0).null_count
         if n_docs:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n_docs], "n_ids": [at], "width": pa.array([width], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n_docs], "n_null": [n_null], "n_ids": [at], "width": pa.array([width], pa.int32())})
 
-    parts = stage(ranged.mapInArrow(run, "part int, name string, n_docs bigint, n_ids bigint, width int"), "token-manifest")
+    parts = stage(ranged.mapInArrow(run, "part int, name string, n_docs bigint, n_null bigint, n_ids bigint, width int"), "token-manifest")
     return parts.withColumn("base", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
 
 
-class _View:
-    """A file as numpy values: mapped into memory where the file system is local, else read."""
+class TokenFile:
+    """Ranges of a file as numpy values: mapped into memory where the file system is local, else read range by range."""
 
     def __init__(self, folder: str, name: str, kind: str):
         fs, path = _join(folder, name)
-        if isinstance(fs, pafs.LocalFileSystem):
-            with open(path, "rb") as f:
-                self.data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.path.getsize(path) else b""
-        else:
-            with fs.open_input_file(path) as f:
-                self.data = f.read()
-        self.values = np.frombuffer(self.data, kind)
+        self.kind, self.mapped, self.file = np.dtype(kind), None, None
+        if not isinstance(fs, pafs.LocalFileSystem):
+            self.file = fs.open_input_file(path)
+        elif os.path.getsize(path):
+            self.mapped = np.memmap(path, self.kind, "r")
+
+    def __call__(self, start: int, end: int) -> np.ndarray:
+        if self.file is None:
+            return self.mapped[start:end] if self.mapped is not None else np.zeros(0, self.kind)
+        self.file.seek(start * self.kind.itemsize)
+        return np.frombuffer(self.file.read((end - start) * self.kind.itemsize), self.kind)
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of each document, from the files: a task for each file, mapped, page by page."""
+    """``(doc_id, start, n_tokens, ids_crc32)`` of each document, from the files: a task for each file, some documents at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids, idx, doc = (_View(folder, r["name"] + kind[0], kind[1]).values for kind in ((".bin", f"<u{r['width']}"), (".idx", "<u8"), (".doc", "<i8")))
-                starts = idx.astype(np.int64)
-                for at in range(0, r["n_docs"], 10_000):
-                    to = min(at + 10_000, r["n_docs"])
-                    sums = [zlib.crc32(ids[starts[k] : starts[k + 1]].astype("<u4")) for k in range(at, to)]
-                    who = doc[at:to]
+                ids, idx, doc = (TokenFile(folder, r["name"] + end, kind) for end, kind in ((".bin", f"<u{r['width']}"), (".idx", "<u8"), (".doc", "<i8")))
+                for at in range(0, r["n_docs"], PAGE):
+                    to = min(at + PAGE, r["n_docs"])
+                    starts, who = idx(at, to + 1).astype(np.int64), doc(at, to)
+                    sums = [zlib.crc32(ids(s, e).astype("<u4")) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(who, mask=who == -(1 << 63)), pa.array(starts[at:to] + r["base"]), pa.array(starts[at + 1 : to + 1] - starts[at:to]), pa.array(sums, pa.int64())],
+                        [pa.array(who, mask=np.arange(at, to) < r["n_null"]), pa.array(starts[:-1] + r["base"]), pa.array(np.diff(starts)), pa.array(sums, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
