@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +15,21 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Most bits of a `sieve`, as a power of two: 32 MB.
+SIEVE_BITS = 28
+
+
 _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own in local mode, whose
+    only machine has it; elsewhere RuntimeError, since executors wouldn't see a folder of the driver."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _own_dir.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="terrafold-"))
 
 
@@ -50,10 +57,21 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished queries: it does so once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def sieve(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the low bits of the 64-bit hashes in a column, for `passes`: what it stops is surely none of them. Sixteen bits a
+    key, SIEVE_BITS at most, which bounds what comes to the driver and goes to tasks; of more keys it lets more through."""
+    bits = 1 << min(max(10, (16 * keys.count()).bit_length()), SIEVE_BITS)
+    slot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the uint64 ``keys`` may be among those of a `sieve`."""
+    slot = keys & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def ascii_lower(c: Column) -> Column:

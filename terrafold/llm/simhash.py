@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_shuffles, stage, table, with_row_id
+from .common import discard, passes, sieve, stage, table, with_row_id
 from .components import components
 
 BITS = 64
@@ -159,20 +159,25 @@ def _alike(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     return sizes & bits
 
 
-def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The ``pairs(u, v)`` whose texts, by a function from ``(id)`` to ``(id, text)``, have similar sets of shingles."""
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+def _verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame) -> DataFrame:
+    """The ``pairs(u, v)`` of classes whose texts have similar sets of shingles: ``rows(row, doc_id, text)`` and, for each class, the
+    row that stands for it, ``keepers(id, row)``. A sieve of the wanted rows lets few other texts through to be cut and shuffled."""
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    wanted = stage(keepers.join(ids, "id").select("id", "row", F.xxhash64("row.f", "row.i").alias("k")), "wanted")
+    bitmap = rows.sparkSession.sparkContext.broadcast(sieve(wanted, "k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), COPY_SHINGLE)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            b = b.filter(pa.array(passes(bitmap.value, b.column(1).to_numpy().view(np.uint64))))
+            sets = [np.unique(shingle_hashes(_word_list(t), COPY_SHINGLE)).view(np.int64) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["row", "shingles"])
 
-    sets = stage(texts(wanted).mapInArrow(run, "id long, shingles array<long>"), "shingle-sets")
+    keyed = rows.select("row", F.xxhash64("row.f", "row.i").alias("k"), "text")
+    sets = stage(keyed.mapInArrow(run, "row struct<f:bigint,i:bigint>, shingles array<long>").join(wanted, "row").select("id", "shingles"), "shingle-sets")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     out = stage(both.where(shared >= COPY_SIMILARITY * (F.size("a") + F.size("b") - shared)).select("u", "v"), "near-links")
-    discard(sets)
+    discard(sets, wanted)
     return out
 
 
@@ -188,9 +193,7 @@ def _star_pairs(classes: DataFrame, fps: list[str]) -> DataFrame:
     a, b = _of("a"), F.col
     near = reduce(Column.__or__, [F.bit_count(a(c).bitwiseXOR(b(c))) <= WORD_BITS for c in fps])
     met = members.join(centres, "key").where((a("id") != b("id")) & near & _alike(a, b))
-    out = stage(met.select(a("id").alias("u"), b("id").alias("v")).distinct(), "star-pairs")
-    discard(centres)
-    return out
+    return met.select(a("id").alias("u"), b("id").alias("v"))
 
 
 def _word_list(text: str | None) -> list[bytes]:
@@ -228,23 +231,40 @@ def _can_link(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     return F.least(a("n") - a("pos"), b("n") - b("pos")) * (1 + COPY_SIMILARITY) >= COPY_SIMILARITY * (a("n") + b("n")) - 1e-6
 
 
-def _open_keys(index: DataFrame) -> DataFrame:
-    """``(key, major)``: keys of ``index(key, id, grp, n, pos)`` where several groups meet, and the group with most classes there."""
-    sizes = index.groupBy("key", "grp").agg(F.count("*").alias("m"))
-    return sizes.groupBy("key").agg(F.max(F.struct("m", "grp"))["grp"].alias("major"), F.count("*").alias("groups")).where("groups > 1").select("key", "major")
+def _hot_index(prints: DataFrame) -> DataFrame:
+    """``prints(id, n, prefix)`` to the prefix index ``(key, id, n, pos)``, a row for each class and key, of the keys that several
+    classes have. They are found on keys and ids alone; a sieve of them keeps most other rows from being shuffled."""
+    keys = prints.select("id", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    shared = stage(keys.where("lo <> hi").select("key"), "shared-keys")
+    bitmap = prints.sparkSession.sparkContext.broadcast(sieve(shared, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            keys, sizes = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
+            who, pos = np.repeat(np.arange(b.num_rows), sizes), np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = np.flatnonzero(passes(bitmap.value, keys))
+            of = pa.array(who[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array(pos[keep].astype(np.int32))], ["key", "id", "n", "pos"])
+
+    index = prints.select("id", "n", "prefix").mapInArrow(run, "key long, id long, n int, pos int")
+    hot = stage(index.join(shared, "key", "left_semi").groupBy("key", "id").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "index")
+    discard(shared)
+    return hot
 
 
 def _index_stars(index: DataFrame) -> DataFrame:
-    """Some pairs ``(u, v)`` that meet in ``index``: of a class and the least one at a key, if in another group."""
-    centres = index.groupBy("key").agg(F.min(F.struct("id", "grp", "n", "pos")).alias("c")).select("key", "c.*").toDF("key", "a_id", "a_grp", "a_n", "a_pos")
-    met = index.join(centres, "key").where((_of("a")("grp") != F.col("grp")) & _can_link(_of("a"), F.col))
+    """Some pairs ``(u, v)`` that meet in ``index``: of a class and the least one at a key."""
+    centres = index.groupBy("key").agg(F.min(F.struct("id", "n", "pos")).alias("c")).select("key", "c.*").toDF("key", "a_id", "a_n", "a_pos")
+    met = index.join(centres, "key").where((_of("a")("id") != F.col("id")) & _can_link(_of("a"), F.col))
     return met.select(F.col("a_id").alias("u"), F.col("id").alias("v")).distinct()
 
 
 def _index_pairs(index: DataFrame) -> DataFrame:
-    """All pairs ``(u, v)`` of different groups that meet in ``index`` and can be similar. At each key the largest group stands on one
-    side only, so its members are not compared with each other."""
-    keys = stage(_open_keys(index), "open-keys")
+    """All pairs ``(u, v)`` of different groups that meet in ``index(key, id, grp, n, pos)`` and can be similar. At each key the largest
+    group stands on one side only, so its members are not compared with each other."""
+    sizes = index.groupBy("key", "grp").agg(F.count("*").alias("m"))
+    keys = stage(sizes.groupBy("key").agg(F.max(F.struct("m", "grp"))["grp"].alias("major"), F.count("*").alias("groups")).where("groups > 1").select("key", "major"), "open-keys")
     here = index.join(keys, "key")
     left, right = _side(here.where("grp <> major"), "a"), _side(here, "b")
     a, b = _of("a"), _of("b")
@@ -272,8 +292,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, firsts, n = [], [], []
-            for t in b.column(2):
-                words = _word_list(t.as_py())
+            for t in b.column(2).to_pylist():
+                words = _word_list(t)
                 distinct, shingles = list(set(words)), np.unique(shingle_hashes(words, COPY_SHINGLE))
                 own = [_votes(shingle_hashes(distinct, 1, seed)) if words else 0 for seed in WORD_SEEDS]
                 out.append((xxhash.xxh64_intdigest(b" ".join(words)), _check(shingles) if words else 0, *own))
@@ -289,8 +309,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = stage(prints.groupBy("id").agg(*(F.first(c).alias(c) for c in ("check", *fps)), F.min(order).alias("keep")), "classes")
 
-    def texts(wanted: DataFrame) -> DataFrame:
-        return rows.join(wanted.join(classes.select("id", F.col("keep.row").alias("row")), "id"), "row").select("id", "text")
+    keepers = classes.select("id", F.col("keep.row").alias("row"))
 
     def named(df: DataFrame, links: DataFrame, tag: str) -> DataFrame:
         """``df`` with ``grp``, the component of each row's ``id`` under ``links``."""
@@ -299,23 +318,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         discard(roots)
         return out
 
-    # Stars join the bulk of large groups, first by SimHash, then at the prefix index; the exact join pairs only what is still apart.
-    stars = _star_pairs(classes, fps)
-    star_links = _verified(stars, texts)
-    some = named(classes, star_links, "some-groups")
-    own = prints.select("row", "n", "prefix").join(some.select(F.col("keep.row").alias("row"), "id", "grp"), "row")
-    index = own.select("id", "grp", "n", F.posexplode("prefix").alias("pos", "key"))
-    keys = stage(_open_keys(index), "open-keys")
-    free_shuffles(docs.sparkSession)
-    hot = stage(index.join(keys, "key").select("key", "id", "grp", "n", "pos"), "index")
-    free_shuffles(docs.sparkSession)
-    more = stage(_index_stars(hot), "star-pairs")
-    more_links = star_links.union(_verified(more, texts))
-    most = named(classes, more_links, "most-groups")
-    near = _index_pairs(hot.drop("grp").join(most.select("id", "grp"), "id").select("key", "id", "grp", "n", "pos"))
-    links = more_links.union(_verified(near, texts))
-    all_groups = named(classes, links, "groups")
-    kept = all_groups.groupBy("grp").agg(F.min("keep").alias("best")).select(F.col("best.row").alias("row"))
+    # Stars, by SimHash and at the prefix index, join the bulk of large groups; the exact join pairs only what is still apart.
+    hot = _hot_index(prints)
+    stars = stage(_star_pairs(classes, fps).union(_index_stars(hot)).distinct(), "star-pairs")
+    star_links = _verified(stars, rows, keepers)
+    some = named(hot, star_links, "grouped-index")
+    near = _index_pairs(some)
+    links = star_links.union(_verified(near, rows, keepers))
+    groups = named(classes.select("id", "keep"), links, "groups")
+    kept = groups.groupBy("grp").agg(F.min("keep").alias("best")).select(F.col("best.row").alias("row"))
     dropped = stage(prints.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row), "near-copies")
-    discard(classes, stars, star_links, some, keys, hot, more, more_links, most, near, links, all_groups, prints)
+    discard(classes, hot, stars, star_links, some, near, links, groups, prints)
     return keyed.join(dropped, row, "left_anti").drop(row)
