@@ -9,16 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, stage, table
 
-#: Labelled rows that the model is fitted on, for each language at most about so many, by hash of the id.
-FIT_ROWS = 4000
-#: Words and n-grams that the model keeps for each language: its size is bounded by languages times these.
-KEPT_WORDS, KEPT_GRAMS = 20_000, 20_000
+#: Labelled rows that the model is fitted on, for each language about so many, by hash of the id. The model holds every word and
+#: n-gram of them, so this bounds its size.
+FIT_ROWS = 2500
 LONGEST = 4
+#: Bytes of word scores that a task remembers.
+MEMORY = 64 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -26,79 +27,94 @@ def remainder(id_col: str, of: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(of)), F.lit(0))
 
 
+def words_of(text: str | None) -> Counter:
+    """Runs of letters (the Unicode categories L) of the lower-cased text and how often each occurs."""
+    found = Counter(LETTERS.findall((text or "").lower()))
+    for run in [w for w in found if not w.isalpha()]:  # holds numbers that are no digits, such as a half
+        n = found.pop(run)
+        for w in "".join(c if c.isalpha() else " " for c in run).split():
+            found[w] += n
+    return found
+
+
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """``docs(doc_id, text, lang)`` to the model: log frequencies by language of the kept words and n-grams.
+    """``docs(doc_id, text, lang)`` to the model: log frequencies by language of all words and n-grams of the sample, and what an
+    unseen one gets.
 
-    Rows without text or language teach nothing. Counting runs as DataFrames over the bounded sample; the model, of bounded size,
-    comes to the driver.
+    Rows without text or language teach nothing. The sample takes each language's rows with the same chance, so that about
+    ``fit_rows`` of them come; its words are counted once and staged; what comes to the driver is bounded by the sample.
     """
     known = docs.where("text is not null and lang is not null")
-    per = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(per)
-    if not langs:
-        return {"langs": [], "words": {}, "grams": {}}
-    rate = F.lit(0)
-    for lang, n in per.items():
-        rate = F.when(F.col("lang") == lang, int(1e6 * min(1.0, fit_rows / n))).otherwise(rate)
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < rate)
+    per = known.groupBy("lang").agg(F.count("*").alias("in_lang"))
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    sample = known.join(F.broadcast(per), "lang").where(chance * F.col("in_lang") < fit_rows)
     word = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
-    words = sample.select("lang", word.alias("x")).groupBy("lang", "x").agg(F.count("*").alias("n"))
+    words = stage(sample.select("lang", word.alias("x")).groupBy("lang", "x").agg(F.count("*").alias("n")), "fit-words")
     padded = F.concat(F.lit("_"), F.col("x"), F.lit("_"))
-    grams = F.flatten(F.array(*(
-        F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in range(1, LONGEST + 1)
-    )))
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
+        return F.when(F.length(padded) >= n, F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*map(runs, range(1, LONGEST + 1))))
     cut = words.select("lang", "n", F.explode(grams).alias("x")).where("x <> '_'").groupBy("lang", "x").agg(F.sum("n").alias("n"))
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
+    model = {"langs": langs}
+    for name, counts in (("words", words), ("grams", cut)):
+        got = counts.groupBy("x").agg(*(F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, x in enumerate(langs))).orderBy("x").toArrow() if langs else None
+        model[name] = {} if got is None else _logs(got)
+    discard(words)
+    return model
 
-    def top(counts: DataFrame, keep: int) -> dict[str, list[float]]:
-        by = Window.partitionBy("lang").orderBy(F.desc("n"), "x")
-        rows = counts.withColumn("k", F.row_number().over(by)).withColumn("total", F.sum("n").over(Window.partitionBy("lang"))).where(F.col("k") <= keep).collect()
-        total = {r.lang: r.total for r in rows}
-        floor = [math.log(0.1 / max(total.get(x, 1), 1)) for x in langs]
-        out: dict[str, list[float]] = {}
-        for r in rows:
-            out.setdefault(r.x, list(floor))[langs.index(r.lang)] = math.log(r.n / r.total)
-        return out
 
-    return {"langs": langs, "words": top(words, KEPT_WORDS), "grams": top(cut, KEPT_GRAMS)}
+def _logs(counts: pa.Table) -> dict:
+    """A table of counts by language, sorted by its first column, to ``{"x": .., "logs": ..}``."""
+    n = np.array([c.to_numpy() for c in counts.columns[1:]], float).T
+    totals = np.maximum(n.sum(axis=0), 1)
+    return {"x": counts.column(0).combine_chunks(), "logs": np.log(np.where(n > 0, n, 0.1) / totals).astype(np.float32)}
 
 
 class Scorer:
     """Log frequencies of words by language; a bounded memory of the words met."""
 
-    ROOM = 300_000
-
     def __init__(self, model: dict):
-        self.words, self.grams, self.langs = model["words"], model["grams"], model["langs"]
+        self.langs = model["langs"]
+        self.words, self.grams = ({x: k for k, x in enumerate(model[name]["x"].to_pylist())} if model[name] else {} for name in ("words", "grams"))
+        self.word_logs, self.gram_logs = (model[name]["logs"] if model[name] else None for name in ("words", "grams"))
+        self.room = max(1024, MEMORY // (8 * max(len(self.langs), 1)))
+        self.chunk = max(512, self.room // 4)
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((self.ROOM, len(self.langs)))
+        self.rows = np.zeros((min(self.room, 4096), len(self.langs)))
 
-    def word(self, w: str) -> list[float] | np.ndarray:
+    def word(self, w: str) -> np.ndarray:
+        """The word's own log frequencies if the model knows it, else the mean of those of its longest known n-grams."""
         known = self.words.get(w)
-        if known:
-            return known
+        if known is not None:
+            return self.word_logs[known]
         padded = f"_{w}_"
         for n in range(LONGEST, 0, -1):
-            found = [g for i in range(len(padded) - n + 1) if (g := self.grams.get(padded[i : i + n]))]
+            found = [k for i in range(len(padded) - n + 1) if (k := self.grams.get(padded[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.gram_logs[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def text(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(LETTERS.findall((text or "").lower()))
+        counts = words_of(text)
         if not counts or not self.langs:
             return "und", 0.0
         total = np.zeros(len(self.langs))
         items = list(counts.items())
-        for at in range(0, len(items), 50_000):
-            chunk = items[at : at + 50_000]
-            if len(self.place) + len(chunk) > self.ROOM:
+        for at in range(0, len(items), self.chunk):
+            chunk = items[at : at + self.chunk]
+            if len(self.place) + len(chunk) > self.room:
                 self.place.clear()
             spots = []
             for w, _ in chunk:
                 k = self.place.get(w)
                 if k is None:
                     k = self.place[w] = len(self.place)
+                    if k >= len(self.rows):
+                        self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
                     self.rows[k] = self.word(w)
                 spots.append(k)
             total += np.fromiter((n for _, n in chunk), float, len(chunk)) @ self.rows[spots]
@@ -109,17 +125,19 @@ class Scorer:
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score)``, one row for each input row; only the text decides.
+    """``(doc_id, lang_pred, score)``, one row for each input row, repeated rows and null ids included; only the text decides, other
+    columns are ignored, whatever their names. Empty input: no rows.
 
-    Null texts and texts without a letter get ``und`` and 0, as does everything under a model without languages. Ties go to the
-    first language by name. The model is broadcast: its size is bounded by the fit.
+    Null texts and texts without a letter (Unicode categories L) get ``und`` and 0, as does everything under a model without
+    languages. Ties go to the first language by name. Whole texts, however long: a task holds one text's distinct words. The model is
+    broadcast: its size is bounded by the fit.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            got = [scorer.text(t.as_py()) for t in b.column(1)]
+            got = [scorer.text(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
