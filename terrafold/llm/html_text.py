@@ -29,42 +29,59 @@ CLOSES_P = BLOCK - set("body caption html legend option optgroup tbody td tfoot
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = set("ul ol dl table div section article main body html select td th".split())
 DROPPED = set(
-    "script style head title noscript template nav menu footer aside form button select input textarea iframe object embed svg canvas audio video map noembed noframes dialog search".split()
+    "script style head title noscript template nav menu footer aside form button select input textarea label iframe object embed svg canvas audio video map noembed noframes dialog search".split()
 )
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+# What names of classes and ids say of an element; a sign only, see `Page._judge_names`.
 DROPPED_NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs"
-    " footer masthead comment comments disqus reply replies respond cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription"
+    " footer masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription"
     " share sharing social related recommended widget toolbar pager pagination login signup".split()
 )
+COMMENT_NAMES = set("comment comments disqus reply replies respond".split())
+NEGATING = set("no not non has have with without hide is".split())
+#: An element is not left out for its name if less than this part of the page's unlinked text stands elsewhere.
+REST, REST_OF_COMMENTS = 0.2, 0.05
+#: A list or division in the main text is a menu if so large a part of its characters are links, two or more.
+LINKED = 0.6
+CONTAINERS = set("ul ol dl div section table details menu dir".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 LANDMARKS = {"article", "main"}
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    """The words of class, id and role; if the element is hidden."""
-    words, hidden = set(), False
+def _names(attributes: str) -> tuple[set[str], set[str], bool]:
+    """Class and id names, roles; if the element is hidden."""
+    names, roles, hidden = set(), set(), False
     for m in ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind == "hidden" or kind == "aria-hidden" and value == "true":
             hidden = True
         elif kind != "aria-hidden":
-            words |= {f"role:{value}"} if kind == "role" else set(re.split(r"[\s_-]+", value)) | set(value.split())
-    return words, hidden
+            (roles if kind == "role" else names).update(value.split())
+    return names, roles, hidden
+
+
+def _tells(names: set[str], of: set[str]) -> bool:
+    """If a name is one of ``of``, or starts or ends with one as in ``main-nav``; ``has-sidebar`` and ``no-ads`` tell nothing."""
+    for name in names:
+        parts = re.split(r"[_-]+", name)
+        if (parts[0] in of or parts[-1] in of) and parts[0] not in NEGATING:
+            return True
+    return False
 
 
 class Page:
-    """The nodes of a page in document order (a subtree is a range of them) and what it says, without what is never main text."""
+    """The nodes of a page in document order (a subtree is a range of them), what it says, and which nodes are never main text."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.end, self.off = ["#root"], [-1], [0], [False]
-        self.said: list[tuple[int, str | None]] = []
+        self.tag, self.parent, self.off, self.said = ["#root"], [-1], [False], []
+        self.names: dict[int, tuple[set[str], set[str]]] = {}
         self._parse(source)
-        self.end = [len(self.tag)] * len(self.tag)
         last = list(range(1, len(self.tag) + 1))
         for i in range(len(self.tag) - 1, 0, -1):
             last[self.parent[i]] = max(last[self.parent[i]], last[i])
         self.end = last
+        self._judge_names()
 
     def _parse(self, source: str) -> None:
         stack, at, n = [0], 0, len(source)
@@ -100,12 +117,12 @@ class Page:
         if name in SAME:
             self._pop_to(stack, SAME[name], WALLS - SAME[name])
         up, node = stack[-1], len(self.tag)
-        names, hidden = _names(attributes) if "=" in attributes or "hidden" in attributes else (set(), False)
-        off = self.off[up] or hidden or name in DROPPED
-        if name not in ("html", "body", *LANDMARKS, *HEADINGS) and not off:
-            off = bool(names & DROPPED_NAMES) or any(f"role:{r}" in names for r in DROPPED_ROLES)
+        names, roles, hidden = _names(attributes) if "=" in attributes or "hidden" in attributes else (set(), set(), False)
+        off = self.off[up] or hidden or name in DROPPED and name != "form"
         if name == "header" and not off:
             off = not any(self.tag[k] in LANDMARKS for k in stack)
+        if not off and (name == "form" or (names or roles) and name not in ("html", "body", *LANDMARKS, *HEADINGS)):
+            self.names[node] = names, roles | {"form"} if name == "form" else roles
         self.tag.append(name)
         self.parent.append(up)
         self.off.append(off)
@@ -136,9 +153,8 @@ class Page:
             if name not in BLOCK and self.tag[k] in WALLS:
                 return None
 
-    def densities(self) -> tuple[list[float], list[float]]:
-        """Composite text density of each node and the sum of its children's: characters per tag, times the logarithm of how few of
-        characters and tags are links, to a base that grows where links do."""
+    def counts(self) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Characters, linked characters, tags and link tags of each subtree, without what is left out."""
         n = len(self.tag)
         chars, links, tags, link_tags = [0] * n, [0] * n, [0 if x else 1 for x in self.off], [0] * n
         in_link = [False] * n
@@ -154,6 +170,42 @@ class Page:
             p = self.parent[i]
             for of in (chars, links, tags, link_tags):
                 of[p] += of[i]
+        return chars, links, tags, link_tags
+
+    def _judge_names(self) -> None:
+        """Leaves out subtrees whose name, role or being a form says that they are no main text, unless they hold a landmark, a first
+        heading (names only) or nearly all of the unlinked text; one that is left out counts as text nowhere."""
+        told = {k: x for k, x in self.names.items() if x[1] & DROPPED_ROLES or _tells(x[0], DROPPED_NAMES | COMMENT_NAMES)}
+        if not told:
+            return
+        chars, links, _, _ = self.counts()
+        spoken = [c - x for c, x in zip(chars, links)]
+        holding, titled = ({i for i, t in enumerate(self.tag) if t in of} for of in (LANDMARKS, {"h1"}))
+        holding, titled = self._above(holding), self._above(titled)
+        left, skip = spoken[0], 0
+        for k, (names, roles) in sorted(told.items(), key=lambda x: x[0]):
+            if k < skip or k in holding or k in titled and not roles & DROPPED_ROLES:
+                continue
+            least = REST_OF_COMMENTS if _tells(names, COMMENT_NAMES) else REST
+            if left - spoken[k] < least * left:
+                continue
+            left, skip = left - spoken[k], self.end[k]
+            self.off[k : skip] = [True] * (skip - k)
+
+    def _above(self, nodes: set[int]) -> set[int]:
+        """``nodes`` and all nodes that hold one of them."""
+        out = set()
+        for k in nodes:
+            while k >= 0 and k not in out:
+                out.add(k)
+                k = self.parent[k]
+        return out
+
+    def densities(self) -> tuple[list[float], list[float]]:
+        """Composite text density of each node and the sum of its children's: characters per tag, times the logarithm of how few of
+        characters and tags are links, to a base that grows where links do."""
+        n = len(self.tag)
+        chars, links, tags, link_tags = self.counts()
         share = links[0] / chars[0] if chars[0] else 0.0
         density, sums = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
@@ -168,8 +220,10 @@ class Page:
 
     def main(self) -> int:
         """The node whose subtree is the main text: of those as dense as the thinnest node between the largest sum and the body,
-        take each one's largest-sum node, and then what holds them all: their landmark, or their lowest common ancestor."""
+        take each one's largest-sum node, and then what holds them all, up to the article or main element around it. Where the
+        largest sum lies in an article with most of the page's unlinked text, other parts of the page have no say."""
         density, sums = self.densities()
+        chars, links, _, _ = self.counts()
         best = max(range(len(sums)), key=lambda i: (sums[i], -i))
         if not sums[best]:
             best = max(range(len(density)), key=lambda i: (density[i], -i))
@@ -177,6 +231,9 @@ class Page:
         while k > 0:
             path.append(k)
             k = self.parent[k]
+        for k in path:
+            if self.tag[k] == "article" and 2 * (chars[k] - links[k]) > chars[0] - links[0]:
+                return k
         inner = [k for k in path if self.tag[k] not in ("html", "body")]
         least = min((density[k] for k in inner), default=0.0)
         top = list(range(len(sums)))
@@ -184,17 +241,26 @@ class Page:
             p = self.parent[i]
             if sums[top[i]] > sums[top[p]]:
                 top[p] = top[i]
-        marked = {best} | {top[i] if sums[top[i]] else i for i in range(1, len(sums)) if density[i] and density[i] >= least}
+        marked = {best} | {top[i] if sums[top[i]] else i for i in range(1, len(sums)) if density[i] and density[i] >= least and links[i] < LINKED * chars[i]}
         holder = best
         while holder > 0 and not all(holder <= m < self.end[holder] for m in marked):
             holder = self.parent[holder]
-        for k in [*path]:
+        for k in path:
             if self.tag[k] in LANDMARKS and (k <= holder or holder == 0):
                 return k
         return max(holder, 0)
 
+    def menus(self, node: int) -> list[bool]:
+        """Which nodes lie in a list or division below ``node`` that is mostly links."""
+        chars, links, _, link_tags = self.counts()
+        out = [False] * len(self.tag)
+        for i in range(node + 1, self.end[node]):
+            out[i] = out[self.parent[i]] or self.tag[i] in CONTAINERS and link_tags[i] > 1 and links[i] >= LINKED * chars[i] > 0
+        return out
+
     def text(self) -> str:
         node = self.main()
+        menu = self.menus(node)
         blocks, piece = [], []
         for i, said in self.said:
             if not node <= i < self.end[node]:
@@ -203,7 +269,7 @@ class Page:
                 if piece and (line := " ".join("".join(piece).split())):
                     blocks.append(line)
                 piece = []
-            elif not self.off[i]:
+            elif not self.off[i] and not menu[i]:
                 piece.append(said)
         if piece and (line := " ".join("".join(piece).split())):
             blocks.append(line)
@@ -218,12 +284,13 @@ def main_text(source: str | None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)``, one row for each input row, whole pages, no shuffle.
 
-    A null page counts as empty; null ids and urls and repeated rows stay as they are; other columns are ignored.
+    A null page counts as empty; null ids and urls and repeated rows stay as they are; other columns are ignored, whatever their
+    names. Empty input: no rows. Long pages are read whole; a task holds one batch of pages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py()) for x in b.column(2)]
+            texts = [main_text(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
