@@ -1,12 +1,14 @@
 """Edge cases: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names; and the methods' own parts."""
 
 import math
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.llm import ctw, decontam, html_text, langid, licenses, mixing, quality, sharding, simhash, token_files
+from terrafold.llm import ctw, decontam, html_text, langid, mixing, quality, sharding, simhash, token_files
 from terrafold.llm.common import new_path, stage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_id string, size int, shard string, virtual_slot int, copies int, fp long, `key` int, part int, tf_slot int"
@@ -58,18 +60,72 @@ def test_filters_keep_columns(odd, none, spark):
 def test_und(odd):
     out = {r.doc_id: (r.lang_pred, r.score) for r in OPERATORS["language"](odd).where("doc_id is not null").collect()}
     assert [out[i] for i in (0, 1, 2, 8)] == [("und", 0.0), ("und", 0.0), ("und", 0.0), ("en", 1.0)]
-
-
-def test_token_files(odd, none, spark):
+    model = {"langs": ["aa", "bb"], "words": None, "grams": None}
+    assert langid.Scorer(model).text("\u00bd \u00b2 \u2167 12 _") == ("und", 0.0) and langid.Scorer(model).text("\u00bdx")[0] == "aa"
+
+
+def test_language_brute_force(spark):
+    """Scores from explicit counts of words and n-grams."""
+    taught = [(1, "the cat and the hat", "en"), (2, "die Katze und der Hut", "de"), (3, "le chat et le chapeau", "fr"), (4, "the end", "en"), (5, None, "de"), (6, "no label", None)]
+    asked = ["the hat", "der Katzen Hut", "chapeaux et chats", "zzz qqq", "The \u00bdcat", ""]
+    df = spark.createDataFrame(taught, "doc_id long, text string, lang string")
+    scorer = langid.Scorer(langid.fit(df))
+    langs = ["de", "en", "fr"]
+    words = {x: Counter(w for _, t, lang in taught if t and lang == x for w in t.lower().split()) for x in langs}
+    grams = {x: Counter() for x in langs}
+    for x in langs:
+        for w, n in words[x].items():
+            for k in range(1, 5):
+                for i in range(len(w) + 3 - k):
+                    if (g := f"_{w}_"[i : i + k]) != "_":
+                        grams[x][g] += n
+    logs = lambda counts, x, w: math.log((counts[x][w] or 0.1) / sum(counts[x].values()))
+
+    def of_word(w, x):
+        if any(words[y][w] for y in langs):
+            return logs(words, x, w)
+        for k in range(4, 0, -1):
+            known = [g for i in range(len(w) + 3 - k) if any(grams[y][g := f"_{w}_"[i : i + k]] for y in langs)]
+            if known:
+                return sum(logs(grams, x, g) for g in known) / len(known)
+        return 0.0
+
+    for text in asked:
+        found = [w for w in "".join(c if c.isalpha() else " " for c in text.lower()).split()]
+        got = scorer.text(text)
+        if not found:
+            assert got == ("und", 0.0)
+            continue
+        total = {x: sum(of_word(w, x) for w in found) / math.sqrt(len(found)) for x in langs}
+        best = max(langs, key=lambda x: (total[x], -langs.index(x)))
+        share = math.exp(total[best]) / sum(math.exp(v) for v in total.values())
+        assert got[0] == best and got[1] == pytest.approx(share, rel=1e-4)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_files(odd, none, spark, name):
+    """Ids of the library over whole texts, whatever the tokenizer's own rule; null ids and the smallest long stay apart."""
     import public_tokenizers
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    for df in (odd, none):
-        folder = new_path(spark, "tokens")
-        manifest = stage(token_files.write_token_files(df, path, folder, rows_per_file=4), "manifest")
-        rows = token_files.read_token_files(manifest, folder).collect()
-        assert len(rows) == df.count() and all(r.n_tokens > 0 for r in rows)
-        assert sorted(r.start for r in rows) == [sum(r.n_tokens for r in sorted(rows, key=lambda r: r.start)[:k]) for k in range(len(rows))]
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(str(path))
+    spaces = ["a b  c\n d\t e \n\nf g", " lead", "trail ", "it's I'll 12 345 x", "x \u1234 y\u180e z", "a\x1c b \x85 c", "don't <|endoftext|> stop", "é à\u00a0b c", "\U0001f600 \U0001f600"]
+    extra = spark.createDataFrame([(100 + k, t) for k, t in enumerate(spaces)] + [(-(1 << 63), "least")], "doc_id long, text string")
+    df = stage(odd.select("doc_id", "text").union(extra), "texts")
+    folder = new_path(spark, "tokens")
+    manifest = stage(token_files.write_token_files(df, path, folder, file_bytes=1000), "manifest")
+    rows = sorted(token_files.read_token_files(manifest, folder).collect(), key=lambda r: r.start)
+    want = Counter()
+    for r in df.collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want[r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:k]) for k in range(len(rows))]
+    order = [r.doc_id for r in rows]
+    assert order[:2] == [None, None] and order[2:] == sorted(order[2:]) and order[2] == -(1 << 63)
+    empty = stage(token_files.write_token_files(none, path, new_path(spark, "tokens")), "manifest")
+    assert token_files.read_token_files(empty, folder).count() == 0
 
 
 def test_long_component(spark):
@@ -104,12 +160,6 @@ def test_slot_map_versions(spark):
     assert sharding.read_map(spark, folder, 1) == (1, before)
 
 
-def test_licenses(spark):
-    rows = [("a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"), ("a/b/c.py", "x = 1"), ("a/b/d.py", "# Licensed under the Apache License, Version 2.0\n" + "value = other + more\n" * 5), ("z/e.py", None), (None, "")]
-    got = {r.path: (r.license, r.origin) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
-    assert got == {"a/LICENSE": ("MIT", "header"), "a/b/c.py": ("MIT", "directory"), "a/b/d.py": ("Apache-2.0", "header"), "z/e.py": (None, "none"), None: (None, "none")}
-
-
 def test_context_tree_brute_force(spark):
     """Mixtures by recursion over explicit counts."""
     depth, taught, asked = 2, [b"abracadabra\n", b"abba cab\n"], [b"abracadabra\n", b"dab xa\n"]
