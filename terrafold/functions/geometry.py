@@ -70,3 +70,58 @@ def albers(lon: Column, lat: Column, lon0: float, lat1: float, lat2: float, lat0
     rho0 = SEMI_MAJOR * math.sqrt(c - n * q0) / n
     theta = n * F.radians(lon - lon0)
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
+def box_gap(a: Column, b: Column) -> Column:
+    """Distance between two ``bounds``."""
+    apart = lambda k: F.greatest(F.lit(0.0), b[f"{k}0"] - a[f"{k}1"], a[f"{k}0"] - b[f"{k}1"])
+    return F.hypot(apart("x"), apart("y"))
+
+
+def box_union(a: Column, b: Column) -> Column:
+    least, most = (lambda k: F.least(a[k], b[k]).alias(k)), (lambda k: F.greatest(a[k], b[k]).alias(k))
+    return F.struct(least("x0"), least("y0"), most("x1"), most("y1"))
+
+
+def _to_segment(p: Column, e: Column) -> Column:
+    """Squared distance of a vertex from an edge."""
+    dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+    long = dx * dx + dy * dy
+    t = F.when(long > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((p["x"] - e["a"]["x"]) * dx + (p["y"] - e["a"]["y"]) * dy) / long))).otherwise(0.0)
+    ox, oy = p["x"] - e["a"]["x"] - t * dx, p["y"] - e["a"]["y"] - t * dy
+    return ox * ox + oy * oy
+
+
+def _turn(a: Column, b: Column, c: Column) -> Column:
+    return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+
+
+def _edges_within(e: Column, f: Column, d: float) -> Column:
+    """If two edges come as near as ``d``: they cross, or an end of one lies that near to the other."""
+    cross = (_turn(e["a"], e["b"], f["a"]) * _turn(e["a"], e["b"], f["b"]) < 0) & (_turn(f["a"], f["b"], e["a"]) * _turn(f["a"], f["b"], e["b"]) < 0)
+    near = F.least(_to_segment(e["a"], f), _to_segment(e["b"], f), _to_segment(f["a"], e), _to_segment(f["b"], e))
+    return cross | (near <= d * d)
+
+
+def parts_within(a: Column, b: Column, d: float) -> Column:
+    """If two parts come as near as ``d``, by their true outlines: edges do, or one holds a vertex of the other."""
+    outline_a, outline_b = edges(a[0]), edges(b[0])
+    first = lambda p: (p[0][0]["x"], p[0][0]["y"])
+    return F.exists(outline_a, lambda e: F.exists(outline_b, lambda f: _edges_within(e, f, d))) | contains(F.array(a), *first(b)) | contains(F.array(b), *first(a))
+
+
+def inner_point(geom: Column) -> Column:
+    """struct<x, y> inside the shape: the middle of the widest stretch of a part along the line halfway up it, between vertices."""
+    def of_part(part: Column) -> Column:
+        ys, box = F.transform(F.flatten(part), lambda p: p["y"]), bounds(F.array(part))
+        mid = (box["y0"] + box["y1"]) / 2
+        above, below = F.array_min(F.filter(ys, lambda y: y > mid)), F.array_max(F.filter(ys, lambda y: y <= mid))
+        y = (F.coalesce(above, box["y1"]) + F.coalesce(below, box["y0"])) / 2
+        at = lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])
+        crossed = F.filter(F.flatten(F.transform(part, edges)), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+        xs = F.array_sort(F.transform(crossed, at))
+        spans = F.transform(F.filter(F.transform(xs, lambda x, i: F.struct(i.alias("i"), x.alias("lo"), F.get(xs, i + 1).alias("hi"))), lambda s: (s["i"] % 2 == 0) & s["hi"].isNotNull()), lambda s: F.struct((s["hi"] - s["lo"]).alias("w"), ((s["lo"] + s["hi"]) / 2).alias("x"), y.alias("y")))
+        return F.array_max(spans)
+
+    best = F.array_max(F.transform(geom, of_part))
+    return F.struct(best["x"].alias("x"), best["y"].alias("y"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import area, bounds, contains, part_area
+from ..functions.geometry import area, bounds, box_gap, box_union, contains, inner_point, part_area, parts_within
+from ..staging import stage
+from .components import components
 
 
 def with_bounds(shapes: DataFrame) -> DataFrame:
@@ -46,44 +48,112 @@ def thematic_projection(shapes: DataFrame) -> DataFrame:
 
 
 def main_parts(shapes: DataFrame, reach: float = 0.75, least: float = 0.35) -> DataFrame:
-    """``(shape_id, n_parts, kept, share)``: parts whose box is within ``reach`` times the root of the largest one's area from it; all, if
-    those hold under ``least`` of the area. A part joins by its distance to the largest part's box."""
-    p = parts(shapes)
-    largest = Window.partitionBy("shape_id").orderBy(F.desc("area"), "part")
-    p = p.withColumn("m", F.first(F.struct("area", "box")).over(largest))
-    gap = lambda a0, a1, b0, b1: F.greatest(F.lit(0.0), F.greatest(b0 - a1, a0 - b1))
-    dx = gap(F.col("box.x0"), F.col("box.x1"), F.col("m.box.x0"), F.col("m.box.x1"))
-    dy = gap(F.col("box.y0"), F.col("box.y1"), F.col("m.box.y0"), F.col("m.box.y1"))
-    near = F.hypot(dx, dy) <= reach * F.sqrt(F.col("m.area"))
-    s = p.groupBy("shape_id").agg(F.count("*").alias("n_parts"), F.count_if(near).alias("k"), (F.sum(F.when(near, F.col("area")).otherwise(0.0)) / F.sum("area")).alias("share"))
-    return s.select("shape_id", "n_parts", F.when(F.col("share") < least, F.col("n_parts")).otherwise(F.col("k")).alias("kept"), "share")
+    """``(shape_id, n_parts, kept, share)``: ``kept`` lists the parts of the main landmass, ``share`` is their part of the area.
+
+    From the largest part a hull, a box, takes in every part within ``reach`` times the root of the largest one's area, and grows with
+    it, until none joins: a fragment can join through another. Where those hold under ``least`` of the area, all parts stay. The growth
+    is a fold over each shape's own boxes, which stops working once a pass adds nothing.
+    """
+    one = F.transform("geom", lambda p, i: F.struct(part_area(p).alias("area"), (-i).alias("k"), bounds(F.array(p)).alias("box"), i.alias("i")))
+    s = shapes.select("shape_id", one.alias("ps")).withColumn("top", F.array_max("ps")).withColumn("reach", reach * F.sqrt("top.area"))
+    grown = lambda hull: F.aggregate("ps", hull, lambda h, p: F.when(box_gap(p["box"], h) <= F.col("reach"), box_union(h, p["box"])).otherwise(h))
+
+    def one_pass(state: Column, k: Column) -> Column:
+        after = grown(state["hull"])
+        return F.when(state["done"], state).otherwise(F.struct(after.alias("hull"), (after == state["hull"]).alias("done")))
+
+    start = F.struct(box_union(F.col("top.box"), F.col("top.box")).alias("hull"), F.lit(False).alias("done"))
+    s = s.withColumn("hull", F.aggregate(F.sequence(F.lit(1), F.size("ps")), start, one_pass, lambda a: a["hull"]))
+    s = s.withColumn("near", F.filter("ps", lambda p: box_gap(p["box"], F.col("hull")) <= F.col("reach")))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda t, p: t + p["area"])
+    s = s.withColumn("share", F.coalesce(F.try_divide(total("near"), total("ps")), F.lit(1.0)))
+    everything = F.col("share") < least
+    kept = F.transform(F.when(everything, F.col("ps")).otherwise(F.col("near")), lambda p: p["i"])
+    return s.select("shape_id", F.size("ps").alias("n_parts"), F.array_sort(kept).alias("kept"), F.when(everything, 1.0).otherwise(F.col("share")).alias("share"))
 
 
 def land_masses(shapes: DataFrame, within: float) -> DataFrame:
-    """``(mass, n_parts, area, width)`` of parts joined where boxes are ``within`` of each other.
+    """``(mass, n_parts, area, x0, y0, x1, y1)`` of parts joined where their outlines come within ``within`` of each other; ``mass`` is the
+    first of its parts, as ``shape_id:part``.
 
-    Neighbours come from an equi-join on grid cells; labels, the smallest part id reached, spread along the links until none changes.
-    The rounds are bounded by the longest chain of parts; each is checkpointed through the lineage-cutting folder if one is set.
+    Candidates come from an equi-join on grid cells about as large as the average part, a part in each cell its box touches; boxes and
+    then outlines decide. Masses are the connected components, by contraction.
     """
-    p = parts(shapes).withColumn("id", F.dense_rank().over(Window.orderBy("shape_id", "part")).cast("long")).select("id", "area", "box").cache()
-    size = p.agg(F.max(F.greatest(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0"))).alias("s")).first().s or 1.0
+    p = stage(parts(shapes).withColumn("name", F.concat_ws(":", "shape_id", "part")).withColumn("id", F.xxhash64("shape_id", "part")), "land-parts")
+    size = p.agg(F.avg(F.greatest(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0"))).alias("s")).first().s or 1.0
     cell = float(size) + within
-    def span(lo, hi):
-        return F.sequence(F.floor((lo - within) / cell).cast("int"), F.floor((hi + within) / cell).cast("int"))
-
-    dealt = p.select("id", "box", F.explode(span(F.col("box.x0"), F.col("box.x1"))).alias("cx")).withColumn("cy", F.explode(span(F.col("box.y0"), F.col("box.y1"))))
-    a, b = dealt.select(F.col("id").alias("u"), F.col("box").alias("a"), "cx", "cy"), dealt.select(F.col("id").alias("v"), F.col("box").alias("b"), "cx", "cy")
-    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"b.{k}0") - F.col(f"a.{k}1"), F.col(f"a.{k}0") - F.col(f"b.{k}1"))
-    links = a.join(b, ["cx", "cy"]).where((F.col("u") != F.col("v")) & (F.hypot(gap("x"), gap("y")) <= within)).select("u", "v").distinct().cache()
-    labels = p.select("id", F.col("id").alias("mass"))
-    while True:
-        least = links.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("mass").alias("m"))
-        nxt = labels.join(least, "id", "left").select("id", F.least("mass", F.coalesce("m", "mass")).alias("mass"), (F.col("m") < F.col("mass")).alias("moved")).cache()
-        moved = nxt.where("moved").count()
-        labels = nxt.select("id", "mass")
-        if not moved:
-            break
-    return p.join(labels, "id").groupBy("mass").agg(F.count("*").alias("n_parts"), F.sum("area").alias("area"), (F.max("box.x1") - F.min("box.x0")).alias("width"))
+
+    def span(lo: str, hi: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(lo) - within / 2) / cell).cast("long"), F.floor((F.col(hi) + within / 2) / cell).cast("long")))
+
+    dealt = p.select("id", "box", "rings", span("box.x0", "box.x1").alias("cx")).withColumn("cy", span("box.y0", "box.y1"))
+    a, b = (dealt.select("cx", "cy", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "box", "rings"))) for side in "ab")
+    met = a.join(b, ["cx", "cy"]).where((F.col("a_id") < F.col("b_id")) & (box_gap(F.col("a_box"), F.col("b_box")) <= within)).drop("cx", "cy").dropDuplicates(["a_id", "b_id"])
+    roots = components(met.where(parts_within(F.col("a_rings"), F.col("b_rings"), within)).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")))
+    out = p.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = F.min_by("name", F.struct("shape_id", "part"))
+    return out.groupBy("root").agg(
+        first.alias("mass"), F.count("*").alias("n_parts"), F.sum("area").alias("area"), F.min("box.x0").alias("x0"), F.min("box.y0").alias("y0"), F.max("box.x1").alias("x1"), F.max("box.y1").alias("y1")
+    ).drop("root")
+
+
+def land_report(masses: DataFrame) -> DataFrame:
+    """One row ``(mass_count, main_area_share, main_width_share)`` of `land_masses`: how much of the land and of the frame's width the
+    largest mass has."""
+    main = F.max(F.struct("area", (F.col("x1") - F.col("x0")).alias("width")))
+    s = masses.agg(F.count("*").alias("mass_count"), main.alias("main"), F.sum("area").alias("total"), (F.max("x1") - F.min("x0")).alias("span"))
+    return s.select("mass_count", F.coalesce(F.try_divide("main.area", "total"), F.lit(1.0)).alias("main_area_share"), F.coalesce(F.try_divide("main.width", "span"), F.lit(1.0)).alias("main_width_share"))
+
+
+def total_bounds(shapes: DataFrame) -> DataFrame:
+    """One row ``(x0, y0, x1, y1, aspect)`` of all shapes; aspect is width over height, 1 where either is nothing."""
+    box = with_bounds(shapes).agg(F.min("box.x0").alias("x0"), F.min("box.y0").alias("y0"), F.max("box.x1").alias("x1"), F.max("box.y1").alias("y1"))
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return box.withColumn("aspect", F.when((w > 0) & (h > 0), w / h).otherwise(1.0))
+
+
+def inner_points(shapes: DataFrame) -> DataFrame:
+    """``(shape_id, x, y)``: a point inside each shape, where its label or circle stands."""
+    return shapes.select("shape_id", inner_point(F.col("geom")).alias("p")).select("shape_id", "p.*")
+
+
+# Meridians east of which a country's land goes to an inset; the inset's height and margin; least gain in width.
+DECLARED_INSETS = {"vietnam": 111.0, "viet nam": 111.0, "việt nam": 111.0}
+INSET_HEIGHT, INSET_MARGIN, INSET_GAIN = 0.30, 0.045, 0.15
+
+
+def declared_inset(country: str | None, by_hand: dict | None = None) -> tuple[float | None, str]:
+    """(meridian, source) of a country: what the profile's ``inset_meridian`` says, null included, else the built-in table. Raises
+    ValueError where the profile says something else than a longitude."""
+    if by_hand and "inset_meridian" in by_hand:
+        lon = by_hand["inset_meridian"]
+        if lon is None:
+            return None, "declared_as_none"
+        if isinstance(lon, bool) or not isinstance(lon, int | float) or not -180 <= lon <= 180:
+            raise ValueError(f"inset_meridian must be a longitude or null, not {lon!r}")
+        return float(lon), "declared_by_user"
+    name = " ".join((country or "").lower().replace("-", " ").replace("_", " ").split())
+    return (DECLARED_INSETS[name], "built_in") if name in DECLARED_INSETS else (None, "undeclared")
+
+
+def inset_view(shapes: DataFrame, meridian: float | None) -> DataFrame:
+    """One row with the bounds of the view, of the inset's box in it and of what the inset shows, and ``scale``; no row where the map is
+    framed the ordinary way: no meridian, land on one side of it only, or a gain in width under INSET_GAIN of the mainland's.
+
+    Parts are dealt to a side whole, by the middle of their box; longitudes are the x of ``shapes``.
+    """
+    side = F.when((F.col("box.x0") + F.col("box.x1")) / 2 < F.lit(meridian), "main").otherwise("far")
+    ends = lambda s: [f(F.when(F.col("side") == s, F.col(f"box.{c}"))).alias(f"{s}_{c}") for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    b = parts(shapes).withColumn("side", side).agg(*ends("main"), *ends("far"))
+    w, h = F.col("main_x1") - F.col("main_x0"), F.col("main_y1") - F.col("main_y0")
+    far_w, far_h = F.col("far_x1") - F.col("far_x0"), F.col("far_y1") - F.col("far_y0")
+    b = b.where(F.lit(meridian is not None) & F.col("main_x0").isNotNull() & F.col("far_x0").isNotNull()).where(F.col("far_x1") - F.col("main_x1") >= w * INSET_GAIN)
+    b = b.withColumn("box_h", h * INSET_HEIGHT).withColumn("box_w", F.when(far_h > 0, h * INSET_HEIGHT * far_w / far_h).otherwise(h * INSET_HEIGHT))
+    right = F.col("main_x1") + 2 * w * INSET_MARGIN + F.col("box_w")
+    return b.select(
+        F.col("main_x0").alias("view_x0"), F.col("main_y0").alias("view_y0"), right.alias("view_x1"), F.col("main_y1").alias("view_y1"), (right - w * INSET_MARGIN - F.col("box_w")).alias("inset_x0"), (F.col("main_y0") + w * INSET_MARGIN).alias("inset_y0"),
+        "box_w", "box_h", "far_x0", "far_y0", "far_x1", "far_y1", F.try_divide("box_w", far_w).alias("scale"), (w / (right - F.col("main_x0")) * 100).alias("mainland_width_pct"),
+    )
 
 
 def outline(shapes: DataFrame) -> DataFrame:
@@ -94,6 +164,12 @@ def outline(shapes: DataFrame) -> DataFrame:
     return one.groupBy("a", "b").count().where("count = 1").select(F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))
 
 
-def shape_facts(shapes: DataFrame) -> DataFrame:
-    """``(shape_id, area, box)``."""
-    return shapes.select("shape_id", area(F.col("geom")).alias("area"), bounds(F.col("geom")).alias("box"))
+def shape_facts(shapes: DataFrame, attributes: dict[str, str] | None = None) -> DataFrame:
+    """``(shape_id, area, population, density)`` of each unit, from the columns that ``attributes`` names for them; what it doesn't name
+    is null, but for the area, which is then the shape's own in the square of its units."""
+    told = attributes or {}
+    named = lambda key: F.col(told[key]).try_cast("double") if key in told else F.lit(None).cast("double")
+    own = named("area") if "area" in told else area(F.col("geom"))
+    people = named("population")
+    density = named("density") if "density" in told else F.try_divide(people, own)
+    return shapes.select("shape_id", own.alias("area"), people.alias("population"), density.alias("density"))

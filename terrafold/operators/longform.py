@@ -57,8 +57,9 @@ def double_counting_axes(df: DataFrame, place: str, columns: list[str]) -> DataF
 
 
 def indicator_slices(df: DataFrame, indicator: str, place: str, value: str, period: str | None = None) -> DataFrame:
-    """For each indicator its rows, distinct places, periods in order and raw total, which skips what is no number."""
-    aggs = [F.count("*").alias("n_rows"), F.countDistinct(place).alias("places"), F.round(F.sum(F.col(value).try_cast("double")), 1).alias("raw_total")]
+    """For each indicator its rows, distinct places, periods in order and raw total, which skips what is no
+    number and is summed as decimals, so that the order of rows changes nothing."""
+    aggs = [F.count("*").alias("n_rows"), F.countDistinct(place).alias("places"), F.round(F.try_sum(F.col(value).cast("string").try_cast("decimal(38,10)")), 1).cast("double").alias("raw_total")]
     if period:
         order = F.collect_set(F.col(period).cast("string"))
         keyed = F.array_sort(F.transform(order, period_key))

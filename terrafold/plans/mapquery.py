@@ -13,6 +13,7 @@ from ..functions.numbers import blend, format_value
 from ..operators import checks, classify
 from ..operators.aggregate import combine
 from ..operators.classify import Bins
+from ..staging import stage
 
 MAP_TYPES = ["choropleth", "choropleth-symbol", "graduated-symbol", "categorized", "boundary", "change", "point"]
 FILL = {"percent", "rate-per-capita", "percentage-point", "ratio", "score", "category"}
@@ -67,6 +68,9 @@ def thematic_map(rows: DataFrame, units: DataFrame, spec: MapSpec) -> MapResult:
     if spec.symbol:
         symbols = combine(rows, [spec.key], spec.symbol, spec.symbol_method).select(F.col(spec.key).alias("shape_id"), F.col("value").alias("symbol"))
         frame = frame.join(symbols, "shape_id", "left")
+    if spec.value or spec.symbol:
+        # A row for each unit: all that follows reads it again, not the facts.
+        frame = stage(frame, "map-units")
     result = MapResult(frame)
     if spec.kind in ("choropleth", "choropleth-symbol", "change") and spec.value:
         bins = classify.compute_bins(frame, "value", spec.breaks, spec.classes, spec.integer, center_zero=spec.kind == "change")
@@ -92,7 +96,7 @@ def thematic_map(rows: DataFrame, units: DataFrame, spec: MapSpec) -> MapResult:
 
 def series(rows: DataFrame, key: str, period: str, value: str, method: str = "sum", classes: int = 5) -> tuple[DataFrame, Bins]:
     """``(key, period, value, class_idx, colour)`` with one classification over all periods, so that colours compare."""
-    values = combine(rows, [key, period], value, method)
+    values = stage(combine(rows, [key, period], value, method), "series-values")
     bins = classify.compute_bins(values, "value", "quantile", classes)
     return classify.classified(values, "value", bins), bins
 
@@ -114,15 +118,58 @@ def frame_colours(plan: DataFrame, coloured: DataFrame, key: str, period: str) -
     return plan.join(now, "period").join(then, ["next_period", key]).select("frame", key, blend(F.col("a"), F.col("b"), F.col("t")).alias("colour"))
 
 
-def allocate(requests: list[tuple[str, str]]) -> list[dict]:
-    """``(name, semantic)`` to maps with at most one fill and one symbol each, in request order; a full channel opens the next map; what
-    has no channel goes where there is room, fill first."""
-    maps: list[dict] = []
-    for name, semantic in requests:
-        wanted = ["fill"] if semantic in FILL else ["symbol"] if semantic in SYMBOL else ["fill", "symbol"]
-        spot = next(((m, c) for m in maps for c in wanted if c not in m), None)
-        if spot is None:
-            maps.append({"map": len(maps)})
-            spot = (maps[-1], wanted[0])
-        spot[0][spot[1]] = name
-    return maps
+def allocate(requests: list[tuple[str, str]]) -> tuple[list[dict], list[tuple[str, str]]]:
+    """``(name, semantic)`` to (maps, rejected): fills and symbols pair up in the order they were asked for, so that what a full channel
+    turns away goes to the next map. Rejected, with the reason: what suits neither channel."""
+    fills, symbols = ([n for n, s in requests if s in channel] for channel in (FILL, SYMBOL))
+    kinds = dict(requests)
+    maps = []
+    for k in range(max(len(fills), len(symbols))):
+        fill, symbol = (names[k] if k < len(names) else None for names in (fills, symbols))
+        kind = "graduated-symbol" if fill is None else "categorized" if symbol is None and kinds[fill] == "category" else "choropleth-symbol" if symbol else "choropleth"
+        maps.append({"map": k, "fill": fill, "symbol": symbol, "kind": kind})
+    why = {"time": "no quantity", "identifier": "no quantity", "text": "no quantity", "coordinate": "a coordinate"}
+    return maps, [(n, why.get(s, "meaning unclear")) for n, s in requests if s not in FILL | SYMBOL]
+
+
+def conflicts(requests: list[tuple[str, str]]) -> list[str]:
+    """What to say before an allocation is accepted: channels asked for twice, categories beside continuous fills."""
+    fills, symbols = ([s for _, s in requests if s in channel] for channel in (FILL, SYMBOL))
+    mixed = "category" in fills and set(fills) != {"category"}
+    return [x for x, found in (("fill-taken", len(fills) > 1), ("symbol-taken", len(symbols) > 1), ("category-beside-continuous", mixed)) if found]
+
+
+def frame_coverage(values: DataFrame, key: str, period: str, columns: list[str]) -> DataFrame:
+    """``(period, units)``: for each frame of a series the units with any value."""
+    some = F.greatest(*(F.col(c).isNotNull().cast("int") for c in columns), F.lit(0)) == 1
+    return values.groupBy(period).agg(F.countDistinct(F.when(some, F.col(key))).alias("units"))
+
+
+def units_shown(drawn: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: units with a fill or a symbol."""
+    some = F.lit(False)
+    for c in columns:
+        some = some | F.col(c).isNotNull()
+    return drawn.agg(F.count_if(some).alias("units"))
+
+
+def insight(drawn: DataFrame, category: bool = False) -> DataFrame:
+    """One row ``(unit, value, n_units)``: the unit with the highest value, of equal ones the first by name; or the commonest category."""
+    if category:
+        return drawn.where("value is not null").groupBy("value").agg(F.count("*").alias("n_units")).agg(F.min_by(F.struct("value", "n_units"), F.struct((-F.col("n_units")).alias("n"), "value")).alias("b")).select(F.lit(None).cast("string").alias("unit"), "b.*")
+    best = F.min_by(F.struct("unit", "value"), F.struct((-F.col("value")).alias("v"), "unit"))
+    return drawn.where("value is not null").agg(best.alias("b"), F.count("*").alias("n_units")).select("b.*", "n_units")
+
+
+def page_payload(drawn: DataFrame, facts: DataFrame, spec: MapSpec) -> DataFrame:
+    """``(shape_id, payload)``: what an interactive page needs of each unit, as JSON: its name, colour, values as drawn and facts."""
+    shown = [c for c in ("unit", "value", "formatted", "symbol", "symbol_formatted", "class_idx", "colour", "radius", "label_rank") if c in drawn.columns]
+    told = [c for c in facts.columns if c != "shape_id"]
+    out = drawn.join(facts, "shape_id", "left")
+    return out.select("shape_id", F.to_json(F.struct(F.lit(spec.kind).alias("kind"), *shown, F.struct(*told).alias("facts"))).alias("payload"))
+
+
+def plan_table(spark, spec: MapSpec) -> DataFrame:
+    """``(item, setting, value)`` of a map before it is drawn, numbered, with the token that names these settings in the last row."""
+    rows = [(k, name, None if v is None else str(v)) for k, (name, v) in enumerate(asdict(spec).items(), 1)]
+    return spark.createDataFrame([*rows, (len(rows) + 1, "token", spec.token())], "item int, setting string, value string")

@@ -6,6 +6,7 @@ from ..operators import checks as ck
 from ..operators import classify as cl
 from . import classes as qc
 from . import matching as qm
+from .geography import MASSES, far_region, geo
 from .registry import query
 
 EMPTY = "SELECT NULL::VARCHAR AS id, NULL::VARCHAR AS severity, NULL::VARCHAR AS \"column\", NULL::DOUBLE AS metric WHERE false"
@@ -117,9 +118,17 @@ def check_categories_not_ordered(load, spark):
     return shown(ck.check_category_order(cl.category_order(load("customer"), "c_mktsegment")))
 
 
-@query("check_circles_hide_areas", row("circles-hide-areas", "'warning'", "width", "2.0"))
+@query("check_circles_hide_areas", row("circles-hide-areas", "'warning'", "width", "0.08 / w", "FROM (SELECT median(1 / (1 + sqrt(n))) AS w FROM (SELECT count(*) AS n FROM supplier GROUP BY s_nationkey))", "0.08 > 1.6 * w"))
 def check_circles_hide_areas(load, spark):
-    return shown(ck.check_occlusion(load("nation").select(F.lit(1.0).alias("width")), "width", 1.0))
+    widths = load("supplier").groupBy("s_nationkey").agg((1 / (1 + F.sqrt(F.count("*")))).alias("width"))
+    return shown(ck.check_occlusion(widths, "width", 0.04))
+
+
+@query("check_circles_leave_areas", EMPTY)
+def check_circles_leave_areas(load, spark):
+    """Circles far smaller than the units say nothing."""
+    widths = load("supplier").groupBy("s_nationkey").agg((10 + F.count("*")).alias("width"))
+    return shown(ck.check_occlusion(widths, "width", 0.04))
 
 
 @query("check_few_labels", row("few-labels", "CASE WHEN s < 0.25 THEN 'critical' ELSE 'warning' END", "", "s", "FROM (SELECT least(45, count(*)) / count(*) AS s FROM customer)", "s < 0.6"))
@@ -127,9 +136,9 @@ def check_few_labels(load, spark):
     return shown(ck.check_labels(load("customer")))
 
 
-@query("check_detached_land_no_inset", row("detached-land-no-inset", "'critical'", "", "0.4"))
+@query("check_detached_land_no_inset", f"{MASSES} {row('detached-land-no-inset', \"CASE WHEN s < 0.5 THEN 'critical' ELSE 'warning' END\", '', 's', 'FROM (SELECT arg_max(width, (area, width)) / (SELECT max(x) + 1 - min(x) FROM s) AS s FROM g)', 's < 0.8')}")
 def check_detached_land_no_inset(load, spark):
-    return shown(ck.check_detached(load("region").agg((F.count("*") * 0 + 0.4).alias("main_width_share"))))
+    return shown(ck.check_detached(geo.land_report(geo.land_masses(far_region(load), 0.1))))
 
 
 @query("check_mostly_missing", row("mostly-missing", "'warning'", "big", "s", "FROM (SELECT count(*) FILTER (o_totalprice <= 200000) / count(*) AS s FROM orders)", "s >= 0.4"))

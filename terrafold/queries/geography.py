@@ -63,15 +63,85 @@ def geo_outline(load, spark):
     return geo.outline(squares(load))
 
 
-@query("geo_land_masses", "SELECT 1::BIGINT AS mass, 15::BIGINT AS n_parts, 15.0::DOUBLE AS area, 5.0::DOUBLE AS width UNION ALL SELECT 16, 10, 10.0, 5.0")
+def shifted(load):
+    """Rows 3 and 4 of the grid lie two units apart from the others; one square of row 0 is an L around its neighbour's corner."""
+    move = F.when(F.col("shape_id") >= 15, 2.0).otherwise(0.0)
+    return squares(load).withColumn("geom", F.transform("geom", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct(v["x"].alias("x"), (v["y"] + move).alias("y"))))))
+
+
+@query("geo_land_masses", "SELECT '0:0' AS mass, 15::BIGINT AS n_parts, count(*) FILTER (n_nationkey < 15)::DOUBLE AS area, 5.0::DOUBLE AS width FROM nation UNION ALL SELECT '15:0', 10, count(*) FILTER (n_nationkey >= 15), 5.0 FROM nation")
 def geo_land_masses(load, spark):
-    """Rows 3 and 4 of the grid lie two units apart from the others."""
-    moved = squares(load).withColumn("geom", F.transform("geom", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct(v["x"].alias("x"), (v["y"] + F.when(F.col("shape_id") >= 15, 2.0).otherwise(0.0)).alias("y"))))))
-    out = geo.land_masses(moved, 0.5)
-    return out.select("mass", "n_parts", F.round("area", 6).alias("area"), F.round("width", 6).alias("width"))
+    out = geo.land_masses(shifted(load), 0.5)
+    return out.select("mass", "n_parts", F.round("area", 6).alias("area"), F.round(F.col("x1") - F.col("x0"), 6).alias("width"))
+
+
+FAR = "CASE WHEN n_regionkey = 2 THEN 12.0 ELSE 0.0 END"
+
+
+def far_region(load):
+    """The squares of region 2 lie twelve units to the east."""
+    move = F.when(F.col("n_regionkey") == 2, 12.0).otherwise(0.0)
+    return squares(load).withColumn("geom", F.transform("geom", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct((v["x"] + move).alias("x"), v["y"].alias("y"))))))
+
+
+# Squares touch along edges and at corners; the components of each side are found by spreading labels eight ways.
+MASSES = f"""WITH RECURSIVE s AS (SELECT n_nationkey AS k, {X} + {FAR} AS x, {Y} AS y FROM nation),
+r AS (SELECT k, k AS m, x, y, 0 AS d FROM s UNION SELECT s.k, r.m, s.x, s.y, 0 FROM r JOIN s ON abs(s.x - r.x) <= 1 AND abs(s.y - r.y) <= 1),
+m AS (SELECT k, min(m) AS mass, any_value(x) AS x, any_value(y) AS y FROM r GROUP BY k),
+g AS (SELECT mass, count(*)::DOUBLE AS area, max(x) + 1 - min(x) AS width FROM m GROUP BY mass)"""
+
+
+@query("geo_land_report", f"{MASSES} SELECT count(*) AS mass_count, round(max(area) / sum(area), 6) AS main_area_share, round(arg_max(width, (area, width)) / (SELECT max(x) + 1 - min(x) FROM s), 6)::DOUBLE AS main_width_share FROM g")
+def geo_land_report(load, spark):
+    out = geo.land_report(geo.land_masses(far_region(load), 0.1))
+    return out.select("mass_count", F.round("main_area_share", 6).alias("main_area_share"), F.round("main_width_share", 6).alias("main_width_share"))
+
+
+# A shape for each region; its squares but the first, which is three units wide, reach it by chains of gaps of up to 0.75 units.
+HULL = """WITH RECURSIVE p AS (SELECT n_regionkey AS shape_id, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS i, n_nationkey AS k FROM nation),
+b AS (SELECT shape_id, i, CASE WHEN i = 0 THEN 0.0 ELSE 3.0 + (i - 1) * 1.5 + CASE WHEN k % 3 = 0 AND i > 2 THEN 40.0 ELSE 0.5 END END AS x0, CASE WHEN i = 0 THEN 3.0 ELSE 3.0 + (i - 1) * 1.5 + CASE WHEN k % 3 = 0 AND i > 2 THEN 40.0 ELSE 0.5 END + 1 END AS x1, CASE WHEN i = 0 THEN 3.0 ELSE 1.0 END AS area FROM p),
+h AS (SELECT shape_id, 3.0::DOUBLE AS hi, 0 AS step FROM b WHERE i = 0 UNION ALL SELECT h.shape_id, (SELECT max(x1) FROM b WHERE b.shape_id = h.shape_id AND b.x0 - h.hi <= 0.75 * sqrt(3.0))::DOUBLE, step + 1 FROM h WHERE step < 30),
+e AS (SELECT shape_id, max(hi) AS hi FROM h GROUP BY 1)"""
 
 
-@query("geo_main_landmass", "SELECT n_regionkey AS shape_id, count(*) AS n_parts FROM nation GROUP BY 1")
+def archipelagos(load):
+    from pyspark.sql import Window
+
+    i = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
+    n = load("nation").select("n_regionkey", i.alias("i"), "n_nationkey")
+    x0 = F.when(F.col("i") == 0, 0.0).otherwise(3.0 + (F.col("i") - 1) * 1.5 + F.when((F.col("n_nationkey") % 3 == 0) & (F.col("i") > 2), 40.0).otherwise(0.5))
+    x1 = F.when(F.col("i") == 0, 3.0).otherwise(x0 + 1)
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(y).alias("y"))
+    ring = F.array(corner(x0, 0.0), corner(x1, 0.0), corner(x1, 1.0), corner(x0, 1.0))
+    parts = n.select("n_regionkey", F.struct("i", F.array(ring).alias("part")).alias("p")).groupBy(F.col("n_regionkey").alias("shape_id"))
+    return parts.agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]).alias("geom"))
+
+
+@query("geo_main_landmass", f"""{HULL} SELECT shape_id, count(*)::INT AS n_parts, array_to_string(list_sort(list(i) FILTER (x0 - hi <= 0.75 * sqrt(3.0))), ',') AS kept, round(sum(area) FILTER (x0 - hi <= 0.75 * sqrt(3.0)) / sum(area), 6) AS share FROM b JOIN e USING (shape_id) GROUP BY shape_id""")
 def geo_main_landmass(load, spark):
-    regions = squares(load).groupBy(F.col("n_regionkey").alias("shape_id")).agg(F.flatten(F.collect_list("geom")).alias("geom"))
-    return geo.main_parts(regions).select("shape_id", "n_parts")
+    return geo.main_parts(archipelagos(load)).select("shape_id", "n_parts", F.array_join("kept", ",").alias("kept"), F.round("share", 6).alias("share"))
+
+
+@query("geo_inner_point", f"SELECT n_nationkey AS shape_id, ({X} + 0.5)::DOUBLE AS x, ({Y} + 0.5)::DOUBLE AS y FROM nation")
+def geo_inner_point(load, spark):
+    return geo.inner_points(squares(load))
+
+
+@query("geo_total_bounds", f"SELECT min({X})::DOUBLE AS x0, min({Y})::DOUBLE AS y0, max({X} + 1)::DOUBLE AS x1, max({Y} + 1)::DOUBLE AS y1, ((max({X} + 1) - min({X}))::DOUBLE / (max({Y} + 1) - min({Y}))) AS aspect FROM nation WHERE n_regionkey < 3")
+def geo_total_bounds(load, spark):
+    return geo.total_bounds(squares(load).where("n_regionkey < 3"))
+
+
+@query("geo_inset_view", f"""WITH s AS (SELECT {X} + {FAR} AS x, {Y} AS y, {X} + {FAR} + 0.5 < 10 AS main FROM nation),
+b AS (SELECT min(x) FILTER (main) AS a0, min(y) FILTER (main) AS b0, max(x + 1) FILTER (main) AS a1, max(y + 1) FILTER (main) AS b1, min(x) FILTER (NOT main) AS c0, min(y) FILTER (NOT main) AS d0, max(x + 1) FILTER (NOT main) AS c1, max(y + 1) FILTER (NOT main) AS d1 FROM s),
+v AS (SELECT *, (b1 - b0) * 0.3 AS bh, (b1 - b0) * 0.3 * (c1 - c0) / (d1 - d0) AS bw FROM b)
+SELECT round(a0, 6)::DOUBLE AS view_x0, round(a1 + 0.09 * (a1 - a0) + bw, 6)::DOUBLE AS view_x1, round(a1 + 0.045 * (a1 - a0), 6)::DOUBLE AS inset_x0, round(b0 + 0.045 * (a1 - a0), 6)::DOUBLE AS inset_y0, round(bw, 6)::DOUBLE AS box_w, round(bh, 6)::DOUBLE AS box_h, round(bw / (c1 - c0), 6)::DOUBLE AS scale FROM v""")
+def geo_inset_view(load, spark):
+    out = geo.inset_view(far_region(load), 10.0)
+    return out.select(*(F.round(c, 6).alias(c) for c in ("view_x0", "view_x1", "inset_x0", "inset_y0", "box_w", "box_h", "scale")))
+
+
+@query("geo_unit_facts", "SELECT n_nationkey AS shape_id, 1.0::DOUBLE AS area, (n_nationkey * 1000)::DOUBLE AS population, (n_nationkey * 1000)::DOUBLE AS density FROM nation")
+def geo_unit_facts(load, spark):
+    shapes = squares(load).withColumn("dan_so", (F.col("shape_id") * 1000).cast("string"))
+    return geo.shape_facts(shapes, {"population": "dan_so"}).withColumn("area", F.round("area", 9)).withColumn("density", F.round("density", 6))

@@ -48,7 +48,7 @@ def long_double_counting(load, spark):
     return lf.double_counting_axes(long_table(load), "user_id", ["indicator", "sex", "period"])
 
 
-@query("long_slices", f"""SELECT indicator, count(*) AS n_rows, count(DISTINCT user_id) AS places, round(sum(value), 1) AS raw_total, array_to_string(list_sort(list(DISTINCT period)), ',') AS periods FROM {LONG_SQL} GROUP BY indicator""")
+@query("long_slices", f"""SELECT indicator, count(*) AS n_rows, count(DISTINCT user_id) AS places, round(sum(value::VARCHAR::DECIMAL(38, 10)), 1)::DOUBLE AS raw_total, array_to_string(list_sort(list(DISTINCT period)), ',') AS periods FROM {LONG_SQL} GROUP BY indicator""")
 def long_slices(load, spark):
     return lf.indicator_slices(long_table(load), "indicator", "user_id", "value", "period").withColumn("periods", F.array_join("periods", ","))
 

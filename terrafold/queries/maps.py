@@ -7,22 +7,25 @@ from ..plans import mapquery as mq
 from .classes import quantile_sql
 from .registry import query
 
-FACTS = """(SELECT c_nationkey AS shape_id, l_discount, l_quantity, l_extendedprice, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 6 <> 1)"""
+FACTS = """(SELECT c_nationkey AS shape_id, l_discount, l_quantity, l_extendedprice, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+# Nations, and a unit for each region that no fact names: they keep the colour of no data.
+UNITS = "(SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100 + r_regionkey, r_name FROM region)"
 
 
 def facts(load):
-    rows = load("lineitem").join(load("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(load("customer").where("c_nationkey % 6 <> 1"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = load("lineitem").join(load("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(load("customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.select(F.col("c_nationkey").alias("shape_id"), "l_discount", "l_quantity", "l_extendedprice", "o_orderpriority", "o_orderdate")
 
 
 def units(load):
-    return load("nation").select(F.col("n_nationkey").alias("shape_id"), F.col("n_name").alias("unit"))
+    nations = load("nation").select(F.col("n_nationkey").alias("shape_id"), F.col("n_name").alias("unit"))
+    return nations.union(load("region").select(F.col("r_regionkey") + 100, "r_name"))
 
 
 FILL = f"(SELECT shape_id, sum(l_discount * l_quantity) / sum(l_quantity) * 100 AS v FROM {FACTS} GROUP BY 1)"
 COLOURS = "['#dceefb', '#a9d2ec', '#6ba9d5', '#2f7cb8', '#005eaa']"
 CLASS = "least((SELECT count(*) FROM bins, (SELECT e FROM edges) WHERE v > e[class_idx + 2] + 1e-9), (SELECT count(*) FROM bins) - 1)::INT"
-CHOROPLETH = f"""WITH {quantile_sql(FILL, 5)}, x AS (SELECT n_nationkey AS shape_id, n_name AS unit, v, CASE WHEN v IS NOT NULL THEN {CLASS} END AS class_idx FROM nation LEFT JOIN {FILL} f ON f.shape_id = n_nationkey)"""
+CHOROPLETH = f"""WITH {quantile_sql(FILL, 5)}, x AS (SELECT n_nationkey AS shape_id, n_name AS unit, v, CASE WHEN v IS NOT NULL THEN {CLASS} END AS class_idx FROM {UNITS} LEFT JOIN {FILL} f ON f.shape_id = n_nationkey)"""
 
 
 def weighted(load):
@@ -38,16 +41,16 @@ def map_choropleth(load, spark):
     return out.select("shape_id", "unit", F.round("value", 6).alias("value"), "class_idx", "colour")
 
 
-@query("map_legend", f"{CHOROPLETH} SELECT bins.class_idx, count(x.shape_id) AS n_units FROM bins LEFT JOIN x ON x.class_idx = bins.class_idx GROUP BY 1")
+@query("map_legend", f"{CHOROPLETH} SELECT bins.class_idx, count(x.shape_id) AS n_units, round((SELECT e[bins.class_idx + 1] FROM edges), 6) AS lo, round((SELECT e[bins.class_idx + 2] FROM edges), 6) AS hi, CASE WHEN (SELECT count(*) FROM bins) = 5 THEN {COLOURS}[bins.class_idx + 1] END AS colour FROM bins LEFT JOIN x ON x.class_idx = bins.class_idx GROUP BY 1")
 def map_legend(load, spark):
-    return mq.thematic_map(weighted(load), units(load), FILL_SPEC).legend.select("class_idx", "n_units")
+    return mq.thematic_map(weighted(load), units(load), FILL_SPEC).legend.select("class_idx", "n_units", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "colour")
 
 
 SYMBOLS = f"(SELECT shape_id, sum(l_quantity) AS s FROM {FACTS} GROUP BY 1)"
 RADIUS = f"round(CASE WHEN s > 0 THEN greatest(0.0022, 0.021 * sqrt(least(s / (SELECT max(s) FROM {SYMBOLS}), 1.0))) END, 8)"
 
 
-@query("map_graduated", f"SELECT n_nationkey AS shape_id, n_name AS unit, s AS symbol, {RADIUS} AS radius, CASE WHEN s IS NOT NULL THEN row_number() OVER (ORDER BY abs(s) DESC NULLS LAST, n_nationkey) END::INT AS label_rank FROM nation LEFT JOIN {SYMBOLS} y ON y.shape_id = n_nationkey")
+@query("map_graduated", f"SELECT n_nationkey AS shape_id, n_name AS unit, s AS symbol, {RADIUS} AS radius, CASE WHEN s IS NOT NULL THEN row_number() OVER (ORDER BY abs(s) DESC NULLS LAST, n_nationkey) END::INT AS label_rank FROM {UNITS} LEFT JOIN {SYMBOLS} y ON y.shape_id = n_nationkey")
 def map_graduated(load, spark):
     out = mq.thematic_map(facts(load), units(load), mq.MapSpec("graduated-symbol", symbol="l_quantity")).drawn
     return out.select("shape_id", "unit", "symbol", F.round("radius", 8).alias("radius"), "label_rank")
@@ -61,13 +64,13 @@ def map_choropleth_symbol(load, spark):
 
 @query("map_categorized", f"""WITH c AS (SELECT shape_id, arg_min(o_orderpriority, (-n, o_orderpriority)) AS value FROM (SELECT shape_id, o_orderpriority, count(*) AS n FROM {FACTS} GROUP BY ALL) GROUP BY 1),
 o AS (SELECT value, (row_number() OVER (ORDER BY value) - 1)::INT AS class_idx FROM (SELECT DISTINCT value FROM c))
-SELECT n_nationkey AS shape_id, value, class_idx FROM nation LEFT JOIN c ON shape_id = n_nationkey LEFT JOIN o USING (value)""")
+SELECT n_nationkey AS shape_id, value, class_idx FROM {UNITS} LEFT JOIN c ON shape_id = n_nationkey LEFT JOIN o USING (value)""")
 def map_categorized(load, spark):
     out = mq.thematic_map(facts(load), units(load), mq.MapSpec("categorized", value="o_orderpriority", method="mode")).drawn
     return out.select("shape_id", "value", F.col("class_idx").cast("int").alias("class_idx"))
 
 
-@query("map_boundary", "SELECT n_nationkey AS shape_id, n_name AS unit FROM nation")
+@query("map_boundary", f"SELECT n_nationkey AS shape_id, n_name AS unit FROM {UNITS}")
 def map_boundary(load, spark):
     return mq.thematic_map(facts(load), units(load), mq.MapSpec("boundary")).drawn
 
@@ -77,7 +80,7 @@ CHANGE = "(SELECT c_nationkey, sum(o_totalprice) FILTER (year(o_orderdate) = 199
 
 @query("map_change", f"""WITH q AS (SELECT min(v) AS a, quantile_cont(v, [0.5]) FILTER (v < 0) AS n, quantile_cont(v, [0.5]) FILTER (v > 0) AS p, max(v) AS z FROM {CHANGE}),
 e AS (SELECT list_sort(list_distinct([a, n[1], 0.0, p[1], z])) AS e FROM q)
-SELECT n_nationkey AS shape_id, round(v, 2) AS value, CASE WHEN v IS NOT NULL THEN ((v > e[2] + 1e-9)::INT + (v > e[3] + 1e-9)::INT + (v > e[4] + 1e-9)::INT)::INT END AS class_idx FROM nation LEFT JOIN {CHANGE} c ON c_nationkey = n_nationkey, e""")
+SELECT n_nationkey AS shape_id, round(v, 2) AS value, CASE WHEN v IS NOT NULL THEN ((v > e[2] + 1e-9)::INT + (v > e[3] + 1e-9)::INT + (v > e[4] + 1e-9)::INT)::INT END AS class_idx FROM {UNITS} LEFT JOIN {CHANGE} c ON c_nationkey = n_nationkey, e""")
 def map_change(load, spark):
     from .aggregates import two_years
 
@@ -130,13 +133,46 @@ def frame_interpolation(load, spark):
     return mq.frame_colours(plan(load), coloured, "c_nationkey", "period")
 
 
-@query("layers_allocate", "SELECT * FROM (VALUES (0, 'coverage', 'cases'), (1, 'positivity', 'budget')) t(map, fill, symbol)")
+REQUESTS = {0: ("coverage", "percent"), 1: ("cases", "count"), 2: ("positivity", "percent"), 3: ("budget", "money"), 4: ("note", "text"), 5: ("lon", "coordinate"), 6: ("group", "category"), 7: ("thing", "unknown")}
+REQUESTED = ", ".join(f"({k}, '{n}', '{s}')" for k, (n, s) in REQUESTS.items())
+
+
+@query("layers_allocate", f"""WITH r(k, name, semantic) AS (VALUES {REQUESTED}), f AS (SELECT row_number() OVER (ORDER BY k) - 1 AS map, name, semantic FROM r WHERE semantic IN ('percent', 'rate-per-capita', 'percentage-point', 'ratio', 'score', 'category')),
+s AS (SELECT row_number() OVER (ORDER BY k) - 1 AS map, name FROM r WHERE semantic IN ('count', 'money'))
+SELECT map::INT AS map, f.name AS fill, s.name AS symbol, CASE WHEN f.name IS NULL THEN 'graduated-symbol' WHEN s.name IS NOT NULL THEN 'choropleth-symbol' WHEN f.semantic = 'category' THEN 'categorized' ELSE 'choropleth' END AS kind FROM f FULL JOIN s USING (map)
+UNION ALL SELECT -1, name, NULL, CASE semantic WHEN 'text' THEN 'no quantity' WHEN 'coordinate' THEN 'a coordinate' ELSE 'meaning unclear' END FROM r WHERE semantic IN ('text', 'coordinate', 'unknown')""")
 def layers_allocate(load, spark):
-    maps = mq.allocate([("coverage", "percent"), ("cases", "count"), ("positivity", "percent"), ("budget", "money")])
-    return spark.createDataFrame([(m["map"], m.get("fill"), m.get("symbol")) for m in maps], "map int, fill string, symbol string")
+    maps, rejected = mq.allocate(list(REQUESTS.values()))
+    rows = [(m["map"], m["fill"], m["symbol"], m["kind"]) for m in maps] + [(-1, n, None, why) for n, why in rejected]
+    return spark.createDataFrame(rows, "map int, fill string, symbol string, kind string")
 
 
-@query("insight_top_unit", f"SELECT n_name AS unit, round(v, 6) AS value FROM {FILL} f JOIN nation ON f.shape_id = n_nationkey ORDER BY v DESC, n_name LIMIT 1")
+@query("insight_top_unit", f"SELECT n_name AS unit, round(v, 6) AS value, (SELECT count(*) FROM {FILL}) AS n_units FROM {FILL} f JOIN nation ON f.shape_id = n_nationkey ORDER BY v DESC, n_name LIMIT 1")
 def insight_top_unit(load, spark):
-    drawn = mq.thematic_map(weighted(load), units(load), FILL_SPEC).drawn
-    return drawn.agg(F.max_by(F.struct("unit", F.round("value", 6).alias("value")), "value").alias("b")).select("b.*")
+    return mq.insight(mq.thematic_map(weighted(load), units(load), FILL_SPEC).drawn).withColumn("value", F.round("value", 6))
+
+
+@query("insight_category", f"SELECT NULL::VARCHAR AS unit, value, count(*) AS n_units FROM (SELECT shape_id, arg_min(o_orderpriority, (-n, o_orderpriority)) AS value FROM (SELECT shape_id, o_orderpriority, count(*) AS n FROM {FACTS} GROUP BY ALL) GROUP BY 1) GROUP BY value ORDER BY n_units DESC, value LIMIT 1")
+def insight_category(load, spark):
+    return mq.insight(mq.thematic_map(facts(load), units(load), mq.MapSpec("categorized", value="o_orderpriority", method="mode")).drawn, category=True)
+
+
+@query("map_units_shown", f"SELECT count(*) AS units FROM {SYMBOLS}")
+def map_units_shown(load, spark):
+    spec = mq.MapSpec("choropleth-symbol", value="percent", method="weighted-mean", weight="l_quantity", semantic="percent", symbol="l_quantity")
+    return mq.units_shown(mq.thematic_map(weighted(load), units(load), spec).drawn, ["value", "symbol"])
+
+
+@query("series_frame_coverage", f"SELECT period, count(DISTINCT c_nationkey) FILTER (v IS NOT NULL AND v > 1000000) AS units FROM {SERIES} GROUP BY period")
+def series_frame_coverage(load, spark):
+    values, _ = mq.series(yearly(load), "c_nationkey", "period", "o_totalprice")
+    return mq.frame_coverage(values.withColumn("shown", F.when(F.col("value") > 1000000, F.col("value"))), "c_nationkey", "period", ["shown"])
+
+
+@query("map_page_payload", f"SELECT n_nationkey AS shape_id, json_object('kind', 'graduated-symbol', 'unit', n_name, 'rank', CASE WHEN s IS NOT NULL THEN row_number() OVER (ORDER BY abs(s) DESC NULLS LAST, n_nationkey) END, 'people', CASE WHEN n_nationkey < 100 THEN n_nationkey * 1000 END)::VARCHAR AS payload FROM {UNITS} LEFT JOIN {SYMBOLS} y ON y.shape_id = n_nationkey")
+def map_page_payload(load, spark):
+    drawn = mq.thematic_map(facts(load), units(load), mq.MapSpec("graduated-symbol", symbol="l_quantity")).drawn
+    told = load("nation").select(F.col("n_nationkey").alias("shape_id"), (F.col("n_nationkey") * 1000).alias("people"))
+    out = mq.page_payload(drawn, told, mq.MapSpec("graduated-symbol", symbol="l_quantity"))
+    p = F.from_json("payload", "kind string, unit string, label_rank int, facts struct<people:int>")
+    return out.select("shape_id", F.to_json(F.struct(p["kind"].alias("kind"), p["unit"].alias("unit"), p["label_rank"].alias("rank"), p["facts"]["people"].alias("people")), {"ignoreNullFields": "false"}).alias("payload"))

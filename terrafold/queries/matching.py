@@ -174,10 +174,11 @@ def name_column_score(load, spark):
     return mt.name_column_scores(load("nation").join(load("region"), F.col("n_regionkey") == F.col("r_regionkey")), ["n_name", "r_name", "n_nationkey"])
 
 
-@query("coverage_left_join", """SELECT n_nationkey AS shape_id, round(v, 2) AS value FROM nation LEFT JOIN (SELECT c_nationkey, sum(c_acctbal) AS v FROM customer WHERE c_nationkey % 3 = 0 GROUP BY 1) ON c_nationkey = n_nationkey""")
+@query("coverage_left_join", """SELECT n_nationkey AS shape_id, round(v, 2) AS value FROM (SELECT n_nationkey FROM nation UNION ALL SELECT 100 + r_regionkey FROM region) LEFT JOIN (SELECT c_nationkey, sum(c_acctbal) AS v FROM customer GROUP BY 1) ON c_nationkey = n_nationkey""")
 def coverage_left_join(load, spark):
-    values = load("customer").where("c_nationkey % 3 = 0").groupBy(F.col("c_nationkey").alias("shape_id")).agg(F.round(F.sum("c_acctbal"), 2).alias("value"))
-    return load("nation").select(F.col("n_nationkey").alias("shape_id")).join(values, "shape_id", "left")
+    values = load("customer").groupBy(F.col("c_nationkey").alias("shape_id")).agg(F.round(F.sum("c_acctbal"), 2).alias("value"))
+    units = load("nation").select(F.col("n_nationkey").alias("shape_id")).union(load("region").select(F.col("r_regionkey") + 100))
+    return units.join(values, "shape_id", "left")
 
 
 @query("scope_matched_only", "SELECT n_nationkey AS shape_id, n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")

@@ -20,14 +20,14 @@ def normalize_sql(c: str, affixes: tx.Affixes = tx.VIETNAM) -> str:
     return f"trim(regexp_replace({front}, ' (?:{'|'.join(affixes.suffixes)})$', ''))"
 
 
-@query("text_deaccent", f"SELECT doc_id, {D.format('substr(text, 1, 200)')} AS plain FROM documents")
+@query("text_deaccent", f"SELECT doc_id, {D.format('text')} AS plain FROM documents")
 def text_deaccent(load, spark):
-    return load("documents").select("doc_id", tx.deaccent(F.substring("text", 1, 200)).alias("plain"))
+    return load("documents").select("doc_id", tx.deaccent(F.col("text")).alias("plain"))
 
 
-@query("text_normalize_plain", f"SELECT doc_id, {plain_sql('substr(text, 1, 200)')} AS plain FROM documents")
+@query("text_normalize_plain", f"SELECT doc_id, {plain_sql('text')} AS plain FROM documents")
 def text_normalize_plain(load, spark):
-    return load("documents").select("doc_id", tx.normalize_plain(F.substring("text", 1, 200)).alias("plain"))
+    return load("documents").select("doc_id", tx.normalize_plain(F.col("text")).alias("plain"))
 
 
 NAMES = "CASE p_partkey % 5 WHEN 0 THEN 'Thành phố ' || p_name WHEN 1 THEN p_name || ' Province' WHEN 2 THEN 'Tỉnh của-' || p_name WHEN 3 THEN 'Quận de ' || upper(p_name) ELSE 'Đ. ' || p_name END"
@@ -43,16 +43,16 @@ def text_slugify(load, spark):
     return load("part").select("p_partkey", tx.slugify(F.expr(NAMES)).alias("slug"))
 
 
-BLANKS = "CASE l_orderkey % 6 WHEN 0 THEN ' - ' WHEN 1 THEN 'N/A' WHEN 2 THEN 'không có' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE l_returnflag END"
+BLANKS = "CASE l_orderkey % 7 WHEN 0 THEN ' - ' WHEN 1 THEN 'N/A' WHEN 2 THEN 'không có' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN ' 	..	' ELSE l_returnflag END"
 BLANK_LIST = ", ".join(f"'{w}'" for w in tx.BLANK_WORDS)
 
 
-@query("text_is_blank", f"SELECT l_orderkey, l_linenumber, ({BLANKS}) IS NULL OR lower(trim({BLANKS})) IN ({BLANK_LIST}) AS blank FROM lineitem")
+@query("text_is_blank", f"SELECT l_orderkey, l_linenumber, ({BLANKS}) IS NULL OR lower(trim({BLANKS}, ' ' || chr(9))) IN ({BLANK_LIST}) AS blank FROM lineitem")
 def text_is_blank(load, spark):
     return load("lineitem").select("l_orderkey", "l_linenumber", tx.is_blank(F.expr(BLANKS)).alias("blank"))
 
 
-@query("text_label_of", f"SELECT l_orderkey, l_linenumber, CASE WHEN lower(trim(coalesce({BLANKS}, ''))) IN ('', 'nan', 'none', 'nat', 'null', '<na>') THEN '' ELSE trim({BLANKS}) END AS label FROM lineitem")
+@query("text_label_of", f"SELECT l_orderkey, l_linenumber, CASE WHEN lower(trim(coalesce({BLANKS}, ''), ' ' || chr(9))) IN ('', 'nan', 'none', 'nat', 'null', '<na>') THEN '' ELSE trim({BLANKS}, ' ' || chr(9)) END AS label FROM lineitem")
 def text_label_of(load, spark):
     return load("lineitem").select("l_orderkey", "l_linenumber", tx.label_of(F.expr(BLANKS)).alias("label"))
 
