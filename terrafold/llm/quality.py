@@ -51,25 +51,26 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null texts count as empty: all zero. Whole texts; only the words of languages without a list are shuffled, as counts. Repeated windows are found on 64-bit hashes.
     """
-    text, words = F.col("text"), F.col("words")
+    text, words, size = F.col("text"), F.col("words"), lambda c: F.char_length(c).cast("long")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.join(F.broadcast(stage(own_words(docs, text_col, lang_col), "own-words")), "lang", "left")
-    cut = base.withColumn("words", F.array_remove(F.split("text", BLANK_CLASS + "+"), ""))
-    hashed = cut.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("hits", F.filter("words", lambda w: w.isin(WORDS)))
-    hashed = hashed.withColumn("left", F.array_join(F.transform(words, lambda w: F.when(w.rlike(r"\p{Nd}"), "0").otherwise(w)), " "))
+    cut = base.withColumn("words", F.array_remove(F.split("text", BLANK_CLASS + "+"), "")).withColumn("joined", F.array_join("words", " "))
+    # Common words, each between blanks of its own, so that one replacement counts one word.
+    hits = F.concat(F.lit(" "), F.array_join(F.filter(words, lambda w: w.isin(WORDS)), "  "), F.lit(" "))
+    hashed = cut.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("hits", hits)
+    # A word with a digit becomes one digit.
+    hashed = hashed.withColumn("left", F.regexp_replace("joined", r"(?<![^ ])[^ \p{Nd}]*+\p{Nd}[^ ]*", "0"))
     for k, (name, pattern) in enumerate(CHAR_CLASSES):
         hashed = hashed.withColumn(f"left{k}", F.regexp_replace("left" if k == 0 else f"left{k - 1}", f"(?:{pattern})+", ""))
-    size = lambda c: F.char_length(c).cast("long")
     last = len(CHAR_CLASSES) - 1
     lefts = [F.col("left"), *(F.col(f"left{k}") for k in range(last + 1))]
     chars = F.array(*(size(a) - size(b) for a, b in zip(lefts, lefts[1:])), size(lefts[-1]))
-    n_hits = F.size("hits")
-    commons = F.array(*((n_hits - F.size(F.array_remove("hits", w))).cast("long") for w in WORDS))
+    commons = F.array(*(((size(F.col("hits")) - size(F.replace("hits", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in WORDS))
     own = F.transform("own_words", lambda w: F.size(F.filter(words, lambda x: x == w)).cast("long"))
+    n_words = F.size(words).cast("long")
     counted = hashed.select(
-        "doc_id", "lang", F.size(words).cast("long").alias("n_words"), size(F.array_join(words, "")).alias("word_chars"), (size(text) - size(F.translate(text, SYMBOLS, ""))).alias("n_symbols"), chars.alias("chars"), commons.alias("commons"), own.alias("own"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CLASS)).alias("lines"),
-        F.when(F.size("hashes") > WINDOW, F.transform(F.sequence(F.lit(0), F.size("hashes") - WINDOW), lambda i: F.xxhash64(*(F.get(F.col("hashes"), i + k) for k in range(WINDOW))))).alias("windows"),
+        "doc_id", "lang", n_words.alias("n_words"), (size(F.col("joined")) - F.greatest(n_words - 1, F.lit(0))).alias("word_chars"), size(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).alias("n_symbols"), chars.alias("chars"), commons.alias("commons"), own.alias("own"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CLASS)).alias("lines"), F.when(F.size("hashes") > WINDOW, _window_hashes(F.col("hashes"))).alias("windows"),
     )
     return counted.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols",
@@ -77,6 +78,15 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def _window_hashes(hashes: Column) -> Column:
+    """Hashes of all runs of WINDOW (a power of two) elements: of pairs, of pairs of those, and so on."""
+    out, step = hashes, 1
+    while step < WINDOW:
+        out = F.zip_with(out, F.slice(out, step + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+        step *= 2
+    return F.slice(out, F.lit(1), F.size(hashes) - (WINDOW - 1))
+
+
 def _repeat_words(windows: Column) -> Column:
     """Words covered by the windows that occur twice or more; only texts with a repeat pay for the sort."""
     def repeated(s: Column) -> Column:

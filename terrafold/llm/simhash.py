@@ -148,6 +148,24 @@ SIZE_STEPS = 2048
 COMMON_LEAST, COMMON_SAMPLE, COMMON_MOST = 3, 8, 1 << 16
 
 
+#: A class carries the parities of SKETCH_BITS counters of its shingles, by their low bits.
+SKETCH_BITS = 1024
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+
+
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of distinct shingles in each counter, as SKETCH_BITS // 64 words."""
+    odd = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sketches_allow(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """If two sets can be similar by their sketches: each parity that differs takes a shingle that only one of them has, and similar
+    sets have few of those. It never denies a similar pair."""
+    differ = reduce(Column.__add__, [F.bit_count(a(c).bitwiseXOR(b(c))) for c in SKETCH])
+    return differ * (1 + COPY_SIMILARITY) <= (a("n") + b("n")) * (1 - COPY_SIMILARITY) + 1e-6
+
+
 def _check(shingles: np.ndarray) -> int:
     """48 bits of the shingles' SimHash and 16 bits of the logarithm of their number."""
     return _votes(shingles) & ~0xFFFF | int(math.log1p(len(shingles)) * SIZE_STEPS)
@@ -181,6 +199,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame) -> DataFram
     return out
 
 
+def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The distinct ``pairs(u, v)`` whose sketches in ``classes(id, n, sketch..)`` allow a link."""
+    own = classes.select("id", "n", *SKETCH)
+    left, right = _side(own, "a").withColumnRenamed("a_id", "u"), _side(own, "b").withColumnRenamed("b_id", "v")
+    return pairs.distinct().join(left, "u").join(right, "v").where(_sketches_allow(_of("a"), _of("b"))).select("u", "v")
+
+
 def _star_pairs(classes: DataFrame, fps: list[str]) -> DataFrame:
     """``classes(id, check, fps..)`` to some near pairs ``(u, v)``, of a class and the least one of a bucket: at most one for each
     class, fingerprint and segment. Buckets share a segment and a step of size. A large group fills its buckets, so its members
@@ -257,21 +282,21 @@ def _index_stars(index: DataFrame) -> DataFrame:
     """Some pairs ``(u, v)`` that meet in ``index``: of a class and the least one at a key."""
     centres = index.groupBy("key").agg(F.min(F.struct("id", "n", "pos")).alias("c")).select("key", "c.*").toDF("key", "a_id", "a_n", "a_pos")
     met = index.join(centres, "key").where((_of("a")("id") != F.col("id")) & _can_link(_of("a"), F.col))
-    return met.select(F.col("a_id").alias("u"), F.col("id").alias("v")).distinct()
+    return met.select(F.col("a_id").alias("u"), F.col("id").alias("v"))
 
 
-def _index_pairs(index: DataFrame) -> DataFrame:
-    """All pairs ``(u, v)`` of different groups that meet in ``index(key, id, grp, n, pos)`` and can be similar. At each key the largest
-    group stands on one side only, so its members are not compared with each other."""
+def _index_pairs(index: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs ``(u, v)`` of different groups that meet in ``index(key, id, grp, n, pos)`` and can be similar, by their places and by the
+    sketches in ``classes``. At each key the largest group stands on one side only, so its members are not compared with each other."""
     sizes = index.groupBy("key", "grp").agg(F.count("*").alias("m"))
     keys = stage(sizes.groupBy("key").agg(F.max(F.struct("m", "grp"))["grp"].alias("major"), F.count("*").alias("groups")).where("groups > 1").select("key", "major"), "open-keys")
-    here = index.join(keys, "key")
+    here = stage(index.join(keys, "key").join(classes.select("id", *SKETCH), "id"), "open-index")
     left, right = _side(here.where("grp <> major"), "a"), _side(here, "b")
     a, b = _of("a"), _of("b")
     once = (b("grp") == b("major")) | (a("id") < b("id"))
-    met = left.join(right, (a("key") == b("key")) & (a("grp") != b("grp")) & once & _can_link(a, b))
+    met = left.join(right, (a("key") == b("key")) & (a("grp") != b("grp")) & once & _can_link(a, b) & _sketches_allow(a, b))
     out = stage(met.select(F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v")).distinct(), "near-classes")
-    discard(keys)
+    discard(keys, here)
     return out
 
 
@@ -291,7 +316,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, firsts, n = [], [], []
+            out, firsts, n, sketches = [], [], [], []
             for t in b.column(2).to_pylist():
                 words = _word_list(t)
                 distinct, shingles = list(set(words)), np.unique(shingle_hashes(words, COPY_SHINGLE))
@@ -299,15 +324,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 out.append((xxhash.xxh64_intdigest(b" ".join(words)), _check(shingles) if words else 0, *own))
                 firsts.append(prefix(shingles, common, ranks).view(np.int64))
                 n.append(len(shingles))
+                sketches.append(_sketch(shingles))
             cols = np.array(out, np.uint64).reshape(-1, 2 + len(fps)).view(np.int64)
+            parities = np.array(sketches, np.int64).reshape(-1, len(SKETCH))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array(c) for c in cols.T), pa.array(n, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["row", "doc_id", "id", "check", *fps, "n", "prefix"]
+                [b.column(0), b.column(1), *(pa.array(c) for c in cols.T), pa.array(n, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), *(pa.array(c) for c in parities.T)],
+                ["row", "doc_id", "id", "check", *fps, "n", "prefix", *SKETCH],
             )
 
-    schema = f"row struct<f:bigint,i:bigint>, doc_id long, id long, check long, {', '.join(f'{c} long' for c in fps)}, n int, prefix array<long>"
+    schema = f"row struct<f:bigint,i:bigint>, doc_id long, id long, check long, {', '.join(f'{c} long' for c in fps)}, n int, prefix array<long>, {', '.join(f'{c} long' for c in SKETCH)}"
     prints = stage(rows.mapInArrow(run, schema), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    classes = stage(prints.groupBy("id").agg(*(F.first(c).alias(c) for c in ("check", *fps)), F.min(order).alias("keep")), "classes")
+    classes = stage(prints.groupBy("id").agg(*(F.first(c).alias(c) for c in ("check", *fps, "n", *SKETCH)), F.min(order).alias("keep")), "classes")
 
     keepers = classes.select("id", F.col("keep.row").alias("row"))
 
@@ -320,10 +348,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # Stars, by SimHash and at the prefix index, join the bulk of large groups; the exact join pairs only what is still apart.
     hot = _hot_index(prints)
-    stars = stage(_star_pairs(classes, fps).union(_index_stars(hot)).distinct(), "star-pairs")
+    stars = stage(_allowed(_star_pairs(classes, fps).union(_index_stars(hot)), classes), "star-pairs")
     star_links = _verified(stars, rows, keepers)
     some = named(hot, star_links, "grouped-index")
-    near = _index_pairs(some)
+    near = _index_pairs(some, classes)
     links = star_links.union(_verified(near, rows, keepers))
     groups = named(classes.select("id", "keep"), links, "groups")
     kept = groups.groupBy("grp").agg(F.min("keep").alias("best")).select(F.col("best.row").alias("row"))
