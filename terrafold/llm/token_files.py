@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import array
+import functools
 import json
 import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,50 +28,78 @@ FILE_BYTES, FILES_PER_CORE = 128 << 20, 4
 PAGE = 4096
 
 
-def splits_at_spaces(tokenizer_json: str) -> bool:
-    """If the tokenizer never joins what a single blank between two visible characters parts: it doesn't normalise, and cuts texts by
-    the byte-level rule, whose pieces start at such a blank."""
+# Fixed value: how the library's byte-level rule cuts a text before merging.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def cuts_into_pieces(tokenizer_json: str) -> bool:
+    """If the tokenizer takes texts as they are and cuts them by the byte-level rule, across whose PIECES nothing merges."""
     told = json.loads(tokenizer_json)
     cut = told.get("pre_tokenizer") or {}
-    plain = told.get("normalizer") is None and told.get("post_processor") is None and told.get("truncation") is None and told.get("padding") is None
+    plain = all(told.get(k) is None for k in ("normalizer", "post_processor", "truncation", "padding"))
     return plain and told["model"].get("type") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, as bytes.
 
-    Where `splits_at_spaces` holds, texts are cut there, and each distinct piece is encoded by the library once and remembered, up to
-    ROOM pieces. Other tokenizers, and texts that hold a special token's string, or U+180E, on which regular expression libraries
+    Where `cuts_into_pieces` holds, a text is parted at each blank between two visible characters, where a piece always starts, and
+    the parts into pieces; the library encodes each distinct piece. Parts and pieces met before are remembered, up to ROOM of either.
+    Other tokenizers, and texts that hold a special token's string or one of the controls on which regular expression libraries
     differ, go to the library whole."""
 
-    ROOM = 400_000
+    ROOM = 500_000
+    CONTROLS = "[\x1c-\x1f\x85\u180e]"
 
     def __init__(self, path: str, kind: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.tokenizer, self.kind = Tokenizer.from_file(path), np.dtype(kind)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([*special, "\u180e"])).search if splits_at_spaces(self.tokenizer.to_str()) else lambda text: True
-        self.cut = re.compile(r" (?<=\S )(?=\S)").split
-        self.known: dict[str, bytes] = {}
+        self.whole = re.compile("|".join([*special, self.CONTROLS])).search if cuts_into_pieces(self.tokenizer.to_str()) else lambda text: True
+        self.cut, self.find = re.compile(r" (?<=\S )(?=\S)").split, regex.compile(PIECES).findall
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array.array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, by its pieces."""
+        known, cut = self.pieces, [self.find(t) for t in texts]
+        new = list({p for pieces in cut for p in pieces if p not in known})
+        if len(known) > self.ROOM:
+            known.clear()
+            new = list({p for pieces in cut for p in pieces})
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[p] = self._bytes(e.ids)
+        return [b"".join([known[p] for p in pieces]) for pieces in cut]
 
     def __call__(self, text: str) -> bytes:
         if self.whole(text):
             return self._ids(text)
-        known, (first, *pieces) = self.known, self.cut(text)
-        new = list(set(pieces).difference(known))
-        if len(known) + len(new) > self.ROOM:
+        known, (first, *parts) = self.parts, self.cut(text)
+        if len(known) > self.ROOM:
             known.clear()
-            new = list(set(pieces))
+        new = list(set(parts).difference(known))
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([f" {p}" for p in part], add_special_tokens=False)):
-                known[p] = np.array(e.ids, self.kind).tobytes()
-        return self._ids(first) + b"".join(map(known.__getitem__, pieces))
+            some = new[at : at + 4096]
+            known.update(zip(some, self._encoded([f" {p}" for p in some])))
+        return b"".join([*self._encoded([first]), *map(known.__getitem__, parts)])
+
+
+@functools.cache
+def encoder(path: str, kind: str) -> Encoder:
+    """One for each worker process: what it remembers serves all its tasks."""
+    return Encoder(path, kind)
 
 
 def _join(folder: str, name: str) -> tuple[pafs.FileSystem, str]:
@@ -103,7 +135,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        part, encode, end = context.partitionId(), Encoder(tokenizer, f"<u{width}"), np.array([end_id], f"<u{width}").tobytes()
+        part, encode, end = context.partitionId(), encoder(tokenizer, f"<u{width}"), np.array([end_id], f"<u{width}").tobytes()
         name = f"part-{part:06d}-{context.taskAttemptId()}"
         n_docs, n_null, at = 0, 0, 0
         fs, path = _join(folder, name)
