@@ -136,7 +136,10 @@ def check_few_labels(load, spark):
     return shown(ck.check_labels(load("customer")))
 
 
-@query("check_detached_land_no_inset", f"{MASSES} {row('detached-land-no-inset', \"CASE WHEN s < 0.5 THEN 'critical' ELSE 'warning' END\", '', 's', 'FROM (SELECT arg_max(width, (area, width)) / (SELECT max(x) + 1 - min(x) FROM s) AS s FROM g)', 's < 0.8')}")
+MAIN_SHARE = "FROM (SELECT arg_max(width, (area, width)) / (SELECT max(x) + 1 - min(x) FROM s) AS s FROM g)"
+
+
+@query("check_detached_land_no_inset", MASSES + row("detached-land-no-inset", "CASE WHEN s < 0.5 THEN 'critical' ELSE 'warning' END", "", "s", MAIN_SHARE, "s < 0.8"))
 def check_detached_land_no_inset(load, spark):
     return shown(ck.check_detached(geo.land_report(geo.land_masses(far_region(load), 0.1))))
 
