@@ -58,9 +58,9 @@ def discard(*tables: DataFrame) -> None:
 
 
 def sieve(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of the low bits of the 64-bit hashes in a column, for `passes`: what it stops is surely none of them. Sixteen bits a
-    key, SIEVE_BITS at most, which bounds what comes to the driver and goes to tasks; of more keys it lets more through."""
-    bits = 1 << min(max(10, (16 * keys.count()).bit_length()), SIEVE_BITS)
+    """A bitmap of the low bits of the 64-bit hashes in a column, for `passes`: what it stops is surely none of them. Sixty-four bits a
+    key, 2 to the SIEVE_BITS at most, which bounds what comes to the driver and goes to tasks; of more keys it lets more through."""
+    bits = 1 << min(max(10, (64 * keys.count()).bit_length()), SIEVE_BITS)
     slot = F.col(column).bitwiseAND(F.lit(bits - 1))
     words = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)

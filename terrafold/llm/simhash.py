@@ -159,11 +159,14 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _sketch_distance(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    return reduce(Column.__add__, [F.bit_count(a(c).bitwiseXOR(b(c))) for c in SKETCH])
+
+
 def _sketches_allow(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     """If two sets can be similar by their sketches: each parity that differs takes a shingle that only one of them has, and similar
     sets have few of those. It never denies a similar pair."""
-    differ = reduce(Column.__add__, [F.bit_count(a(c).bitwiseXOR(b(c))) for c in SKETCH])
-    return differ * (1 + COPY_SIMILARITY) <= (a("n") + b("n")) * (1 - COPY_SIMILARITY) + 1e-6
+    return _sketch_distance(a, b) * (1 + COPY_SIMILARITY) <= (a("n") + b("n")) * (1 - COPY_SIMILARITY) + 1e-6
 
 
 def _check(shingles: np.ndarray) -> int:
@@ -177,21 +180,27 @@ def _alike(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     return sizes & bits
 
 
+def _class_id(words: list[bytes]) -> int:
+    """The class of a word sequence."""
+    return xxhash.xxh64_intdigest(b" ".join(words))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame) -> DataFrame:
     """The ``pairs(u, v)`` of classes whose texts have similar sets of shingles: ``rows(row, doc_id, text)`` and, for each class, the
     row that stands for it, ``keepers(id, row)``. A sieve of the wanted rows lets few other texts through to be cut and shuffled."""
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    wanted = stage(keepers.join(ids, "id").select("id", "row", F.xxhash64("row.f", "row.i").alias("k")), "wanted")
+    wanted = stage(keepers.join(ids, "id").select(F.xxhash64("row.f", "row.i").alias("k")), "wanted")
     bitmap = rows.sparkSession.sparkContext.broadcast(sieve(wanted, "k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(passes(bitmap.value, b.column(1).to_numpy().view(np.uint64))))
-            sets = [np.unique(shingle_hashes(_word_list(t), COPY_SHINGLE)).view(np.int64) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["row", "shingles"])
+            b = b.filter(pa.array(passes(bitmap.value, b.column(0).to_numpy().view(np.uint64))))
+            words = [_word_list(t) for t in b.column(1).to_pylist()]
+            ids = np.array([_class_id(w) for w in words], np.uint64).view(np.int64)
+            sets = [np.unique(shingle_hashes(w, COPY_SHINGLE)).view(np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    keyed = rows.select("row", F.xxhash64("row.f", "row.i").alias("k"), "text")
-    sets = stage(keyed.mapInArrow(run, "row struct<f:bigint,i:bigint>, shingles array<long>").join(wanted, "row").select("id", "shingles"), "shingle-sets")
+    sets = stage(rows.select(F.xxhash64("row.f", "row.i").alias("k"), "text").mapInArrow(run, "id long, shingles array<long>"), "shingle-sets")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     out = stage(both.where(shared >= COPY_SIMILARITY * (F.size("a") + F.size("b") - shared)).select("u", "v"), "near-links")
@@ -199,11 +208,14 @@ def _verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame) -> DataFram
     return out
 
 
-def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The distinct ``pairs(u, v)`` whose sketches in ``classes(id, n, sketch..)`` allow a link."""
+def _nearest(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the ``pairs(u, v)`` whose sketches in ``classes(id, n, sketch..)`` allow a link, for each ``v`` the one whose sketches differ
+    least for their size."""
     own = classes.select("id", "n", *SKETCH)
     left, right = _side(own, "a").withColumnRenamed("a_id", "u"), _side(own, "b").withColumnRenamed("b_id", "v")
-    return pairs.distinct().join(left, "u").join(right, "v").where(_sketches_allow(_of("a"), _of("b"))).select("u", "v")
+    met = pairs.distinct().join(left, "u").join(right, "v").where(_sketches_allow(_of("a"), _of("b")))
+    apart = _sketch_distance(_of("a"), _of("b")) / (_of("a")("n") + _of("b")("n"))
+    return met.groupBy("v").agg(F.min_by("u", F.struct(apart, "u")).alias("u")).select("u", "v")
 
 
 def _star_pairs(classes: DataFrame, fps: list[str]) -> DataFrame:
@@ -321,7 +333,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 words = _word_list(t)
                 distinct, shingles = list(set(words)), np.unique(shingle_hashes(words, COPY_SHINGLE))
                 own = [_votes(shingle_hashes(distinct, 1, seed)) if words else 0 for seed in WORD_SEEDS]
-                out.append((xxhash.xxh64_intdigest(b" ".join(words)), _check(shingles) if words else 0, *own))
+                out.append((_class_id(words), _check(shingles) if words else 0, *own))
                 firsts.append(prefix(shingles, common, ranks).view(np.int64))
                 n.append(len(shingles))
                 sketches.append(_sketch(shingles))
@@ -346,9 +358,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         discard(roots)
         return out
 
-    # Stars, by SimHash and at the prefix index, join the bulk of large groups; the exact join pairs only what is still apart.
+    # Stars, by SimHash and at the prefix index, join each class to its nearest centre, and so the bulk of large groups; the exact join
+    # pairs only what is still apart.
     hot = _hot_index(prints)
-    stars = stage(_allowed(_star_pairs(classes, fps).union(_index_stars(hot)), classes), "star-pairs")
+    stars = stage(_nearest(_star_pairs(classes, fps).union(_index_stars(hot)), classes), "star-pairs")
     star_links = _verified(stars, rows, keepers)
     some = named(hot, star_links, "grouped-index")
     near = _index_pairs(some, classes)
