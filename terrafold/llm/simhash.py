@@ -208,14 +208,26 @@ def _verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame) -> DataFram
     return out
 
 
-def _nearest(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the ``pairs(u, v)`` whose sketches in ``classes(id, n, sketch..)`` allow a link, for each ``v`` the one whose sketches differ
-    least for their size."""
+def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(u, v, apart)``: the distinct ``pairs(u, v)`` whose sketches in ``classes(id, n, sketch..)`` allow a link, and how much the
+    sketches differ for their size."""
     own = classes.select("id", "n", *SKETCH)
     left, right = _side(own, "a").withColumnRenamed("a_id", "u"), _side(own, "b").withColumnRenamed("b_id", "v")
     met = pairs.distinct().join(left, "u").join(right, "v").where(_sketches_allow(_of("a"), _of("b")))
-    apart = _sketch_distance(_of("a"), _of("b")) / (_of("a")("n") + _of("b")("n"))
-    return met.groupBy("v").agg(F.min_by("u", F.struct(apart, "u")).alias("u")).select("u", "v")
+    return met.select("u", "v", (_sketch_distance(_of("a"), _of("b")) / (_of("a")("n") + _of("b")("n"))).alias("apart"))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs(u, v, apart)``, for each ``v`` the nearest ``u``."""
+    return pairs.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u")).select("u", "v")
+
+
+def _between_groups(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The ``pairs(u, v)`` that ``links`` do not join already."""
+    roots = components(links)
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    met = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return met.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
 
 
 def _star_pairs(classes: DataFrame, fps: list[str]) -> DataFrame:
@@ -358,11 +370,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         discard(roots)
         return out
 
-    # Stars, by SimHash and at the prefix index, join each class to its nearest centre, and so the bulk of large groups; the exact join
+    # Stars, by SimHash and at the prefix index, join the bulk of large groups, first each class to its nearest centre; the exact join
     # pairs only what is still apart.
     hot = _hot_index(prints)
-    stars = stage(_nearest(_star_pairs(classes, fps).union(_index_stars(hot)), classes), "star-pairs")
-    star_links = _verified(stars, rows, keepers)
+    stars = stage(_allowed(_star_pairs(classes, fps).union(_index_stars(hot)), classes), "star-pairs")
+    first = _verified(stage(_nearest(stars), "nearest"), rows, keepers)
+    star_links = first.union(_verified(stage(_between_groups(stars, first), "more-stars"), rows, keepers))
     some = named(hot, star_links, "grouped-index")
     near = _index_pairs(some, classes)
     links = star_links.union(_verified(near, rows, keepers))
