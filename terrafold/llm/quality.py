@@ -79,12 +79,8 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _window_hashes(hashes: Column) -> Column:
-    """Hashes of all runs of WINDOW (a power of two) elements: of pairs, of pairs of those, and so on."""
-    out, step = hashes, 1
-    while step < WINDOW:
-        out = F.zip_with(out, F.slice(out, step + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
-        step *= 2
-    return F.slice(out, F.lit(1), F.size(hashes) - (WINDOW - 1))
+    """Hashes of all runs of WINDOW elements."""
+    return F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW))))
 
 
 def _repeat_words(windows: Column) -> Column:
