@@ -44,18 +44,46 @@ def table_blocks(grid: DataFrame, gap: int = GAP) -> DataFrame:
 
 
 def fill_merged(grid: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Every cell of the merged ``ranges(r0, c0, r1, c1)``, ends included, with the value of its first cell."""
-    cells = ranges.select("r0", "c0", F.explode(F.sequence("r0", "r1")).alias("row"), "c1").select("r0", "c0", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
-    heads = grid.select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("head"))
-    merged = cells.join(heads, ["r0", "c0"]).select("row", "col", F.col("head").alias("value"))
-    return grid.join(merged.select("row", "col"), ["row", "col"], "left_anti").unionByName(merged)
+    """Every cell of the merged ``ranges(r0, c0, r1, c1)``, ends included and within the sheet, with the value of its first cell; ranges
+    whose first cell is blank change nothing."""
+    ends = grid.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
+    heads = grid.where(~is_blank(F.col("value"))).select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("head"))
+    within = {"r1": F.least("r1", F.lit(ends.row)), "c1": F.least("c1", F.lit(ends.col))}
+    known = ranges.join(heads, ["r0", "c0"]).withColumns(within).where("r0 <= r1 and c0 <= c1")
+    cells = known.select("head", "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("row")).select("row", F.explode(F.sequence("c0", "c1")).alias("col"), F.col("head").alias("value"))
+    return grid.join(cells.select("row", "col"), ["row", "col"], "left_anti").unionByName(cells)
+
+
+def header_top(ranges: DataFrame, start: int) -> int:
+    """The first row of the header block that ``start`` lies in: up along the ranges merged down across it, which are few."""
+    rows = sorted((r.r0, r.r1) for r in ranges.select("r0", "r1").where("r1 > r0").distinct().collect())
+    while above := [r0 for r0, r1 in rows if r0 < start <= r1]:
+        start = min(above)
+    return start
+
+
+def header_depth(ranges: DataFrame, start: int) -> int:
+    """How many rows the header that starts there takes, by the ranges merged down from it."""
+    return ranges.where((F.col("r0") == start) & (F.col("r1") > start)).agg(F.coalesce(F.max(F.col("r1") - start + 1), F.lit(1)).alias("d")).first().d
 
 
 def joined_header(grid: DataFrame, top: int, depth: int, glue: str = " - ") -> DataFrame:
-    """``(col, name)``: the stacked header cells of each column from the top down, repeats once."""
+    """``(col, name)``: the stacked header cells of each column from the top down, neighbouring repeats once."""
     cells = grid.where(F.col("row").between(top, top + depth - 1) & ~is_blank(F.col("value")))
     tiers = F.transform(F.array_sort(F.collect_list(F.struct("row", F.trim("value").alias("v")))), lambda c: c["v"])
-    return cells.groupBy("col").agg(F.array_join(F.array_distinct(tiers), glue).alias("name"))
+    per = cells.groupBy("col").agg(tiers.alias("tiers"))
+    changed = F.filter("tiers", lambda v, i: (i == 0) | (v != F.get(F.col("tiers"), F.greatest(i - 1, F.lit(0)))))
+    return per.select("col", F.array_join(changed, glue).alias("name"))
+
+
+def looks_merged(names: list[str], first_column: list[str | None], blank: set[str | None] = frozenset({None, ""})) -> bool:
+    """If a sheet is worth a second reading for merged cells: an unnamed column right of a named one, on a sheet that is mostly named; or
+    blanks under filled cells of the first column, two of them and a fifth of it."""
+    unnamed = [n.strip().lower().startswith("unnamed") or not n.strip() for n in names]
+    if 0 < sum(unnamed) < 0.5 * len(names) and any(b and not a for a, b in zip(unnamed, unnamed[1:])):
+        return True
+    gaps = sum(b in blank and a not in blank for a, b in zip(first_column, first_column[1:]))
+    return len(first_column) >= 4 and gaps >= 2 and sum(v in blank for v in first_column) >= 0.2 * len(first_column)
 
 
 def as_table(grid: DataFrame, names: list[str], first: int) -> DataFrame:

@@ -115,7 +115,7 @@ def channels(df: DataFrame, keys: list[str], indicator: str, value: str, request
 
 def where_chain(df: DataFrame, expressions: list[str]) -> DataFrame:
     """Rows that meet every ``COLUMN=VALUE``, compared as trimmed text; the first = splits. Raises ValueError on an expression without
-    a column or on a column that isn't there."""
+    a column or on a column that isn't there. With `checked_where` also where nothing is left."""
     for e in expressions:
         column, sign, wanted = (x.strip() for x in e.partition("="))
         if not sign or not column:
@@ -126,9 +126,97 @@ def where_chain(df: DataFrame, expressions: list[str]) -> DataFrame:
     return df
 
 
+def checked_where(df: DataFrame, expressions: list[str]) -> DataFrame:
+    """`where_chain`, which must leave rows: ValueError with the nearest values of the first expression that leaves none."""
+    kept = df
+    for e in expressions:
+        nxt = where_chain(kept, [e])
+        if nxt.isEmpty():
+            column, _, wanted = (x.strip() for x in e.partition("="))
+            near = [str(r.value) for r in nearest_values(kept, column, wanted).collect()]
+            raise ValueError(f"no row has {column} = {wanted!r}; nearest: {', '.join(near)}")
+        kept = nxt
+    return kept
+
+
 def nearest_values(df: DataFrame, column: str, wanted: str, most: int = 8) -> DataFrame:
     """``(value, n_rows)`` to suggest: the values that contain the wanted text, else the commonest."""
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n_rows")).where("value is not null")
     like = F.lower("value").contains(wanted.strip().lower())
     ranked = counts.withColumn("like", like).withColumn("any", F.max("like").over(Window.partitionBy(F.lit(1)))).where(F.col("like") | ~F.col("any"))
     return ranked.orderBy(F.desc("n_rows"), "value").limit(most).select("value", "n_rows")
+
+
+def pin_warning(axes: DataFrame, most: int = 4) -> DataFrame:
+    """One row ``(n_axes, columns, places)`` if axes double-count: which columns to pin first, and how many places it concerns."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("places")).alias("k"), "axis"))), 1, most)
+    out = axes.agg(F.count("*").alias("n_axes"), F.array_join(F.transform(first, lambda x: x["axis"]), ", ").alias("columns"), F.max("places").alias("places"))
+    return out.where("n_axes > 0")
+
+
+def recommend_slice(df: DataFrame, axis: str, indicator: str, place: str, value: str, pins: list[str], times: list[str] = ()) -> tuple[list[dict], list[str]]:
+    """For one indicator the value to pin on each column, and the axes that still split a place afterwards.
+
+    Time columns take their latest period, others what `recommend_pin` says, each on the rows that the pins before it left: one job
+    for each of these few columns. Columns without a value stay unpinned.
+    """
+    kept, chosen = df.where(F.trim(F.col(axis).cast("string")) == indicator), []
+    for column in [*(c for c in pins if c in times), *(c for c in pins if c not in times)]:
+        options = pin_options(kept, column, place, value).where("option <> ''")
+        if column in times:
+            key = period_key(F.col("option"))
+            pick = options.agg(F.max_by(F.struct("option", "places", "total", "is_total"), key).alias("b")).select("b.*").first()
+        else:
+            pick = recommend_pin(options).first()
+        if pick is None or pick.option is None:
+            continue
+        chosen.append({"column": column, "pinned": pick.option, "places": pick.places, "total": pick.total})
+        kept = kept.where(F.trim(F.col(column).cast("string")) == pick.option)
+    left = [c for c in df.columns if c not in (place, value, axis, *(p["column"] for p in chosen))]
+    return chosen, sorted(r.axis for r in varying_axes(kept, place, left).collect()) if left else []
+
+
+def long_report(df: DataFrame, place: str, value: str, dimensions: list[str]) -> dict[str, DataFrame]:
+    """What is known of a long table: if it is one, its indicator axis, what varies, what double-counts, with the warning."""
+    risky = double_counting_axes(df, place, dimensions)
+    return {"long": looks_long(df, [value], dimensions, place), "axis": indicator_axis(df, dimensions), "varying": varying_axes(df, place, dimensions), "double_counting": risky, "warning": pin_warning(risky)}
+
+
+def parse_layer(request: str) -> dict:
+    """``IND``, ``IND|COL=VAL|..`` or ``NUM / DEN`` to a name, numerator and denominator or indicator, and pins. Pins are cut off first:
+    a column's name may hold a slash."""
+    head, *pins = (part.strip() for part in request.split("|"))
+    told = {}
+    for pin in pins:
+        column, sign, wanted = (x.strip() for x in pin.partition("="))
+        if not sign or not column:
+            raise ValueError(f"not COLUMN=VALUE: {pin!r}")
+        told[column] = wanted
+    if " / " in head:
+        top, bottom = (x.strip() for x in head.split(" / ", 1))
+        return {"name": f"{top} ÷ {bottom} (%)", "numerator": top, "denominator": bottom, "pins": told}
+    return {"name": head, "indicator": head, "pins": told}
+
+
+def layers(df: DataFrame, keys: list[str], indicator: str, value: str, requests: list[str]) -> DataFrame:
+    """One column for each request of `parse_layer`, for each key, in one pass; a quotient is sums, then the division, in percent.
+
+    Raises ValueError, with the nearest values, for an indicator or column that isn't there."""
+    asked = [parse_layer(r) for r in requests]
+    wanted = {x for a in asked for x in (a.get("indicator"), a.get("numerator"), a.get("denominator")) if x}
+    there = {r.v for r in df.select(F.trim(F.col(indicator).cast("string")).alias("v")).where(F.col("v").isin(list(wanted))).distinct().collect()}
+    for missing in sorted(wanted - there):
+        near = [r.value for r in nearest_values(df, indicator, missing).collect()]
+        raise ValueError(f"no {missing!r} in {indicator!r}; nearest: {', '.join(map(str, near))}")
+    for a in asked:
+        for c in a["pins"]:
+            if c not in df.columns:
+                raise ValueError(f"no column {c!r} for {a['name']!r}")
+    parts = {}
+    for k, a in enumerate(asked):
+        for role in ("indicator", "numerator", "denominator"):
+            if role in a:
+                parts[f"c{k}_{role}"] = (a[role], a["pins"])
+    out = channels(df, keys, indicator, value, parts)
+    cols = [F.col(f"c{k}_indicator").alias(a["name"]) if "indicator" in a else (F.try_divide(f"c{k}_numerator", f"c{k}_denominator") * 100).alias(a["name"]) for k, a in enumerate(asked)]
+    return out.select(*keys, *cols)
