@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import os
 
 import numpy as np
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import discard, new_path, shared_dir, stage
+
 #: What separates words: the space and the controls from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
@@ -19,42 +21,33 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SIEVE_BITS = 28
 
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own in local mode, whose
-    only machine has it; elsewhere RuntimeError, since executors wouldn't see a folder of the driver."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_dir.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="terrafold-"))
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+def file_in(folder: str, name: str) -> tuple[pafs.FileSystem, str]:
+    fs, path = pafs.FileSystem.from_uri(folder)
+    return fs, f"{path.rstrip('/')}/{name}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._staged_path = path
-    return back
+class FileRange:
+    """Ranges of a file as numpy values: mapped into memory where the file system is local, else read range by range."""
 
+    def __init__(self, folder: str, name: str, kind: str):
+        fs, path = file_in(folder, name)
+        self.kind, self.mapped, self.file = np.dtype(kind), None, None
+        if not isinstance(fs, pafs.LocalFileSystem):
+            self.file = fs.open_input_file(path)
+        elif os.path.getsize(path):
+            self.mapped = np.memmap(path, self.kind, "r")
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing will read any more."""
-    for df in tables:
-        path = getattr(df, "_staged_path", None)
-        if path:
-            sc = df.sparkSession.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    def __call__(self, start: int, end: int) -> np.ndarray:
+        if self.file is None:
+            return self.mapped[start:end] if self.mapped is not None else np.zeros(0, self.kind)
+        self.file.seek(start * self.kind.itemsize)
+        return np.frombuffer(self.file.read((end - start) * self.kind.itemsize), self.kind)
 
 
 def sieve(keys: DataFrame, column: str) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -9,10 +10,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, passes, sieve, stage, table, with_row_id
+from .common import FileRange, delete, discard, file_in, new_path, passes, sieve, stage, table, with_row_id
 from .components import components
 
 BITS = 64
@@ -185,26 +187,60 @@ def _class_id(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words))
 
 
+#: Pairs that one task verifies, about, and sets it keeps at hand.
+PAIRS_A_TASK, SETS_AT_HAND = 2000, 256
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame) -> DataFrame:
     """The ``pairs(u, v)`` of classes whose texts have similar sets of shingles: ``rows(row, doc_id, text)`` and, for each class, the
-    row that stands for it, ``keepers(id, row)``. A sieve of the wanted rows lets few other texts through to be cut and shuffled."""
+    row that stands for it, ``keepers(id, row)``.
+
+    A sieve of the wanted rows lets few other texts through. Their sets go to files in the shared folder, once each, and pairs carry
+    only where their two sets lie: a set takes part in many pairs, so sending it with each would cost more than all texts.
+    """
+    spark = rows.sparkSession
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     wanted = stage(keepers.join(ids, "id").select(F.xxhash64("row.f", "row.i").alias("k")), "wanted")
-    bitmap = rows.sparkSession.sparkContext.broadcast(sieve(wanted, "k"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bitmap, folder = spark.sparkContext.broadcast(sieve(wanted, "k")), new_path(spark, "shingle-sets")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        name, at = f"part-{context.partitionId():06d}-{context.taskAttemptId()}", 0
+        fs, path = file_in(folder, name)
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(path, buffer_size=1 << 20) as out:
+            for b in batches:
+                b = b.filter(pa.array(passes(bitmap.value, b.column(0).to_numpy().view(np.uint64))))
+                found = []
+                for t in b.column(1).to_pylist():
+                    words = _word_list(t)
+                    shingles = np.unique(shingle_hashes(words, COPY_SHINGLE))
+                    out.write(shingles.astype("<u8").tobytes())
+                    found.append((_class_id(words), at, len(shingles)))
+                    at += len(shingles)
+                cols = np.array(found, np.uint64).reshape(-1, 3).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[:, 0]), pa.array([name] * len(found), pa.string()), pa.array(cols[:, 1]), pa.array(cols[:, 2])], ["id", "file", "at", "n"])
+
+    keyed = rows.select(F.xxhash64("row.f", "row.i").alias("k"), "text")
+    # Rows that the sieve let through by chance may repeat a class; one place of each will do.
+    places = stage(keyed.mapInArrow(write, "id long, file string, at long, n long").groupBy("id").agg(F.min(F.struct("file", "at", "n")).alias("p")), "set-places")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = functools.cache(lambda name: FileRange(folder, name, "<u8"))
+        shingles = functools.lru_cache(SETS_AT_HAND)(lambda name, at, n: np.array(files(name)(at, at + n)))
         for b in batches:
-            b = b.filter(pa.array(passes(bitmap.value, b.column(0).to_numpy().view(np.uint64))))
-            words = [_word_list(t) for t in b.column(1).to_pylist()]
-            ids = np.array([_class_id(w) for w in words], np.uint64).view(np.int64)
-            sets = [np.unique(shingle_hashes(w, COPY_SHINGLE)).view(np.int64) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    sets = stage(rows.select(F.xxhash64("row.f", "row.i").alias("k"), "text").mapInArrow(run, "id long, shingles array<long>"), "shingle-sets")
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    out = stage(both.where(shared >= COPY_SIMILARITY * (F.size("a") + F.size("b") - shared)).select("u", "v"), "near-links")
-    discard(sets, wanted)
+            good = []
+            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                shared = len(np.intersect1d(shingles(*p.values()), shingles(*q.values()), assume_unique=True))
+                good.append(shared >= COPY_SIMILARITY * (p["n"] + q["n"] - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), b.column(1).filter(pa.array(good, pa.bool_()))], ["u", "v"])
+
+    of = lambda c: places.select(F.col("id").alias(c), F.col("p").alias(f"of_{c}"))
+    located = stage(pairs.select("u", "v").join(of("u"), "u").join(of("v"), "v").select("u", "v", "of_u", "of_v"), "located-pairs")
+    tasks = max(4 * spark.sparkContext.defaultParallelism, located.count() // PAIRS_A_TASK)
+    out = stage(located.repartition(tasks).mapInArrow(check, "u long, v long"), "near-links")
+    discard(places, wanted, located)
+    delete(spark, folder)
     return out
 
 

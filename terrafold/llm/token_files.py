@@ -13,13 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, stage, table
+from .common import FileRange, file_in, new_path, stage, table
 
 END_ID = 2
 #: UTF-8 bytes of text for each file, about; small inputs still give each core a few files.
@@ -102,11 +101,6 @@ def encoder(path: str, kind: str) -> Encoder:
     return Encoder(path, kind)
 
 
-def _join(folder: str, name: str) -> tuple[pafs.FileSystem, str]:
-    fs, path = pafs.FileSystem.from_uri(folder)
-    return fs, f"{path.rstrip('/')}/{name}"
-
-
 def id_bytes(tokenizer: str, end_id: int) -> int:
     """Bytes of an id in the files: 2 if all ids of the vocabulary and the end fit, else 4."""
     from tokenizers import Tokenizer
@@ -138,7 +132,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
         part, encode, end = context.partitionId(), encoder(tokenizer, f"<u{width}"), np.array([end_id], f"<u{width}").tobytes()
         name = f"part-{part:06d}-{context.taskAttemptId()}"
         n_docs, n_null, at = 0, 0, 0
-        fs, path = _join(folder, name)
+        fs, path = file_in(folder, name)
         fs.create_dir(os.path.dirname(path), recursive=True)
         with fs.open_output_stream(path + ".bin", buffer_size=1 << 20) as ids, fs.open_output_stream(path + ".idx", buffer_size=1 << 16) as idx, fs.open_output_stream(path + ".doc", buffer_size=1 << 16) as doc:
             idx.write(np.array([0], "<u8").tobytes())
@@ -159,31 +153,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
     return parts.withColumn("base", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
 
 
-class TokenFile:
-    """Ranges of a file as numpy values: mapped into memory where the file system is local, else read range by range."""
-
-    def __init__(self, folder: str, name: str, kind: str):
-        fs, path = _join(folder, name)
-        self.kind, self.mapped, self.file = np.dtype(kind), None, None
-        if not isinstance(fs, pafs.LocalFileSystem):
-            self.file = fs.open_input_file(path)
-        elif os.path.getsize(path):
-            self.mapped = np.memmap(path, self.kind, "r")
-
-    def __call__(self, start: int, end: int) -> np.ndarray:
-        if self.file is None:
-            return self.mapped[start:end] if self.mapped is not None else np.zeros(0, self.kind)
-        self.file.seek(start * self.kind.itemsize)
-        return np.frombuffer(self.file.read((end - start) * self.kind.itemsize), self.kind)
-
-
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of each document, from the files: a task for each file, some documents at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids, idx, doc = (TokenFile(folder, r["name"] + end, kind) for end, kind in ((".bin", f"<u{r['width']}"), (".idx", "<u8"), (".doc", "<i8")))
+                ids, idx, doc = (FileRange(folder, r["name"] + end, kind) for end, kind in ((".bin", f"<u{r['width']}"), (".idx", "<u8"), (".doc", "<i8")))
                 for at in range(0, r["n_docs"], PAGE):
                     to = min(at + PAGE, r["n_docs"])
                     starts, who = idx(at, to + 1).astype(np.int64), doc(at, to)
