@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import array
 import functools
+import itertools
 import json
+import operator
 import os
 import re
 import sys
@@ -48,20 +50,27 @@ class Encoder:
     differ, go to the library whole."""
 
     ROOM = 500_000
-    CONTROLS = "[\x1c-\x1f\x85\u180e]"
+    #: Controls on which regular expression libraries differ, and white space besides the blank and the line end.
+    CONTROLS = [*map(chr, range(0x1C, 0x20)), "\x85", "\u180e"]
+    RARE_SPACES = ["\t", "\x0b", "\x0c", "\r", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 
     def __init__(self, path: str, kind: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), np.dtype(kind)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([*special, self.CONTROLS])).search if cuts_into_pieces(self.tokenizer.to_str()) else lambda text: True
-        self.cut, self.find = re.compile(r" (?<=\S )(?=\S)").split, regex.compile(PIECES).findall
+        self.by_pieces = cuts_into_pieces(self.tokenizer.to_str())
+        self.special = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), *self.CONTROLS]
+        self.slow_cut, self.find = re.compile(r" (?<=\S )(?=\S)").split, regex.compile(PIECES).findall
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.code = "H" if self.kind.itemsize == 2 else "I"
 
+    def _cut(self, text: str) -> list[str]:
+        """A text parted at each blank between two visible characters."""
+        beside = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+        return self.slow_cut(text) if beside or any(c in text for c in self.RARE_SPACES) else text.split(" ")
+
     def _bytes(self, ids: list[int]) -> bytes:
         out = array.array(self.code, ids)
         if sys.byteorder == "big":
@@ -71,28 +80,44 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of many words with a blank in front, encoded as one text, where each is one piece."""
+        e = self.tokenizer.encode("".join(words), add_special_tokens=False)
+        of = np.array(e.word_ids)
+        if not len(of) or of[-1] != len(words) - 1:
+            return [self._ids(w) for w in words]
+        data, size = self._bytes(e.ids), self.kind.itemsize
+        ends = (np.searchsorted(of, np.arange(len(words)), "right") * size).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def _encoded(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, by its pieces."""
+        if len(self.pieces) > self.ROOM:
+            self.pieces.clear()
         known, cut = self.pieces, [self.find(t) for t in texts]
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        if len(known) > self.ROOM:
-            known.clear()
-            new = list({p for pieces in cut for p in pieces})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        new = {p for pieces in cut for p in pieces if p not in known}
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        other = list(new.difference(words))
+        known.update(zip(words, self._words(words)) if words else ())
+        for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
             known[p] = self._bytes(e.ids)
         return [b"".join([known[p] for p in pieces]) for pieces in cut]
 
     def __call__(self, text: str) -> bytes:
-        if self.whole(text):
+        if not self.by_pieces or any(c in text for c in self.special):
             return self._ids(text)
-        known, (first, *parts) = self.parts, self.cut(text)
+        first, *parts = self._cut(text)
+        known = self.parts
         if len(known) > self.ROOM:
             known.clear()
-        new = list(set(parts).difference(known))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            known.update(zip(some, self._encoded([f" {p}" for p in some])))
-        return b"".join([*self._encoded([first]), *map(known.__getitem__, parts)])
+        got = list(map(known.get, parts))
+        if None in got:
+            new = list(set(itertools.compress(parts, map(operator.not_, got))))
+            for at in range(0, len(new), 4096):
+                some = new[at : at + 4096]
+                known.update(zip(some, self._encoded([f" {p}" for p in some])))
+            got = map(known.__getitem__, parts)
+        return b"".join([*self._encoded([first]), *got])
 
 
 @functools.cache
