@@ -222,15 +222,30 @@ def admin_level(shares: DataFrame) -> DataFrame:
     return shares.agg(level.alias("admin_level"))
 
 
+# What is no name but a code; lengths of names; what they weigh.
+CODE_SHAPE = r"^[^\p{L}]*$|^[A-Z]{1,4}[.\-_][\p{L}\p{N}_.\-]*$"
+NAME_LENGTHS, LONGEST_NAME, SPACED, USUAL, TOO_SHORT, TOO_LONG = (5, 30), 60, 0.15, 0.15, -0.45, -0.25
+
+
 def name_column_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """How much each text column looks like names: 0 if under half its values differ, else the share of values with letters, less
-    codes and "NA", plus 0.15 of those with a blank, plus a little for a usual length; between 0 and 1."""
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.trim(F.col(c).cast("string")).alias("v")) for c in columns))).alias("r")).select("r.*").where("v <> ''")
-    per = long.groupBy("column", "v").agg(F.count("*").alias("n")).withColumn("code", F.col("v").rlike(r"^[A-Z]{0,4}[._-]?\d[\w.-]*$|^[A-Z]{1,4}\.[A-Z.]+$"))
-    def share(cond) -> Column:
+    """``(column, score)``: how much each column looks like names, between 0 and 1: 0 where under half the values differ or their upper
+    median length is under 2 or over 60; else the share of values with letters, less codes and "NA", plus 0.15 of those with a blank,
+    and by the median length 0.15 more (5 to 30), 0.45 less (shorter) or 0.25 less (longer).
+
+    Values are counted before the window that finds the median, which then sees lengths only.
+    """
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.trim(F.col(c).cast("string")).alias("v")) for c in columns))).alias("r")).select("r.*").where("v is not null")
+    per = long.groupBy("column", "v").agg(F.count("*").alias("n")).withColumn("size", F.length("v"))
+    sizes = per.groupBy("column", "size").agg(F.sum("n").alias("m"))
+    w = Window.partitionBy("column")
+    middle = sizes.withColumn("upto", F.sum("m").over(w.orderBy("size"))).withColumn("of", F.sum("m").over(w)).where(F.col("upto") > F.floor(F.col("of") / 2)).groupBy("column").agg(F.min("size").alias("median"))
+
+    def share(cond: Column) -> Column:
         return F.sum(F.when(cond, F.col("n")).otherwise(0)) / F.sum("n")
 
-    mean_len = F.sum(F.length("v") * F.col("n")) / F.sum("n")
-    raw = share(F.col("v").rlike(r"\p{L}")) - share(F.col("code")) - share(F.upper("v") == "NA") + 0.15 * share(F.col("v").contains(" ")) + F.when(mean_len.between(4, 30), 0.1).otherwise(-0.1)
-    variety = F.count("*") / F.sum("n")
-    return per.groupBy("column").agg(F.when(variety < 0.5, 0.0).otherwise(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))).alias("score"))
+    raw = share(F.col("v").rlike(r"\p{L}")) - share(F.col("v").rlike(CODE_SHAPE)) - share(F.col("v") == "NA") + SPACED * share(F.col("v").contains(" "))
+    found = per.groupBy("column").agg(raw.alias("raw"), (F.count("*") / F.sum("n")).alias("variety")).join(middle, "column")
+    low, high = NAME_LENGTHS
+    by_length = F.when(F.col("median").between(low, high), USUAL).when(F.col("median") < low, TOO_SHORT).otherwise(TOO_LONG)
+    score = F.least(F.greatest(F.col("raw") + by_length, F.lit(0.0)), F.lit(1.0))
+    return found.select("column", F.when((F.col("variety") < 0.5) | ~F.col("median").between(2, LONGEST_NAME), 0.0).otherwise(score).alias("score"))
