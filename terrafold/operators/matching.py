@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import Affixes, deaccent, normalize
+from ..functions.text import deaccent, normalize
 
 FUZZY_FLOOR, SURE, SECONDARY = 82.0, 93.0, 90.0
 
 
-def name_index(units: DataFrame, affixes: Affixes, parent: str | None = None) -> DataFrame:
+def name_index(units: DataFrame, affixes: str, parent: str | None = None) -> DataFrame:
     """``units(shape_id, name[, aliases, merged_from, canonical])`` to ``(key, shape_id, name, pos, merged_from, canonical[, parent])``.
 
     Aliases are indexed beside the name; spellings of one unit under one key collapse. ``pos`` keeps the units' order for ties.
@@ -37,7 +37,7 @@ def status_for(method: Column, score: Column, secondary: Column | None = None) -
     )
 
 
-def match_names(names: DataFrame, index: DataFrame, affixes: Affixes, by: list[str] | None = None) -> DataFrame:
+def match_names(names: DataFrame, index: DataFrame, affixes: str, by: list[str] | None = None) -> DataFrame:
     """Distinct ``names(raw[, by..])`` to ``(raw, [by..], method, score, shape_id, matched, candidates)`` by equal keys.
 
     A key hit is a merged unit, the literal name (exact), one name spelled otherwise (normalised) or one of several (ambiguous,
@@ -90,7 +90,7 @@ def similarity(a: str, b: str) -> Column:
     return F.pandas_udf(_similar, T.DoubleType())(a, b)
 
 
-def fuzzy_names(missed: DataFrame, index: DataFrame, affixes: Affixes, by: list[str] | None = None, floor: float = FUZZY_FLOOR) -> DataFrame:
+def fuzzy_names(missed: DataFrame, index: DataFrame, affixes: str, by: list[str] | None = None, floor: float = FUZZY_FLOOR) -> DataFrame:
     """Names that no key hit, to ``(raw, [by..], score, shape_id, name)``: the best similarity at or over the floor, the first unit on ties.
 
     To reach 82 over both lengths, keys must share a letter pair unless one is tiny, and their lengths must be near: candidates come
@@ -113,7 +113,7 @@ def fuzzy_names(missed: DataFrame, index: DataFrame, affixes: Affixes, by: list[
     return scored.groupBy("raw", *by).agg(best.alias("b")).select("raw", *by, "b.*")
 
 
-def review(rows: DataFrame, name: str, index: DataFrame, affixes: Affixes, fuzzy: bool = True) -> DataFrame:
+def review(rows: DataFrame, name: str, index: DataFrame, affixes: str, fuzzy: bool = True) -> DataFrame:
     """The match table of a one-level dataset: a record for each distinct name with its rows counted before any join."""
     names = rows.select(F.trim(F.coalesce(F.col(name), F.lit(""))).alias("raw")).groupBy("raw").agg(F.count("*").alias("row_count"))
     found = match_names(names.select("raw"), index, affixes)
@@ -131,7 +131,7 @@ def review(rows: DataFrame, name: str, index: DataFrame, affixes: Affixes, fuzzy
     )
 
 
-def review_nested(rows: DataFrame, coarse: str, fine: str, coarse_index: DataFrame, fine_index: DataFrame, affixes: Affixes, overrides: DataFrame | None = None) -> DataFrame:
+def review_nested(rows: DataFrame, coarse: str, fine: str, coarse_index: DataFrame, fine_index: DataFrame, affixes: str, overrides: DataFrame | None = None) -> DataFrame:
     """The match table of two levels: the coarse name first, then the fine one among that unit's own.
 
     ``overrides(coarse, fine, shape_id, matched)``, lower-cased names, beats matching.
@@ -185,7 +185,7 @@ def crosswalk(units: DataFrame, name: str, merger: str, renames: dict[str, str]
     return out.distinct()
 
 
-def crosswalk_units(units: DataFrame, name: str, merger: str, shape: str, affixes: Affixes) -> DataFrame:
+def crosswalk_units(units: DataFrame, name: str, merger: str, shape: str, affixes: str) -> DataFrame:
     """Units for `name_index`: the current names, then each former name that is not also current, marked as merged."""
     now = units.select(F.col(shape).alias("shape_id"), F.col(name).alias("name"), F.lit("").alias("merged_from"), F.col(name).alias("canonical"))
     former = crosswalk(units, name, merger).where("former <> current").join(now.select("shape_id", F.col("name").alias("current")), "current")
@@ -194,7 +194,7 @@ def crosswalk_units(units: DataFrame, name: str, merger: str, shape: str, affixe
     return all_units.withColumn("key", normalize(F.col("name"), affixes)).withColumn("k", F.row_number().over(one)).where("k = 1").drop("k", "key", "rank")
 
 
-def parent_links(coarse: DataFrame, coarse_name: str, fine: DataFrame, columns: list[str], affixes: Affixes) -> DataFrame:
+def parent_links(coarse: DataFrame, coarse_name: str, fine: DataFrame, columns: list[str], affixes: str) -> DataFrame:
     """For each column of the fine tier, the share of its values that are names of coarse units; 0.5 links, 0.999 is sure."""
     keys = coarse.select(normalize(F.col(coarse_name), affixes).alias("key")).distinct().withColumn("known", F.lit(1))
     long = fine.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), normalize(F.col(c).cast("string"), affixes).alias("key")) for c in columns))).alias("r")).select("r.*").where("key <> ''")
@@ -203,7 +203,7 @@ def parent_links(coarse: DataFrame, coarse_name: str, fine: DataFrame, columns:
     return out.withColumn("linked", F.col("share") >= 0.5).withColumn("sure", F.col("share") >= 0.999)
 
 
-def place_columns(rows: DataFrame, columns: list[str], provinces: DataFrame, communes: DataFrame | None, affixes: Affixes, weighted: bool = False) -> DataFrame:
+def place_columns(rows: DataFrame, columns: list[str], provinces: DataFrame, communes: DataFrame | None, affixes: str, weighted: bool = False) -> DataFrame:
     """``(column, province_share, commune_share, distinct_values)``: how many of a column's distinct values (of its rows, if weighted) are
     names of either tier (``provinces(key)``, ``communes(key)``); names of both count as provinces only."""
     known = provinces.select("key", F.lit("p").alias("tier"))

@@ -105,9 +105,9 @@ NESTED = "SELECT 'Region of ' || r_name AS p, 'District ' || n_name AS raw, r_na
 
 
 def _nested(load):
-    from ..functions.text import Affixes
+    from ..functions.text import affix_pattern_of
 
-    words = Affixes.of_types(["Region", "District"])
+    words = affix_pattern_of(["Region", "District"])
     both = load("nation").join(load("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = load("customer").join(both, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("Region of "), "r_name").alias("p"), F.concat(F.lit("District "), "n_name").alias("c"))
     coarse = mt.name_index(load("region").select(F.col("r_regionkey").alias("shape_id"), F.col("r_name").alias("name")), words)

@@ -15,9 +15,8 @@ def plain_sql(c: str) -> str:
     return PLAIN.format(D.format(c))
 
 
-def normalize_sql(c: str, affixes: tx.Affixes = tx.VIETNAM) -> str:
-    front = f"regexp_replace({plain_sql(c)}, '^(?:{'|'.join(affixes.prefixes)}) (?:(?:{'|'.join(tx.CONNECTORS)}) )?', '')"
-    return f"trim(regexp_replace({front}, ' (?:{'|'.join(affixes.suffixes)})$', ''))"
+def normalize_sql(c: str, affixes: str = tx.VIETNAM) -> str:
+    return f"trim(regexp_replace({plain_sql(c)}, '{affixes}', '', 'g'))"
 
 
 @query("text_deaccent", f"SELECT doc_id, {D.format('text')} AS plain FROM documents")
