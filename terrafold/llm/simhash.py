@@ -145,11 +145,9 @@ COPY_SHINGLE, COPY_SIMILARITY, WORD_BITS, SHINGLE_BITS = 5, 0.8, 7, 16
 WORD_SEEDS = (42, 43)
 #: Steps of the number of shingles in `_check`, for each factor of e.
 SIZE_STEPS = 2048
-#: Shingles that this many texts of one batch hold are counted as common, in one of COMMON_SAMPLE rows; the COMMON_MOST commonest
-#: come last in each text's prefix. They only order the shingles: any order finds all pairs.
-COMMON_LEAST, COMMON_SAMPLE, COMMON_MOST = 3, 8, 1 << 16
-
-
+#: Shingles that two texts of one task's sample hold are counted as common, in one of COMMON_SAMPLE rows; the COMMON_MOST commonest come
+#: last in each text's prefix, so that rare ones are met first. They only order the shingles: any order finds all pairs.
+COMMON_SAMPLE, COMMON_MOST = 4, 1 << 18
 #: A class carries the parities of SKETCH_BITS counters of its shingles, by their low bits.
 SKETCH_BITS = 1024
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
@@ -286,18 +284,19 @@ def _word_list(text: str | None) -> list[bytes]:
 
 
 def common_shingles(rows: DataFrame) -> np.ndarray:
-    """Hashes of shingles that many texts of ``rows(row, doc_id, text)`` hold, rarest first, at most COMMON_MOST: from a sample."""
+    """Hashes of shingles that many texts of ``rows(row, doc_id, text)`` hold, rarest first, at most COMMON_MOST: from a sample. Equal
+    texts of a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(_word_list(t.as_py()), COPY_SHINGLE)) for t in b.column(0)]
+            texts = {b" ".join(_word_list(t)) for t in b.column(0).to_pylist()}
+            sets = [np.unique(shingle_hashes(t.split(), COPY_SHINGLE)) for t in texts]
             found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= COMMON_LEAST
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
 
     counts = rows.where(F.pmod(F.xxhash64("row"), F.lit(COMMON_SAMPLE)) == 0).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "h").limit(COMMON_MOST).collect()
-    return np.array([r.h for r in reversed(top)], np.int64).view(np.uint64)
+    top = counts.orderBy(F.col("n").desc(), "h").limit(COMMON_MOST).toArrow()
+    return top.column(0).to_numpy()[::-1].view(np.uint64)
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -339,10 +338,14 @@ def _hot_index(prints: DataFrame) -> DataFrame:
 
 
 def _index_stars(index: DataFrame) -> DataFrame:
-    """Some pairs ``(u, v)`` that meet in ``index``: of a class and the least one at a key."""
-    centres = index.groupBy("key").agg(F.min(F.struct("id", "n", "pos")).alias("c")).select("key", "c.*").toDF("key", "a_id", "a_n", "a_pos")
-    met = index.join(centres, "key").where((_of("a")("id") != F.col("id")) & _can_link(_of("a"), F.col))
-    return met.select(F.col("a_id").alias("u"), F.col("id").alias("v"))
+    """Some pairs ``(u, v)`` that meet in ``index``: of a class and the least, the greatest, or one of two more centres at a key."""
+    me = F.struct("id", "n", "pos")
+    salted = [F.struct(F.xxhash64("id", F.lit(salt)).alias("h"), me.alias("c")) for salt in (1, 2)]
+    ends = [F.min(me), F.max(me), *(F.min(s)["c"] for s in salted)]
+    centres = index.groupBy("key").agg(F.array_distinct(F.array(*ends)).alias("cs"))
+    met = index.join(centres, "key").select("id", "n", "pos", F.explode("cs").alias("c"))
+    a = lambda c: F.col(f"c.{c}")
+    return met.where((a("id") != F.col("id")) & _can_link(a, F.col)).select(F.col("c.id").alias("u"), F.col("id").alias("v"))
 
 
 def _index_pairs(index: DataFrame, classes: DataFrame) -> DataFrame:
