@@ -49,7 +49,7 @@ class Encoder:
     Other tokenizers, and texts that hold a special token's string or one of the controls on which regular expression libraries
     differ, go to the library whole."""
 
-    ROOM = 500_000
+    ROOM = 1_000_000
     #: Controls on which regular expression libraries differ, and white space besides the blank and the line end.
     CONTROLS = [*map(chr, range(0x1C, 0x20)), "\x85", "\u180e"]
     RARE_SPACES = ["\t", "\x0b", "\x0c", "\r", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
