@@ -9,6 +9,7 @@ from .mixing import OP4_SQL, op4_mixing
 from .quality import op3_quality
 from .sharding import op6_sharding
 from .simhash import op1_simhash
+from .spelling import OP13_SQL, op13_spelling
 from .token_files import op8_token_files
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
+    "op13_spelling": op13_spelling,
 }
 
-ORACLE_SQL = {"op4_mixing": OP4_SQL, "op9_licenses": OP9_SQL, "op10_decontamination": OP10_SQL}
+ORACLE_SQL = {"op4_mixing": OP4_SQL, "op9_licenses": OP9_SQL, "op10_decontamination": OP10_SQL, "op13_spelling": OP13_SQL}
