@@ -11,6 +11,7 @@ from .sharding import op6_sharding
 from .simhash import op1_simhash
 from .spelling import OP13_SQL, op13_spelling
 from .token_files import op8_token_files
+from .vector_codes import OP12_SQL, op12_vector_codes
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -23,7 +24,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
+    "op12_vector_codes": op12_vector_codes,
     "op13_spelling": op13_spelling,
 }
 
-ORACLE_SQL = {"op4_mixing": OP4_SQL, "op9_licenses": OP9_SQL, "op10_decontamination": OP10_SQL, "op13_spelling": OP13_SQL}
+ORACLE_SQL = {"op4_mixing": OP4_SQL, "op9_licenses": OP9_SQL, "op10_decontamination": OP10_SQL, "op12_vector_codes": OP12_SQL, "op13_spelling": OP13_SQL}
