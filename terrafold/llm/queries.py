@@ -12,6 +12,7 @@ from .simhash import op1_simhash
 from .spelling import OP13_SQL, op13_spelling
 from .token_files import op8_token_files
 from .vector_codes import OP12_SQL, op12_vector_codes
+from .word_bpe import op11_word_bpe
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
+    "op11_word_bpe": op11_word_bpe,
     "op12_vector_codes": op12_vector_codes,
     "op13_spelling": op13_spelling,
 }
