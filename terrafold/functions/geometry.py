@@ -12,6 +12,12 @@ GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
 
 
+def without_repeats(ring: Column) -> Column:
+    """A ring without repeated vertices in a row, its closing one included."""
+    n = F.size(ring)
+    return F.filter(ring, lambda p, i: (n == 1) | (p != F.get(ring, (i + n - 1) % n)))
+
+
 def edges(ring: Column) -> Column:
     """array<struct<a, b>>: consecutive vertices; a ring closes itself."""
     n = F.size(ring)
@@ -96,20 +102,13 @@ def _turn(a: Column, b: Column, c: Column) -> Column:
     return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
 
 
-def _edges_within(e: Column, f: Column, d: float) -> Column:
+def edges_within(e: Column, f: Column, d: float) -> Column:
     """If two edges come as near as ``d``: they cross, or an end of one lies that near to the other."""
     cross = (_turn(e["a"], e["b"], f["a"]) * _turn(e["a"], e["b"], f["b"]) < 0) & (_turn(f["a"], f["b"], e["a"]) * _turn(f["a"], f["b"], e["b"]) < 0)
     near = F.least(_to_segment(e["a"], f), _to_segment(e["b"], f), _to_segment(f["a"], e), _to_segment(f["b"], e))
     return cross | (near <= d * d)
 
 
-def parts_within(a: Column, b: Column, d: float) -> Column:
-    """If two parts come as near as ``d``, by their true outlines: edges do, or one holds a vertex of the other."""
-    outline_a, outline_b = edges(a[0]), edges(b[0])
-    first = lambda p: (p[0][0]["x"], p[0][0]["y"])
-    return F.exists(outline_a, lambda e: F.exists(outline_b, lambda f: _edges_within(e, f, d))) | contains(F.array(a), *first(b)) | contains(F.array(b), *first(a))
-
-
 def inner_point(geom: Column) -> Column:
     """struct<x, y> inside the shape: the middle of the widest stretch of a part along the line halfway up it, between vertices."""
     def of_part(part: Column) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import area, bounds, box_gap, box_union, contains, inner_point, part_area, parts_within
+from ..functions.clipping import clip_at
+from ..functions.geometry import area, bounds, box_gap, box_union, contains, edges, edges_within, inner_point, part_area
 from ..staging import stage
 from .components import components
+from .levels import meeting
 
 
 def with_bounds(shapes: DataFrame) -> DataFrame:
@@ -72,24 +74,42 @@ def main_parts(shapes: DataFrame, reach: float = 0.75, least: float = 0.35) -> D
     return s.select("shape_id", F.size("ps").alias("n_parts"), F.array_sort(kept).alias("kept"), F.when(everything, 1.0).otherwise(F.col("share")).alias("share"))
 
 
+#: Strips that `_held` cuts a part's height into.
+STRIPS = 1024
+
+
+def _held(p: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """``(u, v)``: parts of ``p(id, box, first)`` of which one holds the other's first vertex. Boxes are met by levels; a ray from the vertex
+    then crosses the edges in its strip of the other's height, an odd number of times, so outlines are never copied to candidates."""
+    strip = lambda y: F.floor((y - F.col("a_box.y0")) / (F.col("a_box.y1") - F.col("a_box.y0")) * STRIPS).cast("int")
+    a = p.select(F.col("id").alias("a_id"), F.col("box").alias("a_box"))
+    v = F.col("first")
+    b = p.select(F.col("id").alias("b_id"), F.struct(v["x"].alias("x0"), v["y"].alias("y0"), v["x"].alias("x1"), v["y"].alias("y1")).alias("b_box"))
+    tall = F.col("a_box.y1") > F.col("a_box.y0")
+    asked = meeting(a, b, (F.col("a_id") != F.col("b_id")) & tall).select("a_id", "b_id", F.col("b_box.x0").alias("x"), F.col("b_box.y0").alias("y"), strip(F.col("b_box.y0")).alias("strip"))
+    low, high = F.least("e.a.y", "e.b.y"), F.greatest("e.a.y", "e.b.y")
+    rows = edge_rows.select(F.col("id").alias("a_id"), "e").join(a, "a_id").where(tall & (low < high)).select("a_id", "e", F.explode(F.sequence(strip(low), strip(high))).alias("strip"))
+    p_, q = F.col("e.a"), F.col("e.b")
+    at = p_["x"] + (F.col("y") - p_["y"]) * (q["x"] - p_["x"]) / (q["y"] - p_["y"])
+    crossed = asked.join(rows, ["a_id", "strip"]).where(((p_["y"] > F.col("y")) != (q["y"] > F.col("y"))) & (F.col("x") < at))
+    return crossed.groupBy("a_id", "b_id").agg(F.count("*").alias("n")).where("n % 2 = 1").select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
+
+
 def land_masses(shapes: DataFrame, within: float) -> DataFrame:
-    """``(mass, n_parts, area, x0, y0, x1, y1)`` of parts joined where their outlines come within ``within`` of each other; ``mass`` is the
-    first of its parts, as ``shape_id:part``.
+    """``(mass, n_parts, area, x0, y0, x1, y1)`` of parts joined where their outlines come within ``within`` of each other, or one holds the
+    other; ``mass`` is the first of its parts, as ``shape_id:part``.
 
-    Candidates come from an equi-join on grid cells about as large as the average part, a part in each cell its box touches; boxes and
-    then outlines decide. Masses are the connected components, by contraction.
+    Edges of outlines meet through an index of levels, each in cells of its own size: what is compared grows with the edges and how
+    densely they lie, however large a mainland is beside its islets, and no outline is copied. Masses are the connected components,
+    by contraction.
     """
     p = stage(parts(shapes).withColumn("name", F.concat_ws(":", "shape_id", "part")).withColumn("id", F.xxhash64("shape_id", "part")), "land-parts")
-    size = p.agg(F.avg(F.greatest(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0"))).alias("s")).first().s or 1.0
-    cell = float(size) + within
-
-    def span(lo: str, hi: str) -> Column:
-        return F.explode(F.sequence(F.floor((F.col(lo) - within / 2) / cell).cast("long"), F.floor((F.col(hi) + within / 2) / cell).cast("long")))
-
-    dealt = p.select("id", "box", "rings", span("box.x0", "box.x1").alias("cx")).withColumn("cy", span("box.y0", "box.y1"))
-    a, b = (dealt.select("cx", "cy", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "box", "rings"))) for side in "ab")
-    met = a.join(b, ["cx", "cy"]).where((F.col("a_id") < F.col("b_id")) & (box_gap(F.col("a_box"), F.col("b_box")) <= within)).drop("cx", "cy").dropDuplicates(["a_id", "b_id"])
-    roots = components(met.where(parts_within(F.col("a_rings"), F.col("b_rings"), within)).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")))
+    edge_rows = p.select("id", F.explode(edges(F.col("rings")[0])).alias("e"))
+    half = within / 2
+    grown = lambda e: F.struct(*((f(e["a"][k], e["b"][k]) + d).alias(f"{k}{i}") for i, f, d in (("0", F.least, -half), ("1", F.greatest, half)) for k in "xy"))
+    sides = [edge_rows.select(F.col("id").alias(f"{s}_id"), F.col("e").alias(f"{s}_e"), grown(F.col("e")).alias(f"{s}_box")) for s in "ab"]
+    near = meeting(*sides, (F.col("a_id") < F.col("b_id")) & edges_within(F.col("a_e"), F.col("b_e"), within)).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
+    roots = components(near.union(_held(p.select("id", "box", F.col("rings")[0][0].alias("first")), edge_rows)))
     out = p.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = F.min_by("name", F.struct("shape_id", "part"))
     return out.groupBy("root").agg(
@@ -136,15 +156,29 @@ def declared_inset(country: str | None, by_hand: dict | None = None) -> tuple[fl
     return (DECLARED_INSETS[name], "built_in") if name in DECLARED_INSETS else (None, "undeclared")
 
 
+def split_at(shapes: DataFrame, meridian: float) -> DataFrame:
+    """``shapes`` with ``west`` and ``east``: what of each lies on either side of a meridian, longitudes being the x of ``geom``; every other
+    column, ``geom`` too, is untouched, and so is the order of rows. Project after splitting: a meridian is no straight line then."""
+    return shapes.withColumns({"west": clip_at(F.col("geom"), meridian, True), "east": clip_at(F.col("geom"), meridian, False)})
+
+
+def clip_for_drawing(shapes: DataFrame, plan: DataFrame, meridian: float | None) -> DataFrame:
+    """``shapes`` with ``drawn``, the geometry to draw on the main map: where ``plan``, of `inset_view`, has its row, what lies west of the
+    meridian, else all of it. Rows, their order and ``geom``, from which labels and values come, stay as they are."""
+    if meridian is None or plan.isEmpty():
+        return shapes.withColumn("drawn", F.col("geom"))
+    return shapes.withColumn("drawn", clip_at(F.col("geom"), meridian, True))
+
+
 def inset_view(shapes: DataFrame, meridian: float | None) -> DataFrame:
     """One row with the bounds of the view, of the inset's box in it and of what the inset shows, and ``scale``; no row where the map is
     framed the ordinary way: no meridian, land on one side of it only, or a gain in width under INSET_GAIN of the mainland's.
 
-    Parts are dealt to a side whole, by the middle of their box; longitudes are the x of ``shapes``.
+    Bounds are those of the land on either side, clipped at the meridian; longitudes are the x of ``shapes``.
     """
-    side = F.when((F.col("box.x0") + F.col("box.x1")) / 2 < F.lit(meridian), "main").otherwise("far")
-    ends = lambda s: [f(F.when(F.col("side") == s, F.col(f"box.{c}"))).alias(f"{s}_{c}") for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
-    b = parts(shapes).withColumn("side", side).agg(*ends("main"), *ends("far"))
+    sides = split_at(shapes.select("geom"), 0.0 if meridian is None else meridian)
+    ends = lambda side, name: [f(F.col(f"{side}.{c}")).alias(f"{name}_{c}") for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    b = sides.select(bounds(F.col("west")).alias("west"), bounds(F.col("east")).alias("east")).agg(*ends("west", "main"), *ends("east", "far"))
     w, h = F.col("main_x1") - F.col("main_x0"), F.col("main_y1") - F.col("main_y0")
     far_w, far_h = F.col("far_x1") - F.col("far_x0"), F.col("far_y1") - F.col("far_y0")
     b = b.where(F.lit(meridian is not None) & F.col("main_x0").isNotNull() & F.col("far_x0").isNotNull()).where(F.col("far_x1") - F.col("main_x1") >= w * INSET_GAIN)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import albers, area
 from ..operators import geo
+from ..operators.topology import coverage_simplify
 from .registry import query
 
 X, Y = "(n_nationkey % 5)", "(n_nationkey // 5)"
@@ -145,3 +146,76 @@ def geo_inset_view(load, spark):
 def geo_unit_facts(load, spark):
     shapes = squares(load).withColumn("dan_so", (F.col("shape_id") * 1000).cast("string"))
     return geo.shape_facts(shapes, {"population": "dan_so"}).withColumn("area", F.round("area", 9)).withColumn("density", F.round("density", 6))
+
+
+# A lattice of cells, one for each customer; each border has a tip in its middle, of a height that its place gives, and small teeth.
+WIDE, TOLERANCE = 40, 0.245
+ACROSS, UP = "((({i}) * 7 + ({j}) * 13) % 11 - 5) / 20.0", "((({i}) * 5 + ({j}) * 17) % 7 - 3) / 15.0"
+
+
+def jagged(load):
+    i, j = F.col("c_custkey") % WIDE, F.floor(F.col("c_custkey") / WIDE)
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    def across(i, j):
+        d = ((i * 7 + j * 13) % 11 - 5) / 20.0
+        return [point(i, j), point(i + 0.25, j + d / 2 + 0.001), point(i + 0.5, j + d), point(i + 0.75, j + d / 2 + 0.001)], point(i + 1, j)
+
+    def up(i, j):
+        d = ((i * 5 + j * 17) % 7 - 3) / 15.0
+        return [point(i, j), point(i + d / 2 + 0.001, j + 0.25), point(i + d, j + 0.5), point(i + d / 2 + 0.001, j + 0.75)], point(i, j + 1)
+
+    ahead = lambda line: line[0]
+    back = lambda line: [line[1], *line[0][:0:-1]]
+    ring = F.array(*ahead(across(i, j)), *ahead(up(i + 1, j)), *back(across(i, j + 1)), *back(up(i, j)))
+    return load("customer").select(F.col("c_custkey").alias("shape_id"), F.array(F.array(ring)).alias("geom"))
+
+
+# A tip stays if its triangle, half its height, is not below the squared tolerance.
+TIPS = f"""WITH c AS (SELECT c_custkey AS shape_id, c_custkey % {WIDE} AS i, c_custkey // {WIDE} AS j FROM customer),
+d AS (SELECT *, {ACROSS.format(i="i", j="j")} AS s, {UP.format(i="i + 1", j="j")} AS e, {ACROSS.format(i="i", j="j + 1")} AS n, {UP.format(i="i", j="j")} AS w FROM c),
+t AS (SELECT shape_id, i, j, {", ".join(f"CASE WHEN abs({k}) / 2 >= {TOLERANCE**2} THEN {k} ELSE 0 END AS {k}" for k in "senw")} FROM d)"""
+
+
+@query("geo_simplify", f"{TIPS} SELECT shape_id, round(1 + (n - s + e - w) / 2, 6)::DOUBLE AS area, 4 + (s <> 0)::INT + (e <> 0)::INT + (n <> 0)::INT + (w <> 0)::INT AS vertices FROM t")
+def geo_simplify(load, spark):
+    out = coverage_simplify(jagged(load), TOLERANCE)
+    return out.select("shape_id", F.round(area(F.col("geom")), 6).alias("area"), F.size(F.col("geom")[0][0]).alias("vertices"))
+
+
+@query("geo_simplify_outline", f"""{TIPS},
+e AS (SELECT unnest([{{'k': 'a', 'x': i, 'y': j, 'd': s}}, {{'k': 'u', 'x': i + 1, 'y': j, 'd': e}}, {{'k': 'a', 'x': i, 'y': j + 1, 'd': n}}, {{'k': 'u', 'x': i, 'y': j, 'd': w}}], recursive := true) FROM t),
+o AS (SELECT k, x, y, any_value(d) AS d FROM e GROUP BY k, x, y HAVING count(*) = 1)
+SELECT sum(CASE WHEN d = 0 THEN 1 ELSE 2 END)::BIGINT AS edges, round(sum(2 * sqrt(0.25 + d * d)), 6)::DOUBLE AS length FROM o""")
+def geo_simplify_outline(load, spark):
+    """The border of all thinned cells together: no edge of an inner border is left over."""
+    out = geo.outline(coverage_simplify(jagged(load), TOLERANCE))
+    return out.agg(F.count("*").alias("edges"), F.round(F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))), 6).alias("length"))
+
+
+# A block for each customer, open to the east like a C, with a hole; the meridian is anywhere in it.
+MERIDIAN, WEST_END = 7.25, "(c_custkey * 37 % 101) / 10.0"
+
+
+def blocks(load):
+    x0 = F.col("c_custkey") * 37 % 101 / 10.0
+    ring = lambda *ends: F.array(*(F.struct((x0 + x).alias("x"), F.lit(float(y)).alias("y")) for x, y in ends))
+    outer = ring((0, 0), (4, 0), (4, 1), (2, 1), (2, 2), (4, 2), (4, 3), (0, 3))
+    hole = ring((0.5, 0.25), (0.5, 0.75), (1.5, 0.75), (1.5, 0.25))
+    return load("customer").select(F.col("c_custkey").alias("shape_id"), F.array(F.array(outer, hole)).alias("geom"))
+
+
+CUT = f"WITH t AS (SELECT c_custkey AS shape_id, greatest(0, least(4, {MERIDIAN} - {WEST_END})) AS t FROM customer), w AS (SELECT *, t * 3 - greatest(0, t - 2) - greatest(0, least(1, t - 0.5)) / 2 AS west FROM t)"
+
+
+@query("geo_split_meridian", f"{CUT} SELECT shape_id, round(west, 6)::DOUBLE AS west, round(9.5 - west, 6)::DOUBLE AS east, (t > 0)::INT AS west_parts, CASE WHEN t >= 4 THEN 0 WHEN t > 2 THEN 2 ELSE 1 END AS east_parts, 9.5::DOUBLE AS whole FROM w")
+def geo_split_meridian(load, spark):
+    out = geo.split_at(blocks(load), MERIDIAN)
+    return out.select("shape_id", F.round(area(F.col("west")), 6).alias("west"), F.round(area(F.col("east")), 6).alias("east"), F.size("west").alias("west_parts"), F.size("east").alias("east_parts"), F.round(area(F.col("geom")), 6).alias("whole"))
+
+
+@query("geo_clip_for_drawing", f"{CUT} SELECT shape_id, round(west, 6)::DOUBLE AS drawn, 9.5::DOUBLE AS whole FROM w")
+def geo_clip_for_drawing(load, spark):
+    shapes = blocks(load)
+    out = geo.clip_for_drawing(shapes, geo.inset_view(shapes, MERIDIAN), MERIDIAN)
+    return out.select("shape_id", F.round(area(F.col("drawn")), 6).alias("drawn"), F.round(area(F.col("geom")), 6).alias("whole"))
