@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, fresh, stage, table, with_row_id
+from .common import BLANK_CLASS, discard, stage, table, with_row_id
 
 #: Weights that the sources take in turn, in code point order, null last.
 WEIGHTS = [5, 2, 1]
 #: A source gives at most so many times its size, in as many passes over its documents.
 MAX_REPEAT = 3
-#: Rows that one window partition holds on average; the number of parts follows from the input.
+#: Rows that one window partition holds on average, about; the number of parts follows from the input, and is no less than the cores.
 PART_ROWS = 20_000
+#: Sources whose targets are broadcast; more are joined by a shuffle.
+SOURCES_AT_HAND = 100_000
 
 
 def n_words(c: Column) -> Column:
@@ -24,7 +26,7 @@ def source_targets(sizes: DataFrame, weights: list[int] = WEIGHTS, repeat: int =
 
     The total goes round by weight; what a source cannot use above ``repeat`` times its size is shared out again. Sorted by cap
     over weight, the sources that end at their cap come first, so the level of the others follows from running sums: it falls from the
-    first place on where it is no higher than the ratio, so it is the largest such.
+    first place on where it is no higher than the ratio, so it is the largest such. The windows see a row for each source.
     """
     w = F.lit(0)
     for i, x in enumerate(weights):
@@ -59,39 +61,57 @@ def running_sum(df: DataFrame, by: list[str], part: str, order: list, size: str,
     return df.withColumn("inner_sum", F.sum(size).over(inner)).join(offsets, same).withColumn(out, F.col("inner_sum") + F.col("offset")).drop("inner_sum", "offset", "o_part", *[f"o_{c}" for c in by])
 
 
-def fair_mix(docs: DataFrame, row_cols: list[str], weights: list[int] = WEIGHTS, repeat: int = MAX_REPEAT) -> DataFrame:
-    """``docs(*row_cols, doc_id, source, size)`` to the same with ``source_size, target, copies`` (times the mix takes the row).
+def _with_key(docs: DataFrame, row_cols: list[str]) -> DataFrame:
+    """Adds ``key``, by which a source is shuffled: the MD5 of the id, then a hash of the row, so that null ids and repeats of one id are
+    dealt like others."""
+    return docs.withColumn("key", F.struct(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("digest"), F.xxhash64(*row_cols).alias("h"), *row_cols))
 
-    Each source is shuffled by the MD5 of the id. A copy's virtual finish time is the source's words up to its end, earlier passes
-    included, over the target; the copies of all sources, sorted by it, are taken while their words fit the total. Both running
-    sums go over parts whose number grows with the rows: ranges of the digest, then ranges of the finish time.
+
+def _by_source(df: DataFrame, sources: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``sources``, a row for each source; few of them are broadcast, more are joined by a shuffle."""
+    s = sources.withColumnRenamed("source", "of_source")
+    return df.join(F.broadcast(s) if s.count() <= SOURCES_AT_HAND else s, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+
+
+def fair_mix(docs: DataFrame, row_cols: list[str], weights: list[int] = WEIGHTS, repeat: int = MAX_REPEAT) -> tuple[DataFrame, DataFrame]:
+    """``docs(*row_cols, doc_id, source, size)``, read several times, to ``(sources, rows)``: ``sources(source, source_size, target, last)``,
+    where ``last`` lists for each pass over the source the key of the last row that the mix takes, and the rows with their ``key``.
+
+    Each source is shuffled by its keys. A copy's virtual finish time is the source's words up to its end, earlier passes included,
+    over the target; the copies of all sources, sorted by it, are taken while their words fit the total. So a pass takes the first
+    rows of a source, up to one, and whoever knows a row's key and source knows its copies. Rows are sorted in ranges of source and
+    key, hot ones in several, whose number grows with the rows; sums of ranges are few. Finish times are ranges too, of which only the
+    one that the total falls into is sorted.
     """
-    rows = stage(docs.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-rows")
-    n_parts = max(1, rows.count() // PART_ROWS)
+    spark = docs.sparkSession
+    rows = stage(_with_key(docs, row_cols), "mix-rows")
+    n_parts = max(spark.sparkContext.defaultParallelism, rows.count() // PART_ROWS)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = stage(source_targets(sizes, weights, repeat), "mix-targets").withColumnRenamed("source", "s")
+    targets = stage(source_targets(sizes, weights, repeat), "mix-targets")
     budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0).cast("long")).alias("b")).first().b
-    lead = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
-    parted = rows.withColumn("part", F.floor(lead * n_parts / F.lit(1 << 32)).cast("long"))
-    summed = running_sum(parted, ["source"], "part", ["digest", F.col("doc_id").asc_nulls_first(), "size", *row_cols], "size", "cum")
-    timed = stage(summed.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("s"))).drop("s", "part", "inner_sum"), "mix-timed")
+    parted = rows.repartitionByRange(n_parts, F.col("source").asc_nulls_last(), "key").withColumn("part", F.spark_partition_id())
+    timed = stage(_by_source(running_sum(parted, ["source"], "part", ["key"], "size", "cum"), targets).drop("part"), "mix-timed")
     finish = (F.col("pass") * F.col("source_size") + F.col("cum")) / F.col("target")
     copies = timed.withColumn("pass", F.explode(F.array(*(F.lit(i).cast("long") for i in range(repeat))))).withColumn("finish", F.when(F.col("target") > 0, finish))
     slots = copies.withColumn("slot", F.floor(F.col("finish") * n_parts * 4).cast("long"))
     by_slot = slots.groupBy("slot").agg(F.sum("size").alias("words"))
     cum = by_slot.withColumn("upto", F.sum("words").over(Window.orderBy(F.col("slot").asc_nulls_last())))
-    edge = cum.where(F.col("upto") > budget).orderBy(F.col("slot").asc_nulls_last()).limit(1).select("slot", (F.col("upto") - F.col("words")).alias("used")).collect()
-    if not edge:
-        return timed.withColumn("copies", F.lit(repeat).cast("long")).where(F.lit(budget) >= 0).drop("digest", "cum")
-    slot, used = edge[0].slot, edge[0].used
-    order = ["finish", F.col("source").asc_nulls_last(), F.col("digest"), F.col("doc_id").asc_nulls_first(), "size", "pass", *row_cols]
-    at_edge = slots.where(F.col("slot").eqNullSafe(F.lit(slot))).withColumn("upto", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    in_edge = at_edge.where(F.col("upto") + used <= budget).groupBy(*row_cols).agg(F.count("*").alias("edge_copies"))
-    whole = F.lit(0).cast("long")
-    for i in range(repeat):
-        done = F.floor(F.when(F.col("target") > 0, (i * F.col("source_size") + F.col("cum")) / F.col("target")) * n_parts * 4)
-        whole = whole + F.coalesce((done < slot).cast("long"), F.lit(0))
-    return timed.join(in_edge, row_cols, "left").withColumn("copies", whole + F.coalesce("edge_copies", F.lit(0))).drop("digest", "cum", "edge_copies")
+    edge = cum.where(F.col("upto") > budget).orderBy(F.col("slot").asc_nulls_last()).limit(1).select("slot", (F.col("upto") - F.col("words")).alias("used")).first()
+    taken = slots.select("source", "pass", "key")
+    if edge:
+        order = ["finish", F.col("source").asc_nulls_last(), "key", "pass"]
+        at_edge = slots.where(F.col("slot") == edge.slot).withColumn("upto", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        taken = slots.where(F.col("slot") < edge.slot).select("source", "pass", "key").union(at_edge.where(F.col("upto") + edge.used <= budget).select("source", "pass", "key"))
+    last = taken.groupBy("source", "pass").agg(F.max("key").alias("key")).groupBy("source").agg(F.collect_list("key").alias("last"))
+    known = targets.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    out = stage(known, "mix-sources")
+    discard(timed, targets)
+    return out, rows
+
+
+def _copies() -> Column:
+    """How often a row is taken: in each pass whose last row comes no earlier."""
+    return F.coalesce(F.size(F.filter("last", lambda k: F.col("key") <= k)), F.lit(0)).cast("long")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: list[int] = WEIGHTS, repeat: int = MAX_REPEAT) -> DataFrame:
@@ -101,18 +121,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in its input split. Other columns are ignored. Empty input: no rows. Rerunning gives the same mix.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    return fair_mix(rows, ["row_id"], weights, repeat)
+    sources, keyed = fair_mix(rows, ["row_id"], weights, repeat)
+    return _by_source(keyed, sources).withColumn("copies", _copies()).drop("key", "last")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs``, all columns, each row as often as the mix takes it; rows it leaves go. Edge cases as in `mix_sources`. ``docs`` must
-    come from a scan."""
+    come from a scan. Texts are not shuffled: a row's copies follow from its key and source."""
     keyed, row = with_row_id(docs)
-    rows = keyed.select(F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    copies = fresh(keyed, "copies")
-    taken = stage(fair_mix(rows, ["row_id"]).where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(copies)), "mix-taken")
-    out = keyed.join(taken, row).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
-    return out.drop(row, copies)
+    slim = lambda *more: keyed.select(F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), *more)
+    sources, rows = fair_mix(slim(n_words(F.col(text_col)).alias("size")), ["row_id"])
+    discard(rows)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    out = _by_source(_with_key(slim(whole), ["row_id"]), sources.select("source", "last")).select("whole", _copies().alias("copies")).where("copies > 0")
+    return out.select("whole", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("whole.*")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
