@@ -15,7 +15,7 @@ SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
 def without_repeats(ring: Column) -> Column:
     """A ring without repeated vertices in a row, its closing one included."""
     n = F.size(ring)
-    return F.filter(ring, lambda p, i: (n == 1) | (p != F.get(ring, (i + n - 1) % n)))
+    return F.filter(ring, lambda p, i: (n == 1) | (p != F.get(ring, (i + 1) % n)))
 
 
 def edges(ring: Column) -> Column:

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import albers, area
 from ..operators import geo
 from ..operators.topology import coverage_simplify
+from ..sources.shapefile import layer_units, read_shapefiles, write_shapefiles
+from ..staging import new_path, stage
 from .registry import query
 
 X, Y = "(n_nationkey % 5)", "(n_nationkey // 5)"
@@ -219,3 +221,21 @@ def geo_clip_for_drawing(load, spark):
     shapes = blocks(load)
     out = geo.clip_for_drawing(shapes, geo.inset_view(shapes, MERIDIAN), MERIDIAN)
     return out.select("shape_id", F.round(area(F.col("drawn")), 6).alias("drawn"), F.round(area(F.col("geom")), 6).alias("whole"))
+
+
+@query("source_shapefile", "SELECT c_custkey AS id, c_name AS name, 9.5::DOUBLE AS area, 2 AS rings FROM customer")
+def source_shapefile(load, spark):
+    """Written as a layer, a file for each partition, and read back in ranges of records."""
+    folder = new_path(spark, "layer")
+    named = blocks(load).join(load("customer").select(F.col("c_custkey").alias("shape_id"), "c_name"), "shape_id")
+    stage(write_shapefiles(named, folder, ["shape_id", "c_name"]), "layer-files")
+    back = read_shapefiles(spark, folder, range_bytes=1 << 18)
+    return back.select(F.col("properties")["shape_id"].cast("bigint").alias("id"), F.col("properties")["c_name"].alias("name"), F.round(area(F.col("geom")), 6).alias("area"), F.size(F.col("geom")[0]).alias("rings"))
+
+
+@query("source_layer_units", "SELECT 'units' AS tier, count(*) AS units FROM customer")
+def source_layer_units(load, spark):
+    """Features of a written layer, counted from its index alone."""
+    folder = new_path(spark, "layer")
+    stage(write_shapefiles(blocks(load), folder, ["shape_id"]), "layer-files")
+    return layer_units(spark, {"units": folder})

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import GEOMETRY, without_repeats
 from ..functions.text import demojibake
 
 POINT = "array<double>"
@@ -25,8 +26,36 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     vertex = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
     open_ring = lambda r: F.slice(r, F.lit(1), F.when((F.size(r) > 1) & (F.element_at(r, -1) == r[0]), F.size(r) - 1).otherwise(F.size(r)))
     geom = F.transform(raw, lambda part: F.transform(part, lambda ring: F.transform(open_ring(ring), vertex)))
-    place = F.row_number().over(Window.orderBy("path", "i")) - 1
-    return f.select(place.alias("shape_id"), F.col("f.properties").alias("properties"), geom.alias("geom"))
+    # A row for each file: how many features the files before it have.
+    sizes = docs.select(F.col("_metadata.file_path").alias("path"), F.size("features").alias("n"))
+    before = sizes.select(F.col("path").alias("of"), (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("before"))
+    counted = f.join(before, F.col("path") == F.col("of"))
+    return counted.select((F.col("before") + F.col("i")).alias("shape_id"), F.col("f.properties").alias("properties"), geom.alias("geom"))
+
+
+def read_kml(spark: SparkSession, path: str) -> DataFrame:
+    """``(shape_id, properties, geom)`` of the placemarks of KML files that have polygons, by Spark's XML source, which splits files at
+    placemarks. Names, descriptions and data fields become properties. Ids are distinct and ascend with the file and place, with gaps.
+    """
+    ring = "struct<LinearRing:struct<coordinates:string>>"
+    polygon = f"array<struct<outerBoundaryIs:{ring},innerBoundaryIs:array<{ring}>>>"
+    pair = lambda value: f"array<struct<_name:string,{value}:string>>"
+    data = f"struct<Data:{pair('value')},SchemaData:struct<SimpleData:{pair('_VALUE')}>>"
+    marks = spark.read.format("xml").option("rowTag", "Placemark").schema(f"name string, description string, ExtendedData {data}, Polygon {polygon}, MultiGeometry struct<Polygon:{polygon}>").load(path)
+    numbers = lambda t: F.transform(F.split(t, ","), lambda x: x.cast("double"))
+
+    def vertices(r: Column) -> Column:
+        points = F.transform(F.filter(F.split(r["LinearRing"]["coordinates"], r"\s+"), lambda t: t != ""), lambda t: F.struct(numbers(t)[0].alias("x"), numbers(t)[1].alias("y")))
+        return without_repeats(points)
+
+    polygons = F.concat(F.coalesce("Polygon", F.array().cast(polygon)), F.coalesce("MultiGeometry.Polygon", F.array().cast(polygon)))
+    geom = F.transform(polygons, lambda p: F.concat(F.array(vertices(p["outerBoundaryIs"])), F.transform(F.coalesce(p["innerBoundaryIs"], F.array().cast(f"array<{ring}>")), vertices)))
+    entry = lambda name, value: F.when(F.col(value).isNotNull(), F.struct(F.lit(name).alias("key"), F.col(value).alias("value")))
+    fields = lambda c, value: F.coalesce(F.transform(c, lambda d: F.struct(d["_name"].alias("key"), d[value].alias("value"))), F.array().cast("array<struct<key:string,value:string>>"))
+    own = F.array_compact(F.array(entry("name", "name"), entry("description", "description")))
+    told = F.concat(own, fields("ExtendedData.Data", "value"), fields("ExtendedData.SchemaData.SimpleData", "_VALUE"))
+    last = F.map_from_entries(F.filter(told, lambda e: F.size(F.filter(told, lambda o: o["key"] == e["key"])) == 1))
+    return marks.select(F.monotonically_increasing_id().alias("shape_id"), last.alias("properties"), geom.cast(GEOMETRY).alias("geom")).where("size(geom) > 0")
 
 
 def with_columns(shapes: DataFrame, names: list[str]) -> DataFrame:
