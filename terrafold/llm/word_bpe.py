@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 import os
 import re
@@ -46,7 +45,12 @@ class Merges:
         for l, r, t, ok in zip(a.tolist(), b.tolist(), made.tolist(), fair.tolist()):
             good[t] = good[t] and ok and good[l] and good[r]
         self.sound = good
-        self.by_pair = dict(zip(zip(a.tolist(), b.tolist()), ranks.tolist()))
+        ends = [(ord(t), i) for t, i in self.vocab.items() if len(t) == 1]
+        lasts = [(ord(t[0]), i) for t, i in self.vocab.items() if self.suffix and len(t) == 1 + len(self.suffix) and t.endswith(self.suffix)]
+        self.first, self.last = (np.full(1 + max((c for c, _ in some), default=0), -1) for some in (ends, lasts if self.suffix else ends))
+        for table_, some in ((self.first, ends), (self.last, lasts if self.suffix else ends)):
+            for c, i in some:
+                table_[c] = i
         self._trie()
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,44 +126,86 @@ class Merges:
             at, node = at[on], node[on]
         return token, length
 
-    def merged(self, ids: list[int]) -> list[int]:
-        """The ids of one word after all merges: the lowest rank first, the leftmost of equals."""
-        ids, after, before = list(ids), [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1))
-        heap = [(r, k, x, y) for k, (x, y) in enumerate(zip(ids, ids[1:])) if (r := self.by_pair.get((x, y))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, k, x, y = heapq.heappop(heap)
-            n = after[k]
-            if ids[k] != x or n < 0 or ids[n] != y:
+    def characters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of the words' characters, the last of each with the suffix; characters without an id are left out."""
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids, last = self._looked_up(self.first, code), np.cumsum(sizes)[sizes > 0] - 1
+        ids[last] = self._looked_up(self.last, code[last])
+        if (ids < 0).any():
+            known = ids >= 0
+            sizes = np.bincount(np.repeat(np.arange(len(words)), sizes)[known], minlength=len(words))
+            ids = ids[known]
+        return ids, sizes
+
+    @staticmethod
+    def _looked_up(table_: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return np.where(code < len(table_), table_[np.minimum(code, len(table_) - 1)], -1)
+
+    def merged(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words after all merges. In each round every word takes its merge of lowest rank, the leftmost of equals; words
+        with none left are set aside. Only the ranks beside a merge are looked up again."""
+        n_words = len(sizes)
+        whose = np.repeat(np.arange(n_words), sizes)
+        rank = np.full(len(ids), NEVER)
+        inner = np.flatnonzero(whose[:-1] == whose[1:])
+        rank[inner] = self.rank_of(ids[inner], ids[inner + 1])
+        done_ids, done_who = [], []
+        while len(ids):
+            heads = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
+            lens = np.diff(np.append(heads, len(ids)))
+            low = np.repeat(np.minimum.reduceat(rank, heads), lens)
+            open_ = low < NEVER
+            if not open_.all():
+                done_ids.append(ids[~open_])
+                done_who.append(whose[~open_])
+                ids, whose, rank, low = ids[open_], whose[open_], rank[open_], low[open_]
                 continue
-            ids[k], ids[n], after[k] = int(self.made[r]), -1, after[n]
-            if after[n] >= 0:
-                before[after[n]] = k
-            for p, q in ((before[k], k), (k, after[k])):
-                if p >= 0 and q >= 0 and (s := self.by_pair.get((ids[p], ids[q]))) is not None:
-                    heapq.heappush(heap, (s, p, ids[p], ids[q]))
-        return [i for i in ids if i >= 0]
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word."""
-        first = [[t for c in (*w[:-1], w[-1] + self.suffix) if (t := self.vocab.get(c)) is not None] if w else [] for w in words]
-        sizes = np.array([len(f) for f in first], np.int64)
-        ids = np.array([i for f in first for i in f], np.int64)
+            hits = np.flatnonzero(rank == low)
+            at = hits[np.concatenate(([True], whose[hits[1:]] != whose[hits[:-1]]))]
+            ids[at] = self.made[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            moved = at - np.arange(len(at))
+            ids, whose, rank = ids[keep], whose[keep], rank[keep]
+            for k in (moved[moved > 0] - 1, moved):
+                after = np.minimum(k + 1, len(ids) - 1)
+                inside = (k < after) & (whose[k] == whose[after])
+                rank[k] = np.where(inside, self.rank_of(ids[k], ids[after]), NEVER)
+        who = np.concatenate(done_who) if done_who else np.zeros(0, np.int64)
+        order = np.argsort(who, kind="stable")
+        return (np.concatenate(done_ids) if done_ids else np.zeros(0, np.int64))[order], np.bincount(who, minlength=n_words)
+
+    def proposed(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words cut by longest matches from the left."""
         stops = np.cumsum(sizes)
         token, length = self.longest(ids, np.repeat(stops, sizes))
-        token, length = token.tolist(), length.tolist()
-        proposed, of = [], []
-        for k, (at, stop) in enumerate(zip((stops - sizes).tolist(), stops.tolist())):
-            while at < stop:
-                proposed.append(token[at])
-                of.append(k)
-                at += length[at]
-        flat, who = np.array(proposed, np.int64), np.array(of, np.int64)
-        same = who[:-1] == who[1:] if len(who) else np.zeros(0, bool)
+        at, who = (stops - sizes)[sizes > 0], np.flatnonzero(sizes > 0)
+        found, of = [], []
+        while len(at):
+            found.append(token[at])
+            of.append(who)
+            at = at + length[at]
+            on = at < stops[who]
+            at, who = at[on], who[on]
+        whose = np.concatenate(of) if of else np.zeros(0, np.int64)
+        order = np.argsort(whose, kind="stable")
+        return (np.concatenate(found) if found else np.zeros(0, np.int64))[order], np.bincount(whose, minlength=len(sizes))
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): the ids of all words one after the other, and how many each has."""
+        ids, sizes = self.characters(words)
+        out, n = self.proposed(ids, sizes)
+        whose = np.repeat(np.arange(len(words)), n)
+        same = np.flatnonzero(whose[:-1] == whose[1:])
         fails = np.zeros(len(words), bool)
-        fails[who[:-1][same][~self.apart(flat[:-1][same], flat[1:][same])]] = True
-        cuts = np.searchsorted(who, np.arange(len(words) + 1)).tolist()
-        return [self.merged(first[k]) if fails[k] else proposed[cuts[k] : cuts[k + 1]] for k in range(len(words))]
+        fails[whose[same[~self.apart(out[same], out[same + 1])]]] = True
+        if not fails.any():
+            return out, n
+        exact, m = self.merged(ids[np.repeat(fails, sizes)], sizes[fails])
+        keep = ~fails[whose]
+        who = np.concatenate((whose[keep], np.repeat(np.flatnonzero(fails), m)))
+        return np.concatenate((out[keep], exact))[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(words))
 
 
 # Fixed value: how the tokenizer file with word ends cuts its normalised texts, and the same for ASCII alone.
@@ -171,11 +217,12 @@ class Encoder:
     """Ids of whole texts by a BPE tokenizer file.
 
     The file's own normaliser and cutting rule give the words; what is merged is decided here. Where the rule drops white space, texts
-    are parted there first, and the parts met before are remembered, up to ROOM of them; ASCII parts are cut by the rule's ASCII form.
+    are parted there first, and the parts met before are remembered; beyond ROOM, those not met since the last time go. ASCII parts are
+    cut by the rule's ASCII form.
     Strings of added tokens are tokens of their own, as the library has it.
     """
 
-    ROOM = 1_000_000
+    ROOM = 150_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -201,21 +248,29 @@ class Encoder:
         self.controls = re.compile("[\x1c-\x1f\x85᠎]").search
         self.blanks, self.ascii = re.compile(r"[ \t-\r]+").split, re.compile(ASCII_RULE).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _words(self, part: str) -> list[str]:
-        if self.by_parts and part.isascii() and part.isprintable():
-            return self.ascii(part.lower())
+        if self.by_parts and part.isascii():
+            if part.isalpha():
+                return [part.lower()]
+            if part.isprintable():
+                return self.ascii(part.lower())
         whole = self.normalizer.normalize_str(part) if self.normalizer else part
         return [w for w, _ in self.cutter.pre_tokenize_str(whole)] if self.cutter else [whole]
 
     def _learn(self, parts: list[str]) -> None:
         """Remembers the ids of new parts; all their distinct words are encoded together."""
-        cut = [[(s, None) if s in self.added else (None, self._words(s)) for s in (self.at_added(p) if self.at_added else [p]) if s] for p in parts]
-        words = list({w for pieces in cut for _, ws in pieces for w in ws or ()})
-        ids = dict(zip(words, self.merges.encode(words)))
-        for p, pieces in zip(parts, cut):
-            got = [i for s, ws in pieces for i in ([self.added[s]] if ws is None else [i for w in ws for i in ids[w]])]
-            self.known[p] = np.array(got, np.int32).tobytes()
+        special = {p for p in parts if any(t in p for t in self.added)}
+        words = {p: self._words(p) for p in parts if p not in special}
+        cut = {p: [(s, None) if s in self.added else (None, self._words(s)) for s in self.at_added(p) if s] for p in special}
+        distinct = list({w for ws in words.values() for w in ws} | {w for pieces in cut.values() for _, ws in pieces for w in ws or ()})
+        ids, sizes = self.merges.encode(distinct)
+        data, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(sizes)).tolist()
+        known = dict(zip(distinct, [data[a:b] for a, b in zip([0, *ends], ends)]))
+        join = b"".join
+        self.known.update((p, known[ws[0]] if len(ws) == 1 else join([known[w] for w in ws])) for p, ws in words.items())
+        self.known.update((p, join([np.array([self.added[s]], np.int32).tobytes() if ws is None else join([known[w] for w in ws]) for s, ws in pieces])) for p, pieces in cut.items())
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_parts:
@@ -224,8 +279,10 @@ class Encoder:
             # str.split also cuts at controls that the rule takes for characters.
             parts = [[p for p in self.blanks(t) if p] if self.controls(t) else t.split() for t in texts]
         if len(self.known) > self.ROOM:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new = list({p for ps in parts for p in ps}.difference(self.known))
+        self.known.update((p, self.older[p]) for p in new if p in self.older)
+        new = [p for p in new if p not in self.known]
         for at in range(0, len(new), 1 << 15):
             self._learn(new[at : at + (1 << 15)])
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, ps)), np.int32) for ps in parts]
