@@ -2,11 +2,14 @@
 
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions.numbers import blend, nice_length
-from terrafold.operators.classify import natural_breaks
+from terrafold.operators import breaks
+from terrafold.operators.breaks import natural_breaks
+from terrafold.queries import QUERIES
 from terrafold.streaming.periods import period_sums
 from tests.support import SF
 
@@ -29,6 +32,40 @@ def test_natural_breaks(spark, values, k):
     assert len(ends) == k and ends[-1] == distinct[-1] and cost(ends) == pytest.approx(best)
 
 
+def plain_breaks(values, k):
+    """Fisher's division, every split of every end tried."""
+    x, w = np.unique(values, return_counts=True)
+    y, n = x - x.mean(), len(x)
+    c, cx, cxx = (np.concatenate(([0.0], np.cumsum(v))) for v in (w, w * y, w * y * y))
+    cost, back = np.full((k + 1, n + 1), np.inf), np.zeros((k + 1, n + 1), int)
+    cost[0, 0] = 0
+    for g in range(1, k + 1):
+        for j in range(g, n + 1):
+            i = np.arange(g - 1, j)
+            sse = cost[g - 1, i] + (cxx[j] - cxx[i]) - (cx[j] - cx[i]) ** 2 / (c[j] - c[i])
+            cost[g, j], back[g, j] = sse.min(), i[sse.argmin()]
+    ends, j = [], n
+    for g in range(k, 0, -1):
+        ends.append(float(x[j - 1]))
+        j = back[g, j]
+    return ends[::-1]
+
+
+@pytest.mark.parametrize("block, stride, n, k", [(7, 3, 200, 5), (64, 2, 600, 3)])
+def test_natural_breaks_in_blocks(spark, monkeypatch, block, stride, n, k):
+    monkeypatch.setattr(breaks, "BLOCK", block)
+    monkeypatch.setattr(breaks, "STRIDE", stride)
+    values = np.round(np.random.default_rng(n).lognormal(3, 1.2, n), 1)
+    got = natural_breaks(spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3), k)
+    assert got == plain_breaks(values, k)
+
+
+def test_natural_breaks_of_prices(spark):
+    values = np.array([float(r[0]) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_extendedprice").collect()])
+    rows = QUERIES["bins_natural_prices"](spark, SF).orderBy("class_idx").collect()
+    assert [r.hi for r in rows] == plain_breaks(values, 5)
+
+
 def test_blend_and_lengths(spark):
     row = spark.range(1).select(blend(F.lit("#000000"), F.lit("#ff8040"), F.lit(0.5)).alias("c"), nice_length(F.lit(1000.0)).alias("a"), nice_length(F.lit(90.0)).alias("b")).first()
     assert row.c in ("#804020", "#7f4020", "#804020") and (row.a, row.b) == (200.0, 20.0)
