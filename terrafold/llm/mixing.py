@@ -89,7 +89,8 @@ def fair_mix(docs: DataFrame, row_cols: list[str], weights: list[int] = WEIGHTS,
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stage(source_targets(sizes, weights, repeat), "mix-targets")
     budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0).cast("long")).alias("b")).first().b
-    parted = rows.repartitionByRange(n_parts, F.col("source").asc_nulls_last(), "key").withColumn("part", F.spark_partition_id())
+    # Written, since ranges come from a sample: whoever reads the parts twice must see them alike.
+    parted = stage(rows.repartitionByRange(n_parts, F.col("source").asc_nulls_last(), "key").withColumn("part", F.spark_partition_id()), "mix-parts")
     timed = stage(_by_source(running_sum(parted, ["source"], "part", ["key"], "size", "cum"), targets).drop("part"), "mix-timed")
     finish = (F.col("pass") * F.col("source_size") + F.col("cum")) / F.col("target")
     copies = timed.withColumn("pass", F.explode(F.array(*(F.lit(i).cast("long") for i in range(repeat))))).withColumn("finish", F.when(F.col("target") > 0, finish))
@@ -105,7 +106,7 @@ def fair_mix(docs: DataFrame, row_cols: list[str], weights: list[int] = WEIGHTS,
     last = taken.groupBy("source", "pass").agg(F.max("key").alias("key")).groupBy("source").agg(F.collect_list("key").alias("last"))
     known = targets.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     out = stage(known, "mix-sources")
-    discard(timed, targets)
+    discard(timed, targets, parted)
     return out, rows
 
 

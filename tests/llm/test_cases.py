@@ -208,3 +208,23 @@ def test_context_tree_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, teach boolean")
     got = {r.doc_id: r.score for r in ctw.ctw_scores(df, F.col("teach"), depth=depth).collect()}
     assert [got[10], got[11]] == pytest.approx([score(t) for t in asked], rel=1e-5)
+
+
+def test_languages_with_null_or_repeated_ids_are_learned(spark):
+    """A sample of a hundredth of either language: all ids null, or one text repeated under one id, beside a very long text."""
+    words = lambda stem, i: " ".join(f"{stem}{chr(97 + (i * k) % 26)}{chr(97 + (i + k) % 26)}" for k in range(40))
+    rows = [(None, words("ka", i), "aa") for i in range(3000)] + [(7, words("zo", 1), "bb")] * 3000 + [(8, "zo " * 300_000, "bb")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8), fit_chars=6000)
+    assert model["langs"] == ["aa", "bb"]
+    scorer = langid.Scorer(model)
+    assert scorer.text(words("ka", 3))[0] == "aa" and scorer.text(words("zo", 1))[0] == "bb"
+    assert len(model["words"]["x"]) < 2000
+
+
+def test_mixing_deals_null_ids_by_row(spark):
+    rows = spark.range(60_000).selectExpr("cast(null as long) doc_id", "'a b c' as text", "if(id % 3 = 0, 'x', null) as source", "id as n_chars")
+    docs = stage(rows, "null-ids")
+    got = mixing.mix_sources(docs).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("words"), F.first("target").alias("target")).collect()
+    assert all(abs(r.words - r.target) <= 9 for r in got), got
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() == sum(r.words for r in got) // 3
