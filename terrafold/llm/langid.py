@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, stage, table
 
-#: Labelled rows that the model is fitted on, for each language about so many, by hash of the id. The model holds every word and
-#: n-gram of them, so this bounds its size.
-FIT_ROWS = 2500
+#: Characters of labelled texts that the model is fitted on, for each language about so many, in pieces of PIECE characters by a hash
+#: of id, text and place. The model holds every word and n-gram of them, so this bounds its size, however long a text is.
+FIT_CHARS, PIECE = 8_000_000, 2000
 LONGEST = 4
 #: Bytes of word scores that a task remembers.
 MEMORY = 64 << 20
@@ -37,17 +37,25 @@ def words_of(text: str | None) -> Counter:
     return found
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
+def fit(docs: DataFrame, fit_chars: int = FIT_CHARS) -> dict:
     """``docs(doc_id, text, lang)`` to the model: log frequencies by language of all words and n-grams of the sample, and what an
     unseen one gets.
 
-    Rows without text or language teach nothing. The sample takes each language's rows with the same chance, so that about
-    ``fit_rows`` of them come; its words are counted once and staged; what comes to the driver is bounded by the sample.
+    Rows without text or language teach nothing. A language with up to ``fit_chars`` characters is taken whole; of others each piece of
+    each text has the same chance, null and repeated ids alike, so that about ``fit_chars`` come, and the piece with the least draw
+    always does; letters cut off at a piece's ends go. The sample's words are counted once and staged; what comes to the driver is
+    bounded by the sample.
     """
-    known = docs.where("text is not null and lang is not null")
-    per = known.groupBy("lang").agg(F.count("*").alias("in_lang"))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    sample = known.join(F.broadcast(per), "lang").where(chance * F.col("in_lang") < fit_rows)
+    known = docs.where("text is not null and lang is not null").select("lang", "text", F.char_length("text").cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("h"))
+    # The chance of a piece is uniform, so the least draw of a language's first pieces is one of its least.
+    draw = lambda i: F.pmod(F.xxhash64(F.col("h"), i), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    per = known.groupBy("lang").agg(F.sum("size").alias("in_lang"), F.min(draw(F.lit(0).cast("long"))).alias("least"))
+    rate = F.greatest(F.col("least"), F.lit(fit_chars) / F.col("in_lang"))
+    drawn = F.filter(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("size", F.lit(1)) - 1) / PIECE)), lambda i: draw(i) <= rate)
+    piece = lambda i: F.regexp_replace(F.substring(F.col("text"), (i * PIECE + 1).cast("int"), F.lit(PIECE)), r"^\p{L}+|\p{L}+$", "")
+    taken = F.when(F.col("in_lang") <= fit_chars, F.array("text")).otherwise(F.transform(drawn, piece))
+    # A row for each language, which the labels of a corpus bound.
+    sample = known.join(F.broadcast(per), "lang").select("lang", F.explode(taken).alias("text"))
     word = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
     words = stage(sample.select("lang", word.alias("x")).groupBy("lang", "x").agg(F.count("*").alias("n")), "fit-words")
     padded = F.concat(F.lit("_"), F.col("x"), F.lit("_"))
