@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import headings as hd
+from ..staging import discard, stage
+from .order_stats import commonest, ranked_values
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 #: semantic: (default method, allowed methods)
@@ -22,6 +24,8 @@ METHODS_OF = {
 OTHER_METHODS = ("mean", ["mean", "median"])
 NEVER_SUM = ["percent", "rate-per-capita", "percentage-point", "ratio", "score"]
 MAPPABLE = ["count", "percent", "rate-per-capita", "percentage-point", "money", "ratio", "score", "category", "unknown"]
+#: Texts of a column that are shown as examples.
+EXAMPLES = 4
 #: Mean relative error up to which a pair of counts is taken to make a rate.
 FIT = 0.02
 # What a rate's heading says of its denominator's, in order of preference.
@@ -40,28 +44,28 @@ def is_number(kind: str) -> bool:
 
 def column_facts(df: DataFrame) -> DataFrame:
     """A row for each column of ``df``: ``column, is_numeric, n_rows, present, distinct_values, lo, hi, total, integer_like,
-    upper_median, examples`` (the four commonest texts, ties by text).
+    upper_median, examples`` (the four commonest texts, ties by text) and ``position`` (from 0).
 
-    Cells are counted by column and text before anything is gathered, so one shuffle serves all columns, and the median, an observed
-    value, comes from the running counts of the distinct ones.
+    Cells are counted by column and text before anything is gathered, so one shuffle serves all columns. The median, an observed
+    value, is found by counting ranges of values and narrowing to the one that holds its rank, the examples by a bounded aggregation:
+    no column's distinct values meet in one task. Columns are few; what is kept for each is on the driver.
     """
-    kinds = dict(df.dtypes)
+    kinds, spark = dict(df.dtypes), df.sparkSession
     cell = lambda c: F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("text"), (F.col(f"`{c}`").cast("double") if is_number(kinds[c]) else F.lit(None).cast("double")).alias("number"))
     cells = df.select(F.explode(F.array(*map(cell, df.columns))).alias("r")).select("r.*")
-    counts = cells.groupBy("column", "text", "number").agg(F.count("*").alias("n"))
-    v = F.when(F.isnan("number"), None).otherwise(F.col("number"))
-    counts = counts.withColumn("v", v)
-    upto = Window.partitionBy("column").orderBy(F.col("v").asc_nulls_last(), "text")
-    common = Window.partitionBy("column").orderBy(F.col("text").isNull(), F.desc("n"), "text")
-    ranked = counts.withColumn("upto", F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).over(upto)).withColumn("place", F.row_number().over(common))
-    ranked = ranked.withColumn("numbers", F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).over(Window.partitionBy("column")))
-    middle = F.col("v").isNotNull() & (F.col("upto") > F.floor(F.col("numbers") / 2))
-    top = F.transform(F.array_sort(F.collect_list(F.when((F.col("place") <= 4) & F.col("text").isNotNull(), F.struct("place", "text")))), lambda x: x["text"])
+    counts = stage(cells.groupBy("column", "text", F.when(F.isnan("number"), None).otherwise(F.col("number")).alias("v")).agg(F.count("*").alias("n")), "cell-counts")
+    v, present = F.col("v"), F.col("text").isNotNull()
+    facts = stage(counts.groupBy("column").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("present"), F.count("text").alias("distinct_values"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.sum(v * F.col("n")).alias("total"), F.coalesce(F.bool_and(F.abs(v - F.rint("v")) < 1e-9), F.lit(False)).alias("integer_like"), F.sum(F.when(v.isNotNull(), F.col("n"))).alias("numbers"),
+    ), "column-sums")
+    medians = ranked_values(counts.groupBy("column", "v").agg(F.sum("n").alias("n")), facts.select("column", F.floor(F.col("numbers") / 2).alias("rank")))
+    texts = commonest(counts.select("column", "text", "n"), EXAMPLES)
     numeric = F.array(*(F.lit(c) for c in df.columns if is_number(kinds[c]))).cast("array<string>")
-    return ranked.groupBy("column").agg(
-        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("text").isNotNull(), F.col("n")).otherwise(0)).alias("present"), F.count("text").alias("distinct_values"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.sum(F.col("v") * F.col("n")).alias("total"), F.coalesce(F.bool_and(F.abs(F.col("v") - F.rint("v")) < 1e-9), F.lit(False)).alias("integer_like"), F.min(F.when(middle, F.col("v"))).alias("upper_median"), top.alias("examples"),
-    ).withColumn("is_numeric", F.array_contains(numeric, F.col("column")))
+    found = spark.createDataFrame([(c, k, medians.get(c), texts.get(c, [])) for k, c in enumerate(df.columns)], "column string, position int, upper_median double, examples array<string>")
+    out = stage(facts.join(F.broadcast(found), "column").drop("numbers").withColumn("is_numeric", F.array_contains(numeric, F.col("column"))), "column-facts")
+    discard(counts, facts)
+    return out
 
 
 def semantic_of(facts: DataFrame) -> Column:
@@ -105,33 +109,33 @@ def fitted_denominators(df: DataFrame, described: DataFrame) -> DataFrame:
     """``(rate, numerator, denominator, error)``: for each rate the pair of counts that reproduces it best, row by row.
 
     ``described`` is `with_semantics` of ``df``; columns are few, so pairs are planned on the driver, and all of them are judged in one
-    pass: a mean relative error for each. A pair needs half of the rate's rows, three at least, and an error up to FIT.
+    pass: a mean relative error for each, ties to the columns that come first. A pair needs half of the rate's rows, three at least, and an error up to FIT.
     """
-    rows = described.select("column", "semantic", "multiplier").collect()
+    rows = sorted(described.select("column", "semantic", "multiplier").collect(), key=lambda r: df.columns.index(r.column))
     counts = [r.column for r in rows if r.semantic == "count"]
     rates = [(r.column, r.multiplier) for r in rows if r.semantic in ("percent", "rate-per-capita", "percentage-point", "ratio")]
     number = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
     tried = []
-    for rate, scale in sorted(rates):
-        for top in sorted(counts):
-            for bottom in sorted(counts):
+    for rate, scale in rates:
+        for bottom in counts:
+            for top in counts:
                 if top != bottom:
                     r, n, d = number(rate), number(top), number(bottom)
                     error = F.when((r > 0) & (d > 0), F.abs(n / d * scale - r) / r)
-                    tried.append(F.struct(F.lit(rate).alias("rate"), F.lit(top).alias("numerator"), F.lit(bottom).alias("denominator"), F.avg(error).alias("error"), F.count(error).alias("n")))
+                    tried.append(F.struct(F.lit(len(tried)).alias("place"), F.lit(rate).alias("rate"), F.lit(top).alias("numerator"), F.lit(bottom).alias("denominator"), F.avg(error).alias("error"), F.count(error).alias("n")))
     spark = df.sparkSession
     if not tried:
         return spark.createDataFrame([], "rate string, numerator string, denominator string, error double")
     found = df.agg(F.count("*").alias("n_rows"), F.array(*tried).alias("pairs")).select("n_rows", F.explode("pairs").alias("p")).select("n_rows", "p.*")
     good = found.where((F.col("error") <= FIT) & (F.col("n") >= F.greatest(F.lit(3.0), F.col("n_rows") * 0.5)))
-    return good.groupBy("rate").agg(F.min(F.struct("error", "denominator", "numerator")).alias("b")).select("rate", "b.numerator", "b.denominator", "b.error")
+    return good.groupBy("rate").agg(F.min(F.struct("error", "place", "denominator", "numerator")).alias("b")).select("rate", "b.numerator", "b.denominator", "b.error")
 
 
 def named_denominators(described: DataFrame) -> DataFrame:
     """``(rate, denominator, basis)`` by names alone: most words in common (``name``), of several the largest; else what the rate's name
-    hints at (``hint``); else a population (``population``)."""
+    hints at (``hint``); else a population (``population``). Ties go to the column that comes first."""
     rates = described.where(F.col("semantic").isin("percent", "rate-per-capita", "percentage-point", "ratio")).select(F.col("column").alias("rate"))
-    counts = described.where("semantic = 'count'").select(F.col("column").alias("denominator"), F.coalesce("total", "hi", "upper_median", F.lit(0.0)).alias("size"))
+    counts = described.where("semantic = 'count'").select(F.col("column").alias("denominator"), F.coalesce("total", "hi", "upper_median", F.lit(0.0)).alias("size"), "position")
     r, d = hd.plain(F.col("rate")), hd.plain(F.col("denominator"))
     hint, order = F.lit(None).cast("int"), 0
     for trigger, hints in DENOMINATOR_HINTS.items():
@@ -139,8 +143,8 @@ def named_denominators(described: DataFrame) -> DataFrame:
             hint, order = F.coalesce(hint, F.when(r.contains(trigger) & d.contains(word), order)), order + 1
     overlap = F.size(F.array_intersect(hd.name_tokens(F.col("rate")), hd.name_tokens(F.col("denominator"))))
     # Columns of one table on both sides: a few hundred at most.
-    pairs = rates.join(counts, F.col("rate") != F.col("denominator")).select("rate", "denominator", "size", overlap.alias("overlap"), hint.alias("hint"), d.contains("dan so").alias("people"))
-    best = lambda cond, *keys: F.min(F.when(cond, F.struct(*keys, "denominator")))["denominator"]
+    pairs = rates.join(counts, F.col("rate") != F.col("denominator")).select("rate", "denominator", "size", "position", overlap.alias("overlap"), hint.alias("hint"), d.contains("dan so").alias("people"))
+    best = lambda cond, *keys: F.min(F.when(cond, F.struct(*keys, "position", "denominator")))["denominator"]
     found = pairs.groupBy("rate").agg(
         best(F.col("overlap") > 0, (-F.col("overlap")).alias("a"), (-F.col("size")).alias("b")).alias("by_name"), best(F.col("hint").isNotNull(), "hint").alias("by_hint"), best(F.col("people"), F.lit(0).alias("a")).alias("by_people")
     )
