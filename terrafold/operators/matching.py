@@ -90,27 +90,59 @@ def similarity(a: str, b: str) -> Column:
     return F.pandas_udf(_similar, T.DoubleType())(a, b)
 
 
+#: Letter pairs whose frequency decides their place among a key's pairs; rarer ones come first, whatever they are.
+KNOWN_PAIRS = 4096
+
+
+def _pairs(c: Column) -> Column:
+    """array<string>: pairs of neighbouring characters of a key, blanks and both ends included, each with how often it came before."""
+    framed = F.concat(F.lit("\x02"), c, F.lit("\x03"))
+    plain = F.transform(F.sequence(F.lit(1), F.length(framed) - 1), lambda i: F.substring(framed, i, F.lit(2)))
+    return F.transform(plain, lambda p, i: F.concat(p, F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda q: q == p)).cast("string")))
+
+
+def _least_shared(c: Column, floor: float) -> Column:
+    """How many of its pairs a key shares with any that is similar by ``floor``. Of a key of m characters a deletion takes two pairs, an
+    insertion one; with f the floor as a share, d deletions and e insertions have (2 - f) d + f e <= 2 (1 - f) m."""
+    f = floor / 100
+    lost = max(4 * (1 - f) / (2 - f), 2 * (1 - f) / f)
+    if lost >= 1:
+        raise ValueError(f"keys as unlike as {floor} may share no letter pair")
+    return F.ceil(F.length(c) * (1 - lost) + 1 - 1e-9).cast("int")
+
+
+def _candidates(asked: DataFrame, known: DataFrame, floor: float, by: list[str]) -> DataFrame:
+    """``asked(key, a, by..)`` and ``known(known, b, by..)`` to all ``(key, known, by..)`` whose texts ``a`` and ``b`` may be similar by ``floor``.
+
+    Similar keys share so many pairs that, with all pairs in one order, the first of either key (as many as it can lose, and one) share
+    one: an equi-join on those, rarest first, finds every pair. Lengths and the number of shared pairs then decide what is compared.
+    """
+    bags = [df.withColumn("bag", _pairs(F.col(c))).withColumn("least", _least_shared(F.col(c), floor)) for df, c in ((asked, "a"), (known, "b"))]
+    often = bags[1].select(F.explode("bag").alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").limit(KNOWN_PAIRS).collect()
+    place = F.create_map(*(x for r in often for x in (F.lit(r.p), F.lit(r.n)))) if often else F.create_map().cast("map<string,int>")
+    first = lambda bag, least: F.transform(F.slice(F.array_sort(F.transform(bag, lambda p: F.struct(F.coalesce(F.element_at(place, p).cast("long"), F.lit(0)).alias("n"), p.alias("p")))), F.lit(1), F.size(bag) - least + 1), lambda x: x["p"])
+    left, right = (bag.withColumn("pair", F.explode(first(F.col("bag"), F.col("least")))).withColumnRenamed("bag", f"bag_{k}").withColumnRenamed("least", f"least_{k}") for k, bag in enumerate(bags))
+    near = 2 * F.least(F.length("a"), F.length("b")) >= floor / 100 * (F.length("a") + F.length("b")) - 1e-9
+    enough = F.size(F.array_intersect("bag_0", "bag_1")) >= F.greatest("least_0", "least_1")
+    return left.join(right, ["pair", *by]).where(near & enough).select("key", "known", *by).distinct()
+
+
 def fuzzy_names(missed: DataFrame, index: DataFrame, affixes: str, by: list[str] | None = None, floor: float = FUZZY_FLOOR) -> DataFrame:
     """Names that no key hit, to ``(raw, [by..], score, shape_id, name)``: the best similarity at or over the floor, the first unit on ties.
 
-    To reach 82 over both lengths, keys must share a letter pair unless one is tiny, and their lengths must be near: candidates come
-    from an equi-join on letter pairs (of the sorted words too, as their order may differ), then lengths, then the similarity.
+    All similar keys are found, by the keys as they are and by their words in order: see `_candidates`. Only those are compared.
     """
     by = by or []
+    in_order = lambda c: F.array_join(F.array_sort(F.filter(F.split(c, " "), lambda w: w != "")), " ")
     asked = missed.select("raw", *by).distinct().withColumn("key", normalize(F.col("raw"), affixes)).where("key <> ''")
     known = (index.withColumnRenamed("parent", by[0]) if by else index).select(F.col("key").alias("known"), "shape_id", "name", "pos", *by)
-
-    def pairs(c: Column) -> Column:
-        return F.array_distinct(F.flatten(F.transform(F.split(c, " "), lambda w: F.when(F.length(w) < 2, F.array(w)).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))))))
-
-    left = asked.withColumn("pair", F.explode(pairs(F.col("key"))))
-    right = known.withColumn("pair", F.explode(pairs(F.col("known"))))
-    near = 2 * F.least(F.length("key"), F.length("known")) >= floor / 100 * (F.length("key") + F.length("known"))
-    cand = left.join(right, ["pair", *by]).where(near).select("raw", *by, "key", "known", "shape_id", "name", "pos").distinct()
-    scored = cand.withColumn("score", similarity("key", "known")).where(F.col("score") >= floor)
+    keys, units = asked.select("key", *by).distinct(), known.select("known", *by).distinct()
+    plain = _candidates(keys.withColumn("a", F.col("key")), units.withColumn("b", F.col("known")), floor, by)
+    words = _candidates(keys.withColumn("a", in_order("key")), units.withColumn("b", in_order("known")), floor, by)
+    scored = plain.union(words).distinct().withColumn("score", similarity("key", "known")).where(F.col("score") >= floor)
+    found = asked.join(scored, ["key", *by]).join(known, ["known", *by])
     best = F.max_by(F.struct("score", "shape_id", "name"), F.struct("score", (-F.col("pos")).alias("first")))
-    return scored.groupBy("raw", *by).agg(best.alias("b")).select("raw", *by, "b.*")
+    return found.groupBy("raw", *by).agg(best.alias("b")).select("raw", *by, "b.*")
 
 
 def review(rows: DataFrame, name: str, index: DataFrame, affixes: str, fuzzy: bool = True) -> DataFrame:
