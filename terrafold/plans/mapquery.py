@@ -82,7 +82,7 @@ def thematic_map(rows: DataFrame, units: DataFrame, spec: MapSpec) -> MapResult:
     if spec.kind == "categorized" and spec.value:
         order = classify.category_order(frame.where("value is not null"), "value")
         result.legend = order
-        frame = frame.join(F.broadcast(order.select(F.col("label").alias("value"), F.col("ord").alias("class_idx"), "colour")), "value", "left").withColumn("colour", F.coalesce("colour", F.lit(classify.NO_DATA)))
+        frame = frame.join(order.select(F.col("label").alias("value"), F.col("ord").alias("class_idx"), "colour"), "value", "left").withColumn("colour", F.coalesce("colour", F.lit(classify.NO_DATA)))
     if spec.kind in ("graduated-symbol", "choropleth-symbol") and spec.symbol:
         most = frame.agg(F.max("symbol").alias("m")).first().m or 1.0
         frame = frame.withColumn("radius", classify.radius(F.col("symbol"), most)).withColumn("symbol_formatted", format_value(F.col("symbol"), "count", lang=spec.lang))
