@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import csv
+import io
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, parse_number, strip
+from .lines import RANGE_BYTES, read_ranges, steps
 
 SUFFIXES = ["csv", "tsv", "txt", "xlsx", "xlsm", "xls"]
 PEEKED, SAMPLED = 64_000, 20
@@ -44,12 +49,46 @@ def text_dialect(head: bytes) -> tuple[str, str]:
         return encoding, max(found, key=found.get) if any(found.values()) else ","
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text, only empty cells null, headings stripped; the dialect is that of the first file."""
-    first = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, PEEKED).alias("head")).orderBy("path").first()
-    encoding, separator = text_dialect(bytes(first.head))
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=separator, encoding=encoding, nullValue="", emptyValue="", quote='"', escape='"', multiLine=True)
-    return df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
+def headings_of(head: bytes) -> tuple[str, str, list[str]]:
+    """(encoding, separator, headings) of the first bytes of a file: headings stripped, blank ones named by their place, repeats numbered."""
+    encoding, separator = text_dialect(head)
+    first = next(csv.reader(io.StringIO(head[:PEEKED].decode(encoding, "replace").lstrip("\ufeff"), newline=""), delimiter=separator), [])
+    names: list[str] = []
+    for k, cell in enumerate(first):
+        name = base = cell.strip() or f"Unnamed: {k}"
+        n = 0
+        while name in names:
+            n += 1
+            name = f"{base}.{n}"
+        names.append(name)
+    return encoding, separator, names
+
+
+def read_delimited(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Every column as text, only empty cells null. Each file has its own dialect and headings, told by its first bytes; columns of several
+    files meet by name, in the order in which they first occur, null where a file has none.
+
+    Files are listed without their contents, a task reads the first PEEKED bytes of each, and `read_ranges` splits large ones, quoted
+    line ends or not. What the driver holds is a heading for each file. No file: ValueError.
+    """
+    files = [(r.path, r.length) for r in spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path").collect()]
+    if not files:
+        raise ValueError(f"no file at {path}")
+    asked = spark.createDataFrame([(k, p, n) for k, (p, n) in enumerate(files)], "k int, path string, size long").repartition(min(len(files), 4 * spark.sparkContext.defaultParallelism), "k")
+
+    def peek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = [headings_of(b"".join(steps(r["path"], 0, min(r["size"], PEEKED)))) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t[0] for t in told]), pa.array([t[1] for t in told]), pa.array([t[2] for t in told], pa.list_(pa.string()))], ["k", "encoding", "separator", "names"])
+
+    alike: dict[tuple, list[tuple[str, int]]] = {}
+    for r in asked.mapInArrow(peek, "k int, encoding string, separator string, names array<string>").orderBy("k").collect():
+        if r.names:
+            alike.setdefault((r.encoding, r.separator, tuple(r.names)), []).append(files[r.k])
+    if not alike:
+        return spark.createDataFrame([], "`Unnamed: 0` string")
+    kinds = [read_ranges(spark, some, len(names), separator, encoding, range_bytes).toDF(*names) for (encoding, separator, names), some in alike.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
 
 
 def numeric_shares(df: DataFrame, columns: list[str]) -> DataFrame:
