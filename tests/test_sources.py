@@ -148,3 +148,25 @@ def test_where_says_what_is_near(spark):
         longform.checked_where(df, ["sex=Mal"])
     with pytest.raises(ValueError, match="no column"):
         longform.checked_where(df, ["x=1"])
+
+
+def test_workbook_values(spark, tmp_path):
+    """Dates by built-in and own formats, times, truth values, errors, bare cells, rich and shared strings."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    cells = """<row r="2"><c r="B2" s="1"><v>45292</v></c><c s="2"><v>45292.5625</v></c><c s="3"><v>0.5</v></c><c><v>45292</v></c></row>
+    <row><c t="b"><v>1</v></c><c t="b"><v>0</v></c><c t="e"><v>#N/A</v></c><c t="s"><v>0</v></c><c t="d"><v>2024-05-01</v></c><c t="str"><v>f</v></c><c s="4"><v>12.5</v></c><c s="1"><v>1</v></c></row>"""
+    styles = f"""<styleSheet {ns}><numFmts><numFmt numFmtId="164" formatCode="[$-409]dd/mm/yyyy hh:mm"/><numFmt numFmtId="165" formatCode="0.0 &quot;days&quot;"/></numFmts>
+    <cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="21"/><xf numFmtId="165"/></cellXfs></styleSheet>"""
+    with zipfile.ZipFile(tmp_path / "v.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", styles)
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><r><t>ri</t></r><r><t>ch</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData>{cells}</sheetData><mergeCells><mergeCell ref="A5"/></mergeCells></worksheet>')
+    found, merges = workbook.read_workbooks(spark, str(tmp_path))
+    assert {(c.row, c.col): c.value for c in found.collect()} == {
+        (1, 1): "2024-01-01", (1, 2): "2024-01-01 13:30:00", (1, 3): "12:00:00", (1, 4): "45292",
+        (2, 0): "True", (2, 1): "False", (2, 3): "rich", (2, 4): "2024-05-01", (2, 5): "f", (2, 6): "12.5", (2, 7): "1900-01-01",
+    }
+    assert [(m.r0, m.c0, m.r1, m.c1) for m in merges.collect()] == [(4, 0, 4, 0)]
+    assert workbook.moment("0", True) == "00:00:00" and workbook.moment("366", True) == "1905-01-01"
