@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import period_key
 from ..functions.text import is_total_like, label_of, split_ratio_role
+from .semantics import with_semantics
 
 CODE = r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+"
 # Headings of measures and of indicator axes.
@@ -220,3 +221,26 @@ def layers(df: DataFrame, keys: list[str], indicator: str, value: str, requests:
     out = channels(df, keys, indicator, value, parts)
     cols = [F.col(f"c{k}_indicator").alias(a["name"]) if "indicator" in a else (F.try_divide(f"c{k}_numerator", f"c{k}_denominator") * 100).alias(a["name"]) for k, a in enumerate(asked)]
     return out.select(*keys, *cols)
+
+
+#: Values of an indicator that its semantic is read off, and sorts that share a large one.
+SEMANTIC_SAMPLE, SEMANTIC_SHARES = 500, 64
+
+
+def indicator_semantics(df: DataFrame, indicator: str, value: str, order: list[str]) -> DataFrame:
+    """A row for each indicator of a long table, named ``column``, with the facts and semantics that `with_semantics` gives a column: read off
+    its first SEMANTIC_SAMPLE values by ``order``, which should tell rows apart, since all share one value column.
+
+    Rows are cut to the first ones of each task, then of each of SEMANTIC_SHARES shares of an indicator, then of the indicator, so no task
+    gets more than that many samples of it. Nulls and NaN don't count; an indicator without a number has no row, nor has a null one.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v) & F.col(indicator).isNotNull()).select(F.col(indicator).cast("string").alias("column"), v.alias("v"), F.struct(*order).alias("at"))
+    dealt = rows.withColumn("share", F.pmod(F.xxhash64("at"), F.lit(SEMANTIC_SHARES)))
+    first = lambda df, *keys: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).where(F.col("k") <= SEMANTIC_SAMPLE).drop("k")
+    sample = first(first(dealt, "column", "share"), "column")
+    facts = sample.groupBy("column").agg(
+        F.lit(True).alias("is_numeric"), F.count("*").alias("n_rows"), F.count("*").alias("present"), F.countDistinct("v").alias("distinct_values"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("v").alias("total"),
+        F.bool_and(F.abs(F.col("v") - F.rint("v")) < 1e-9).alias("integer_like"),
+    )
+    return with_semantics(facts)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import longform as lf
 from .registry import query
+from .semantics import semantic_sql
 
 # Half of the users also have total rows beside the details.
 LONG_SQL = """(SELECT user_id, event_type AS indicator, CASE WHEN event_id % 2 = 0 THEN 'Male' ELSE 'Female' END AS sex, 'p' || (event_id % 4) AS period, value FROM events
@@ -93,3 +94,14 @@ def long_ratio_pairs(load, spark):
 def long_channels(load, spark):
     out = lf.channels(long_table(load), ["user_id"], "indicator", "value", {"fill": ("purchase", {"sex": "Male"}), "symbol": ("view", {"sex": "Female", "period": "p1"})})
     return out.select("user_id", F.round("fill", 4).alias("fill"), F.round("symbol", 4).alias("symbol"))
+
+
+NAMED = "CASE event_type WHEN 'view' THEN 'Tỷ lệ xem (%)' WHEN 'click' THEN 'Số lượt click' WHEN 'signup' THEN 'Chênh lệch (điểm %)' ELSE event_type END"
+FIRST_FACTS = f"(SELECT column_name, true AS is_numeric, count(*) AS n_rows, count(DISTINCT v) AS distinct_values, min(v) AS lo, max(v) AS hi, bool_and(abs(v - round(v)) < 1e-9) AS integer_like FROM (SELECT {NAMED} AS column_name, value AS v FROM events WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 500) GROUP BY 1)"
+
+
+@query("long_indicator_semantics", f"""SELECT column_name AS "column", n_rows, distinct_values, round(lo, 4) AS lo, round(hi, 4) AS hi, semantic FROM ({semantic_sql(FIRST_FACTS)})""")
+def long_indicator_semantics(load, spark):
+    """What each indicator of one value column holds, off its first 500 values."""
+    out = lf.indicator_semantics(load("events").withColumn("indicator", F.expr(NAMED)), "indicator", "value", ["event_id"])
+    return out.select("column", "n_rows", "distinct_values", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "semantic")

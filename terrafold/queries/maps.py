@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..operators import classify as cl
+from ..operators.semantics import column_facts, with_semantics
 from ..plans import mapquery as mq
 from .classes import quantile_sql
 from .registry import query
+from .semantics import COLUMNS, SEMANTICS, report
 
 FACTS = """(SELECT c_nationkey AS shape_id, l_discount, l_quantity, l_extendedprice, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 # Nations, and a unit for each region that no fact names: they keep the colour of no data.
@@ -133,16 +135,19 @@ def frame_interpolation(load, spark):
     return mq.frame_colours(plan(load), coloured, "c_nationkey", "period")
 
 
-REQUESTS = {0: ("coverage", "percent"), 1: ("cases", "count"), 2: ("positivity", "percent"), 3: ("budget", "money"), 4: ("note", "text"), 5: ("lon", "coordinate"), 6: ("group", "category"), 7: ("thing", "unknown")}
-REQUESTED = ", ".join(f"({k}, '{n}', '{s}')" for k, (n, s) in REQUESTS.items())
+# What the columns of the line items hold, asked for in their order.
+PLACES = "(VALUES " + ", ".join(f"('{h}', {k})" for k, h in enumerate(COLUMNS)) + ") AS o(column_name, position)"
+REQUESTED = f"SELECT position AS k, column_name AS name, semantic FROM {SEMANTICS} JOIN {PLACES} USING (column_name)"
 
 
-@query("layers_allocate", f"""WITH r(k, name, semantic) AS (VALUES {REQUESTED}), f AS (SELECT row_number() OVER (ORDER BY k) - 1 AS map, name, semantic FROM r WHERE semantic IN ('percent', 'rate-per-capita', 'percentage-point', 'ratio', 'score', 'category')),
+@query("layers_allocate", f"""WITH r AS ({REQUESTED}), f AS (SELECT row_number() OVER (ORDER BY k) - 1 AS map, name, semantic FROM r WHERE semantic IN ('percent', 'rate-per-capita', 'percentage-point', 'ratio', 'score', 'category')),
 s AS (SELECT row_number() OVER (ORDER BY k) - 1 AS map, name FROM r WHERE semantic IN ('count', 'money'))
 SELECT map::INT AS map, f.name AS fill, s.name AS symbol, CASE WHEN f.name IS NULL THEN 'graduated-symbol' WHEN s.name IS NOT NULL THEN 'choropleth-symbol' WHEN f.semantic = 'category' THEN 'categorized' ELSE 'choropleth' END AS kind FROM f FULL JOIN s USING (map)
-UNION ALL SELECT -1, name, NULL, CASE semantic WHEN 'text' THEN 'no quantity' WHEN 'coordinate' THEN 'a coordinate' ELSE 'meaning unclear' END FROM r WHERE semantic IN ('text', 'coordinate', 'unknown')""")
+UNION ALL SELECT -1, name, NULL, CASE WHEN semantic IN ('text', 'time', 'identifier') THEN 'no quantity' WHEN semantic = 'coordinate' THEN 'a coordinate' ELSE 'meaning unclear' END FROM r WHERE semantic IN ('text', 'time', 'identifier', 'coordinate', 'unknown')""")
 def layers_allocate(load, spark):
-    maps, rejected = mq.allocate(list(REQUESTS.values()))
+    """Every column as a layer, by what its values say it is."""
+    described = with_semantics(column_facts(report(load))).orderBy("position").select("column", "semantic").collect()
+    maps, rejected = mq.allocate([(r.column, r.semantic) for r in described])
     rows = [(m["map"], m["fill"], m["symbol"], m["kind"]) for m in maps] + [(-1, n, None, why) for n, why in rejected]
     return spark.createDataFrame(rows, "map int, fill string, symbol string, kind string")
 
