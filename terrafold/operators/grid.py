@@ -10,37 +10,38 @@ from ..functions.text import is_blank
 SCANNED, BETTER, BELOW, GAP = 15, 1.15, 5, 2
 
 
-def header_scores(grid: DataFrame, scan: int = SCANNED) -> DataFrame:
-    """``(row, score)`` of the first rows: width times the shares of text, of distinct names and of names of a sane length, if a filled
+def header_scores(grid: DataFrame, scan: int = SCANNED, by: list[str] | None = None) -> DataFrame:
+    """``([by..], row, score)`` of the first rows of a sheet, or of each of several told apart by ``by``: width times the shares of text, of distinct names and of names of a sane length, if a filled
     row is among the next five; 0 under two cells."""
     filled = grid.where(~is_blank(F.col("value")) & (F.col("row") < scan + BELOW))
     text = ~F.trim("value").rlike(r"^[+-]?\d+(\.\d+)?$")
-    per = filled.groupBy("row").agg(
+    per = filled.groupBy(*(by or []), "row").agg(
         F.count("*").alias("width"), F.count_if(text).alias("texts"), F.countDistinct(F.lower(F.trim("value"))).alias("names"), F.count_if(text & F.length(F.trim("value")).between(1, 60)).alias("sane")
     )
     score = F.col("width") * (F.col("texts") / F.col("width")) * (F.col("names") / F.col("width")) * (F.col("sane") / F.greatest("texts", F.lit(1)))
-    rows = per.withColumn("next", F.lead("row").over(Window.orderBy("row")))
-    return rows.where(F.col("row") < scan).select("row", F.when((F.col("width") >= 2) & (F.col("next") <= F.col("row") + BELOW), score).otherwise(0.0).alias("score"))
+    rows = per.withColumn("next", F.lead("row").over(Window.partitionBy(*(by or [])).orderBy("row")))
+    return rows.where(F.col("row") < scan).select(*(by or []), "row", F.when((F.col("width") >= 2) & (F.col("next") <= F.col("row") + BELOW), score).otherwise(0.0).alias("score"))
 
 
-def header_row(grid: DataFrame, scan: int = SCANNED) -> DataFrame:
-    """One row: the header's ``row`` and ``score``. A later row must beat the best so far by the factor; a fold over at most ``scan`` scores."""
+def header_row(grid: DataFrame, scan: int = SCANNED, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each of ``by``: the header's ``row`` and ``score``. A later row must beat the best so far by the factor; a fold over at most ``scan`` scores."""
     scores = F.array_sort(F.collect_list(F.struct("row", "score")))
     start = F.struct(F.lit(0).cast("int").alias("row"), F.lit(0.0).alias("score"))
 
     def better(best: Column, x: Column) -> Column:
         return F.when(x["score"] > best["score"] * BETTER, F.struct(x["row"].cast("int").alias("row"), x["score"].alias("score"))).otherwise(best)
 
-    return header_scores(grid, scan).agg(F.aggregate(scores, start, better).alias("b")).select("b.*")
+    return header_scores(grid, scan, by).groupBy(*(by or [])).agg(F.aggregate(scores, start, better).alias("b")).select(*(by or []), "b.*")
 
 
-def table_blocks(grid: DataFrame, gap: int = GAP) -> DataFrame:
-    """``(first_row, last_row)`` of the tables of a sheet, split where ``gap`` or more rows are blank; two rows and columns at least."""
-    rows = grid.where(~is_blank(F.col("value"))).groupBy("row").agg(F.count("*").alias("width"))
-    w = Window.orderBy("row")
+def table_blocks(grid: DataFrame, gap: int = GAP, by: list[str] | None = None) -> DataFrame:
+    """``([by..], first_row, last_row)`` of the tables of a sheet, or of each of ``by``, split where ``gap`` or more rows are blank; two rows and columns at least."""
+    by = by or []
+    rows = grid.where(~is_blank(F.col("value"))).groupBy(*by, "row").agg(F.count("*").alias("width"))
+    w = Window.partitionBy(*by).orderBy("row")
     cut = rows.withColumn("new", (F.col("row") - F.lag("row").over(w) > gap).cast("int")).withColumn("block", F.sum(F.coalesce("new", F.lit(0))).over(w))
-    out = cut.groupBy("block").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("n"), F.max("width").alias("width"))
-    return out.where("n >= 2 and width >= 2").select("first_row", "last_row")
+    out = cut.groupBy(*by, "block").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("n"), F.max("width").alias("width"))
+    return out.where("n >= 2 and width >= 2").select(*by, "first_row", "last_row")
 
 
 def fill_merged(grid: DataFrame, ranges: DataFrame) -> DataFrame:
