@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import VIETNAM, normalize
 from ..operators import matching as mt
+from ..sources.remembered import store_overrides, stored_overrides
+from ..staging import new_path
 from .registry import query
 from .text import normalize_sql
 
@@ -122,7 +124,10 @@ def match_hierarchical(load, spark):
     return out.select("dataset_province", "dataset_commune", "matched_province", "matched_commune", "match_score", "match_method", "shape_id", "row_count")
 
 
-@query("match_override", f"SELECT p AS dataset_province, raw AS dataset_commune, CASE WHEN n_nationkey = 3 THEN 'override' ELSE 'normalised' END AS match_method, CASE WHEN n_nationkey = 3 THEN 7 ELSE n_nationkey END AS shape_id, count(*) AS row_count FROM ({NESTED}) GROUP BY ALL")
+OVERRIDDEN = f"SELECT p AS dataset_province, raw AS dataset_commune, CASE WHEN n_nationkey = 3 THEN 'override' ELSE 'normalised' END AS match_method, CASE WHEN n_nationkey = 3 THEN 7 ELSE n_nationkey END AS shape_id, count(*) AS row_count FROM ({NESTED}) GROUP BY ALL"
+
+
+@query("match_override", OVERRIDDEN)
 def match_override(load, spark):
     words, rows, coarse, fine = _nested(load)
     both = load("nation").join(load("region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey = 3")
@@ -130,6 +135,18 @@ def match_override(load, spark):
     return mt.review_nested(rows, "p", "c", coarse, fine, words, manual).select("dataset_province", "dataset_commune", "match_method", "shape_id", "row_count")
 
 
+@query("match_stored_override", OVERRIDDEN)
+def match_stored_override(load, spark):
+    """Decisions as an earlier run stored them, the last of two counts."""
+    words, rows, coarse, fine = _nested(load)
+    both = load("nation").join(load("region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey = 3")
+    store = new_path(spark, "overrides")
+    for at, unit in ((1, 5), (2, 7)):
+        store_overrides(both.select(F.col("r_name").alias("coarse"), F.concat(F.lit("District "), "n_name").alias("fine"), F.lit(unit).alias("shape_id"), F.lit("by hand").alias("matched"), F.lit(at).alias("at")), store)
+    out = mt.review_nested(rows, "p", "c", coarse, fine, words, stored_overrides(spark, store))
+    return out.select("dataset_province", "dataset_commune", "match_method", F.col("shape_id").cast("int").alias("shape_id"), "row_count")
+
+
 @query("match_status", """SELECT o_orderkey, CASE WHEN k = 0 THEN 'unmatched' WHEN k = 1 THEN 'needs-review' WHEN k = 2 THEN CASE WHEN s < 93 OR t < 90 THEN 'needs-review' ELSE 'high-confidence' END ELSE CASE WHEN t < 90 THEN 'needs-review' ELSE 'high-confidence' END END AS status
 FROM (SELECT o_orderkey, o_orderkey % 4 AS k, 80.0 + o_orderkey % 20 AS s, 80.0 + o_custkey % 20 AS t FROM orders)""")
 def match_status(load, spark):
