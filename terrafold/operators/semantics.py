@@ -72,19 +72,17 @@ def semantic_of(facts: DataFrame) -> Column:
     """The semantic of each row of `column_facts`: what the heading says comes before what the values look like."""
     h, number = F.col("column"), F.col("lo").isNotNull()
     within = lambda most: number & (F.greatest(F.abs("lo"), F.abs("hi")) <= most)
-    word, count = hd.time_word(h), hd.says(h, hd.COUNT_WORDS)
-    period = F.lit(False)
-    for name, lo, hi in hd.MARKED_TIMES.values():
-        period = period | ((word == name) & F.col("integer_like") & (F.col("lo") >= lo) & (F.col("hi") <= hi))
+    named, count = hd.naming_word(h, "time"), hd.says(h, hd.COUNT_WORDS)
+    period = named["least"].isNull() | (F.col("integer_like") & (F.col("lo") >= named["least"]) & (F.col("hi") <= named["most"]))
     of_text = (
-        F.when(word.isNotNull(), "time").when(hd.id_word(h).isNotNull(), "identifier")
+        F.when(named.isNotNull(), "time").when(hd.naming_word(h, "identifier").isNotNull(), "identifier")
         .when((F.col("distinct_values") > 0) & (F.col("distinct_values") <= F.greatest(F.lit(12.0), F.col("n_rows") * 0.15)), "category").otherwise("text")
     )
     of_number = (
         F.when(hd.says(h, hd.LON_WORDS) & within(180), "coordinate").when(hd.says(h, hd.LAT_WORDS) & within(90), "coordinate")
         .when(hd.says(h, hd.POINT_WORDS), "percentage-point").when(hd.says(h, hd.RATE_WORDS) | hd.plain(h).rlike(hd.PER_PEOPLE), "rate-per-capita")
         .when(hd.says(h, hd.MONEY_WORDS) | hd.plain(h).rlike(hd.MONEY_UNIT), "money").when(hd.says(h, hd.PERCENT_WORDS) | h.contains("%"), "percent").when(hd.says(h, hd.SCORE_WORDS), "score")
-        .when(~count & ((word == "generic") | period), "time").when(count | (F.col("integer_like") & (F.col("lo") >= 0)), "count").otherwise("unknown")
+        .when(~count & named.isNotNull() & period, "time").when(count | (F.col("integer_like") & (F.col("lo") >= 0)), "count").otherwise("unknown")
     )
     return F.when(F.col("is_numeric"), of_number).otherwise(of_text)
 

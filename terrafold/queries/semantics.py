@@ -61,19 +61,22 @@ def says(words: list[str]) -> str:
     return f"regexp_matches(p, '{hd.any_of(words)}')"
 
 
-def marked_sql(marked: dict[str, str]) -> str:
-    told = " ".join(f"WHEN regexp_matches(w, '{hd.any_of([m])}') THEN '{b}'" for m, b in marked.items())
-    return f"CASE {told} {' '.join(f'''WHEN p = w AND regexp_matches(w, '{hd.any_of([b])}') THEN '{b}' ''' for b in marked.values())} END"
+def naming_sql(meaning: str) -> str:
+    """The first word of a meaning that a heading holds."""
+    plain = [w for w, of, accented, *_ in hd.NAMING if of == meaning and not accented]
+    marked = [(w, accented) for w, of, accented, *_ in hd.NAMING if of == meaning and accented]
+    told = " ".join(f"WHEN regexp_matches(w, '{hd.any_of([a])}') OR (p = w AND regexp_matches(w, '{hd.any_of([b])}')) THEN '{b}'" for b, a in marked)
+    return f"CASE WHEN {says(plain)} THEN 'any' {told} END"
 
 
 def semantic_sql(facts: str) -> str:
-    time = f"CASE WHEN {says(hd.TIME_WORDS)} THEN 'generic' ELSE {marked_sql({k: v[0] for k, v in hd.MARKED_TIMES.items()})} END"
-    period = " OR ".join(f"(word = '{n}' AND integer_like AND lo >= {a} AND hi <= {b})" for n, a, b in hd.MARKED_TIMES.values())
-    return f"""SELECT *, CASE WHEN NOT is_numeric THEN CASE WHEN word IS NOT NULL THEN 'time' WHEN {says(hd.ID_WORDS)} OR {marked_sql(hd.MARKED_IDS)} IS NOT NULL THEN 'identifier'
+    time = naming_sql("time")
+    period = " OR ".join(f"(word = '{w}' AND integer_like AND lo >= {a} AND hi <= {b})" for w, _, _, a, b in hd.NAMING if a)
+    return f"""SELECT *, CASE WHEN NOT is_numeric THEN CASE WHEN word IS NOT NULL THEN 'time' WHEN {naming_sql('identifier')} IS NOT NULL THEN 'identifier'
   WHEN distinct_values > 0 AND distinct_values <= greatest(12, 0.15 * n_rows) THEN 'category' ELSE 'text' END
 WHEN {says(hd.LON_WORDS)} AND greatest(abs(lo), abs(hi)) <= 180 THEN 'coordinate' WHEN {says(hd.LAT_WORDS)} AND greatest(abs(lo), abs(hi)) <= 90 THEN 'coordinate' WHEN {says(hd.POINT_WORDS)} THEN 'percentage-point'
 WHEN {says(hd.RATE_WORDS)} OR regexp_matches(p, '{hd.PER_PEOPLE}') THEN 'rate-per-capita' WHEN {says(hd.MONEY_WORDS)} OR regexp_matches(p, '{hd.MONEY_UNIT}') THEN 'money' WHEN {says(hd.PERCENT_WORDS)} OR contains(column_name, '%') THEN 'percent'
-WHEN {says(hd.SCORE_WORDS)} THEN 'score' WHEN NOT counts AND (word = 'generic' OR {period}) THEN 'time' WHEN counts OR (integer_like AND lo >= 0) THEN 'count' ELSE 'unknown' END AS semantic
+WHEN {says(hd.SCORE_WORDS)} THEN 'score' WHEN NOT counts AND (word = 'any' OR {period}) THEN 'time' WHEN counts OR (integer_like AND lo >= 0) THEN 'count' ELSE 'unknown' END AS semantic
 FROM (SELECT *, {time} AS word, {says(hd.COUNT_WORDS)} AS counts FROM (SELECT *, trim({D.format('column_name')}) AS p, lower(column_name) AS w FROM {facts}))"""
 
 
