@@ -96,7 +96,7 @@ def check_ambiguous_match(load, spark):
     return shown(ck.ranked(ck.check_matching(qm.mt.summarize(reviewed))))
 
 
-@query("check_match_needs_review", row("match-needs-review", "'warning'", "", "n", "FROM (SELECT count(*) AS n FROM nation)"))
+@query("check_match_needs_review", row("match-needs-review", "'warning'", "", "n", f"FROM (SELECT count(*) AS n FROM ({qm.FUZZY_SQL}))"))
 def check_match_needs_review(load, spark):
     reviewed = qm.match_fuzzy(load, spark).select(F.lit("fuzzy").alias("match_method"), F.lit("needs-review").alias("status"))
     return shown(ck.ranked(ck.check_matching(qm.mt.summarize(reviewed))))
