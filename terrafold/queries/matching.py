@@ -204,7 +204,7 @@ SHAPE = mt.CODE_SHAPE
 
 @query("name_column_score", f"""WITH x AS ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, trim({e.format(t='VARCHAR')}) AS v FROM part" for c, e in SCORED.items())}),
 s AS (SELECT column_name, list_sort(list(length(v)))[count(*) // 2 + 1] AS median, count(DISTINCT v) / count(*) AS variety,
-  (count(*) FILTER (regexp_matches(v, '[\p{{L}}]')) - count(*) FILTER (regexp_matches(v, '{SHAPE}')) - count(*) FILTER (v = 'NA') + 0.15 * count(*) FILTER (contains(v, ' '))) / count(*) AS raw FROM x GROUP BY column_name)
+  (count(*) FILTER (regexp_matches(v, '[\\p{{L}}]')) - count(*) FILTER (regexp_matches(v, '{SHAPE}')) - count(*) FILTER (v = 'NA') + 0.15 * count(*) FILTER (contains(v, ' '))) / count(*) AS raw FROM x GROUP BY column_name)
 SELECT column_name AS "column", round(CASE WHEN variety < 0.5 OR median < 2 OR median > 60 THEN 0 ELSE least(1, greatest(0, raw + CASE WHEN median BETWEEN 5 AND 30 THEN 0.15 WHEN median < 5 THEN -0.45 ELSE -0.25 END)) END, 6)::DOUBLE AS score FROM s""")
 def name_column_score(load, spark):
     named = load("part").select(*(F.expr(e.format(t="STRING")).alias(c) for c, e in SCORED.items()))
