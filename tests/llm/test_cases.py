@@ -134,7 +134,7 @@ def test_long_component(spark):
     links = simhash.hamming_links(prints, 4)
     want = {(a, b) for a in range(40) for b in range(40) if a < b <= a + 4}
     assert sorted(map(tuple, links.collect())) == sorted(want)
-    from terrafold.llm.components import components
+    from terrafold.operators.components import components
 
     assert components(links).select("root").distinct().count() == 1
 
