@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import albers, area
 from ..operators import geo
 from ..operators.topology import coverage_simplify
+from ..sources import folders as fo
 from ..sources.shapefile import layer_units, read_shapefiles, write_shapefiles
 from ..staging import new_path, stage
 from .registry import query
@@ -239,3 +240,29 @@ def source_layer_units(load, spark):
     folder = new_path(spark, "layer")
     stage(write_shapefiles(blocks(load), folder, ["shape_id"]), "layer-files")
     return layer_units(spark, {"units": folder})
+
+
+def country_folder(load, spark):
+    """A country of three layers: customers as communes, nations as provinces, and an outline."""
+    root = new_path(spark, "boundaries")
+    outline = squares(load).where("n_regionkey = 0 AND shape_id = 0").select(F.lit("XYZ").alias("GID_0"), F.lit("Land").alias("COUNTRY"), "geom")
+    for tier, shapes, columns in (("communes", blocks(load), ["shape_id"]), ("provinces", squares(load), ["shape_id", "n_regionkey"]), ("outline", outline, ["GID_0", "COUNTRY"])):
+        stage(write_shapefiles(shapes.coalesce(1), f"{root}/land/{tier}", columns), "layer-files")
+    return fo.layer_listing(spark, root)
+
+
+@query("source_country_tiers", "SELECT 'land' AS country, * FROM (VALUES ('communes', (SELECT count(*) FROM customer), 'commune'), ('provinces', (SELECT count(*) FROM nation), 'province'), ('outline', (SELECT count(*) FROM nation WHERE n_nationkey = 0), NULL)) t(tier, units, role)")
+def source_country_tiers(load, spark):
+    """Roles of the tiers of the one country in a folder, by their units; the outline is known by its columns."""
+    listing = country_folder(load, spark)
+    country = fo.resolve_country(listing)
+    return fo.country_tiers(spark, listing, country).select(F.lit(country).alias("country"), "tier", "units", "role")
+
+
+@query("source_resolved_tier", "SELECT n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS region, 1.0::DOUBLE AS area FROM nation")
+def source_resolved_tier(load, spark):
+    """The coarse tier, asked for by its role."""
+    listing = country_folder(load, spark)
+    found = fo.resolve_tier(fo.country_tiers(spark, listing, fo.resolve_country(listing)), "province")
+    p = F.col("properties")
+    return fo.read_layer(spark, found["path"]).select(p["shape_id"].cast("bigint").alias("id"), p["n_regionke"].cast("bigint").alias("region"), F.round(area(F.col("geom")), 6).alias("area"))
