@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import headings as hd
+from ..functions.text import normalize
 from ..staging import stage
 from .semantics import column_facts, denominators, with_semantics
 
@@ -78,6 +81,90 @@ def year_pairs(columns: DataFrame) -> DataFrame:
     return out.where("n > 1").drop("n")
 
 
+# Semantics whose columns can't hold places; the least part of a column's cells that name a tier's units.
+NO_PLACES, LEAST_PLACES = ["count", "percent", "rate-per-capita", "money", "percentage-point", "coordinate"], 0.35
+
+
+def place_candidates(df: DataFrame, columns: list[str], provinces: DataFrame, communes: DataFrame | None, affixes: str) -> DataFrame:
+    """``(tier, rank, column, match_rate, distinct_values)``: the columns that name units of either tier (``provinces(key)``,
+    ``communes(key)``) in a good part of their filled cells, the best first.
+
+    A column of one repeated value is the last to be the fine tier's; of equal rates the one with more distinct names comes first, then the
+    one that stands first. Cells are counted by column and name before they meet the units; ranks are of a tier's columns, which are few.
+    """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "tier string, rank int, column string, match_rate double, distinct_values long")
+    cell = lambda k, c: F.struct(F.lit(k).alias("at"), F.lit(c).alias("column"), normalize(F.col(f"`{c}`").cast("string"), affixes).alias("key"))
+    cells = df.select(F.explode(F.array(*(F.when(F.col(f"`{c}`").isNotNull(), cell(k, c)) for k, c in enumerate(columns)))).alias("r")).where("r is not null").select("r.*")
+    tiers = provinces.select("key", F.lit("province").alias("tier"))
+    if communes is not None:
+        tiers = tiers.unionByName(communes.select("key", F.lit("commune").alias("tier")))
+    known = tiers.groupBy("key").agg(F.collect_set("tier").alias("tiers"))  # two at most
+    counted = cells.groupBy("at", "column", "key").agg(F.count("*").alias("n")).join(known, "key", "left")
+    hit = lambda tier: F.sum(F.when(F.array_contains("tiers", tier), F.col("n")).otherwise(0)) / F.sum("n")
+    shares = counted.groupBy("at", "column").agg(hit("province").alias("province"), hit("commune").alias("commune"), F.count("*").alias("distinct_values"))
+    each = F.array(*(F.struct(F.lit(t).alias("tier"), F.col(t).alias("match_rate")) for t in ("province", "commune")))
+    found = shares.select("at", "column", "distinct_values", F.explode(each).alias("t")).select("at", "column", "distinct_values", "t.*").where(F.col("match_rate") >= LEAST_PLACES)
+    repeated = (F.col("tier") == "commune") & (F.col("distinct_values") < 2)
+    rank = F.row_number().over(Window.partitionBy("tier").orderBy(repeated, F.desc("match_rate"), F.desc("distinct_values"), "at"))
+    return found.select("tier", rank.alias("rank"), "column", "match_rate", "distinct_values")
+
+
+def quality_warnings(columns: DataFrame) -> DataFrame:
+    """``(id, severity, column, metric)`` of what the columns of `described` give cause for: several periods, percentages beyond 0 and 100,
+    mostly missing cells. Facts alone are read, no cell again."""
+    s, hundred = F.col("semantic"), F.when(F.col("scale") == "unit", 100.0).otherwise(1.0)
+
+    def warn(key: str, severity: str, cond: Column, metric: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(key).alias("id"), F.lit(severity).alias("severity"), F.col("column"), metric.cast("double").alias("metric")))
+
+    high, low = F.col("hi") * hundred, F.col("lo") * hundred
+    found = F.array_compact(F.array(
+        warn("several-periods", "critical", (s == "time") & (F.col("distinct_values") > 1), F.col("distinct_values")), warn("percent-over-100", "warning", (s == "percent") & (high > 100.5), high),
+        warn("percent-negative", "warning", (s == "percent") & (low < 0), low), warn("mostly-missing", "warning", (F.col("missing") >= 0.4) & F.col("mappable"), F.col("missing")),
+    ))
+    return columns.select(F.explode(found).alias("w")).select("w.*")
+
+
+@dataclass
+class Profile:
+    """What a table holds: a row for each column; columns of places and the finest tier that they allow; axes of coordinates; columns of
+    periods, pairs of years, maps that can be drawn, warnings. ``columns`` is staged, the rest but ``places`` is read off it."""
+
+    columns: DataFrame
+    places: DataFrame
+    coordinates: DataFrame
+    periods: DataFrame
+    year_pairs: DataFrame
+    options: DataFrame
+    warnings: DataFrame
+
+    def summary(self) -> DataFrame:
+        """``(part, item, detail)``: all of it as rows."""
+        none = F.lit(None).cast("string")
+        axes = F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("column")) for a in ("lon", "lat")))
+        part = lambda name, df, item, detail: df.select(F.lit(name).alias("part"), item.alias("item"), detail.cast("string").alias("detail"))
+        parts = [
+            part("column", self.columns, F.col("column"), F.col("semantic")), part("weight", self.columns.where("weight_column is not null"), F.col("column"), F.col("weight_column")),
+            part("place", self.places, F.col("column"), F.concat_ws(" ", "tier", "rank")), part("coordinate", self.coordinates.select(F.explode(axes).alias("a")).where("a.column is not null"), F.col("a.column"), F.col("a.axis")),
+            part("period", self.periods, F.col("column"), none), part("years", self.year_pairs, F.col("indicator"), F.concat_ws(" - ", "baseline", "comparison")),
+            part("option", self.options, F.col("kind"), F.col("points")), part("warning", self.warnings, F.col("column"), F.col("id")),
+        ]
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out
+
+
+def profile(df: DataFrame, provinces: DataFrame, communes: DataFrame | None, affixes: str) -> Profile:
+    """The `Profile` of a table against the names of the units of both tiers (``provinces(key)``, ``communes(key)``, normalised)."""
+    columns = stage(described(df), "profile-columns")
+    maybe = [r.column for r in columns.where(~F.col("semantic").isin(NO_PLACES)).orderBy("position").select("column").collect()]
+    places = stage(place_candidates(df, maybe, provinces, communes, affixes), "profile-places")
+    periods = columns.where("semantic = 'time'").select("column", "distinct_values")
+    return Profile(columns, places, coordinates(columns), periods, year_pairs(columns), map_options(columns), quality_warnings(columns))
+
+
 def sample(df: DataFrame, first: list[str], columns: int = 7, rows: int = 5, order: str | None = None) -> DataFrame:
     """A few rows of a few columns to show: those named come first; rows by ``order`` where one is named."""
     shown = [*dict.fromkeys(c for c in [*first, *df.columns] if c in df.columns)][:columns]

@@ -8,7 +8,7 @@ from ..sources import delimited as dl
 from ..sources.boundaries import tier_roles
 from ..staging import new_path
 from .longform import LONG_SQL, long_table
-from .registry import query
+from .registry import SQL, query
 from .semantics import COLUMNS, SEMANTICS, report
 
 PLACES = "(VALUES " + ", ".join(f"('{h}', {k})" for k, h in enumerate(COLUMNS, 1)) + ") AS o(column_name, position)"
@@ -90,3 +90,24 @@ def source_tier_roles(load, spark):
     one = lambda name, df: df.agg(F.lit(name).alias("tier"), F.count("*").alias("units"))
     tiers = one("communes", load("customer")).union(one("provinces", load("nation"))).union(one("outline", load("nation").where("n_nationkey = 0")))
     return tier_roles(tiers)
+
+
+# A denominator that arithmetic proves goes before one by name.
+WEIGHTS = f"SELECT rate, coalesce(f.denominator, n.denominator) AS weight FROM ({SQL['denominator_by_name']}) n LEFT JOIN ({SQL['fit_denominator']}) f USING (rate)"
+
+
+@query("profile", f"""WITH k AS (SELECT * FROM {SEMANTICS} JOIN {PLACES} USING (column_name))
+SELECT 'column' AS part, column_name AS item, semantic AS detail FROM k UNION ALL SELECT 'weight', rate, weight FROM ({WEIGHTS}) WHERE weight IS NOT NULL UNION ALL SELECT 'option', kind, points::VARCHAR FROM ({SQL['map_options']})
+UNION ALL SELECT 'place', 'Nhóm', 'province 1' UNION ALL SELECT 'period', column_name, NULL FROM k WHERE semantic = 'time'
+UNION ALL SELECT 'coordinate', column_name, CASE column_name WHEN 'Kinh độ' THEN 'lon' ELSE 'lat' END FROM k WHERE semantic = 'coordinate'
+UNION ALL SELECT 'warning', column_name, 'several-periods' FROM k WHERE semantic = 'time' AND distinct_values > 1
+UNION ALL SELECT 'warning', column_name, 'percent-over-100' FROM k WHERE semantic = 'percent' AND hi * CASE WHEN hi <= 1.5 THEN 100 ELSE 1 END > 100.5
+UNION ALL SELECT 'warning', column_name, 'percent-negative' FROM k WHERE semantic = 'percent' AND lo < 0
+UNION ALL SELECT 'warning', column_name, 'mostly-missing' FROM k WHERE 1 - present / n_rows >= 0.4 AND semantic NOT IN ('time', 'identifier', 'text', 'coordinate')""")
+def profile(load, spark):
+    """All that is to be said of a report before a map is drawn: line items, whose return flags pass for provinces."""
+    from ..functions.text import normalize
+    from .matching import VIETNAM
+
+    flags = load("lineitem").select(normalize(F.col("l_returnflag"), VIETNAM).alias("key")).distinct()
+    return pf.profile(report(load), flags, None, VIETNAM).summary()
