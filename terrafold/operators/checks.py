@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.periods import granularity
 from .classify import Bins
 
 SEVERITIES = ["critical", "warning", "info"]
@@ -85,6 +86,21 @@ def check_periods(df: DataFrame, column: str) -> DataFrame:
     return issue(n, "several-periods", "critical", F.col("n") > 1, F.col("n"), column)
 
 
+def check_unreadable_periods(df: DataFrame, column: str, told: str | None = None) -> DataFrame:
+    """Distinct periods that no rule reads; they sort last. ``told`` is what the issue calls the column."""
+    return issue(granularity(df, column), "unreadable-periods", "warning", F.col("unreadable") > 0, F.col("unreadable"), told or column)
+
+
+def check_double_count(axes: DataFrame) -> DataFrame:
+    """From `double_counting_axes`: an issue for each axis on which a place has several rows of one indicator."""
+    return axes.select(F.lit("long-table-double-count").alias("id"), F.lit("critical").alias("severity"), F.col("axis").alias("column"), F.col("places").cast("double").alias("metric"))
+
+
+def check_sheet(usability: DataFrame) -> DataFrame:
+    """From the one-row verdict on a sheet."""
+    return issue(usability, "sheet-not-mappable", "critical", F.col("verdict") != "ok", F.col("n_rows"))
+
+
 def check_category_order(ordered: DataFrame, stated: bool = False) -> DataFrame:
     """From `category_order`."""
     s = ordered.agg(F.count("*").alias("n"), F.bool_or("known").alias("known"))

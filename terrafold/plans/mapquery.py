@@ -23,7 +23,7 @@ FRAMES_PER_SECOND, HOLD_SECONDS, FADE_SECONDS = 25, 1.8, 0.35
 
 @dataclass(frozen=True)
 class MapSpec:
-    """What a map shows. ``value`` is the fill, ``symbol`` the circles; each with its method and weight."""
+    """What a map shows. ``value`` is the fill, ``symbol`` the circles; each with its method (``auto``: what its semantic deserves) and weight."""
 
     kind: str
     key: str = "shape_id"
@@ -33,6 +33,7 @@ class MapSpec:
     semantic: str = "unknown"
     symbol: str | None = None
     symbol_method: str = "sum"
+    symbol_semantic: str = "count"
     classes: int = 5
     breaks: str = "quantile"
     integer: bool = False
@@ -63,10 +64,10 @@ def thematic_map(rows: DataFrame, units: DataFrame, spec: MapSpec) -> MapResult:
         raise ValueError(f"unknown map type {spec.kind!r}; known: {', '.join(MAP_TYPES)}")
     frame, issues = units.select("shape_id", "unit"), []
     if spec.value:
-        values = combine(rows, [spec.key], spec.value, spec.method, spec.weight, spec.order).select(F.col(spec.key).alias("shape_id"), "value")
+        values = combine(rows, [spec.key], spec.value, spec.method, spec.weight, spec.order, spec.semantic).select(F.col(spec.key).alias("shape_id"), "value")
         frame = frame.join(values, "shape_id", "left")
     if spec.symbol:
-        symbols = combine(rows, [spec.key], spec.symbol, spec.symbol_method).select(F.col(spec.key).alias("shape_id"), F.col("value").alias("symbol"))
+        symbols = combine(rows, [spec.key], spec.symbol, spec.symbol_method, semantic=spec.symbol_semantic).select(F.col(spec.key).alias("shape_id"), F.col("value").alias("symbol"))
         frame = frame.join(symbols, "shape_id", "left")
     if spec.value or spec.symbol:
         # A row for each unit: all that follows reads it again, not the facts.
@@ -85,7 +86,7 @@ def thematic_map(rows: DataFrame, units: DataFrame, spec: MapSpec) -> MapResult:
         frame = frame.join(order.select(F.col("label").alias("value"), F.col("ord").alias("class_idx"), "colour"), "value", "left").withColumn("colour", F.coalesce("colour", F.lit(classify.NO_DATA)))
     if spec.kind in ("graduated-symbol", "choropleth-symbol") and spec.symbol:
         most = frame.agg(F.max("symbol").alias("m")).first().m or 1.0
-        frame = frame.withColumn("radius", classify.radius(F.col("symbol"), most)).withColumn("symbol_formatted", format_value(F.col("symbol"), "count", lang=spec.lang))
+        frame = frame.withColumn("radius", classify.radius(F.col("symbol"), most)).withColumn("symbol_formatted", format_value(F.col("symbol"), spec.symbol_semantic, lang=spec.lang))
     rank_by = "value" if spec.value and spec.kind != "categorized" else "symbol" if spec.symbol else None
     if rank_by:
         place = F.row_number().over(Window.orderBy(F.abs(rank_by).desc_nulls_last(), "shape_id"))
@@ -94,6 +95,19 @@ def thematic_map(rows: DataFrame, units: DataFrame, spec: MapSpec) -> MapResult:
     return result
 
 
+def drawn_numbers(drawn: DataFrame) -> DataFrame:
+    """What a map shows as numbers, a row for each unit: ``unit``, then ``value`` and ``symbol`` each beside its text as the legend writes it."""
+    return drawn.select("unit", *(c for c in ("value", "formatted", "symbol", "symbol_formatted") if c in drawn.columns))
+
+
+def needs_place_column(kind: str, province: str | None, commune: str | None, tier: str) -> bool:
+    """Whether a place column must still be named: a point map without one is drawn from coordinates; the coarse tier needs the province's,
+    the fine one either."""
+    if province or (kind == "point" and not commune):
+        return False
+    return tier == "province" or not commune
+
+
 def series(rows: DataFrame, key: str, period: str, value: str, method: str = "sum", classes: int = 5) -> tuple[DataFrame, Bins]:
     """``(key, period, value, class_idx, colour)`` with one classification over all periods, so that colours compare."""
     values = stage(combine(rows, [key, period], value, method), "series-values")

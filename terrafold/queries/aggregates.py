@@ -73,7 +73,8 @@ def ratio_sum_then_divide(load, spark):
 
 @query("wide_ratio", """SELECT l_suppkey, round(sum(l_extendedprice * l_discount), 2) AS numerator, round(sum(l_extendedprice), 2) AS denominator, round(sum(l_extendedprice * l_discount) / sum(l_extendedprice) * 100, 6) AS ratio FROM lineitem GROUP BY l_suppkey""")
 def wide_ratio(load, spark):
-    out = agg.ratio_of_sums(load("lineitem"), ["l_suppkey"], F.col("l_extendedprice") * F.col("l_discount"), F.col("l_extendedprice"))
+    rows = load("lineitem").select("l_suppkey", (F.col("l_extendedprice") * F.col("l_discount")).alias("rebate/item"), "l_extendedprice")
+    out = agg.wide_ratio(rows, ["l_suppkey"], "rebate/item / l_extendedprice")
     return out.select("l_suppkey", F.round("numerator", 2).alias("numerator"), F.round("denominator", 2).alias("denominator"), F.round("ratio", 6).alias("ratio"))
 
 
@@ -97,8 +98,8 @@ def two_years(load):
 
 @query("change_two_columns", f"SELECT c_nationkey, round(comparison - baseline, 2) AS change, round((comparison - baseline) / nullif(baseline, 0) * 100, 4) AS points FROM ({YEARS_SQL})")
 def change_two_columns(load, spark):
-    change = F.col("comparison") - F.col("baseline")
-    return two_years(load).select("c_nationkey", F.round(change, 2).alias("change"), F.round(change / F.nullif("baseline", F.lit(0)) * 100, 4).alias("points"))
+    change = F.col("change")
+    return agg.with_change(two_years(load), "baseline", "comparison").select("c_nationkey", F.round(change, 2).alias("change"), F.round(change / F.nullif("baseline", F.lit(0)) * 100, 4).alias("points"))
 
 
 @query("where_chain", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
@@ -114,8 +115,8 @@ def where_nearest_values(load, spark):
 @query("period_filter", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE strftime(ts, '%Y-%m') = (SELECT min(strftime(ts, '%Y-%m')) FROM events) GROUP BY event_type")
 def period_filter(load, spark):
     e = load("events").withColumn("period", F.date_format("ts", "yyyy-MM"))
-    first = e.agg(F.min("period").alias("period"))
-    return e.join(F.broadcast(first), "period").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    first = e.agg(F.min("period").alias("period")).first().period
+    return agg.period_filter(e, "period", first).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("profile_columns", """WITH u AS (
@@ -134,3 +135,17 @@ def upper_median(load, spark):
 @query("integer_like", "SELECT bool_and(abs(o_totalprice - round(o_totalprice)) < 1e-9) AS price, bool_and(abs(o_custkey - round(o_custkey)) < 1e-9) AS customer FROM orders")
 def integer_like_columns(load, spark):
     return load("orders").agg(integer_like(F.col("o_totalprice")).alias("price"), integer_like(F.col("o_custkey").cast("double")).alias("customer"))
+
+
+@query("agg_described", f"""SELECT l_returnflag AS grp, sum(l_linenumber)::DOUBLE AS cases, round(sum(p * l_quantity) FILTER (p IS NOT NULL) / sum(l_quantity) FILTER (p IS NOT NULL), 6) AS positivity, round(sum(l_extendedprice), 2) AS budget, round(avg(l_tax * 10 + 0.5), 6) AS score, count(*) AS n_rows
+FROM (SELECT *, CASE WHEN l_orderkey % 9 > 0 THEN l_returnflag END AS flag, CASE WHEN l_orderkey % 5 > 0 THEN l_linenumber / l_quantity * 100 END AS p FROM lineitem) GROUP BY flag, l_returnflag HAVING flag IS NOT NULL""")
+def agg_described(load, spark):
+    """Columns combined by what their values say they are: counts and money summed, a rate weighted by its fitted denominator, a mean score."""
+    from ..operators.profile import described
+    from .semantics import report
+
+    rows = report(load)
+    names = {"cases": "Số ca mắc", "positivity": "Tỷ lệ dương tính (%)", "budget": "Ngân sách (VND)", "score": "Điểm số"}
+    out = agg.combine_described(rows, ["Nhóm"], described(rows), list(names.values())).where("`Nhóm` IS NOT NULL")
+    digits = {"positivity": 6, "budget": 2, "score": 6}
+    return out.select(F.col("Nhóm").alias("grp"), *((F.round(F.col(f"`{c}`"), digits[n]) if n in digits else F.col(f"`{c}`").cast("double")).alias(n) for n, c in names.items()), "n_rows")

@@ -152,25 +152,23 @@ def check_mostly_missing(load, spark):
 
 @query("check_unreadable_periods", row("unreadable-periods", "'warning'", "period", "1"))
 def check_unreadable_periods(load, spark):
-    from ..functions.periods import granularity
     from .text import _periods
 
-    return shown(ck.issue(granularity(_periods(load), "period"), "unreadable-periods", "warning", F.col("unreadable") > 0, F.col("unreadable"), "period"))
+    return shown(ck.check_unreadable_periods(_periods(load), "period"))
 
 
 @query("check_long_table_double_count", row("long-table-double-count", "'critical'", "sex", "n", "FROM (SELECT count(DISTINCT user_id) AS n FROM events)"))
 def check_long_table_double_count(load, spark):
     from .longform import lf, long_table
 
-    axes = lf.double_counting_axes(long_table(load), "user_id", ["indicator", "sex", "period"])
-    return shown(axes.select(F.lit("long-table-double-count").alias("id"), F.lit("critical").alias("severity"), F.col("axis").alias("column"), F.col("places").cast("double").alias("metric")))
+    return shown(ck.check_double_count(lf.double_counting_axes(long_table(load), "user_id", ["indicator", "sex", "period"])))
 
 
 @query("check_sheet_not_mappable", row("sheet-not-mappable", "'critical'", "", "n", "FROM (SELECT count(*) AS n FROM orders)"))
 def check_sheet_not_mappable(load, spark):
     from .grids import gr
 
-    return shown(ck.issue(gr.usability(load("orders"), None), "sheet-not-mappable", "critical", F.col("verdict") != "ok", F.col("n_rows")))
+    return shown(ck.check_sheet(gr.usability(load("orders"), None)))
 
 
 @query("issue_ranking", """SELECT * FROM (VALUES ('summing-a-rate', 'critical', 1), ('needs-diverging-scale', 'info', 3)) t(id, severity, rank)""")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import classify as cl
 from ..operators.semantics import column_facts, with_semantics
 from ..plans import mapquery as mq
+from ..plans.series import animated, frame_states
 from .classes import quantile_sql
 from .registry import query
 from .semantics import COLUMNS, SEMANTICS, report
@@ -128,7 +129,13 @@ def frame_plan(load, spark):
     return plan(load).select(F.col("frame").cast("int").alias("frame"), "period", "next_period", F.round("t", 6).alias("t"))
 
 
-@query("frame_interpolation")
+FRAMES = """p AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS ord, lead(period) OVER (ORDER BY period) AS nxt FROM (SELECT DISTINCT year(o_orderdate)::VARCHAR AS period FROM orders)),
+f AS (SELECT (ord * 54 + k)::INT AS frame, period, coalesce(nxt, period) AS next_period, CASE WHEN k < 45 THEN 0.0::DOUBLE ELSE (k - 44) / 10.0::DOUBLE END AS t FROM p, range(0, 54) r(k) WHERE k < 45 OR nxt IS NOT NULL)"""
+MIXED = "printf('#%02x%02x%02x', " + ", ".join(f"round_even(('0x' || substr(a.colour, {k}, 2))::INT + (('0x' || substr(b.colour, {k}, 2))::INT - ('0x' || substr(a.colour, {k}, 2))::INT) * t, 0)::INT" for k in (2, 4, 6)) + ")"
+
+
+@query("frame_interpolation", f"""WITH {quantile_sql(SERIES, 5)}, x AS (SELECT *, {CLASS} AS class_idx FROM {SERIES}), y AS (SELECT c_nationkey, period, {COLOURS}[class_idx + 1] AS colour FROM x), {FRAMES}
+SELECT frame, a.c_nationkey, {MIXED} AS colour FROM f JOIN y a ON a.period = f.period JOIN y b ON b.period = next_period AND b.c_nationkey = a.c_nationkey""")
 def frame_interpolation(load, spark):
     """Blended colours of every frame; the blend has its own test."""
     coloured, _ = mq.series(yearly(load), "c_nationkey", "period", "o_totalprice")
@@ -181,3 +188,46 @@ def map_page_payload(load, spark):
     out = mq.page_payload(drawn, told, mq.MapSpec("graduated-symbol", symbol="l_quantity"))
     p = F.from_json("payload", "kind string, unit string, label_rank int, facts struct<people:int>")
     return out.select("shape_id", F.to_json(F.struct(p["kind"].alias("kind"), p["unit"].alias("unit"), p["label_rank"].alias("rank"), p["facts"]["people"].alias("people")), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+# Decimals of the legend: the fewest, from two where the edges span under 2, at which they differ.
+DECIMALS = "(SELECT min(d) FROM range(CASE WHEN e[-1] - e[1] >= 20 THEN 0 WHEN e[-1] - e[1] >= 2 THEN 1 ELSE 2 END, 7) t(d) WHERE d = 6 OR len(list_distinct(list_transform(e, lambda x: round(x, d::INT)))) = len(e))"
+WRITTEN = " ".join(f"WHEN {d} THEN format('{{:,.{d}f}}', v)" for d in range(7))
+
+
+@query("drawn_numbers", f"""{CHOROPLETH}, d AS (SELECT {DECIMALS} AS d FROM edges)
+SELECT unit, round(v, 6) AS value, CASE WHEN v IS NULL THEN '–' ELSE (CASE (SELECT d FROM d) {WRITTEN} END) || '%' END AS formatted, s AS symbol, CASE WHEN s IS NULL THEN '–' ELSE format('{{:,.0f}}', s) END AS symbol_formatted FROM x LEFT JOIN {SYMBOLS} y USING (shape_id)""")
+def drawn_numbers(load, spark):
+    """What a map of a rate with circles says of each unit, as numbers and as its legend writes them; both methods follow from semantics."""
+    spec = mq.MapSpec("choropleth-symbol", value="percent", method="auto", weight="l_quantity", semantic="percent", symbol="l_quantity", symbol_method="auto")
+    return mq.drawn_numbers(mq.thematic_map(weighted(load), units(load), spec).drawn).withColumn("value", F.round("value", 6))
+
+
+@query("map_point_dressed", f"""WITH c AS (SELECT c_mktsegment, {list(cl.QUALITATIVE)}[(row_number() OVER (ORDER BY c_mktsegment) - 1) % 8 + 1] AS colour FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey % 11 > 0))
+SELECT c_custkey, coalesce(colour, '#eceef0') AS colour, round(greatest(16.0, CASE WHEN c_acctbal > 0 THEN 676.0 * c_acctbal / (SELECT max(c_acctbal) FROM customer) ELSE 0 END), 6)::DOUBLE AS area FROM customer u LEFT JOIN c ON c.c_mktsegment = u.c_mktsegment AND c_custkey % 11 > 0""")
+def map_point_dressed(load, spark):
+    """A dot for each customer: its segment's colour, an area that follows the balance."""
+    points = load("customer").select("c_custkey", F.when(F.col("c_custkey") % 11 > 0, F.col("c_mktsegment")).alias("segment"), "c_acctbal")
+    return cl.dressed_points(points, "segment", "c_acctbal")[0].select("c_custkey", "colour", F.round("area", 6).alias("area"))
+
+
+ANIMATED = f"""{quantile_sql(SERIES, 5)}, x AS (SELECT *, {CLASS} AS class_idx FROM {SERIES}), n AS (SELECT c_nationkey, year(o_orderdate)::VARCHAR AS period, count(*) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+z AS (SELECT c_nationkey AS shape_id, period, v, class_idx, s, {COLOURS}[class_idx + 1] AS colour, greatest(0.0022, 0.021 * sqrt(s / (SELECT max(s) FROM n)))::DOUBLE AS radius FROM x JOIN n USING (c_nationkey, period))"""
+
+
+def orders_by_year(load):
+    rows = yearly(load).select(F.col("c_nationkey").alias("shape_id"), "period", "o_totalprice", F.lit(1).alias("one"))
+    return animated(rows, "period", mq.MapSpec("choropleth-symbol", value="o_totalprice", method="auto", semantic="money", symbol="one", symbol_method="auto"))
+
+
+@query("series_animated", f"WITH {ANIMATED} SELECT shape_id, period, round(v, 2) AS value, class_idx, s AS symbol, round(radius, 8) AS radius FROM z")
+def series_animated(load, spark):
+    """Money by colour and orders by circle, each on one scale over all years."""
+    return orders_by_year(load).values.select("shape_id", "period", F.round("value", 2).alias("value"), "class_idx", "symbol", F.round("radius", 8).alias("radius"))
+
+
+@query("series_frames", f"""WITH {ANIMATED}, {FRAMES}, st AS (SELECT n_nationkey AS shape_id, p.period, coalesce(colour, '#eceef0') AS colour, coalesce(radius, 0) AS radius FROM {UNITS}, p LEFT JOIN z ON z.shape_id = n_nationkey AND z.period = p.period)
+SELECT frame, a.shape_id, {MIXED} AS colour, round(a.radius + (b.radius - a.radius) * t, 8) AS radius FROM f JOIN st a ON a.period = f.period JOIN st b ON b.period = next_period AND b.shape_id = a.shape_id""")
+def series_frames(load, spark):
+    """Colour and radius of every unit in every frame; the units without orders stay in the colour of no data."""
+    return frame_states(orders_by_year(load), units(load)).withColumn("radius", F.round("radius", 8))

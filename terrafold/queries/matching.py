@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import VIETNAM, normalize
 from ..operators import matching as mt
+from ..operators.scope import contexts
 from ..sources.remembered import store_overrides, stored_overrides
 from ..staging import new_path
 from .registry import query
@@ -228,3 +229,33 @@ def scope_province_series(load, spark):
     values = load("supplier").groupBy("s_nationkey").agg(F.sum("s_acctbal").alias("v"))
     units = load("nation").join(load("region"), F.col("n_regionkey") == F.col("r_regionkey")).join(values, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return units.groupBy("r_name").agg(F.count("*").alias("units"), F.count("v").alias("with_data"))
+
+
+SCOPED = "m AS (SELECT s_nationkey AS shape_id, CASE WHEN s_nationkey % 7 > 0 THEN r_name END AS province FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND s_acctbal > 0 LEFT JOIN region ON r_regionkey = n_regionkey), n AS (SELECT count(DISTINCT province) AS n, min(province) AS one FROM m)"
+
+
+def scoped(load, **how):
+    nation = load("nation").join(load("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    units = nation.select(F.col("n_nationkey").alias("shape_id"), F.col("r_name").alias("province"))
+    names = units.withColumnRenamed("shape_id", "key")
+    rows = load("supplier").withColumn("key", F.when(F.col("s_acctbal") > 0, F.col("s_nationkey"))).join(names, "key", "left")
+    scope, maps = contexts(units, rows.select(F.col("s_nationkey").alias("shape_id"), F.when(F.col("s_nationkey") % 7 > 0, F.col("province")).alias("province")), **how)
+    return maps.groupBy("map_name", "locator").agg(F.count("*").alias("units"), F.sum("shape_id").alias("ids")).withColumn("scope", F.lit(scope))
+
+
+@query("scope_auto", f"""WITH {SCOPED} SELECT CASE WHEN n.n = 1 THEN 'single-province' WHEN n.n BETWEEN 2 AND 5 THEN 'province-series' ELSE 'national' END AS scope, CASE WHEN n.n BETWEEN 1 AND 5 THEN r_name ELSE 'national' END AS map_name, CASE WHEN n.n BETWEEN 1 AND 5 THEN r_name END AS locator, count(*) AS units, sum(n_nationkey)::BIGINT AS ids
+FROM nation JOIN region ON n_regionkey = r_regionkey, n WHERE n.n NOT BETWEEN 1 AND 5 OR r_name IN (SELECT province FROM m WHERE province IS NOT NULL) GROUP BY ALL""")
+def scope_auto(load, spark):
+    """Few provinces have rows: a map for each of them."""
+    return scoped(load)
+
+
+@query("scope_auto_national", "SELECT 'national' AS scope, 'national' AS map_name, NULL::VARCHAR AS locator, count(*) AS units, sum(n_nationkey)::BIGINT AS ids FROM nation")
+def scope_auto_national(load, spark):
+    """More provinces than a series takes: one map."""
+    return scoped(load, series_up_to=1)
+
+
+@query("scope_units_with_data", f"""WITH {SCOPED} SELECT 'matched-only' AS scope, 'units with data' AS map_name, CASE WHEN n.n = 1 THEN n.one END AS locator, count(*) AS units, sum(n_nationkey)::BIGINT AS ids FROM nation, n WHERE n_nationkey IN (SELECT shape_id FROM m) GROUP BY ALL""")
+def scope_units_with_data(load, spark):
+    return scoped(load, scope="matched-only")
