@@ -32,6 +32,13 @@ NONE_SHARE, NONE_NOISE, NONE_MOST = 0.7, 2.2, 0.985
 WINDOW = 8
 #: Common words taken from the data for each language that has no list above.
 OWN_WORDS = 18
+#: Parts of a language's distinct words, and rows by language up to which a table of them is sent to all tasks.
+WORD_PARTS, MOST_LANGUAGES = 256, 10_000
+
+
+def small(by_lang: DataFrame) -> DataFrame:
+    """A staged table with a row of bounded size for each language: broadcast up to MOST_LANGUAGES rows, joined as Spark sees fit beyond."""
+    return F.broadcast(by_lang) if by_lang.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES else by_lang
 
 
 def own_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -39,8 +46,11 @@ def own_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     more hold, at most OWN_WORDS."""
     others = docs.where(~F.col(lang_col).isin(list(COMMON_WORDS))).select(F.col(lang_col).alias("lang"), F.array_remove(F.split(text_col, BLANK_CLASS + "+"), "").alias("words"))
     held = others.where(F.size("words") >= 20).select("lang", F.explode(F.array_distinct("words")).alias("word")).where(F.col("word").rlike(r"^[\p{L}\p{M}'’-]+$"))
-    order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    top = held.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= OWN_WORDS)
+    # The commonest of each part of a language's words first, so that no window holds them all.
+    top = held.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(WORD_PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "word")
+        top = top.withColumn("k", F.row_number().over(order)).where(F.col("k") <= OWN_WORDS)
     return top.groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("own_words"))
 
 
@@ -53,7 +63,7 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     text, words, size = F.col("text"), F.col("words"), lambda c: F.char_length(c).cast("long")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.join(F.broadcast(stage(own_words(docs, text_col, lang_col), "own-words")), "lang", "left")
+    base = base.join(small(stage(own_words(docs, text_col, lang_col), "own-words")), "lang", "left")
     cut = base.withColumn("words", F.array_remove(F.split("text", BLANK_CLASS + "+"), "")).withColumn("joined", F.array_join("words", " "))
     # Common words, each between blanks of its own, so that one replacement counts one word.
     hits = F.concat(F.lit(" "), F.array_join(F.filter(words, lambda w: w.isin(WORDS)), "  "), F.lit(" "))
@@ -61,7 +71,7 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # A word with a digit becomes one digit.
     hashed = hashed.withColumn("left", F.regexp_replace("joined", r"(?<![^ ])[^ \p{Nd}]*+\p{Nd}[^ ]*", "0"))
     for k, (name, pattern) in enumerate(CHAR_CLASSES):
-        hashed = hashed.withColumn(f"left{k}", F.regexp_replace("left" if k == 0 else f"left{k - 1}", f"(?:{pattern})+", ""))
+        hashed = hashed.withColumn(f"left{k}", F.regexp_replace("left" if k == 0 else f"left{k - 1}", f"{pattern}+", ""))
     last = len(CHAR_CLASSES) - 1
     lefts = [F.col("left"), *(F.col(f"left{k}") for k in range(last + 1))]
     chars = F.array(*(size(a) - size(b) for a, b in zip(lefts, lefts[1:])), size(lefts[-1]))
@@ -150,7 +160,7 @@ def with_distances(features: DataFrame, references: dict[str, tuple[list[int], l
     language of ``own`` may also fit that one; rows whose language has no reference have the distances 0.
     """
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    df = features.withColumn("total_chars", n_chars).join(F.broadcast(own), "lang", "left")
+    df = features.withColumn("total_chars", n_chars).join(small(own), "lang", "left")
     fits, few = [], 1 / F.sqrt(F.greatest("n_words", F.lit(1)))
     for lang, (chars, commons, n_words) in sorted(references.items()):
         if not sum(chars) or not n_words:
