@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -108,11 +109,11 @@ def needs_place_column(kind: str, province: str | None, commune: str | None, tie
     return tier == "province" or not commune
 
 
-def series(rows: DataFrame, key: str, period: str, value: str, method: str = "sum", classes: int = 5) -> tuple[DataFrame, Bins]:
-    """``(key, period, value, class_idx, colour)`` with one classification over all periods, so that colours compare."""
+def series(rows: DataFrame, key: str, period: str, value: str, method: str = "sum", classes: int = 5, ramp: Sequence[str] | None = None) -> tuple[DataFrame, Bins]:
+    """``(key, period, value, class_idx, colour)`` with one classification over all periods, so that colours compare; ``ramp`` as in `classified`."""
     values = stage(combine(rows, [key, period], value, method), "series-values")
     bins = classify.compute_bins(values, "value", "quantile", classes)
-    return classify.classified(values, "value", bins), bins
+    return classify.classified(values, "value", bins, ramp), bins
 
 
 def frame_plan(periods: DataFrame, fps: int = FRAMES_PER_SECOND, hold: float = HOLD_SECONDS, fade: float = FADE_SECONDS) -> DataFrame:

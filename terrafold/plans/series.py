@@ -38,9 +38,9 @@ def period_pins(period: str, where: Sequence[str]) -> list[str]:
     return [f"{column}={value}" for column, _, value in split if column == period]
 
 
-def animated(rows: DataFrame, period: str, spec: MapSpec, where: Sequence[str] = ()) -> Series:
+def animated(rows: DataFrame, period: str, spec: MapSpec, where: Sequence[str] = (), ramp: Sequence[str] | None = None) -> Series:
     """The rows that meet ``where``, combined by unit and period in one shuffle, fill and symbol together, and classified over all
-    periods, so that a colour or a circle means the same in each.
+    periods, so that a colour or a circle means the same in each; ``ramp`` as in `classified`.
 
     ValueError with fewer than two periods: it names the filters that pinned the column, if any did, and how many periods they left out.
     Periods that can't be read stay, after the others, and are an issue. Rows without a period go; a series without any value is a ValueError.
@@ -62,7 +62,7 @@ def animated(rows: DataFrame, period: str, spec: MapSpec, where: Sequence[str] =
     cells = kept.groupBy(spec.key, F.trim(F.col(period).cast("string")).alias("period")).agg(*found)
     values = stage(cells.join(periods, "period"), "series-values")
     bins = classify.compute_bins(values, "value", spec.breaks, spec.classes, spec.integer, center_zero=spec.kind == "change")
-    out, largest = classify.classified(values, "value", bins), None
+    out, largest = classify.classified(values, "value", bins, ramp), None
     if spec.symbol:
         largest = float(values.agg(F.max("symbol").alias("m")).first().m or 1.0)
         out = out.withColumn("radius", classify.radius(F.col("symbol"), largest))

@@ -1,5 +1,6 @@
 """Series: the two-period rule and its diagnosis, states of units without values; scopes, point sizes, ratios and changes."""
 
+import duckdb
 import pytest
 
 from terrafold.operators import aggregate as agg
@@ -7,6 +8,10 @@ from terrafold.operators import classify as cl
 from terrafold.operators.scope import contexts
 from terrafold.plans.mapquery import MapSpec, needs_place_column
 from terrafold.plans.series import animated, frame_states, period_pins
+from terrafold.queries import QUERIES, SQL
+from terrafold.queries.classes import quantile_sql
+from terrafold.queries.maps import SERIES
+from tests.support import duck, same_rows
 
 ROWS = [(1, "2023", "a", 10.0, 4), (2, "2023", "a", 30.0, 16), (1, "2024", "b", 20.0, 1), (3, "2024", "b", 50.0, None), (2, "sometime", "a", 40.0, 9), (2, None, "a", 1000.0, 900), (2, " 2023 ", "a", 2.0, 0)]
 SPEC = MapSpec("choropleth-symbol", value="v", method="auto", semantic="count", symbol="n", symbol_method="auto", classes=2, breaks="equal-interval")
@@ -111,3 +116,17 @@ def test_place_columns_needed():
     assert needs_place_column("choropleth", None, "c", "province")
     assert not needs_place_column("choropleth", None, "c", "commune")
     assert needs_place_column("choropleth", None, None, "commune")
+
+
+@pytest.mark.parametrize("name", ["frame_interpolation", "series_frames"])
+def test_frames_of_merged_classes_match_sql(spark, tmp_path, name):
+    """Full years lie so close beside a short one that quantiles merge; the colours stay those of the ramp of five."""
+    con = duck()
+    orders = f"SELECT c * 100 + y AS o_orderkey, c AS o_custkey, make_date(y::INT, 6, 1) AS o_orderdate, (CASE y WHEN 1994 THEN 40.0 WHEN 1993 THEN 60.0 ELSE 100.0 END + c / 10)::DOUBLE AS o_totalprice FROM range(0, 25) a(c), range(1990, 1995) b(y)"
+    for table, rows in (("orders", orders), ("customer", "SELECT c AS c_custkey, c::INT AS c_nationkey FROM range(0, 25) t(c)"), ("nation", "SELECT * FROM nation"), ("region", "SELECT * FROM region")):
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    small = duckdb.connect()
+    for table in ("orders", "customer", "nation", "region"):
+        small.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet')")
+    assert small.execute(f"WITH {quantile_sql(SERIES, 5)} SELECT count(*) FROM bins").fetchone()[0] < 5
+    same_rows(QUERIES[name](spark, str(tmp_path)), SQL[name], small)
