@@ -2,32 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import GEOMETRY, contains, signed_ring_area, without_repeats
+from .geometry import GEOMETRY, contains, let, signed_ring_area, without_repeats
 
 RING = "array<struct<x:double,y:double>>"
+Side = Callable[[Column], Column]
 
 
-def _chains(ring: Column, at: Column, inside) -> Column:
+def _chains(ring: Column, at: Column, inside: Side) -> Column:
     """array<ring>: what of a ring lies inside, each from where it enters to where it leaves; nothing for a ring that doesn't cross."""
-    n, twice = F.size(ring), F.concat(ring, ring)
+    n = F.size(ring)
     before = lambda i: F.get(ring, (i + n - 1) % n)
     here = F.sequence(F.lit(0), n - 1)
-    enters = F.filter(here, lambda i: inside(F.get(ring, i)) & ~inside(before(i)))
-    leaves = F.filter(here, lambda i: ~inside(F.get(ring, i)) & inside(before(i)))
 
     def crossing(i: Column) -> Column:
         p, q = before(i % n), F.get(ring, i % n)
         return F.struct(at.alias("x"), (p["y"] + (at - p["x"]) * (q["y"] - p["y"]) / (q["x"] - p["x"])).alias("y"))
 
-    def chain(e: Column) -> Column:
-        later = F.filter(leaves, lambda x: x > e)
-        end = F.when(F.size(later) > 0, F.get(later, F.lit(0))).otherwise(F.get(leaves, F.lit(0)) + n)
-        return F.concat(F.array(crossing(e)), F.slice(twice, e + 1, end - e), F.array(crossing(end)))
+    def of(sides: Column) -> Column:
+        """``sides``: for each vertex, if it lies inside."""
+        was = lambda i: F.get(sides, (i + n - 1) % n)
+        enters = F.filter(here, lambda i: F.get(sides, i) & ~was(i))
+        leaves = F.filter(here, lambda i: ~F.get(sides, i) & was(i))
+        return let(leaves, lambda out: F.transform(enters, lambda e: chain(e, out)))
+
+    def chain(e: Column, leaves: Column) -> Column:
+        later = F.get(F.filter(leaves, lambda x: x > e), F.lit(0))
+        cut = lambda end: F.concat(F.array(crossing(e)), F.slice(F.concat(ring, ring), e + 1, end - e), F.array(crossing(end)))
+        return let(F.coalesce(later, F.get(leaves, F.lit(0)) + n), cut)
 
-    return F.transform(enters, chain)
+    return let(F.transform(ring, inside), of)
 
 
 def _joined(chains: Column) -> Column:
@@ -41,6 +49,9 @@ def _joined(chains: Column) -> Column:
     def join(state: Column, link: Column) -> Column:
         a = F.get(F.filter(state["open"], lambda p: p["last"] == link["f"]), F.lit(0))
         b = F.get(F.filter(state["open"], lambda p: p["first"] == link["t"]), F.lit(0))
+        return let(F.struct(a.alias("a"), b.alias("b")), lambda two: joined(state, two["a"], two["b"]))
+
+    def joined(state: Column, a: Column, b: Column) -> Column:
         closed = a["first"] == b["first"]
         rest = F.filter(state["open"], lambda p: (p["first"] != a["first"]) & (p["first"] != b["first"]))
         both = F.struct(a["first"].alias("first"), b["last"].alias("last"), F.concat(a["pts"], b["pts"]).alias("pts"))
@@ -53,14 +64,18 @@ def _joined(chains: Column) -> Column:
     return F.filter(rings, lambda r: F.size(r) >= 3)
 
 
-def _part(part: Column, at: Column, inside) -> Column:
+def _part(part: Column, at: Column, inside: Side) -> Column:
     """array<part>: what of one part lies inside."""
-    turned = F.transform(part, lambda r, i: F.when((signed_ring_area(r) > 0) == (i == 0), r).otherwise(F.reverse(r)))
     whole = lambda r: F.forall(r, inside)
-    cut = _joined(F.flatten(F.transform(turned, lambda r: _chains(r, at, inside))))
-    outlines = F.concat(F.filter(F.slice(turned, 1, 1), whole), cut)
-    holes = F.filter(F.slice(turned, 2, F.greatest(F.size(turned), F.lit(1))), whole)
-    return F.transform(outlines, lambda o: F.concat(F.array(o), F.filter(holes, lambda h: contains(F.array(F.array(o)), h[0]["x"], h[0]["y"]))))
+
+    def of(turned: Column) -> Column:
+        cut = let(F.flatten(F.transform(turned, lambda r: _chains(r, at, inside))), _joined)
+        outlines = F.concat(F.filter(F.slice(turned, 1, 1), whole), cut)
+        holes = F.filter(F.slice(turned, 2, F.greatest(F.size(turned), F.lit(1))), whole)
+        held = lambda o, holes: F.filter(holes, lambda h: contains(F.array(F.array(o)), h[0]["x"], h[0]["y"]))
+        return let(holes, lambda hs: F.transform(outlines, lambda o: F.concat(F.array(o), held(o, hs))))
+
+    return let(F.transform(part, lambda r, i: F.when((signed_ring_area(r) > 0) == (i == 0), r).otherwise(F.reverse(r))), of)
 
 
 def clip_at(geom: Column, meridian: Column | float, west: bool) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,12 @@ GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it: a column expression is copied wherever it stands,
+    and copies within copies multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def without_repeats(ring: Column) -> Column:
     """A ring without repeated vertices in a row, its closing one included."""
     n = F.size(ring)

@@ -7,7 +7,7 @@ from ..operators import geo
 from ..operators.topology import coverage_simplify
 from ..sources import folders as fo
 from ..sources.shapefile import layer_units, read_shapefiles, write_shapefiles
-from ..staging import new_path, stage
+from ..staging import new_path, spread, stage
 from .registry import query
 
 X, Y = "(n_nationkey % 5)", "(n_nationkey // 5)"
@@ -171,7 +171,7 @@ def jagged(load):
     ahead = lambda line: line[0]
     back = lambda line: [line[1], *line[0][:0:-1]]
     ring = F.array(*ahead(across(i, j)), *ahead(up(i + 1, j)), *back(across(i, j + 1)), *back(up(i, j)))
-    return load("customer").select(F.col("c_custkey").alias("shape_id"), F.array(F.array(ring)).alias("geom"))
+    return spread(load("customer").select("c_custkey")).select(F.col("c_custkey").alias("shape_id"), F.array(F.array(ring)).alias("geom"))
 
 
 # A tip stays if its triangle, half its height, is not below the squared tolerance.
@@ -205,7 +205,7 @@ def blocks(load):
     ring = lambda *ends: F.array(*(F.struct((x0 + x).alias("x"), F.lit(float(y)).alias("y")) for x, y in ends))
     outer = ring((0, 0), (4, 0), (4, 1), (2, 1), (2, 2), (4, 2), (4, 3), (0, 3))
     hole = ring((0.5, 0.25), (0.5, 0.75), (1.5, 0.75), (1.5, 0.25))
-    return load("customer").select(F.col("c_custkey").alias("shape_id"), F.array(F.array(outer, hole)).alias("geom"))
+    return spread(load("customer").select("c_custkey")).select(F.col("c_custkey").alias("shape_id"), F.array(F.array(outer, hole)).alias("geom"))
 
 
 CUT = f"WITH t AS (SELECT c_custkey AS shape_id, greatest(0, least(4, {MERIDIAN} - {WEST_END})) AS t FROM customer), w AS (SELECT *, t * 3 - greatest(0, t - 2) - greatest(0, least(1, t - 0.5)) / 2 AS west FROM t)"

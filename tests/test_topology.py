@@ -7,10 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrafold.functions.clipping import clip_at
 from terrafold.functions.geometry import GEOMETRY, area
 from terrafold.operators import geo
 from terrafold.operators.levels import meeting
 from terrafold.operators.topology import coverage_simplify, thin
+from terrafold.queries.geography import blocks, jagged
+from tests.support import SF
 
 SCHEMA = f"shape_id long, geom {GEOMETRY}, pts int"
 
@@ -193,3 +196,16 @@ def test_land_masses_by_brute_force(spark):
     for k, r in root.items():
         groups.setdefault(r, []).append(k)
     assert got == sorted((f"{min(g)}:0", len(g)) for g in groups.values())
+
+
+def test_clipping_works_out_each_step_once(spark):
+    """Copies of an expression within copies multiply: they were 190 functions of one clipped shape."""
+    df = spark.createDataFrame([(1, [[[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0)]]])], f"shape_id int, geom {GEOMETRY}")
+    steps = df.select(clip_at(F.col("geom"), 1.0, True).alias("west"))._jdf.queryExecution().analyzed().toString().count("lambdafunction(")
+    assert steps < 100
+
+
+def test_small_files_are_dealt_to_all_cores(spark):
+    load = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    for shapes in (blocks(load), jagged(load)):
+        assert shapes.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
