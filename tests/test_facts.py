@@ -47,3 +47,13 @@ def test_ties_go_to_the_first_column(spark):
     assert (fit.numerator, fit.denominator) == ("Số ca", "Số z")
     named = df.select("Số ca", F.col("Số z").alias("Tổng b khám"), F.col("Số b").alias("Tổng a khám"), F.col("Tỷ lệ (%)").alias("Tỷ lệ khám (%)"))
     assert sem.named_denominators(sem.with_semantics(sem.column_facts(named))).first().denominator == "Tổng b khám"
+
+
+def test_ranks_read_what_is_staged_without_a_shuffle(spark, monkeypatch):
+    """Each round shuffled all distinct cells again; a negative zero is a second text of one value."""
+    plans, find = [], sem.ranked_values
+    monkeypatch.setattr(sem, "ranked_values", lambda counts, ranks: (plans.append(counts._jdf.queryExecution().executedPlan().toString()), find(counts, ranks))[1])
+    df = spark.createDataFrame([(v,) for v in (-0.0, 0.0, 0.0, -1.0, 2.0, 3.0, None)], "v double")
+    row = sem.column_facts(df).first()
+    assert (row.upper_median, row.distinct_values, row.examples) == (0.0, 5, ["0.0", "-0.0", "-1.0", "2.0"])
+    assert "Exchange" not in plans[0]
