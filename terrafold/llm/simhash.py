@@ -139,9 +139,10 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 #: Near copies for `drop_near_copies`: word shingles and their Jaccard similarity. A first round joins the bulk of large groups: a
-#: SimHash of the distinct words, which a few edits hardly move, within WORD_BITS under one of the hash seeds, and the upper 48 bits
-#: of that of the shingles within SHINGLE_BITS. What it leaves apart, an exact join finds.
-COPY_SHINGLE, COPY_SIMILARITY, WORD_BITS, SHINGLE_BITS = 5, 0.8, 7, 16
+#: SimHash of the shingles within COPY_BITS, by deletion-variant signatures; and one of the distinct words, which a few edits hardly move,
+#: within WORD_BITS under one of the hash seeds, with the upper 48 bits of that of the shingles within SHINGLE_BITS. What these leave
+#: apart, an exact join finds.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_BITS, WORD_BITS, SHINGLE_BITS = 5, 0.8, 4, 7, 16
 WORD_SEEDS = (42, 43)
 #: Steps of the number of shingles in `_check`, for each factor of e.
 SIZE_STEPS = 2048
@@ -169,9 +170,9 @@ def _sketches_allow(a: Callable[[str], Column], b: Callable[[str], Column]) -> C
     return _sketch_distance(a, b) * (1 + COPY_SIMILARITY) <= (a("n") + b("n")) * (1 - COPY_SIMILARITY) + 1e-6
 
 
-def _check(shingles: np.ndarray) -> int:
-    """48 bits of the shingles' SimHash and 16 bits of the logarithm of their number."""
-    return _votes(shingles) & ~0xFFFF | int(math.log1p(len(shingles)) * SIZE_STEPS)
+def _check(votes: int, n: int) -> int:
+    """48 bits of the SimHash of n shingles and 16 bits of the logarithm of n."""
+    return votes & ~0xFFFF | int(math.log1p(n) * SIZE_STEPS)
 
 
 def _alike(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
@@ -279,6 +280,17 @@ def _star_pairs(classes: DataFrame, fps: list[str]) -> DataFrame:
     return met.select(a("id").alias("u"), b("id").alias("v"))
 
 
+def _signature_pairs(classes: DataFrame) -> DataFrame:
+    """``classes(id, fp)`` to near pairs ``(u, v)`` of their SimHash prints: of a class and the least one of its print, and of the least ones
+    of each two prints that differ in COPY_BITS bits at most, all of them, by `hamming_links`."""
+    prints = stage(classes.groupBy("fp").agg(F.min("id").alias("u"), F.count("*").alias("n")), "copy-prints")
+    same = classes.select("id", "fp").join(prints.where("n > 1"), "fp").where("id <> u").select("u", F.col("id").alias("v"))
+    linked = hamming_links(prints.select(F.col("fp").alias("id"), "fp"), COPY_BITS).toDF("a", "b")
+    least = lambda end, name: prints.select(F.col("fp").alias(end), F.col("u").alias(name))
+    near = linked.join(least("a", "u"), "a").join(least("b", "v"), "b")
+    return same.union(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
+
 def _word_list(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -384,21 +396,22 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 words = _word_list(t)
                 distinct, shingles = list(set(words)), np.unique(shingle_hashes(words, COPY_SHINGLE))
                 own = [_votes(shingle_hashes(distinct, 1, seed)) if words else 0 for seed in WORD_SEEDS]
-                out.append((_class_id(words), _check(shingles) if words else 0, *own))
+                votes = _votes(shingles) if words else 0
+                out.append((_class_id(words), _check(votes, len(shingles)) if words else 0, votes, *own))
                 firsts.append(prefix(shingles, common, ranks).view(np.int64))
                 n.append(len(shingles))
                 sketches.append(_sketch(shingles))
-            cols = np.array(out, np.uint64).reshape(-1, 2 + len(fps)).view(np.int64)
+            cols = np.array(out, np.uint64).reshape(-1, 3 + len(fps)).view(np.int64)
             parities = np.array(sketches, np.int64).reshape(-1, len(SKETCH))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), *(pa.array(c) for c in cols.T), pa.array(n, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), *(pa.array(c) for c in parities.T)],
-                ["row", "doc_id", "id", "check", *fps, "n", "prefix", *SKETCH],
+                ["row", "doc_id", "id", "check", "fp", *fps, "n", "prefix", *SKETCH],
             )
 
-    schema = f"row struct<f:bigint,i:bigint>, doc_id long, id long, check long, {', '.join(f'{c} long' for c in fps)}, n int, prefix array<long>, {', '.join(f'{c} long' for c in SKETCH)}"
+    schema = f"row struct<f:bigint,i:bigint>, doc_id long, id long, check long, fp long, {', '.join(f'{c} long' for c in fps)}, n int, prefix array<long>, {', '.join(f'{c} long' for c in SKETCH)}"
     prints = stage(rows.mapInArrow(run, schema), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    classes = stage(prints.groupBy("id").agg(*(F.first(c).alias(c) for c in ("check", *fps, "n", *SKETCH)), F.min(order).alias("keep")), "classes")
+    classes = stage(prints.groupBy("id").agg(*(F.first(c).alias(c) for c in ("check", "fp", *fps, "n", *SKETCH)), F.min(order).alias("keep")), "classes")
 
     keepers = classes.select("id", F.col("keep.row").alias("row"))
 
@@ -409,10 +422,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         discard(roots)
         return out
 
-    # Stars, by SimHash and at the prefix index, join the bulk of large groups, first each class to its nearest centre; the exact join
-    # pairs only what is still apart.
+    # Pairs by SimHash signatures, stars by its buckets and at the prefix index join the bulk of large groups, first each class to its
+    # nearest centre; the exact join pairs only what is still apart.
     hot = _hot_index(prints)
-    stars = stage(_allowed(_star_pairs(classes, fps).union(_index_stars(hot)), classes), "star-pairs")
+    stars = stage(_allowed(_signature_pairs(classes).union(_star_pairs(classes, fps)).union(_index_stars(hot)), classes), "star-pairs")
     first = _verified(stage(_nearest(stars), "nearest"), rows, keepers)
     star_links = first.union(_verified(stage(_between_groups(stars, first), "more-stars"), rows, keepers))
     some = named(hot, star_links, "grouped-index")

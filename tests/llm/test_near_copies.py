@@ -55,3 +55,21 @@ def test_common_passage_and_large_group(spark):
                 group = [low if g == top else g for g in group]
     kept = simhash.drop_near_copies(stage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "passage"))
     assert {r.doc_id for r in kept.collect()} == set(group)
+
+
+def test_signatures_find_every_near_print(spark, monkeypatch):
+    """The named method takes part: all prints within COPY_BITS of each other, by deletion variants, and equal prints by their least class."""
+    draw = random.Random(9)
+    prints = [draw.getrandbits(63) for _ in range(40)]
+    prints += [p ^ sum(1 << b for b in draw.sample(range(63), k % 6)) for k, p in enumerate(prints)]
+    classes = list(enumerate(prints))
+    want = {(a, b) for a, p in classes for b, q in classes if a < b and (p ^ q).bit_count() <= simhash.COPY_BITS}
+    least = {p: min(i for i, q in classes if q == p) for p in prints}
+    want = {(a, b) for a, b in want if least[prints[a]] == a and (least[prints[b]] == b or prints[a] == prints[b])}
+    got = simhash._signature_pairs(stage(spark.createDataFrame(classes, "id long, fp long"), "classes")).collect()
+    assert len(got) == len(want) and {(r.u, r.v) for r in got} == want
+
+    asked, search = [], simhash.hamming_links
+    monkeypatch.setattr(simhash, "hamming_links", lambda *a: (asked.append(a[1]), search(*a))[1])
+    assert simhash.drop_near_copies(stage(spark.createDataFrame([(1, "a b"), (2, "A b")], "doc_id long, text string"), "two")).count() == 1
+    assert asked == [simhash.COPY_BITS]
