@@ -60,10 +60,10 @@ def _places(start: int, n: int) -> np.ndarray:
     return start + 1.0 + np.arange(n)
 
 
-def _blocks(data: DataFrame, column: str) -> tuple[DataFrame, np.ndarray, float]:
+def _blocks(data: DataFrame, column: str, times: str | None) -> tuple[DataFrame, np.ndarray, float]:
     """The distinct values with running sums as blocks ``(b, start, w, s, q, d)``, ``d`` the cost of one class up to each value; for each block
     (start, end, w, s, q) at its end; and the middle that was taken off the values."""
-    counted = stage(data.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n")), "value-counts")
+    counted = stage(data.groupBy(F.col(column).alias("x")).agg((F.sum(times) if times else F.count("*")).alias("n")), "value-counts")
     told = counted.agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum("n")).alias("mean")).first()
     block, middle = max(BLOCK, -(-told.n // MOST_BLOCKS)), float(told.mean)
     ranged = counted.repartitionByRange(max(1, -(-told.n // block)), "x").withColumn("pid", F.spark_partition_id()).sortWithinPartitions("x")
@@ -180,15 +180,16 @@ def _next_level(cand: DataFrame, ends: np.ndarray) -> DataFrame:
     return stage(better.unionByName(rest), "break-level")
 
 
-def natural_breaks(data: DataFrame, k: int, column: str = "v") -> list[float]:
+def natural_breaks(data: DataFrame, k: int, column: str = "v", times: str | None = None) -> list[float]:
     """Upper ends of ``k`` classes of a numeric column that minimise the squared deviation within classes, exactly: Fisher's division of the
-    sorted distinct values by their counts. Nulls must be gone, and ``k`` no more than the distinct values.
+    sorted distinct values by their counts. Nulls must be gone, and ``k`` no more than the distinct values. ``times``, if
+    named, says how often a row counts.
 
     Values are counted, sorted by range and kept as blocks of running sums. Each further class is one level: first the best splits of
     the blocks' ends, then, block by block, of all values, among the splits between those of the ends around, since best splits never
     go back. Only ends of blocks, at most MOST_BLOCKS or twice that, are on the driver; no group holds all values.
     """
-    first, ends, middle = _blocks(data, column)
+    first, ends, middle = _blocks(data, column, times)
     levels = [first]
     for _ in range(k - 1):
         levels.append(_next_level(levels[-1], ends))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions.numbers import blend, nice_length
 from terrafold.operators import breaks
+from terrafold.operators import classify as cl
 from terrafold.operators.breaks import natural_breaks
 from terrafold.queries import QUERIES
 from terrafold.streaming.periods import period_sums
@@ -82,3 +83,12 @@ def test_stream_equals_table(spark, tmp_path):
     got = {(r.start, r.event_type): (round(r.total, 4), r.n_rows) for r in spark.table("sums").collect()}
     want = {(r.start, r.event_type): (round(r.total, 4), r.n_rows) for r in period_sums(events, "event_type", "ts", "value").collect()}
     assert got == want and got
+
+
+def test_natural_breaks_read_the_column_once(spark, monkeypatch):
+    """What follows works on the counted values; a row with its count stands for as many rows."""
+    rows = spark.createDataFrame([(float(v),) for v in [1, 1, 1, 3, 8, 9, 9, 30, 31, 31]], "v double")
+    told, find = [], cl.natural_breaks
+    monkeypatch.setattr(cl, "natural_breaks", lambda data, k, **more: (told.append((data.count(), more)), find(data, k, **more))[1])
+    assert cl.compute_bins(rows, "v", "natural-breaks", 3).edges == [1.0, 3.0, 9.0, 31.0] == [1.0, *natural_breaks(rows, 3)]
+    assert told == [(6, {"times": "n"})]
