@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +21,8 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Most bits of a `sieve`, as a power of two: 32 MB.
-SIEVE_BITS = 28
+#: Most bits of a `sieve`, as a power of two: 32 MB; words of one of its files: 512 KB.
+SIEVE_BITS, SIEVE_PIECE = 28, 1 << 16
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -50,15 +54,45 @@ class FileRange:
         return np.frombuffer(self.file.read((end - start) * self.kind.itemsize), self.kind)
 
 
-def sieve(keys: DataFrame, column: str) -> np.ndarray:
+def sieve(keys: DataFrame, column: str) -> tuple[str, int, list[tuple[int, str]]]:
     """A bitmap of the low bits of the 64-bit hashes in a column, for `passes`: what it stops is surely none of them. Sixty-four bits a
-    key, 2 to the SIEVE_BITS at most, which bounds what comes to the driver and goes to tasks; of more keys it lets more through."""
-    bits = 1 << min(max(10, (64 * keys.count()).bit_length()), SIEVE_BITS)
-    slot = F.col(column).bitwiseAND(F.lit(bits - 1))
-    words = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    return out.view(np.uint64)
+    key, 2 to the SIEVE_BITS at most; of more keys it lets more through. Tasks write it in pieces to the shared folder, where `bitmap`
+    reads it: (folder, words, pieces) is all that the driver sees."""
+    spark, words = keys.sparkSession, (1 << min(max(10, (64 * keys.count()).bit_length()), SIEVE_BITS)) // 64
+    slot, folder = F.col(column).bitwiseAND(F.lit(64 * words - 1)), new_path(spark, "sieve")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, found = TaskContext.get(), {}
+        for b in batches:
+            word, bits = (b.column(k).to_numpy() for k in (0, 1))
+            for piece in np.unique(word // SIEVE_PIECE).tolist():
+                own = word // SIEVE_PIECE == piece
+                found.setdefault(piece, np.zeros(min(SIEVE_PIECE, words), "<i8"))[word[own] % SIEVE_PIECE] = bits[own]
+        names = [f"piece-{piece}-{context.taskAttemptId()}" for piece in found]
+        for name, piece in zip(names, found.values()):
+            fs, path = file_in(folder, name)
+            fs.create_dir(path.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(path) as out:
+                out.write(piece.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(names, pa.string())], ["piece", "name"])
+
+    per_word = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    dealt = per_word.repartition(-(-words // SIEVE_PIECE), F.floor(F.col("word") / SIEVE_PIECE))
+    return folder, words, [(r.piece, r.name) for r in dealt.mapInArrow(write, "piece long, name string").collect()]
+
+
+@functools.lru_cache(1)
+def _bitmap(folder: str, words: int, pieces: tuple[tuple[int, str], ...]) -> np.ndarray:
+    out = np.zeros(words, np.uint64)
+    for piece, name in pieces:
+        out[piece * SIEVE_PIECE : (piece + 1) * SIEVE_PIECE] = FileRange(folder, name, "<u8")(0, min(SIEVE_PIECE, words))
+    return out
+
+
+def bitmap(of: tuple[str, int, list[tuple[int, str]]]) -> np.ndarray:
+    """The bitmap of a `sieve`, in a task; a Python worker keeps the last one it read."""
+    folder, words, pieces = of
+    return _bitmap(folder, words, tuple(pieces))
 
 
 def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:

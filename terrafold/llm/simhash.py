@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import FileRange, delete, discard, file_in, new_path, passes, sieve, stage, table, with_row_id
+from .common import FileRange, bitmap, delete, discard, file_in, new_path, passes, sieve, stage, table, with_row_id
 
 BITS = 64
 
@@ -200,7 +200,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame) -> DataFram
     spark = rows.sparkSession
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     wanted = stage(keepers.join(ids, "id").select(F.xxhash64("row.f", "row.i").alias("k")), "wanted")
-    bitmap, folder = spark.sparkContext.broadcast(sieve(wanted, "k")), new_path(spark, "shingle-sets")
+    found_in, folder = sieve(wanted, "k"), new_path(spark, "shingle-sets")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -209,7 +209,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame) -> DataFram
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(path, buffer_size=1 << 20) as out:
             for b in batches:
-                b = b.filter(pa.array(passes(bitmap.value, b.column(0).to_numpy().view(np.uint64))))
+                b = b.filter(pa.array(passes(bitmap(found_in), b.column(0).to_numpy().view(np.uint64))))
                 found = []
                 for t in b.column(1).to_pylist():
                     words = _word_list(t)
@@ -240,6 +240,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame) -> DataFram
     out = stage(located.repartition(tasks).mapInArrow(check, "u long, v long"), "near-links")
     discard(places, wanted, located)
     delete(spark, folder)
+    delete(spark, found_in[0])
     return out
 
 
@@ -332,20 +333,21 @@ def _hot_index(prints: DataFrame) -> DataFrame:
     classes have. They are found on keys and ids alone; a sieve of them keeps most other rows from being shuffled."""
     keys = prints.select("id", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     shared = stage(keys.where("lo <> hi").select("key"), "shared-keys")
-    bitmap = prints.sparkSession.sparkContext.broadcast(sieve(shared, "key"))
+    found_in = sieve(shared, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(2)
             keys, sizes = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
             who, pos = np.repeat(np.arange(b.num_rows), sizes), np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = np.flatnonzero(passes(bitmap.value, keys))
+            keep = np.flatnonzero(passes(bitmap(found_in), keys))
             of = pa.array(who[keep])
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array(pos[keep].astype(np.int32))], ["key", "id", "n", "pos"])
 
     index = prints.select("id", "n", "prefix").mapInArrow(run, "key long, id long, n int, pos int")
     hot = stage(index.join(shared, "key", "left_semi").groupBy("key", "id").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "index")
     discard(shared)
+    delete(prints.sparkSession, found_in[0])
     return hot
 
 
@@ -423,9 +425,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return out
 
     # Pairs by SimHash signatures, stars by its buckets and at the prefix index join the bulk of large groups, first each class to its
-    # nearest centre; the exact join pairs only what is still apart.
+    # nearest centre; the exact join pairs only what is still apart. Each kind of pairs is a job of its own: one plan of them all runs its
+    # many stages at once, and the driver pays for each.
     hot = _hot_index(prints)
-    stars = stage(_allowed(_signature_pairs(classes).union(_star_pairs(classes, fps)).union(_index_stars(hot)), classes), "star-pairs")
+    kinds = [stage(_allowed(pairs, classes), "star-pairs") for pairs in (_signature_pairs(classes), _star_pairs(classes, fps), _index_stars(hot))]
+    stars = stage(reduce(DataFrame.union, kinds).distinct(), "star-pairs")
+    discard(*kinds)
     first = _verified(stage(_nearest(stars), "nearest"), rows, keepers)
     star_links = first.union(_verified(stage(_between_groups(stars, first), "more-stars"), rows, keepers))
     some = named(hot, star_links, "grouped-index")

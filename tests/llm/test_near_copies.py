@@ -1,10 +1,12 @@
 """Near copies against brute force, on pairs that differ in one block."""
 
+import pickle
 import random
 
+import numpy as np
 import pytest
 
-from terrafold.llm import simhash
+from terrafold.llm import common, simhash
 from terrafold.llm.common import stage
 
 
@@ -73,3 +75,23 @@ def test_signatures_find_every_near_print(spark, monkeypatch):
     monkeypatch.setattr(simhash, "hamming_links", lambda *a: (asked.append(a[1]), search(*a))[1])
     assert simhash.drop_near_copies(stage(spark.createDataFrame([(1, "a b"), (2, "A b")], "doc_id long, text string"), "two")).count() == 1
     assert asked == [simhash.COPY_BITS]
+
+
+def test_a_sieve_lets_all_its_keys_through_and_stays_off_the_driver(spark):
+    draw = random.Random(10)
+    keys = [draw.getrandbits(64) for _ in range(100_000)]
+    made = common.sieve(stage(spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "k long"), "keys"), "k")
+    bits = common.bitmap(made)
+    assert len(made[2]) > 1 and len(pickle.dumps(made)) < 1000
+    assert common.passes(bits, np.array(keys, np.uint64)).all()
+    assert common.passes(bits, np.arange(0, 1 << 40, 1 << 20, dtype=np.uint64) + np.uint64(12345)).mean() < 0.05
+    none = common.sieve(spark.createDataFrame([], "k long"), "k")
+    assert not common.passes(common.bitmap(none), np.array(keys, np.uint64)).any()
+
+
+def test_no_job_of_near_copies_plans_many_joins(spark, monkeypatch):
+    """The driver plans, compiles and runs all stages of one job at once; that of all star pairs was the largest."""
+    joins, write = [], simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, tag: (joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")), write(df, tag))[1])
+    assert simhash.drop_near_copies(stage(spark.createDataFrame([(1, "a b"), (2, "A b")], "doc_id long, text string"), "two")).count() == 1
+    assert 0 < max(joins) <= 6
