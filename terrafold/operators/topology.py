@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import without_repeats
-from ..staging import discard, stage
+from ..staging import discard, shuffled_to, stage
 from .levels import meeting
 
 VERTEX = "struct<x:double,y:double>"
 #: An arc that would cross something is thinned again with a tolerance so many times less, and after RETRIES of these not at all.
 LESS, RETRIES = 4.0, 3
+#: Vertices that one task of a shuffle takes, about, so that its memory doesn't grow with the coverage.
+VERTICES_A_TASK = 250_000
 
 
 def rings_of(shapes: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def nodes(rings: DataFrame) -> DataFrame:
     """``(v)``: vertices with other than two distinct neighbours: where more than two borders meet, and tips of spikes."""
     n = F.size("pts")
     both = F.flatten(F.transform("pts", lambda p, i: F.array(*(F.struct(p.alias("v"), F.get("pts", (i + k) % n).alias("w")) for k in (F.lit(1), n - 1)))))
-    return rings.select(F.explode(both).alias("e")).select("e.*").distinct().groupBy("v").agg(F.count("*").alias("n")).where("n <> 2").select("v")
+    return rings.select(F.explode(both).alias("e")).select("e.*").repartition("v").distinct().groupBy("v").agg(F.count("*").alias("n")).where("n <> 2").select("v")
 
 
 def arcs_of(rings: DataFrame) -> DataFrame:
@@ -83,20 +85,23 @@ def thin(xy: np.ndarray, least: float) -> np.ndarray:
 
 
 def _thinned(arcs: DataFrame, tolerance: float) -> DataFrame:
-    """``arcs(head, arc, tries)`` to ``(head, tries, thin)``."""
+    """``arcs(head, arc, tries)``, with ``thin``. Arcs of a batch are cut out of its vertices, and thin ones taken from them, as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for points, tries in zip(b.column(1), b.column(2).to_pylist()):
-                v = points.values
-                xy = np.stack([v.field(0).to_numpy(), v.field(1).to_numpy()], 1)
-                kept = thin(xy, (tolerance / LESS**tries) ** 2 if tries < RETRIES else 0.0)
-                out.append([{"x": p, "y": q} for p, q in xy[kept].tolist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))], ["head", "tries", "thin"])
+            lists, kept, sizes = b.column(1), [], []
+            vertices, at = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).tolist()
+            xy = np.stack([vertices.field(0).to_numpy(), vertices.field(1).to_numpy()], 1)
+            for start, end, tries in zip(at, at[1:], b.column(2).to_pylist()):
+                some = thin(xy[start:end], (tolerance / LESS**tries) ** 2 if tries < RETRIES else 0.0)
+                kept.append(some + start)
+                sizes.append(len(some))
+            taken = vertices.take(pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, taken)], ["head", "arc", "tries", "thin"])
 
     head = f"struct<a:{VERTEX},b:{VERTEX}>"
-    return arcs.select("head", "arc", "tries").mapInArrow(run, f"head {head}, tries int, thin array<{VERTEX}>")
+    return arcs.select("head", "arc", "tries").mapInArrow(run, f"head {head}, arc array<{VERTEX}>, tries int, thin array<{VERTEX}>")
 
 
 def _pieces(arcs: DataFrame) -> DataFrame:
@@ -159,6 +164,13 @@ def coverage_simplify(shapes: DataFrame, tolerance: float) -> DataFrame:
     Vertices, node places and arcs are shuffled, each by its own key; an arc is a row, so the longest border bounds a task's row.
     """
     rings = stage(rings_of(shapes), "rings")
+    n = rings.agg(F.sum(F.size("pts"))).first()[0] or 0
+    with shuffled_to(shapes.sparkSession, -(-n // VERTICES_A_TASK)):
+        return _simplified(shapes, rings, tolerance)
+
+
+def _simplified(shapes: DataFrame, rings: DataFrame, tolerance: float) -> DataFrame:
+    """`coverage_simplify` of shapes whose ``rings`` are staged."""
     owned = stage(arcs_of(rings), "ring-arcs")
     # An edge belongs to one arc, so the arc's first one names it.
     head = F.struct(F.get("arc", F.lit(0)).alias("a"), F.get("arc", F.lit(1)).alias("b")).alias("head")
@@ -167,7 +179,7 @@ def coverage_simplify(shapes: DataFrame, tolerance: float) -> DataFrame:
     done: list[DataFrame] = []
     left = arcs.withColumn("tries", F.lit(0))
     while True:
-        tried = stage(left.select("head", "arc").join(_thinned(left, tolerance), "head"), "thin-arcs")
+        tried = stage(_thinned(left, tolerance), "thin-arcs")
         bad = _broken(tried, vertices)
         good = stage(tried.join(bad, "head", "left_anti").select("head", "tries", "thin"), "good-arcs")
         again = tried.join(bad, "head").select("head", "arc", (F.col("tries") + 1).alias("tries"))
@@ -180,7 +192,7 @@ def coverage_simplify(shapes: DataFrame, tolerance: float) -> DataFrame:
     thinned = stage(done[0] if len(done) == 1 else _union(done), "thinned")
     while not (twice := stage(_doubled(thinned).join(thinned.where(F.col("tries") <= RETRIES).select("head", "tries"), "head"), "doubled-arcs")).isEmpty():
         left = arcs.join(twice, "head").withColumn("tries", F.col("tries") + 1)
-        tried = stage(left.select("head", "arc").join(_thinned(left, tolerance), "head"), "thin-arcs")
+        tried = stage(_thinned(left, tolerance), "thin-arcs")
         bad = _broken(tried, vertices)
         back = tried.join(bad.withColumn("bad", F.lit(True)), "head", "left")
         plain = F.col("bad") | (F.col("tries") >= RETRIES)
@@ -196,7 +208,7 @@ def coverage_simplify(shapes: DataFrame, tolerance: float) -> DataFrame:
     free = max((c for c in shapes.columns), key=len) + "_"
     out = shapes.join(back.withColumnRenamed("pts", free), "shape_id", "left")
     empty = F.when(F.col("geom").isNotNull(), F.slice("geom", 1, 0))
-    return out.withColumn("geom", F.coalesce(free, empty)).drop(free)
+    return stage(out.withColumn("geom", F.coalesce(free, empty)).drop(free), "simplified")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions.clipping import clip_at
 from terrafold.functions.geometry import GEOMETRY, area
-from terrafold.operators import geo
+from terrafold.operators import geo, topology
 from terrafold.operators.levels import meeting
 from terrafold.operators.topology import coverage_simplify, thin
 from terrafold.queries.geography import blocks, jagged
@@ -209,3 +209,22 @@ def test_small_files_are_dealt_to_all_cores(spark):
     load = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
     for shapes in (blocks(load), jagged(load)):
         assert shapes.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_tasks_of_thinning_stay_of_one_size(spark, coverage, monkeypatch):
+    """More vertices mean more partitions, not larger ones; the session's own number comes back."""
+    want, seen, write = coverage_simplify(coverage, 0.4).orderBy("shape_id").collect(), [], topology.stage
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(topology, "VERTICES_A_TASK", 20)
+    monkeypatch.setattr(topology, "stage", lambda df, tag: (seen.append((tag, int(spark.conf.get(key)))), write(df, tag))[1])
+    assert coverage_simplify(coverage, 0.4).orderBy("shape_id").collect() == want
+    assert spark.conf.get(key) == before and all(n > int(before) for tag, n in seen if tag != "rings")
+    assert seen[-1][0] == "simplified"
+
+
+def test_arcs_are_thinned_where_they_lie(spark):
+    """Thin arcs come with their arcs, without a join of all arcs with themselves."""
+    arcs = spark.createDataFrame([(((0.0, 0.0), (1.0, 0.1)), [(0.0, 0.0), (1.0, 0.1), (2.0, 1.0), (3.0, 0.1), (4.0, 0.0)], k) for k in (0, 3)], f"head struct<a:{topology.VERTEX},b:{topology.VERTEX}>, arc array<{topology.VERTEX}>, tries int")
+    rows = topology._thinned(arcs, math.sqrt(0.41)).orderBy("tries").collect()
+    assert [[v.x for v in r.thin] for r in rows] == [[0, 2, 4], [0, 1, 2, 3, 4]] and [len(r.arc) for r in rows] == [5, 5]
