@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import contextlib
 import os
 from collections.abc import Iterator
 
@@ -24,6 +24,28 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most bits of a `sieve`, as a power of two: 32 MB; words of one of its files: 512 KB.
 SIEVE_BITS, SIEVE_PIECE = 28, 1 << 16
 
+#: Bytes of rows that a Python worker takes at once, about, in `in_parts` and `small_batches`.
+PART_BYTES = 2 << 20
+
+
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, in order, in parts of about PART_BYTES: what is made of a part goes before the next one's is made."""
+    for b in batches:
+        rows = -(-b.num_rows // (1 + b.nbytes // PART_BYTES))
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, max(1, rows)))
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, the session's Arrow batches have about PART_BYTES. What is to be mapped like that must be staged in it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(PART_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared one."""
@@ -81,20 +103,15 @@ def sieve(keys: DataFrame, column: str) -> tuple[str, int, list[tuple[int, str]]
     return folder, words, [(r.piece, r.name) for r in dealt.mapInArrow(write, "piece long, name string").collect()]
 
 
-@functools.lru_cache(1)
-def _bitmap(folder: str, words: int, pieces: tuple[tuple[int, str], ...]) -> np.ndarray:
+def bitmap(of: tuple[str, int, list[tuple[int, str]]]) -> np.ndarray:
+    """The bitmap of a `sieve`. A task reads it once and lets it go at its end: Python workers live on, and nothing else would free it."""
+    folder, words, pieces = of
     out = np.zeros(words, np.uint64)
     for piece, name in pieces:
         out[piece * SIEVE_PIECE : (piece + 1) * SIEVE_PIECE] = FileRange(folder, name, "<u8")(0, min(SIEVE_PIECE, words))
     return out
 
 
-def bitmap(of: tuple[str, int, list[tuple[int, str]]]) -> np.ndarray:
-    """The bitmap of a `sieve`, in a task; a Python worker keeps the last one it read."""
-    folder, words, pieces = of
-    return _bitmap(folder, words, tuple(pieces))
-
-
 def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the uint64 ``keys`` may be among those of a `sieve`."""
     slot = keys & np.uint64(64 * len(bitmap) - 1)

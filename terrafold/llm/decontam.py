@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_parts, table
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -151,7 +151,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Items(shared.value)
-            for b in batches:
+            for b in in_parts(batches):
                 found = index.search(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array([d for d, _, _ in found], pa.int64())), pa.array([index.ids[i] for _, i, _ in found], pa.int64()),
@@ -172,7 +172,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Items(shared.value)
-            for b in batches:
+            for b in in_parts(batches):
                 leaked = {d for d, _, _ in index.search(b.column(place).to_pylist())}
                 yield b.filter(pa.array([i not in leaked for i in range(b.num_rows)], pa.bool_()))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import FileRange, bitmap, delete, discard, file_in, new_path, passes, sieve, stage, table, with_row_id
+from .common import FileRange, bitmap, delete, discard, file_in, new_path, passes, sieve, small_batches, stage, table, with_row_id
 
 BITS = 64
 
@@ -203,13 +203,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame) -> DataFram
     found_in, folder = sieve(wanted, "k"), new_path(spark, "shingle-sets")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
+        context, wanted_rows = TaskContext.get(), bitmap(found_in)
         name, at = f"part-{context.partitionId():06d}-{context.taskAttemptId()}", 0
         fs, path = file_in(folder, name)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(path, buffer_size=1 << 20) as out:
             for b in batches:
-                b = b.filter(pa.array(passes(bitmap(found_in), b.column(0).to_numpy().view(np.uint64))))
+                b = b.filter(pa.array(passes(wanted_rows, b.column(0).to_numpy().view(np.uint64))))
                 found = []
                 for t in b.column(1).to_pylist():
                     words = _word_list(t)
@@ -222,7 +222,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame) -> DataFram
 
     keyed = rows.select(F.xxhash64("row.f", "row.i").alias("k"), "text")
     # Rows that the sieve let through by chance may repeat a class; one place of each will do.
-    places = stage(keyed.mapInArrow(write, "id long, file string, at long, n long").groupBy("id").agg(F.min(F.struct("file", "at", "n")).alias("p")), "set-places")
+    with small_batches(spark):
+        places = stage(keyed.mapInArrow(write, "id long, file string, at long, n long").groupBy("id").agg(F.min(F.struct("file", "at", "n")).alias("p")), "set-places")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = functools.cache(lambda name: FileRange(folder, name, "<u8"))
@@ -336,16 +337,18 @@ def _hot_index(prints: DataFrame) -> DataFrame:
     found_in = sieve(shared, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        several = bitmap(found_in)
         for b in batches:
             lists = b.column(2)
             keys, sizes = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
             who, pos = np.repeat(np.arange(b.num_rows), sizes), np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = np.flatnonzero(passes(bitmap(found_in), keys))
+            keep = np.flatnonzero(passes(several, keys))
             of = pa.array(who[keep])
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array(pos[keep].astype(np.int32))], ["key", "id", "n", "pos"])
 
     index = prints.select("id", "n", "prefix").mapInArrow(run, "key long, id long, n int, pos int")
-    hot = stage(index.join(shared, "key", "left_semi").groupBy("key", "id").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "index")
+    with small_batches(prints.sparkSession):
+        hot = stage(index.join(shared, "key", "left_semi").groupBy("key", "id").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "index")
     discard(shared)
     delete(prints.sparkSession, found_in[0])
     return hot
@@ -411,7 +414,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             )
 
     schema = f"row struct<f:bigint,i:bigint>, doc_id long, id long, check long, fp long, {', '.join(f'{c} long' for c in fps)}, n int, prefix array<long>, {', '.join(f'{c} long' for c in SKETCH)}"
-    prints = stage(rows.mapInArrow(run, schema), "prints")
+    with small_batches(docs.sparkSession):
+        prints = stage(rows.mapInArrow(run, schema), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = stage(prints.groupBy("id").agg(*(F.first(c).alias(c) for c in ("check", "fp", *fps, "n", *SKETCH)), F.min(order).alias("keep")), "classes")
 

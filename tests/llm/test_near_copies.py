@@ -2,11 +2,13 @@
 
 import pickle
 import random
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from terrafold.llm import common, simhash
+from terrafold.llm import common, decontam, simhash
 from terrafold.llm.common import stage
 
 
@@ -95,3 +97,35 @@ def test_no_job_of_near_copies_plans_many_joins(spark, monkeypatch):
     monkeypatch.setattr(simhash, "stage", lambda df, tag: (joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")), write(df, tag))[1])
     assert simhash.drop_near_copies(stage(spark.createDataFrame([(1, "a b"), (2, "A b")], "doc_id long, text string"), "two")).count() == 1
     assert 0 < max(joins) <= 6
+
+
+def test_workers_keep_no_bitmap_and_get_small_batches(spark):
+    """Python workers live on through all stages: what one step left in them, every later step paid for."""
+    made = common.sieve(spark.createDataFrame([(k,) for k in range(1000)], "k long"), "k")
+    held = weakref.ref(common.bitmap(made))
+    assert held() is None
+
+    texts = spark.createDataFrame([(f"{k} " * 4000,) for k in range(1000)], "text string").coalesce(1)
+    sizes = lambda: [r.n for r in texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()]
+    with common.small_batches(spark):
+        small = sizes()
+    assert len(small) > 1 and max(small) < 2 * common.PART_BYTES < sum(small)
+    assert max(sizes()) > 2 * common.PART_BYTES
+
+
+def test_leaks_are_dropped_part_by_part(spark):
+    """A batch of long texts is searched, and given back, in parts of a bounded size; no row is lost or moved."""
+    draw = random.Random(11)
+    passage = " ".join(f"w{draw.randrange(10**9)}" for _ in range(40))
+    texts = [" ".join(f"w{draw.randrange(10**9)}" for _ in range(400)) + (f" {passage}" if k % 7 == 0 else "") for k in range(3000)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+
+    class Docs:
+        columns, schema, sparkSession = batch.schema.names, None, spark
+
+        def mapInArrow(self, function, schema):
+            return list(function(iter([batch, batch.slice(0, 0)])))
+
+    out = decontam.drop_leaks(Docs(), spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert [i for b in out for i in b.column(0).to_pylist()] == [k for k in range(len(texts)) if k % 7 or k >= 3000]
+    assert batch.nbytes > 4 * common.PART_BYTES and max(b.nbytes for b in out) < 2 * common.PART_BYTES
