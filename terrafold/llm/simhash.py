@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
+from ..staging import measured_joins
 from .common import FileRange, bitmap, delete, discard, file_in, new_path, passes, sieve, small_batches, stage, table, with_row_id
 
 BITS = 64
@@ -90,6 +91,7 @@ def hamming_links(prints: DataFrame, distance: int, also: Condition | None = Non
     For each segment a print is indexed by the segment's value and by each variant in which one bit is a wildcard. Pairs that
     differ in just that bit meet there, one side with 0 and one with 1; pairs with equal segments meet by value. The join
     verifies the whole distance and lets only the first matching segment speak, so no pair comes twice and nothing is expanded.
+    It merges both sides: Spark's estimate of the index, made before the explode, is of one row a print, and would broadcast it.
     """
     fp, rows = F.col("fp"), []
     cuts = segments(distance)
@@ -111,7 +113,7 @@ def hamming_links(prints: DataFrame, distance: int, also: Condition | None = Non
         near = near & ((F.shiftright(a("key"), 56) <= s) | (F.bit_count(part) > 1))
     if also:
         near = near & also(a, b)
-    joined = left.join(right, (a("key") == b("key")) & near)
+    joined = left.hint("merge").join(right, (a("key") == b("key")) & near)
     return joined.select(F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v"))
 
 
@@ -123,13 +125,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and are linked like any other. Repeated rows stay; other columns are ignored, whatever their names. Empty input: no rows.
     """
     prints = stage(with_fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle), "prints")
-    ids = stage(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-prints")
-    roots = components(hamming_links(ids.select(F.col("fp").alias("id"), "fp"), distance))
-    known = ids.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = known.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
-    named = stage(known.select("fp", "root").join(groups.where("n > 1"), "root").select("fp", F.col("least").alias("component_id")), "named-prints")
+    with measured_joins(docs.sparkSession):
+        ids = stage(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-prints")
+        roots = components(hamming_links(ids.select(F.col("fp").alias("id"), "fp"), distance))
+        known = ids.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        groups = known.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
+        named = stage(known.select("fp", "root").join(groups.where("n > 1"), "root").select("fp", F.col("least").alias("component_id")), "named-prints")
     discard(ids)
-    return prints.join(named, "fp", "left").select(F.col("id").alias("doc_id"), "fp", F.coalesce("component_id", "id").alias("component_id"))
+    return prints.join(named.hint("merge"), "fp", "left").select(F.col("id").alias("doc_id"), "fp", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
