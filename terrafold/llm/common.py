@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import discard, new_path, shared_dir, stage
+from ..staging import discard, merged_joins, new_path, shared_dir, stage
 
 #: What separates words: the space and the controls from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -144,3 +144,19 @@ def with_row_id(df: DataFrame) -> tuple[DataFrame, str]:
     ``df`` must come straight from a scan of Parquet files."""
     name, meta = fresh(df, "row_id"), df.metadataColumn("_metadata")
     return df.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("f"), meta["row_index"].alias("i"))), name
+
+
+#: Words of 64 rows that are broadcast in `without_rows`: 25 MB, about.
+WORDS_AT_HAND = 100_000
+
+
+def without_rows(keyed: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """``keyed``, from `with_row_id`, without the rows that the one column of ``gone`` names, and without the column ``row``. Rows that
+    go are bits of words of 64 rows; few words are broadcast, more are joined by a shuffle: an estimate by the file of so narrow a
+    table is many times too low."""
+    bit = lambda at: F.expr(f"shiftleft(1L, cast({at} & 63 as int))")
+    words = stage(gone.toDF("r").select("r.f", "r.i").groupBy("f", F.shiftright("i", 6).alias("w")).agg(F.bit_or(bit("i")).alias("bits")), "gone-rows")
+    few = F.broadcast(words) if words.count() <= WORDS_AT_HAND else words.hint("merge")
+    of = few.select(F.struct("f", "w").alias(word := fresh(keyed, "word")), F.col("bits").alias(bits := fresh(keyed, "bits")))
+    at = keyed.withColumn(word, F.struct(F.col(row)["f"].alias("f"), F.shiftright(F.col(row)["i"], 6).alias("w")))
+    return at.join(of, word, "left").where(F.coalesce(F.col(bits).bitwiseAND(bit(f"`{row}`.i")), F.lit(0)) == 0).drop(row, word, bits)

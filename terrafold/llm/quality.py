@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, WORD_CLASS, stage, table, with_row_id
+from .common import BLANK_CLASS, WORD_CLASS, discard, stage, table, with_row_id, without_rows
 
 # The commonest function words of each language that has a reference.
 COMMON_WORDS = {
@@ -227,8 +227,10 @@ def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """The rows of ``docs``, all columns, that the rules keep; edge cases as in `quality_rules`. ``docs`` must come from a scan."""
     keyed, row = with_row_id(docs)
     features = stage(quality_features(keyed, row, text_col, lang_col), "quality")
-    bad = stage(with_verdict(features, *trimmed_references(features)).where(~F.col("kept")).select(F.col("doc_id").alias(row)), "low-quality")
-    return keyed.join(bad, row, "left_anti").drop(row)
+    bad = stage(with_verdict(features, *trimmed_references(features)).where(~F.col("kept")).select("doc_id"), "low-quality")
+    out = without_rows(keyed, row, bad)
+    discard(bad)
+    return out
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

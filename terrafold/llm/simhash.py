@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..staging import measured_joins
-from .common import FileRange, bitmap, delete, discard, file_in, new_path, passes, sieve, small_batches, stage, table, with_row_id
+from .common import FileRange, bitmap, delete, discard, file_in, merged_joins, new_path, passes, sieve, small_batches, stage, table, with_row_id, without_rows
 
 BITS = 64
 
@@ -125,7 +124,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and are linked like any other. Repeated rows stay; other columns are ignored, whatever their names. Empty input: no rows.
     """
     prints = stage(with_fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle), "prints")
-    with measured_joins(docs.sparkSession):
+    with merged_joins(docs.sparkSession):
         ids = stage(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-prints")
         roots = components(hamming_links(ids.select(F.col("fp").alias("id"), "fp"), distance))
         known = ids.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -392,8 +391,17 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     input: no rows.
     """
     keyed, row = with_row_id(docs)
+    with merged_joins(docs.sparkSession):
+        dropped = _near_copies(keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    out = without_rows(keyed, row, dropped)
+    discard(dropped)
+    return out
+
+
+def _near_copies(rows: DataFrame) -> DataFrame:
+    """The rows that `drop_near_copies` drops of ``rows(row, doc_id, text)``: ``(row)``, staged."""
+    spark = rows.sparkSession
     fps = [f"fp{k}" for k in range(len(WORD_SEEDS))]
-    rows = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     often = common_shingles(rows)
     common, ranks = np.sort(often), np.argsort(often) + 1
 
@@ -417,7 +425,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             )
 
     schema = f"row struct<f:bigint,i:bigint>, doc_id long, id long, check long, fp long, {', '.join(f'{c} long' for c in fps)}, n int, prefix array<long>, {', '.join(f'{c} long' for c in SKETCH)}"
-    with small_batches(docs.sparkSession):
+    with small_batches(spark):
         prints = stage(rows.mapInArrow(run, schema), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = stage(prints.groupBy("id").agg(*(F.first(c).alias(c) for c in ("check", "fp", *fps, "n", *SKETCH)), F.min(order).alias("keep")), "classes")
@@ -445,6 +453,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = star_links.union(_verified(near, rows, keepers))
     groups = named(classes.select("id", "keep"), links, "groups")
     kept = groups.groupBy("grp").agg(F.min("keep").alias("best")).select(F.col("best.row").alias("row"))
-    dropped = stage(prints.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row), "near-copies")
+    dropped = stage(prints.select("row").join(kept, "row", "left_anti"), "near-copies")
     discard(classes, hot, stars, star_links, some, near, links, groups, prints)
-    return keyed.join(dropped, row, "left_anti").drop(row)
+    return dropped

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import discard, measured_joins, stage
+from ..staging import discard, merged_joins, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     what their ends joined; the expected number of rounds is logarithmic. A hub costs a partial minimum for each task and, on the
     join, what adaptive skew handling splits. Empty links give an empty table.
     """
-    with measured_joins(links.sparkSession):
+    with merged_joins(links.sparkSession):
         return _contracted(links)
 
 
